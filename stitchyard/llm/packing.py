@@ -10,6 +10,7 @@ with a null doc_id are packed too; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,27 +24,62 @@ from .common import numbered
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+MARK = "\x01"
+#: A comma or stop after an ASCII letter, before white space: a token of its own with or without a space before it.
+ENDING = re.compile(rb"(?<=[a-z])([,.])(?=[\s]|$)")
+
+
 class Ids:
-    """Token ids by text as little-endian bytes; tokens never cross ASCII white space, so chunks are kept."""
+    """Token ids by text as little-endian bytes.
 
-    def __init__(self, path: str, end_id: int, keep: int = 400_000):
+    Tokens never cross ASCII white space, and the vocabulary is of lower case, so the ids of each chunk
+    between white space, in lower case, are kept for the texts to come, up to ``keep`` chunks. New chunks
+    are encoded in one call, with a mark between them that makes a token of its own.
+    """
+
+    def __init__(self, path: str, end_id: int, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.keep, self.known = np.array([end_id], "<u4").tobytes(), keep, {}
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        texts = {c: c.decode("utf-8", "replace") for c in chunks}
+        plain = [c for c in chunks if MARK not in texts[c]]
+        ids = np.array(self.tokenizer.encode(f" {MARK} ".join(texts[c] for c in plain), add_special_tokens=False).ids, "<u4")
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) + 1 != len(plain):
+            plain = []
+        raw = ids.tobytes()
+        for c, a, z in zip(plain, [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(raw)], strict=True) if plain else ():
+            self.known[c] = raw[a:z]
+        for c in set(chunks).difference(plain):
+            self.known[c] = np.array(self.tokenizer.encode(texts[c], add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list({c for chunks in split for c in chunks}.difference(self.known))
+        split = [ENDING.sub(rb" \1", t.lower()).split() for t in texts]
+        seen = set().union(*split)
+        new = seen.difference(self.known)
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
-            new = list({c for chunks in split for c in chunks})
-        coded = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-        self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, coded, strict=True))
+            new = seen
+        if new:
+            self._learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) + self.end for chunks in split]
 
 
+_IDS: dict[tuple[str, int], Ids] = {}
+
+
+def ids_of(path: str, end_id: int) -> Ids:
+    """The tokenizer of this process, with what it has learnt in earlier tasks."""
+    if (path, end_id) not in _IDS:
+        _IDS[path, end_id] = Ids(path, end_id)
+    return _IDS[path, end_id]
+
+
 def cuts(n: int, full: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids."""
     out = [(i * full, full) for i in range(n // full)]
@@ -64,7 +100,7 @@ def _cutter(path: str, end_id: int, full: int, with_ids: bool):
     from .arrays import slices
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path, end_id)
+        ids = ids_of(path, end_id)
         for b in slices(batches, "text", 4 << 20):
             rows, raw = [], []
             for doc_id, coded in zip(b.column("doc_id").to_pylist(), ids([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]), strict=True):
