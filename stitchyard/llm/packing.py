@@ -19,52 +19,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import materialize, numbered
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 MARK = "\x01"
 #: A comma or stop after an ASCII letter, before white space: a token of its own with or without a space before it.
-ENDING = re.compile(rb"(?<=[a-z])([,.])(?=[\s]|$)")
+ENDING = re.compile(rb"(?<=[a-z])([,.])(?=\s|$)")
 
 
 class Ids:
     """Token ids by text as little-endian bytes.
 
     Tokens never cross ASCII white space, and the vocabulary is of lower case, so the ids of each chunk
-    between white space, in lower case, are kept for the texts to come, up to ``keep`` chunks. New chunks
-    are encoded in one call, with a mark between them that makes a token of its own.
+    between white space, in lower case, are kept for the texts to come: ``keep`` chunks and the ``keep`` before
+    them. New chunks are encoded in one call. Words end in a token that says so; between chunks that
+    aren't one word each stands a mark that makes a token of its own.
     """
 
-    def __init__(self, path: str, end_id: int, keep: int = 600_000):
+    def __init__(self, path: str, end_id: int, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.keep, self.known = np.array([end_id], "<u4").tobytes(), keep, {}
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.end, self.keep, self.known, self.before = np.array([end_id], "<u4").tobytes(), keep, {}, {}
+        (self.mark,) = self._encode(MARK).tolist()
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        texts = {c: c.decode("utf-8", "replace") for c in chunks}
-        plain = [c for c in chunks if MARK not in texts[c]]
-        ids = np.array(self.tokenizer.encode(f" {MARK} ".join(texts[c] for c in plain), add_special_tokens=False).ids, "<u4")
-        marks = np.flatnonzero(ids == self.mark)
-        if len(marks) + 1 != len(plain):
-            plain = []
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _keep(self, chunks: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = ids.tobytes()
-        for c, a, z in zip(plain, [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(raw)], strict=True) if plain else ():
+        for c, a, z in zip(chunks, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
             self.known[c] = raw[a:z]
-        for c in set(chunks).difference(plain):
-            self.known[c] = np.array(self.tokenizer.encode(texts[c], add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        is_word = list(map(str.isalpha, texts))
+        words = [c for c, w in zip(chunks, is_word, strict=True) if w]
+        ids = self._encode(" ".join(t for t, w in zip(texts, is_word, strict=True) if w))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words):
+            self._keep(words, ids, np.append(0, ends)[:-1], ends)
+        marked = [(c, t) for c, t in zip(chunks, texts, strict=True) if c not in self.known and MARK not in t]
+        if marked:
+            ids = self._encode(f" {MARK} ".join(t for _, t in marked))
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) + 1 == len(marked):
+                self._keep([c for c, _ in marked], ids, np.append(0, at + 1), np.append(at, len(ids)))
+        for c, t in zip(chunks, texts, strict=True):
+            if c not in self.known:
+                self.known[c] = self._encode(t).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [ENDING.sub(rb" \1", t.lower()).split() for t in texts]
         seen = set().union(*split)
+        if len(self.known) > self.keep:
+            self.before, self.known = self.known, {}
         new = seen.difference(self.known)
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = seen
-        if new:
+        again = new.intersection(self.before)
+        self.known.update((c, self.before[c]) for c in again)
+        if new := new.difference(again):
             self._learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) + self.end for chunks in split]
@@ -124,4 +141,4 @@ def bucketed(rows: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame, path: str) -> DataFrame:
-    return bucketed(docs.select("doc_id", "text").mapInArrow(_cutter(path, 2, 4096, False), SCHEMA))
+    return bucketed(materialize(docs.select("doc_id", "text").mapInArrow(_cutter(path, 2, 4096, False), SCHEMA), "packing-pieces"))
