@@ -11,6 +11,8 @@ with a null doc_id are packed too; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,44 +36,42 @@ class Ids:
 
     Tokens never cross ASCII white space, and the vocabulary is of lower case, so the ids of each chunk
     between white space, in lower case, are kept for the texts to come: ``keep`` chunks and the ``keep`` before
-    them. New chunks are encoded in one call. Words end in a token that says so; between chunks that
-    aren't one word each stands a mark that makes a token of its own.
+    them. A new chunk that is one normalised word of letters goes to the tokenizer's model; others are
+    encoded in one call, with a mark between them that makes a token of its own.
     """
 
     def __init__(self, path: str, end_id: int, keep: int = 500_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.keep, self.known, self.before = np.array([end_id], "<u4").tobytes(), keep, {}, {}
         (self.mark,) = self._encode(MARK).tolist()
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        two = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(32, 2048) if not 0xD800 <= b < 0xE000}
+        # the model's letter of each byte, from characters of one and two bytes
+        self.letters = {byte: letter for c, out in two.items() for byte, letter in zip(chr(c).encode(), out, strict=True)}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _keep(self, chunks: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw = ids.tobytes()
-        for c, a, z in zip(chunks, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
-            self.known[c] = raw[a:z]
-
     def _learn(self, chunks: list[bytes]) -> None:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        is_word = list(map(str.isalpha, texts))
-        words = [c for c, w in zip(chunks, is_word, strict=True) if w]
-        ids = self._encode(" ".join(t for t, w in zip(texts, is_word, strict=True) if w))
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == len(words):
-            self._keep(words, ids, np.append(0, ends)[:-1], ends)
-        marked = [(c, t) for c, t in zip(chunks, texts, strict=True) if c not in self.known and MARK not in t]
-        if marked:
-            ids = self._encode(f" {MARK} ".join(t for _, t in marked))
-            at = np.flatnonzero(ids == self.mark)
-            if len(at) + 1 == len(marked):
-                self._keep([c for c, _ in marked], ids, np.append(0, at + 1), np.append(at, len(ids)))
-        for c, t in zip(chunks, texts, strict=True):
-            if c not in self.known:
-                self.known[c] = self._encode(t).tobytes()
+        tokenize, letters, known, others = self.tokenizer.model.tokenize, self.letters, self.known, []
+        for c in chunks:
+            t = c.decode("utf-8", "replace")
+            if t.isalpha() and (t.isascii() or (t.lower() == t and unicodedata.is_normalized("NFC", t) and all(b in letters for b in c))):
+                ids = [x.id for x in tokenize(t if t.isascii() else c.decode("latin-1").translate(letters))]
+                known[c] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append((c, t))
+        marked = [(c, t) for c, t in others if MARK not in t]
+        ids = self._encode(f" {MARK} ".join(t for _, t in marked))
+        at = np.flatnonzero(ids == self.mark)
+        if len(at) + 1 == len(marked):
+            raw = ids.tobytes()
+            known.update((c, raw[a:z]) for (c, _), a, z in zip(marked, [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)], strict=True))
+        for c, t in others:
+            if c not in known:
+                known[c] = self._encode(t).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [ENDING.sub(rb" \1", t.lower()).split() for t in texts]
