@@ -11,9 +11,9 @@ with a null doc_id are packed too; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +31,16 @@ MARK = "\x01"
 ENDING = re.compile(rb"(?<=[a-z])([,.])(?=\s|$)")
 
 
+#: What may stand before them in an ASCII text so that they are no tokens of their own.
+JOINED = re.compile(rb"[!-/:-@\[-`{-~][,.]\s")
+
+
+def _spaced(text: bytes) -> bytes:
+    if text.isascii() and not JOINED.search(text):
+        return text.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n")
+    return ENDING.sub(rb" \1", text)
+
+
 class Ids:
     """Token ids by text as little-endian bytes.
 
@@ -50,19 +60,23 @@ class Ids:
         two = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(32, 2048) if not 0xD800 <= b < 0xE000}
         # the model's letter of each byte, from characters of one and two bytes
         self.letters = {byte: letter for c, out in two.items() for byte, letter in zip(chr(c).encode(), out, strict=True)}
+        self.bytes = bytes(b for b in self.letters if chr(b).isalpha() or b > 127)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, chunks: list[bytes]) -> None:
         tokenize, letters, known, others = self.tokenizer.model.tokenize, self.letters, self.known, []
+        normalized = unicodedata.is_normalized
         for c in chunks:
-            t = c.decode("utf-8", "replace")
-            if t.isalpha() and (t.isascii() or (t.lower() == t and unicodedata.is_normalized("NFC", t) and all(b in letters for b in c))):
-                ids = [x.id for x in tokenize(t if t.isascii() else c.decode("latin-1").translate(letters))]
-                known[c] = struct.pack(f"<{len(ids)}I", *ids)
+            if c.isalpha():  # ASCII
+                tokens = tokenize(c.decode("ascii"))
+            elif not c.translate(None, self.bytes) and (t := c.decode("utf-8", "replace")).isalpha() and t.islower() and normalized("NFC", t) and t.lower() == t:
+                tokens = tokenize(c.decode("latin-1").translate(letters))
             else:
-                others.append((c, t))
+                others.append((c, c.decode("utf-8", "replace")))
+                continue
+            known[c] = array("I", [x.id for x in tokens]).tobytes()
         marked = [(c, t) for c, t in others if MARK not in t]
         ids = self._encode(f" {MARK} ".join(t for _, t in marked))
         at = np.flatnonzero(ids == self.mark)
@@ -74,7 +88,7 @@ class Ids:
                 known[c] = self._encode(t).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [ENDING.sub(rb" \1", t.lower()).split() for t in texts]
+        split = [_spaced(t.lower()).split() for t in texts]
         seen = set().union(*split)
         if len(self.known) > self.keep:
             self.before, self.known = self.known, {}
