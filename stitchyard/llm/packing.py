@@ -10,54 +10,69 @@ with a null doc_id are packed too; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays as A
 from .common import materialize, numbered
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 MARK = "\x01"
-#: A comma or stop after an ASCII letter, before white space: a token of its own with or without a space before it.
-ENDING = re.compile(rb"(?<=[a-z])([,.])(?=\s|$)")
+#: Bytes of text that are tokenized together.
+GROUP = 12 << 20
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
 
 
-#: What may stand before them in an ASCII text so that they are no tokens of their own.
-JOINED = re.compile(rb"[!-/:-@\[-`{-~][,.]\s")
+class Chunks:
+    """The chunks of a text column between white space, in lower case, with their hashes.
 
+    A comma or stop after an ASCII letter and before white space is a chunk of its own: it is a token of its
+    own with or without a space before it.
+    """
 
-def _spaced(text: bytes) -> bytes:
-    if text.isascii() and not JOINED.search(text):
-        return text.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n")
-    return ENDING.sub(rb" \1", text)
+    def __init__(self, col: pa.Array):
+        data, offsets = A.flat(col)
+        self.data, n = A.LOWER[data], len(data)
+        inside = ~A.SPACE[self.data]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        apart = np.zeros(n + 1, bool)
+        if n:
+            space_next = edge[1:].copy()
+            space_next[:-1] |= ~inside[1:]
+            apart[1:n] = ((self.data[1:] == 44) | (self.data[1:] == 46)) & _LETTER[self.data[:-1]] & ~edge[1:n] & space_next[1:]
+        starts, ends = A.runs(inside, offsets)
+        at = np.flatnonzero(apart)
+        self.starts, self.ends = np.sort(np.concatenate((starts, at))), np.sort(np.concatenate((ends, at)))
+        self.at = np.searchsorted(self.starts, offsets)
+        self.hash = A.hashes(self.data, self.starts, self.ends)
 
 
 class Ids:
-    """Token ids by text as little-endian bytes.
+    """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    Tokens never cross ASCII white space, and the vocabulary is of lower case, so the ids of each chunk
-    between white space, in lower case, are kept for the texts to come: ``keep`` chunks and the ``keep`` before
-    them. A new chunk that is one normalised word of letters goes to the tokenizer's model; others are
-    encoded in one call, with a mark between them that makes a token of its own.
+    Tokens never cross ASCII white space, and the vocabulary is of lower case, so each distinct chunk of a
+    group of texts is encoded once. One that is a normalised word of letters goes to the tokenizer's
+    model; the others are encoded in one call, with a mark between them that makes a token of its own.
     """
 
-    def __init__(self, path: str, end_id: int, keep: int = 500_000):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.keep, self.known, self.before = np.array([end_id], "<u4").tobytes(), keep, {}, {}
+        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
         (self.mark,) = self._encode(MARK).tolist()
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        two = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(32, 2048) if not 0xD800 <= b < 0xE000}
+        two = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(32, 2048)}
         # the model's letter of each byte, from characters of one and two bytes
         self.letters = {byte: letter for c, out in two.items() for byte, letter in zip(chr(c).encode(), out, strict=True)}
         self.bytes = bytes(b for b in self.letters if chr(b).isalpha() or b > 127)
@@ -65,47 +80,59 @@ class Ids:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        tokenize, letters, known, others = self.tokenizer.model.tokenize, self.letters, self.known, []
-        normalized = unicodedata.is_normalized
-        for c in chunks:
+    def distinct(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks one after the other, and the number of each."""
+        tokenize, letters, normalized = self.tokenizer.model.tokenize, self.letters, unicodedata.is_normalized
+        found: list[list[int] | None] = [None] * len(chunks)
+        others = []
+        for i, c in enumerate(chunks):
             if c.isalpha():  # ASCII
-                tokens = tokenize(c.decode("ascii"))
-            elif not c.translate(None, self.bytes) and (t := c.decode("utf-8", "replace")).isalpha() and t.islower() and normalized("NFC", t) and t.lower() == t:
-                tokens = tokenize(c.decode("latin-1").translate(letters))
+                found[i] = [x.id for x in tokenize(c.decode("ascii"))]
+            elif not c.translate(None, self.bytes) and (t := c.decode("utf-8", "replace")).isalpha() and t.lower() == t and normalized("NFC", t):
+                found[i] = [x.id for x in tokenize(c.decode("latin-1").translate(letters))]
             else:
-                others.append((c, c.decode("utf-8", "replace")))
-                continue
-            known[c] = array("I", [x.id for x in tokens]).tobytes()
-        marked = [(c, t) for c, t in others if MARK not in t]
+                others.append((i, c.decode("utf-8", "replace")))
+        marked = [(i, t) for i, t in others if MARK not in t]
         ids = self._encode(f" {MARK} ".join(t for _, t in marked))
         at = np.flatnonzero(ids == self.mark)
         if len(at) + 1 == len(marked):
-            raw = ids.tobytes()
-            known.update((c, raw[a:z]) for (c, _), a, z in zip(marked, [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)], strict=True))
-        for c, t in others:
-            if c not in known:
-                known[c] = self._encode(t).tobytes()
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [_spaced(t.lower()).split() for t in texts]
-        seen = set().union(*split)
-        if len(self.known) > self.keep:
-            self.before, self.known = self.known, {}
-        new = seen.difference(self.known)
-        again = new.intersection(self.before)
-        self.known.update((c, self.before[c]) for c in again)
-        if new := new.difference(again):
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) + self.end for chunks in split]
+            for (i, _), part in zip(marked, np.split(ids, at), strict=True):
+                found[i] = part[part != self.mark].tolist()
+        for i, t in others:
+            if found[i] is None:
+                found[i] = self._encode(t).tolist()
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+
+    def __call__(self, cols: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows of text columns, each row's end id included, and the offsets by row."""
+        parts = [Chunks(c) for c in cols]
+        per_row = np.concatenate([np.diff(x.at) for x in parts])
+        _, first, inverse = np.unique(np.concatenate([x.hash for x in parts]), return_index=True, return_inverse=True)
+        bounds = np.cumsum([0, *(len(x.starts) for x in parts)])
+        chunks = []
+        part = np.searchsorted(bounds, first, "right") - 1
+        raws = [x.data.tobytes() for x in parts]
+        for k, i in zip(part.tolist(), (first - bounds[part]).tolist(), strict=True):
+            chunks.append(raws[k][parts[k].starts[i] : parts[k].ends[i]])
+        ids, length = self.distinct(chunks)
+        start = np.cumsum(length) - length
+        n = length[inverse]
+        row_at = np.concatenate(([0], np.cumsum(per_row)))
+        size = A.sums(n, row_at)
+        offsets = np.concatenate(([0], np.cumsum(size + 1)))
+        out = np.full(offsets[-1], self.end, "<u4")
+        place = np.repeat(start[inverse] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        keep = np.ones(len(out), bool)
+        keep[offsets[1:] - 1] = False
+        out[keep] = ids[place]
+        return out, offsets
 
 
 _IDS: dict[tuple[str, int], Ids] = {}
 
 
 def ids_of(path: str, end_id: int) -> Ids:
-    """The tokenizer of this process, with what it has learnt in earlier tasks."""
+    """The tokenizer of this process."""
     if (path, end_id) not in _IDS:
         _IDS[path, end_id] = Ids(path, end_id)
     return _IDS[path, end_id]
@@ -127,22 +154,34 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, full: int = 4096) -> Dat
     return docs.select("doc_id", "text").mapInArrow(_cutter(path, end_id, full, True), SCHEMA + ", ids binary")
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    held, size = [], 0
+    for b in A.slices(batches, "text"):
+        held.append(b)
+        size += b.column("text").nbytes
+        if size >= GROUP:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _cutter(path: str, end_id: int, full: int, with_ids: bool):
-    from .arrays import slices
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(path, end_id)
-        for b in slices(batches, "text", 4 << 20):
-            rows, raw = [], []
-            for doc_id, coded in zip(b.column("doc_id").to_pylist(), ids([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]), strict=True):
-                n = len(coded) // 4
+        for group in _groups(batches):
+            coded, offsets = ids([b.column("text") for b in group])
+            whole, rows, raw = memoryview(coded.tobytes()), [], []
+            doc_ids = [i for b in group for i in b.column("doc_id").to_pylist()]
+            for doc_id, at, n in zip(doc_ids, offsets[:-1].tolist(), np.diff(offsets).tolist(), strict=True):
                 for start, length in cuts(n, full):
-                    piece = coded[4 * start : 4 * (start + length)]
+                    piece = whole[4 * (at + start) : 4 * (at + start + length)]
                     rows.append((doc_id, start, length, zlib.crc32(piece), n))
                     if with_ids:
-                        raw.append(piece)
-            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
+                        raw.append(bytes(piece))
+            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(raw, pa.binary())] if with_ids else [])], names=[*names, *(["ids"] if with_ids else [])])
 
     return cut
