@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from stitchyard.sources.tables import table
 
-BY_TIME = W.partitionBy("user_id").orderBy("ts", "event_id")
+
+def by_time() -> W:
+    return W.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 def ledger_running_balance(spark: SparkSession, d: str) -> DataFrame:
     """The balance after each change of a user."""
     delta = F.when(F.col("event_type") == "purchase", 10).when(F.col("event_type") == "error", -1).otherwise(0).cast("long")
     rows = table(spark, d, "events").withColumn("delta", delta)
-    return rows.select("event_id", "user_id", "delta", F.sum("delta").over(BY_TIME.rowsBetween(W.unboundedPreceding, 0)).alias("balance"))
+    return rows.select("event_id", "user_id", "delta", F.sum("delta").over(by_time().rowsBetween(W.unboundedPreceding, 0)).alias("balance"))
 
 
 def retention_tail(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +30,7 @@ def retention_tail(spark: SparkSession, d: str) -> DataFrame:
 def throttle_window(spark: SparkSession, d: str) -> DataFrame:
     """A minute since the last one, and under five in the day before."""
     day = F.count("*").over(W.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0)) - 1
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(BY_TIME).cast("timestamp"))
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(by_time()).cast("timestamp"))
     return table(spark, d, "events").select("event_id", (F.coalesce(gap, F.lit(1 << 60)) >= 60_000_000).alias("spaced"), (day < 5).alias("few"))
 
 

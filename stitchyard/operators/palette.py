@@ -83,7 +83,7 @@ def _lab_sql(r: str, g: str, b: str, to: str) -> str:
     return f"116*{f[1]}-16 AS {to}l, 500*({f[0]}-{f[1]}) AS {to}a, 200*({f[1]}-{f[2]}) AS {to}b"
 
 
-_EMB = "WITH e AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(floor(CAST(x*1000 AS FLOAT)) AS BIGINT)) AS v FROM embeddings), s AS (SELECT label AS near, arg_min(v, vec_id) AS s FROM e GROUP BY 1), x AS (SELECT vec_id, near, CAST(list_sum(list_transform(list_zip(v, s), z -> (z[1]-z[2])*(z[1]-z[2]))) AS BIGINT) AS d FROM e, s)"
+_EMB = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x*1000 AS FLOAT)) AS BIGINT)) AS v FROM embeddings), s AS (SELECT label AS near, arg_min(v, vec_id) AS s FROM e GROUP BY 1), x AS (SELECT vec_id, near, CAST(list_sum(list_transform(list_zip(v, s), lambda z: (z[1]-z[2])*(z[1]-z[2]))) AS BIGINT) AS d FROM e, s)"
 QUERIES = [nearest_palette_rgb, nearest_lab_de76, nearest_de2000_tiebreak, cmyk_describe, popularity_histogram, nearest_embedding, kmeans_assign_step]
 SQL = {
     "nearest_palette_rgb": _CTE + ", x AS (SELECT *, (r-pr)*(r-pr)+(g-pg)*(g-pg)+(b-pb)*(b-pb) AS d FROM p, n) SELECT p_partkey, arg_min(name, d*100+ord) AS name, CAST(min(d) AS BIGINT) AS d FROM x GROUP BY 1",

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from stitchyard.sources.tables import table
 
-ORDER = W.partitionBy("design").orderBy("seq")
+
+def order() -> W:
+    return W.partitionBy("design").orderBy("seq")
 
 
 def stream(spark: SparkSession, d: str) -> DataFrame:
@@ -19,12 +21,12 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
 
 def stitch_stream_color_index(spark: SparkSession, d: str) -> DataFrame:
     """How many colour changes came so far."""
-    return stream(spark, d).select("design", "seq", F.sum(F.when(F.col("kind") == "color", 1).otherwise(0)).over(ORDER).cast("long").alias("color_index"))
+    return stream(spark, d).select("design", "seq", F.sum(F.when(F.col("kind") == "color", 1).otherwise(0)).over(order()).cast("long").alias("color_index"))
 
 
 def stitch_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Squared distance from the needle's last place."""
-    dx, dy = F.col("x") - F.lag("x").over(ORDER), F.col("y") - F.lag("y").over(ORDER)
+    dx, dy = F.col("x") - F.lag("x").over(order()), F.col("y") - F.lag("y").over(order())
     return stream(spark, d).select("design", "seq", F.coalesce(dx * dx + dy * dy, F.lit(0)).cast("long").alias("d2"))
 
 
@@ -37,7 +39,7 @@ def stitch_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def split_long_stitches(spark: SparkSession, d: str) -> DataFrame:
     """Moves over 70 tenths in equal parts of at most 65."""
-    s = stream(spark, d).select("design", "seq", "x", "y", F.lag("x").over(ORDER).alias("px"), F.lag("y").over(ORDER).alias("py")).filter("px is not null")
+    s = stream(spark, d).select("design", "seq", "x", "y", F.lag("x").over(order()).alias("px"), F.lag("y").over(order()).alias("py")).filter("px is not null")
     dist = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
     n = F.when(dist > 70, F.ceil(dist / 65.0)).otherwise(1).cast("long")
     parts = s.select("*", n.alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
