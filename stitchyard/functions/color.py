@@ -58,4 +58,4 @@ def de2000(p: tuple, q: tuple) -> Column:
     sc, sh = 1 + 0.045 * cm, 1 + 0.015 * cm * t
     rt = -F.sin(60 * F.exp(-((hm - 275) / 25) * ((hm - 275) / 25)) * deg) * 2 * F.sqrt(F.pow(cm, F.lit(7.0)) / (F.pow(cm, F.lit(7.0)) + 25.0**7))
     dl, dc, dhh = (l2 - l1) / sl, (c2 - c1) / sc, big / sh
-    return F.sqrt(dl * dl + dc * dc + dhh * dhh + rt * dc * dhh)
+    return F.sqrt(F.pow(dl, F.lit(2.0)) + F.pow(dc, F.lit(2.0)) + F.pow(dhh, F.lit(2.0)) + rt * dc * dhh)

@@ -37,9 +37,11 @@ def nearest_lab_de76(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_de2000_tiebreak(spark: SparkSession, d: str) -> DataFrame:
     """Of the colours within 0.5 of the least CIEDE2000 distance, the nearest in a*b*, the first on ties."""
-    p, q = color.lab(F.col("r"), F.col("g"), F.col("b")), color.lab(F.col("pr"), F.col("pg"), F.col("pb"))
+    both = [x.alias(f"{side}{k}") for side, c in (("u", ("r", "g", "b")), ("v", ("pr", "pg", "pb"))) for k, x in zip("lab", color.lab(*map(F.col, c)), strict=True)]
+    p, q = (tuple(F.col(f"{side}{k}") for k in "lab") for side in "uv")
     ab = (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2])
-    cross = _parts(spark, d).crossJoin(_named(spark)).select("p_partkey", F.struct(color.de2000(p, q).alias("d"), ab.alias("ab"), "ord", "name").alias("c"))
+    labs = _parts(spark, d).crossJoin(_named(spark)).select("p_partkey", "ord", "name", *both)
+    cross = labs.select("p_partkey", F.struct(color.de2000(p, q).alias("d"), ab.alias("ab"), "ord", "name").alias("c"))
     near = cross.groupBy("p_partkey").agg(F.collect_list("c").alias("c")).withColumn("least", F.array_min(F.transform("c", lambda x: x.d)))
     best = F.array_min(F.transform(F.filter("c", lambda x: x.d <= F.col("least") + 0.5), lambda x: F.struct(x.ab, x.ord, x["name"])))
     return near.select("p_partkey", best["name"].alias("name"))
