@@ -60,6 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
             yield b.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the process serves other tasks, too
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 MARK = "\x01"
 #: Bytes of text that are tokenized together.
-GROUP = 12 << 20
+GROUP = 8 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 
