@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("stitchyard.llm")
@@ -85,6 +86,29 @@ def test_near(docs):
     assert near_dedup.query(again).count() == 2 * docs.count() and near_dedup.deduplicated(again).columns == docs.columns
 
 
+def test_near_large_bucket(spark):
+    """Classes of many copies with edits, most of them below the threshold with each other, against all pairs."""
+    base, rng, texts = words(70, 150).split(), np.random.default_rng(71), []
+    for i in range(150):
+        w = list(base)
+        for at in rng.choice(len(w), i % 6, replace=False):
+            w[at] = "new" + str(rng.integers(1 << 40))
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = near_dedup.idf(d)
+    row, gram, count, n = near_dedup.shingles(pa.array(texts))
+    bags = [dict(zip(gram[row == i].tolist(), model.weights(gram[row == i], count[row == i]).tolist(), strict=True)) for i in range(n)]
+    label = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            both = sum(min(v, bags[j].get(k, 0)) for k, v in bags[i].items())
+            if both >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - both):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = {i: min(j for j in range(n) if label[j] == label[i]) for i in range(n)}
+    assert {r.doc_id: r.class_id for r in near_dedup.query(d).collect()} == want and 1 < len(set(want.values())) < n
+
+
 def test_lm(docs):
     rows = got(lm_scoring.query(docs, VOCAB))
     train = [t for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for t in [*(r.text or "").encode().lower().split(), b"\0end"]]
