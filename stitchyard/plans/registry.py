@@ -1,8 +1,8 @@
 """All queries of the shop-data operators and their SQL."""
 
-from stitchyard.operators import board, ledger, palette, pricing, raster, stitch
+from stitchyard.operators import board, ledger, palette, pricing, raster, regions, stitch
 
-FAMILIES = (board, pricing, ledger, palette, raster, stitch)
+FAMILIES = (board, pricing, ledger, palette, raster, regions, stitch)
 
 
 def queries() -> dict:
