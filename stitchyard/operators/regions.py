@@ -1,4 +1,4 @@
-"""Regions of a labelled image: components, despeckling, tiny colours, resampling and tatami rows."""
+"""Regions of a labelled image: components, despeckling, tiny colours, resampling and halftone lines."""
 
 import numpy as np
 import pandas as pd
@@ -79,7 +79,7 @@ def resample_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def halftone_lines(spark: SparkSession, d: str) -> DataFrame:
-    """For each row of cells, the runs of neighbouring cells darker than a tenth: first and last cell, mean darkness in thousandths."""
+    """For each row of cells, the runs of neighbouring cells darker than 450 thousandths: first and last cell, mean darkness in thousandths."""
     dark = synthetic_image(spark).select(F.floor(F.col("x") / 4).cast("int").alias("cx"), F.floor(F.col("y") / 4).cast("int").alias("cy"), (1000 - F.floor(color.luma(F.col("r"), F.col("g"), F.col("b")) * 1000 / 255)).cast("long").alias("t"))
     cells = dark.groupBy("cx", "cy").agg(F.floor(F.sum("t") / 16).cast("long").alias("t")).filter("t > 450")
     run = F.expr("cx - row_number() over (partition by cy order by cx)")
