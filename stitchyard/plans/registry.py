@@ -1,8 +1,8 @@
 """All queries of the shop-data operators and their SQL."""
 
-from stitchyard.operators import board, geometry, ledger, palette, pricing, raster, regions, stitch
+from stitchyard.operators import board, geometry, ledger, palette, pricing, raster, regions, rules, stitch
 
-FAMILIES = (board, pricing, ledger, palette, raster, regions, stitch, geometry)
+FAMILIES = (board, pricing, ledger, palette, raster, regions, stitch, geometry, rules)
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ import pytest
 
 from stitchyard.operators import ledger, stitch
 from stitchyard.operators.pricing import line_total, unit_price
+from stitchyard.operators.rules import trace_jobs
 from stitchyard.plans import registry
 
 D = "/root/testdata/sf0.001"
@@ -35,6 +36,12 @@ def test_dst_moves():
     assert len(stitch.dst_bytes(["stitch"], [300], [0])) == 3 * 3 + 3
 
 
+def test_trace_jobs(spark):
+    cases = [("6", "100000 100000", 4, 6), ("0", "800000 100000", 8, 1), ("  3  ", None, 8, 3), ("", "200000 100000", 8, 2), (None, "250000 100000", 8, 2), (None, "50000 100000", 8, 1), (None, "800000 100000", 4, 4), (None, "100000 100000", 4, 1), (None, "max 100000", 8, 2), (None, None, 8, 2), (None, "", 8, 2), (None, "nope", 8, 2), (None, "100 0", 8, 2), ("nope", "300000 100000", 8, 3)]
+    df = spark.createDataFrame(cases, "env string, quota string, cores int, slots long")
+    assert df.filter(trace_jobs(df.env, df.quota, df.cores) != df.slots).collect() == []
+
+
 @pytest.mark.parametrize("name", [n for n in registry.queries() if n in registry.oracle_sql()])
 def test_against_sql(spark, name):
     con = duckdb.connect()
