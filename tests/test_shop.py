@@ -1,12 +1,14 @@
 """Closed cases of the shop operators, and each query against DuckDB on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from stitchyard.operators import ledger, stitch
 from stitchyard.operators.pricing import line_total, unit_price
 from stitchyard.operators.rules import trace_jobs
 from stitchyard.plans import registry
+from stitchyard.sources import png
 
 D = "/root/testdata/sf0.001"
 TABLES = "nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
@@ -36,6 +38,12 @@ def test_dst_moves():
     assert len(stitch.dst_bytes(["stitch"], [300], [0])) == 3 * 3 + 3
 
 
+@pytest.mark.parametrize("kind", range(5))
+def test_png_filters(kind):
+    rgba = np.random.default_rng(kind).integers(0, 256, (9, 14, 4)).astype(np.uint8)
+    assert (png.decode(png.encode(rgba, kind)) == rgba).all()
+
+
 def test_trace_jobs(spark):
     cases = [("6", "100000 100000", 4, 6), ("0", "800000 100000", 8, 1), ("  3  ", None, 8, 3), ("", "200000 100000", 8, 2), (None, "250000 100000", 8, 2), (None, "50000 100000", 8, 1), (None, "800000 100000", 4, 4), (None, "100000 100000", 4, 1), (None, "max 100000", 8, 2), (None, None, 8, 2), (None, "", 8, 2), (None, "nope", 8, 2), (None, "100 0", 8, 2), ("nope", "300000 100000", 8, 3)]
     df = spark.createDataFrame(cases, "env string, quota string, cores int, slots long")
