@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from stitchyard.operators import ledger, stitch
+from stitchyard.operators import ledger, machine, stitch
 from stitchyard.operators.pricing import line_total, unit_price
 from stitchyard.operators.rules import trace_jobs
 from stitchyard.plans import registry
@@ -44,6 +44,15 @@ def test_png_filters(kind):
     assert (png.decode(png.encode(rgba, kind)) == rgba).all()
 
 
+def test_sends():
+    assert machine.sends([0, 59, 60, 120, 180, 240, 300, 86399, 86400]) == ["sent", "wait", "sent", "sent", "sent", "sent", "full", "full", "sent"]
+
+
+def test_queue():
+    got = machine.queue([0, 1, 2, 3, 10], [10, 10, 10, 10, 1], 1, 2)
+    assert got == [("run", 0), ("queue", 10), ("queue", 20), ("reject", 3), ("queue", 30)]
+
+
 def test_trace_jobs(spark):
     cases = [("6", "100000 100000", 4, 6), ("0", "800000 100000", 8, 1), ("  3  ", None, 8, 3), ("", "200000 100000", 8, 2), (None, "250000 100000", 8, 2), (None, "50000 100000", 8, 1), (None, "800000 100000", 4, 4), (None, "100000 100000", 4, 1), (None, "max 100000", 8, 2), (None, None, 8, 2), (None, "", 8, 2), (None, "nope", 8, 2), (None, "100 0", 8, 2), ("nope", "300000 100000", 8, 3)]
     df = spark.createDataFrame(cases, "env string, quota string, cores int, slots long")
