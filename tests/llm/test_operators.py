@@ -158,6 +158,38 @@ def test_leaks(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.query(d, b).collect()) == [(0, 1), (3, 1)]
 
 
+def test_leaks_edited(spark):
+    """Items with words replaced, left out and put in, inside longer texts, against the LCS of all pairs and windows."""
+    rng, vocabulary = np.random.default_rng(80), words(81, 400).split()
+    # a few words are very common, as in prose
+    some = lambda n: [vocabulary[i] for i in (400 * rng.random(n) ** 3).astype(int)]
+    items, texts, planted = [some(n) for n in rng.integers(15, 60, 40)], [], []
+    for rate in (0.0, 0.1, 0.2, 0.3, 0.35):
+        for k, item in enumerate(items):
+            w = []
+            for x in item:
+                kind = rng.choice(["keep", "replace", "drop", "add"], p=[1 - rate, rate / 2, rate / 4, rate / 4])
+                w += {"keep": [x], "replace": some(1), "drop": [], "add": [x, *some(1)]}[kind]
+            texts.append(" ".join([*some(rng.integers(80, 200)), *w, *some(rng.integers(80, 200))]))
+            planted.append((rate, k))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.lcs for r in decontaminate.query(docs, benchmark).collect()}
+    idf, vectors = np.ones(decontaminate.TERMS), np.zeros((decontaminate.TERMS, 4), np.float32)
+    checker = decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items], idf, vectors)
+    w, want = decontaminate._words(pa.array(texts)), {}
+    for row, first, _ in zip(*decontaminate.windows(w.at, decontaminate.STEP), strict=True):
+        for k, item in enumerate(items):
+            lcs, answer = checker.check(k, w.hash[max(w.at[row], first - len(item)) : min(w.at[row + 1], first + decontaminate.WIDTH + len(item))])
+            if lcs >= decontaminate.LCS and answer >= decontaminate.ANSWER:
+                want[row, k] = max(lcs, want.get((row, k), 0))
+    for rate in (0.0, 0.1, 0.2, 0.3, 0.35):
+        of = [(i, k) for i, (x, k) in enumerate(planted) if x == rate and (i, k) in want]
+        found = sum(pair in got for pair in of)
+        assert len(of) >= 10 and found >= 0.9 * len(of)
+    assert got == want
+
+
 def test_html():
     page = '<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p><b>One\n two<br><p>Three</p><script>x("</p>")</script><aside>no</aside><div class="comments"><p>me</p></div></article><footer>f</footer>'
     assert html_extract.extract(page) == "A & B\n\nOne two\n\nThree"
