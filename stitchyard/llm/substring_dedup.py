@@ -10,7 +10,7 @@ positions twice, and positions whose name is unique leave after the first sort:
    the first in order of (doc_id, start) are repeats, and the bytes they cover go.
 
 Sorting every position at every doubling would write eight times 16 bytes per byte of text. Names are 64
-bits wide (104 bits in the second sort: the anchor's name and 40 bits of the window's).
+bits wide, in both sorts; windows are equal if their names are and their anchors are at the same offset.
 
 Copies of a whole text need no sort: all but the first go whole if they have ``LENGTH`` bytes.
 
@@ -34,7 +34,7 @@ from .common import BROADCAST_IDS, materialize, partitions, row_ids, semi
 
 LENGTH, SPAN = 100, 50
 U = np.uint64
-KEEP_BYTES = 5
+NAME_BYTES = 8
 
 
 def doubled(data: np.ndarray, want: tuple[int, ...]) -> list[np.ndarray]:
@@ -119,8 +119,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         p = at[s]
         head = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1))))
-        names = full[s].view(np.uint8).reshape(-1, 8)[:, :KEEP_BYTES].copy().reshape(-1)
-        bounds = (np.append(head, len(s)) * KEEP_BYTES).astype(np.int32)
+        names = full[s].view(np.uint8)
+        bounds = (np.append(head, len(s)) * NAME_BYTES).astype(np.int32)
         blobs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(bounds), pa.py_buffer(names)])
         row = np.searchsorted(offsets, p[head], "right") - 1
         yield pa.RecordBatch.from_arrays(
@@ -140,15 +140,13 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         blobs = b.column("windows")
         bounds = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
-        raw = np.frombuffer(blobs.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].reshape(-1, KEEP_BYTES)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :KEEP_BYTES] = raw
-        n = np.diff(bounds) // KEEP_BYTES
+        raw = np.frombuffer(blobs.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        n = np.diff(bounds) // NAME_BYTES
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - (np.cumsum(n) - n)[row]
         name = b.column("name").to_numpy().view(np.uint64)
         offset = b.column("offset").to_numpy().astype(np.int64)[row] - step
-        key = A.mix(wide.reshape(-1).view(np.uint64) ^ A.mix(name[row] + offset.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
+        key = A.mix(raw.view(np.uint64) ^ A.mix(name[row] + offset.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
         fresh = np.zeros(len(key), bool)
         fresh[np.unique(key, return_index=True)[1]] = True
         if last is not None:

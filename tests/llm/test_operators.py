@@ -63,6 +63,25 @@ def test_substrings(docs):
     assert substring_dedup.cleaned(docs).columns == docs.columns
 
 
+def test_substrings_hot_anchor(monkeypatch):
+    """Windows around one anchor whose names differ in the high bits alone are no repeats of each other."""
+    text, window = words(60, 20).encode()[:100], np.arange(1, 101, dtype=np.uint64) << np.uint64(40)
+    batch = pa.RecordBatch.from_arrays([pa.array([text.decode()] * 100), pa.array(range(100)), pa.array([[0]] * 100, pa.list_(pa.int32()))], names=["text", "id", "anchors"])
+
+    def each(batches, want):
+        offsets = np.arange(101) * 100
+        span, full, at = np.zeros(10000, np.uint64), np.zeros(10000, np.uint64), np.full(10000, -1)
+        at[offsets[:-1]], full[offsets[:-1]] = offsets[:-1], window
+        for b in batches:
+            yield b, np.frombuffer(text * 100, np.uint8), offsets, (span, full), at
+
+    monkeypatch.setattr(substring_dedup, "_each", each)
+    rows = list(substring_dedup._window_rows([batch]))
+    assert sum(r.num_rows for r in rows) == 100
+    assert sum(r.num_rows for r in substring_dedup._later(iter(rows))) == 0
+    assert sum(r.num_rows for r in substring_dedup._later(iter([*rows, *rows]))) == 100
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
