@@ -11,7 +11,7 @@ mass goes to the piece lattice, so that all words have a probability and all sum
 (c - d) / N + d V / N x lattice(word), d = n1 / (n1 + 2 n2), n1 and n2 the words met once and twice.
 Piece probabilities start from the pieces' occurrences in the distinct training words and take ``ROUNDS``
 rounds of expectation maximisation over all segmentations of all those words, on the cluster. Every byte
-is a piece with and without the end of a word.
+is a piece with and without the end of a word. Words over ``LONG`` bytes are learnt from and scored one by one.
 
 Counts of words come from all texts. The ``HOT`` most frequent words are broadcast and scored where the
 texts are read; all others meet their scores in a join.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .common import materialize
 
-ROUNDS, HOT, LONG, FLOOR = 2, 1 << 17, 64, 0.01
+ROUNDS, HOT, LONG, FLOOR, PART = 2, 1 << 17, 64, 0.01, 1 << 12
 LOG10 = math.log(10)
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -175,6 +175,55 @@ class Lattice:
         return float(alpha[-1])
 
 
+    def expected_long(self, word: bytes) -> np.ndarray:
+        """``expected`` of one long word met once: forward, then backward, in blocks of ``PART`` positions."""
+        n, step, out = len(word), self.longest, np.zeros(self.size)
+        # padded in front, so that every position has as many before it; those have no mass
+        h = np.zeros(step + n + 1, np.uint64)
+        top = 0
+        for i, b in enumerate(word):
+            top = (top * int(BASE) + b + 1) & 0xFFFFFFFFFFFFFFFF
+            h[step + i + 1] = top
+        place = np.arange(-step, 0)
+        p = np.zeros(self.size + 1) if self.log_p is None else np.append(self.log_p, -np.inf)
+        alpha = np.full(step + n + 1, -np.inf)
+        alpha[step] = 0.0
+        beta = np.full(step + n + 1, -np.inf)
+        beta[step + n] = 0.0
+
+        def pieces(low: int, high: int) -> np.ndarray:
+            """The pieces that end at the positions low < j <= high, by their start (j - step first) or -1."""
+            j = np.arange(low + 1, high + 1)
+            key = self._key(h[step + j][:, None] - h[step + j[:, None] + place] * POWERS[-place], (j == n)[:, None])
+            ids = self.find(key.reshape(-1)).reshape(len(j), step)
+            ids[j[:, None] + place < 0] = -1
+            return ids
+
+        parts = [(low, min(low + PART, n)) for low in range(0, n, PART)]
+        if self.log_p is None:
+            for part in parts:
+                ids = pieces(*part)
+                out += np.bincount(ids[ids >= 0], minlength=self.size)
+            return out
+        for low, high in parts:
+            w = p[pieces(low, high)]
+            for j in range(low + 1, high + 1):
+                x = alpha[j : j + step] + w[j - low - 1]
+                best = x.max()
+                alpha[step + j] = best + math.log(np.exp(x - best).sum())
+        total = alpha[-1]
+        for low, high in reversed(parts):
+            ids = pieces(low, high)
+            w = p[ids]
+            for j in range(high, low, -1):
+                x = w[j - low - 1] + beta[step + j]
+                beta[j : j + step] = np.logaddexp(beta[j : j + step], x)
+                share = np.exp(alpha[j : j + step] + x - total)
+                hit = ids[j - low - 1] >= 0
+                out[ids[j - low - 1][hit]] += share[hit]
+        return out
+
+
 def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices and bytes of the words of each length up to LONG, in parts that stay in the cache."""
     length = np.fromiter(map(len, words), np.int64, len(words))
@@ -209,6 +258,17 @@ def log_words(model: Lattice, words: list[bytes]) -> np.ndarray:
     return out
 
 
+def expected_words(model: Lattice, words: list[bytes]) -> np.ndarray:
+    """Expected occurrences of each piece in words met once each, of any length."""
+    out = np.zeros(model.size)
+    for at, block in _by_length(words):
+        out += model.expected(block, np.ones(len(at)))
+    for w in words:
+        if len(w) > LONG:
+            out += model.expected_long(w)
+    return out
+
+
 def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
@@ -265,9 +325,7 @@ class Model:
             model = Lattice(*shared.value)
             total = np.zeros(model.size)
             for b in _joined(batches):
-                counts = np.ones(b.num_rows)
-                for at, block in _by_length(b.column("word").to_pylist()):
-                    total += model.expected(block, counts[at])
+                total += expected_words(model, b.column("word").to_pylist())
             ids = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["piece", "mass"])
 

@@ -154,6 +154,23 @@ def test_lattice():
     assert np.allclose(lm_scoring.log_words(model, some), [total(w) for w in some])
 
 
+def test_long_words_are_learnt(spark, monkeypatch):
+    """Pieces learn from words over LONG bytes as the form over blocks of one length does."""
+    text = "no space " + "中文句子没有空格" * 9 + " " + "https://example.org/" + "theinternational" * 6 + " hello"
+    rows = spark.createDataFrame([(0, False, text)], "doc_id long, held_out boolean, text string")
+    pieces, ends, got = lm_scoring.Model(rows, VOCAB).shared.value
+    log_p = None
+    for _ in range(lm_scoring.ROUNDS + 1):
+        model = lm_scoring.Lattice(pieces, ends, log_p)
+        mass = sum(model.expected(np.frombuffer(w, np.uint8)[None].astype(np.uint64), np.ones(1)) for w in text.encode().split()) + lm_scoring.FLOOR
+        log_p = np.log(mass / mass.sum())
+    assert np.allclose(got, log_p)
+    monkeypatch.setattr(lm_scoring, "PART", 7)
+    long = text.encode().split()[2]
+    assert len(long) > lm_scoring.LONG
+    assert np.allclose(model.expected_long(long), model.expected(np.frombuffer(long, np.uint8)[None].astype(np.uint64), np.ones(1)))
+
+
 def test_shards(docs):
     out = sharding.query(docs).collect()
     assert len(out) == docs.count() and all(0 <= r.shard < 16 for r in out)
