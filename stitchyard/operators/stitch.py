@@ -1,5 +1,7 @@
 """Stitch streams: indexes, lengths, summaries, folds and DST bytes."""
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -81,26 +83,47 @@ def dst_delta(dx: int, dy: int, jump: bool = False, stop: bool = False) -> bytes
 
 
 def dst_bytes(kinds: list[str], xs: list[int], ys: list[int]) -> bytes:
-    """The body of a DST file: longer moves are split into jumps, a trim is three jumps."""
+    """The body of a DST file, y upwards: longer moves are split, a trim is three jumps; trims and colours stand still."""
     x = y = 0
     out = []
     for kind, a, b in zip(kinds, xs, ys, strict=True):
-        n = max(1, -(-max(abs(a - x), abs(b - y)) // 121))
-        for i in range(1, n + 1):
-            nx, ny = x + (a - x) // (n - i + 1), y + (b - y) // (n - i + 1)
-            out.append(dst_delta(nx - x, ny - y, jump=kind in ("jump", "trim") or i < n, stop=kind == "color" and i == n))
-            x, y = nx, ny
-        if kind == "trim":
-            out += [dst_delta(2, 2, True), dst_delta(-4, -4, True), dst_delta(2, 2, True)]
+        if kind == "color":
+            out.append(dst_delta(0, 0, stop=True))
+        elif kind == "trim":
+            out += [dst_delta(-2, 2, True), dst_delta(4, -4, True), dst_delta(-2, 2, True)]
+        elif kind != "end":
+            dx, dy = a - x, y - b
+            while True:
+                mx, my = max(-121, min(121, dx)), max(-121, min(121, dy))
+                out.append(dst_delta(mx, my, jump=kind == "jump"))
+                dx, dy = dx - mx, dy - my
+                if not dx and not dy:
+                    break
+            x, y = a, b
     return b"".join([*out, b"\x00\x00\xf3"])
 
 
+def dst_header(name: str, kinds: list[str], xs: list[int], ys: list[int]) -> bytes:
+    """The 512 bytes before the body: name, counts of stitches and colours, extents around the start."""
+    still = {"color", "trim", "end"}
+    at = [(0, 0), *((a, b) for k, a, b in zip(kinds, xs, ys, strict=True) if k not in still)]
+    number = lambda n, width: str(abs(n)).rjust(7)[-width:]
+    parts = ["LA:" + re.sub(r"[^\x20-\x7E]", " ", name or "DESIGN")[:16].ljust(16)]
+    parts += ["ST:" + number(sum(k not in still and k != "jump" for k in kinds), 7), "CO:" + number(kinds.count("color"), 3)]
+    for axis, i in (("X", 0), ("Y", 1)):
+        parts += [f"+{axis}:" + number(max(p[i] for p in at), 5), f"-{axis}:" + number(min(p[i] for p in at), 5)]
+    parts += [f"{k}:+" + number(0, 6) for k in ("AX", "AY", "MX", "MY")] + ["PD:******"]
+    return ("\r".join(parts) + "\r").encode("ascii").ljust(511) + b"\x1a"
+
+
 def dst_encode(spark: SparkSession, d: str) -> DataFrame:
-    """K10 for each design."""
+    """K10 for each design: the DST file, named by its number."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("seq")
-        return pd.DataFrame({"design": [x.design.iloc[0]], "dst": [dst_bytes(x.kind.tolist(), x.x.tolist(), x.y.tolist())]})
+        design = x.design.iloc[0]
+        rows = x.kind.tolist(), x.x.tolist(), x.y.tolist()
+        return pd.DataFrame({"design": [design], "dst": [dst_header("" if pd.isna(design) else str(int(design)), *rows) + dst_bytes(*rows)]})
 
     return stream(spark, d).groupBy("design").applyInPandas(run, "design long, dst binary")
 

@@ -38,6 +38,20 @@ def test_dst_moves():
     assert len(stitch.dst_bytes(["stitch"], [300], [0])) == 3 * 3 + 3
 
 
+def test_dst_file(spark):
+    """The header and the records of a small design, by hand from the reference's writer; then all designs."""
+    rows = ["stitch", "jump", "color", "trim", "stitch"], [5, 130, 999, 999, -3], [0, 4, 999, 999, -7]
+    head = stitch.dst_header("caf\u00e9", *rows)
+    want = "LA:caf             \rST:      2\rCO:  1\r+X:  130\r-X:    3\r+Y:    4\r-Y:    7\rAX:+     0\rAY:+     0\rMX:+     0\rMY:+     0\rPD:******\r"
+    assert len(head) == 512 and head == want.encode().ljust(511) + b"\x1a"
+    delta = stitch.dst_delta
+    body = [delta(5, 0), delta(121, -4, True), delta(4, 0, True), delta(0, 0, stop=True), delta(-2, 2, True), delta(4, -4, True), delta(-2, 2, True), delta(-121, 11), delta(-12, 0)]
+    assert stitch.dst_bytes(*rows) == b"".join(body) + b"\x00\x00\xf3"
+    for r in stitch.dst_encode(spark, D).collect():
+        dst = bytes(r.dst)
+        assert dst.startswith(f"LA:{r.design}".encode()) and len(dst) > 512 and dst[511] == 0x1A and (len(dst) - 512) % 3 == 0
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_png_filters(kind):
     rgba = np.random.default_rng(kind).integers(0, 256, (9, 14, 4)).astype(np.uint8)
