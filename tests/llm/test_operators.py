@@ -194,6 +194,15 @@ def test_leaks(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.query(d, b).collect()) == [(0, 1), (3, 1)]
 
 
+def test_leaks_of_rows_without_own_id(spark):
+    item, clean = words(50, 30), words(53, 200)
+    rows = [(None, item, "a"), (None, clean, "b"), (7, clean + " " + item, "c"), (7, clean, "d"), (8, None, "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = decontaminate.decontaminated(d, b)
+    assert out.columns == d.columns and sorted(r.lang for r in out.collect()) == ["b", "d", "e"]
+
+
 def test_leaks_edited(spark):
     """Items with words replaced, left out and put in, inside longer texts, against the LCS of all pairs and windows."""
     rng, vocabulary = np.random.default_rng(80), words(81, 400).split()
