@@ -235,6 +235,14 @@ def test_leaks_edited(spark):
     assert got == want
 
 
+def test_leaks_without_basis():
+    """The basis decides no result: with vectors of zero the counts find the edited item alone."""
+    item = words(50, 30)
+    text = words(51, 100) + " " + " ".join("new" if i % 4 == 1 else x for i, x in enumerate(item.split())) + " " + words(52, 50)
+    items = decontaminate.Items([1], [item], np.ones(decontaminate.TERMS), np.zeros((decontaminate.TERMS, 4), np.float32))
+    assert list(decontaminate.found_in(items, decontaminate._words(pa.array([text, words(53, 200)])))) == [(0, 0)]
+
+
 def test_html():
     page = '<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p><b>One\n two<br><p>Three</p><script>x("</p>")</script><aside>no</aside><div class="comments"><p>me</p></div></article><footer>f</footer>'
     assert html_extract.extract(page) == "A & B\n\nOne two\n\nThree"
