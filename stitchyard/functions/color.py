@@ -1,4 +1,4 @@
-"""Colour functions as column expressions: hex, CMYK, Lab, CIE76 and CIEDE2000."""
+"""Colour functions as column expressions: hex, CMYK, Lab, CIE76 and CIEDE2000."""
 
 import math
 

@@ -1,4 +1,4 @@
-"""Ledgers, throttles and keyed state machines."""
+"""Ledgers, throttles and keyed state machines (W01, W15, T05, F01-F03, parts of F07 and F08, F13)."""
 
 from collections.abc import Iterator
 

@@ -1,4 +1,5 @@
-"""Pixels as rows: art operations, neighbourhoods, grids and components."""
+"""Pixels as rows: art operations, neighbourhoods, grids and components (W04, W06, W07, W10, A17, A24, A25, P18, P21, G01,
+G02, G05, L01)."""
 
 import math
 
