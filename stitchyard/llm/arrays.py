@@ -6,6 +6,8 @@ which is the same on code points, since those bytes never occur inside a UTF-8 s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +53,13 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory of Arrow and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each has at most ``most`` bytes of text, or a single row."""
     for b in batches:
@@ -60,7 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
             yield b.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # the process serves other tasks, too
+    give_back()  # the process serves other tasks, too
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

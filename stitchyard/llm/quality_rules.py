@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrays as A
+from .common import packed_rows, unpacked_rows
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -111,9 +113,9 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame, policy: str = "web-2") -> DataFrame:
     """The rows and columns of ``docs`` that a policy keeps."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "text")
-    kind = rows.schema["_row"].dataType.simpleString()
-    return judged(_with_bits(rows.mapInArrow(_measured, f"_row {kind}, {MEASURES}")), policy).filter("kept").select("_row.*")
+    rows = packed_rows(docs, "text")
+    schema = T.StructType([rows.schema["row"], *[T.StructField(n, T.LongType()) for n in NAMES]])
+    return unpacked_rows(judged(_with_bits(rows.mapInArrow(_measured, schema)), policy).filter("kept"))
 
 
 def judged(rows: DataFrame, policy: str) -> DataFrame:

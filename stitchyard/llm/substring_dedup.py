@@ -4,13 +4,19 @@ A position's name at length 2m comes from the pair of names at length m, m bytes
 from single bytes to ``SPAN`` and to ``LENGTH`` bytes inside each text. Spark then sorts names with
 positions twice, and positions whose name is unique leave after the first sort:
 
-1. At length ``SPAN``, only the smallest name of each window of ``LENGTH`` bytes is sorted (its anchor). Equal
-   windows have the same anchor at the same offset, so a window whose anchor is unique can't repeat.
-2. At length ``LENGTH``, the windows of the repeated anchors are sorted by (anchor, offset, name); all but
-   the first in order of (doc_id, start) are repeats, and the bytes they cover go.
+1. At offset 0, positions are sorted by the rank (a 64-bit name) of their first ``SPAN`` bytes. Only the smallest
+   rank of each window of ``LENGTH`` bytes is sorted (its anchor). Equal windows have the same anchor at the
+   same place, so a window whose anchor's rank is unique can't repeat: it leaves.
+2. At offset ``SPAN``, the windows that stay are sorted by their pairs of ranks, of the first and of the last
+   ``SPAN`` bytes, beside those of the same anchor at the same place. All but the first of equal pairs, in
+   order of (doc_id, start), are repeats, and the bytes they cover go. ``LENGTH`` is reached, so the doubling ends.
 
-Sorting every position at every doubling would write eight times 16 bytes per byte of text. Names are 64
-bits wide, in both sorts; windows are equal if their names are and their anchors are at the same offset.
+Sorting every position at every doubling would write eight times 16 bytes per byte of text, so ranks of
+up to ``SPAN`` bytes double inside the texts. Windows are equal if both of their 64-bit ranks are.
+
+What a task can tell by itself isn't gathered: of the positions of one rank in a slice of text, one meets those of
+other slices and the others are known to repeat; of equal windows of a slice, the first meets the others'
+first. A passage that a third of all texts hold thus costs one row a slice in the task that its rank goes to.
 
 Copies of a whole text need no sort: all but the first go whole if they have ``LENGTH`` bytes.
 
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,35 +88,80 @@ def _each(batches: Iterator[pa.RecordBatch], want: tuple[int, ...]) -> Iterator[
         yield b, data, offsets, names, np.where(inside, at, -1)
 
 
+def _order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of 16-byte keys, and where a new one begins in it."""
+    halves = key.view(np.uint64).reshape(-1, 2)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    new = np.ones(len(key), bool)
+    new[1:] = (halves[order][1:] != halves[order][:-1]).any(1)
+    return order, new
+
+
+def _firsts(key: np.ndarray) -> np.ndarray:
+    order, new = _order(key)
+    return order[new]
+
+
+def _unique(key: np.ndarray) -> np.ndarray:
+    return key[_firsts(key)]
+
+
+def _among(key: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Which of the keys are in ``seen``, whose own are distinct."""
+    order, new = _order(np.concatenate((seen, key)))
+    group = np.cumsum(new) - 1
+    has = np.zeros(len(new), bool)
+    has[group[order < len(seen)]] = True
+    out = np.empty(len(order), bool)
+    out[order] = has[group]
+    return out[len(seen) :]
+
+
+def _spread(name: np.ndarray, ids: np.ndarray, alone: np.ndarray) -> pa.Array:
+    """What rows are dealt by: their name, or their text where they need not meet others of that name."""
+    return pa.array(np.where(alone, A.mix(name.view(np.uint64) ^ A.mix(ids.view(np.uint64))).view(np.int64), name))
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the anchors; ``again`` where the slice has the name twice, dealt elsewhere but for one of them."""
     for b, _, offsets, (span,), at in _each(batches, (SPAN,)):
         p = np.unique(at[at >= 0])
         row = np.searchsorted(offsets, p, "right") - 1
-        yield pa.RecordBatch.from_arrays([pa.array(span[p].view(np.int64)), b.column("id").take(pa.array(row)), pa.array((p - offsets[row]).astype(np.int32))], names=["name", "id", "at"])
+        name, ids = span[p].view(np.int64), b.column("id").to_numpy()[row]
+        order = np.argsort(name, kind="stable")
+        same = name[order][1:] == name[order][:-1]
+        again, other = np.zeros(len(p), bool), np.zeros(len(p), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        other[order[1:][same]] = True
+        yield pa.RecordBatch.from_arrays([_spread(name, ids, other), pa.array(name), pa.array(ids), pa.array((p - offsets[row]).astype(np.int32)), pa.array(again)], names=["deal", "name", "id", "at", "again"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by name, those whose name isn't alone; the last row waits for the next batch."""
+    """Of rows sorted by name, (id, at) of those whose name isn't alone; the last row waits for the next batch."""
     held, held_name, sent = None, 0, True
     for b in batches:
         if not b.num_rows:
             continue
         name = b.column("name").to_numpy()
-        keep = np.zeros(len(name), bool)
+        keep = b.column("again").to_numpy(zero_copy_only=False).copy()
         same = name[1:] == name[:-1]
         keep[1:] |= same
         keep[:-1] |= same
         if held is not None and name[0] == held_name:
             keep[0] = True
             if not sent:
-                yield held
-        yield b.filter(pa.array(keep))
+                yield held.select(["id", "at"])
+        yield b.filter(pa.array(keep)).select(["id", "at"])
         held, held_name, sent = b.slice(len(name) - 1), name[-1], bool(keep[-1])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each repeated anchor of a text: its windows' first offset and their names at LENGTH."""
-    for b, data, offsets, (span, full), at in _each(batches, (SPAN, LENGTH)):
+    """For each repeated anchor of a text: its windows' first offset and their rank pairs.
+
+    Only the first of equal windows in a slice goes to the sort; the others are runs of repeats already (``z``
+    is their end) and are dealt elsewhere.
+    """
+    for b, data, offsets, (span,), at in _each(batches, (SPAN,)):
         lists = b.column("anchors").to_numpy(zero_copy_only=False)
         own = np.concatenate([x.astype(np.int64) + o for x, o in zip(lists, offsets[:-1], strict=True)])
         marked = np.zeros(len(data) + 1, bool)
@@ -117,15 +169,23 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.flatnonzero(marked[at] & (at >= 0))
         if not len(s):
             continue
+        row, ids = np.searchsorted(offsets, s, "right") - 1, b.column("id").to_numpy()
+        pair = np.stack([span[s], span[s + LENGTH - SPAN]], axis=1)
+        key = A.mix(pair[:, 0] ^ A.mix(pair[:, 1] ^ A.mix((at[s] - s).astype(np.uint64))))
+        by_id = np.lexsort((s, ids[row]))  # the first is that of the smallest id
+        fresh = np.zeros(len(s), bool)
+        fresh[by_id[np.unique(key[by_id], return_index=True)[1]]] = True
         p = at[s]
-        head = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1))))
-        names = full[s].view(np.uint8)
-        bounds = (np.append(head, len(s)) * NAME_BYTES).astype(np.int32)
-        blobs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(bounds), pa.py_buffer(names)])
-        row = np.searchsorted(offsets, p[head], "right") - 1
+        head = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1) | (fresh[1:] != fresh[:-1]))))
+        size = np.diff(np.append(head, len(s)))
+        known = ~fresh[head]
+        sent = np.where(known, 0, size)
+        bounds = (np.concatenate(([0], np.cumsum(sent))) * 2 * NAME_BYTES).astype(np.int32)
+        blobs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(pair[fresh]).view(np.uint8).reshape(-1))])
+        name, of, start = span[p[head]].view(np.int64), ids[row[head]], s[head] - offsets[row[head]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(span[p[head]].view(np.int64)), b.column("id").take(pa.array(row)), pa.array((s[head] - offsets[row]).astype(np.int32)), pa.array((p[head] - s[head]).astype(np.int32)), blobs],
-            names=["name", "id", "start", "offset", "windows"],
+            [_spread(name, of, known), pa.array(name), pa.array(of), pa.array(start.astype(np.int32)), pa.array((p[head] - s[head]).astype(np.int32)), pa.array(start + size - 1 + LENGTH, pa.int64(), mask=~known), blobs],
+            names=["deal", "name", "id", "start", "offset", "z", "windows"],
         )
 
 
@@ -134,25 +194,35 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Only the keys of the anchor that a batch ends with are carried to the next batch.
     """
-    last, seen = None, np.zeros(0, np.uint64)
+    last, seen = None, np.zeros(0, "V16")
     for b in batches:
+        known = b.column("z").is_valid()
+        done = b.filter(known)
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done.column("id"), done.column("start").cast(pa.int64()), done.column("z")], names=["id", "a", "z"])
+        b = b.filter(pc.invert(known))
         if not b.num_rows:
             continue
         blobs = b.column("windows")
         bounds = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
-        raw = np.frombuffer(blobs.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
-        n = np.diff(bounds) // NAME_BYTES
+        pair = np.frombuffer(blobs.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint64).reshape(-1, 2)
+        n = np.diff(bounds) // (2 * NAME_BYTES)
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - (np.cumsum(n) - n)[row]
         name = b.column("name").to_numpy().view(np.uint64)
         offset = b.column("offset").to_numpy().astype(np.int64)[row] - step
-        key = A.mix(raw.view(np.uint64) ^ A.mix(name[row] + offset.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
+        # names of anchors and offsets beside the pairs: 64 bits each, mixed one after the other
+        key = np.empty(len(row), [("first", np.uint64), ("last", np.uint64)])
+        place = A.mix(name[row] + offset.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        key["first"], key["last"] = pair[:, 0] ^ place, pair[:, 1] ^ place
+        key = key.view("V16").reshape(-1)
         fresh = np.zeros(len(key), bool)
-        fresh[np.unique(key, return_index=True)[1]] = True
+        fresh[_firsts(key)] = True
         if last is not None:
-            fresh &= ~((name[row] == last) & np.isin(key, seen))
-        tail = np.unique(key[name[row] == name[-1]])
-        seen = np.union1d(seen, tail) if name[-1] == last else tail
+            now = np.flatnonzero(name[row] == last)
+            fresh[now] &= ~_among(key[now], seen)
+        tail = _unique(key[name[row] == name[-1]])
+        seen = _unique(np.concatenate((seen, tail))) if last is not None and name[-1] == last else tail
         last = name[-1]
         again = np.flatnonzero(~fresh)
         if not len(again):
@@ -167,29 +237,29 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(texts: DataFrame) -> DataFrame:
     """(id, spans): the byte ranges to remove in each of the rows (id, text) of distinct ids and texts."""
     n = partitions(texts.sparkSession)
-    named = texts.mapInArrow(_anchor_rows, "name long, id long, at int")
-    hits = named.repartition(n, "name").sortWithinPartitions("name").mapInArrow(_repeated, "name long, id long, at int")
+    named = texts.mapInArrow(_anchor_rows, "deal long, name long, id long, at int, again boolean")
+    hits = named.repartition(n, "deal").drop("deal").sortWithinPartitions("name").mapInArrow(_repeated, "id long, at int")
     by_text = materialize(hits.groupBy("id").agg(F.collect_list("at").alias("anchors")), "substring-anchors")
     again = semi(texts, by_text.select("id"), "id").join(by_text, "id").select("id", "text", "anchors")
-    rows = again.mapInArrow(_window_rows, "name long, id long, start int, offset int, windows binary")
-    later = rows.repartition(n, "name").sortWithinPartitions("name", "id", "start").mapInArrow(_later, "id long, a long, z long")
+    rows = again.mapInArrow(_window_rows, "deal long, name long, id long, start int, offset int, z long, windows binary")
+    later = rows.repartition(n, "deal").drop("deal").sortWithinPartitions("name", "id", "start").mapInArrow(_later, "id long, a long, z long")
     return later.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("spans"))
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_spans``: the sorted byte ranges to remove, which may overlap."""
+    """(row, text, spans): a struct of all columns of each row, its text and the sorted byte ranges to remove, which may overlap."""
     text_hash = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     docs = row_ids(docs, "substring-rows")
     keyed = materialize(docs.select(F.col("_id").alias("id"), text_hash.alias("key"), F.octet_length("text").alias("n")), "substring-keys")
-    first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    first = materialize(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "substring-first")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z")))
     copies = materialize(keyed.join(first, "key").filter("id > first").select("id", F.when(F.col("n") >= LENGTH, whole).alias("spans")), "substring-copies")
     rest = docs.select(F.col("_id").alias("id"), "text")
     rest = rest.join(F.broadcast(copies.select("id")) if copies.count() <= BROADCAST_IDS else copies.select("id"), "id", "left_anti")
-    found = materialize(spans(rest).unionByName(copies.filter("spans is not null")), "substring-spans").withColumnsRenamed({"id": "_id", "spans": "_spans"})
-    if (found.agg(F.sum(F.size("_spans") + 2)).first()[0] or 0) <= BROADCAST_IDS:
+    found = materialize(spans(rest).unionByName(copies.filter("spans is not null")), "substring-spans").withColumnRenamed("id", "_id")
+    if (found.agg(F.sum(F.size("spans") + 2)).first()[0] or 0) <= BROADCAST_IDS:
         found = F.broadcast(found)
-    return docs.join(found, "_id", "left").drop("_id")
+    return docs.join(found, "_id", "left").select("row", "text", "spans")
 
 
 def merged(ranges: list[dict] | None) -> list[list[int]]:
@@ -228,23 +298,27 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
     Characters of which only a part is covered stay whole.
     """
-    columns, schema = docs.columns, docs.schema
+    schema = docs.schema
+    at = schema.names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in A.slices(batches, "text", 8 << 20):
-            texts = [t if t is None or not s else kept(t, whole_characters(t, merged(s))) for t, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_spans").to_pylist(), strict=True)]
-            new = pa.array([t if t is None else t.decode("utf-8", "replace") for t in texts], b.column("text").type)
-            yield pa.RecordBatch.from_arrays([new if c == "text" else b.column(c) for c in columns], names=columns)
+            old = b.column("text")
+            texts = [t if t is None or not s else kept(t, whole_characters(t, merged(s))) for t, s in zip(old.cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            new = pa.array([t if t is None else t.decode("utf-8", "replace") for t in texts], old.type)
+            columns = b.column("row").flatten()
+            columns[at] = new
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    out = marked(docs).select(*columns, "_spans").mapInArrow(cut, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
+    out = marked(docs).mapInArrow(cut, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()]
     for b in A.slices(batches, "text", 8 << 20):
         rows = []
-        for doc_id, text, found in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+        for doc_id, text, found in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
             raw, ranges = text or b"", merged(found)
             rest = kept(raw, ranges)
             rows.append((doc_id, len(raw), len(raw) - len(rest), len(ranges), hashlib.sha256(rest).hexdigest()))
@@ -252,4 +326,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return marked(docs.select("doc_id", "text")).select("doc_id", "text", "_spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked(docs.select("doc_id", "text")).select("row.doc_id", "text", "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

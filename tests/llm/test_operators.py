@@ -64,16 +64,16 @@ def test_substrings(docs):
 
 
 def test_substrings_hot_anchor(monkeypatch):
-    """Windows around one anchor whose names differ in the high bits alone are no repeats of each other."""
+    """Windows around one anchor whose second ranks differ in the high bits alone are no repeats of each other."""
     text, window = words(60, 20).encode()[:100], np.arange(1, 101, dtype=np.uint64) << np.uint64(40)
     batch = pa.RecordBatch.from_arrays([pa.array([text.decode()] * 100), pa.array(range(100)), pa.array([[0]] * 100, pa.list_(pa.int32()))], names=["text", "id", "anchors"])
 
     def each(batches, want):
         offsets = np.arange(101) * 100
-        span, full, at = np.zeros(10000, np.uint64), np.zeros(10000, np.uint64), np.full(10000, -1)
-        at[offsets[:-1]], full[offsets[:-1]] = offsets[:-1], window
+        span, at = np.zeros(10000, np.uint64), np.full(10000, -1)
+        at[offsets[:-1]], span[offsets[:-1] + substring_dedup.SPAN] = offsets[:-1], window
         for b in batches:
-            yield b, np.frombuffer(text * 100, np.uint8), offsets, (span, full), at
+            yield b, np.frombuffer(text * 100, np.uint8), offsets, (span,), at
 
     monkeypatch.setattr(substring_dedup, "_each", each)
     rows = list(substring_dedup._window_rows([batch]))
@@ -82,6 +82,32 @@ def test_substrings_hot_anchor(monkeypatch):
     assert sum(r.num_rows for r in substring_dedup._later(iter([*rows, *rows]))) == 100
 
 
+def brute_spans(rows):
+    """(doc_id, bytes, removed bytes, runs, digest) by marking every repeated window, in order of doc_id."""
+    seen = set()
+    for i, t in rows:
+        raw = (t or "").encode()
+        mark = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                mark[k : k + 100] = b"\1" * 100
+            seen.add(raw[k : k + 100])
+        yield i, len(raw), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(bytes(x for x, m in zip(raw, mark) if not m)).hexdigest()
+
+
+def test_substrings_hot_passage(spark):
+    """A passage in most texts, in the same slice and in others, and texts that repeat themselves."""
+    hot, rng, rows = words(61, 60), np.random.default_rng(62), []
+    for i in range(300):
+        own = words(1000 + i, 30)
+        at = int(rng.integers(0, 80))
+        rows.append((i, own[:at] + (hot[int(rng.integers(0, 9)) :] if i % 3 else "") + own[at:] + (hot if i % 7 == 0 else "")))
+    rows += [(300, "ab" * 400), (301, "ab" * 90), (302, None), (303, "é" * 300), (304, hot * 3)]
+    d = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7)
+    got_ = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.query(d).collect()}
+    assert got_ == set(brute_spans(rows))
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
