@@ -131,8 +131,23 @@ def test_near(docs):
     assert near_dedup.query(again).count() == 2 * docs.count() and near_dedup.deduplicated(again).columns == docs.columns
 
 
-def test_near_large_bucket(spark):
-    """Classes of many copies with edits, most of them below the threshold with each other, against all pairs."""
+def test_near_masses(spark):
+    """The bitmap's bound is never under the exact one, and close to it."""
+    texts = [words(300 + i % 7, 60) + " " + words(400 + i, 10 + i % 9) for i in range(90)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    model = near_dedup.idf(d)
+    exact = got(near_dedup.counted_masses(d, 1, model), "id")
+    for i, r in got(near_dedup.masses(d, model), "id").items():
+        assert abs(r.w - exact[i].w) < 1e-3
+        mine, own = (sum(x[f"m{k}"] for k in range(near_dedup.SLOTS)) for x in (r, exact[i]))
+        assert own - 1e-3 <= mine <= own + 0.05 * r.w
+
+
+@pytest.mark.parametrize("bits", [near_dedup.BITS, 0])
+def test_near_large_bucket(spark, monkeypatch, bits):
+    """Classes of many copies with edits, most of them below the threshold with each other, against all pairs,
+    with both bounds of masses."""
+    monkeypatch.setattr(near_dedup, "BITS", bits)
     base, rng, texts = words(70, 150).split(), np.random.default_rng(71), []
     for i in range(150):
         w = list(base)
