@@ -1,30 +1,33 @@
-"""Subword lattice likelihood: a unigram model over an existing vocabulary, all segmentations weighed.
+"""Subword lattice likelihood: existing scores of a vocabulary weigh all segmentations.
 
-The pieces are those of a public tokenizer's vocabulary file; the merge order isn't used. A text is a
-sequence of words, each ended by a piece that carries the end of a word, and one end token. Its
-probability is the sum over all its segmentations of the product of the arcs' probabilities, in log
-space by a forward recursion over byte positions. No piece crosses words, so a text's log probability is
-the sum of its words', and each distinct word is worked out once.
+The pieces and their scores are those of a public tokenizer's vocabulary file, whose scores are ranks of merges
+(0, -1, -2, ...). A piece of score s has the probability (1 - s) ** -T / Z: ranks on a log scale, with a
+temperature T that is fitted to the training texts by expectation maximisation over all segmentations of all
+their words, on the cluster. Pieces with a capital A-Z can't occur and are left out. A byte that is no piece
+is one of the least score (the byte fallback of the vocabulary), so every text has a probability.
 
-A word met in training is an arc of its own beside its pieces, with its discounted frequency; the discounted
-mass goes to the piece lattice, so that all words have a probability and all sum to one:
+A text is a sequence of words, each begun by the vocabulary's mark, and one end token. Its probability is the
+sum over all segmentations of the product of the pieces' probabilities, in log space by a forward recursion
+over byte positions. No piece crosses words, so a text's log probability is the sum of its words', and each
+distinct word is worked out once. ``score`` is that log probability, base 10.
+
+``mixture_score`` is of a second model for which a word met in training is an arc of its own beside its pieces, with
+its discounted frequency; the discounted mass goes to the lattice, so that all words sum to one:
 (c - d) / N + d V / N x lattice(word), d = n1 / (n1 + 2 n2), n1 and n2 the words met once and twice.
-Piece probabilities start from the pieces' occurrences in the distinct training words and take ``ROUNDS``
-rounds of expectation maximisation over all segmentations of all those words, on the cluster. Every byte
-is a piece with and without the end of a word. Words over ``LONG`` bytes are learnt from and scored one by one.
+Words over ``LONG`` bytes are learnt from and scored one by one.
 
 Counts of words come from all texts. The ``HOT`` most frequent words are broadcast and scored where the
 texts are read; all others meet their scores in a join.
 
 Defined results: a null or empty text has the end token alone; repeated rows are scored again each, and
-count again in training; without training rows all words are unknown and all pieces alike; an
-empty table gives no rows; further columns are ignored.
+count again in training; without training rows all words are unknown and T is 1; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,30 +37,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import materialize
+from .common import drop_table, materialize
 
 ROUNDS, HOT, LONG, FLOOR, PART = 2, 1 << 17, 64, 0.01, 1 << 12
+#: Stands for the vocabulary's mark of a word's beginning; the byte is in no UTF-8 text.
+MARK, START = "\u2581", b"\xff"
 LOG10 = math.log(10)
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
-END = b"\0end of text"
-
-
-def byte_pieces(path: str) -> tuple[list[bytes], list[bool]]:
-    """The vocabulary's pieces as bytes, and which of them end a word."""
-    with open(path) as f:
-        vocab = json.load(f)["model"]["vocab"]
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    found = {(bytes([b]), e) for b in range(256) for e in (False, True)}
-    for piece in vocab:
-        end = piece.endswith("</w>") and piece != "</w>"
-        body = piece[:-4] if end else piece
-        if body and all(c in back for c in body) and not (piece.startswith("<|") and piece.endswith("|>")):
-            found.add((bytes(back[c] for c in body), end))
+
+
+def scored_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
+    """The usable pieces of a vocabulary file as bytes, and ln(1 - score) of each."""
+    from sentencepiece import SentencePieceProcessor
+
+    vocab = SentencePieceProcessor(model_file=path)
+    found: dict[bytes, float] = {}
+    for k in range(vocab.get_piece_size()):
+        piece, score = vocab.id_to_piece(k), vocab.get_score(k)
+        plain = not (vocab.is_byte(k) or vocab.is_control(k) or vocab.is_unknown(k) or vocab.is_unused(k))
+        if plain and score > -1e8 and MARK not in piece[1:] and not re.search("[A-Z]", piece):
+            found[piece.encode().replace(MARK.encode(), START)] = score
+    least = min(found.values()) - 1
+    for k in range(256):
+        found.setdefault(bytes([k]), least)
     ordered = sorted(found)
-    return [p for p, _ in ordered], [e for _, e in ordered]
+    return ordered, np.log(1 - np.array([found[p] for p in ordered]))
+
+
+def log_pieces(rank: np.ndarray, temperature: float, end: float) -> np.ndarray:
+    """Log probability of each piece, with the mass ``end`` kept for the end token."""
+    x = -temperature * rank
+    top = x.max()
+    return x - (top + math.log(np.exp(x - top).sum())) + math.log1p(-end)
+
+
+def fitted(rank: np.ndarray, mass: np.ndarray) -> float:
+    """The temperature at which the pieces' mean rank is that of the masses: the most likely one."""
+    want, low, high = float(mass @ rank / mass.sum()), 0.0, 16.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        p = np.exp(log_pieces(rank, middle, 0.0))
+        low, high = (middle, high) if p @ rank > want else (low, middle)
+    return (low + high) / 2
 
 
 POWERS = np.cumprod(np.concatenate(([U(1)], np.full(LONG, BASE))), dtype=np.uint64)
@@ -66,10 +88,10 @@ POWERS = np.cumprod(np.concatenate(([U(1)], np.full(LONG, BASE))), dtype=np.uint
 class Lattice:
     """Pieces by hash, and forward and backward recursions over words of one length at a time."""
 
-    def __init__(self, pieces: list[bytes], ends: list[bool], log_p: np.ndarray | None = None):
+    def __init__(self, pieces: list[bytes], log_p: np.ndarray):
         self.longest = max(map(len, pieces))
         self.log_p = log_p
-        keys = self._key(np.array([self._hash(p) for p in pieces], np.uint64), np.array(ends))
+        keys = self._key(np.array([self._hash(p) for p in pieces], np.uint64))
         self.size = len(pieces)
         self.marks = np.zeros(1 << 20, bool)
         self.marks[keys >> U(44)] = True
@@ -77,8 +99,8 @@ class Lattice:
         self.keys = keys[self.order]
 
     @staticmethod
-    def _key(h: np.ndarray, end) -> np.ndarray:
-        key = h * U(0xD6E8FEB86659FD93) + np.where(end, U(0xABCDEF0123456789), U(0))
+    def _key(h: np.ndarray) -> np.ndarray:
+        key = h * U(0xD6E8FEB86659FD93)
         return key ^ (key >> U(32))
 
     @staticmethod
@@ -107,7 +129,7 @@ class Lattice:
         out = []
         for j in range(1, length + 1):
             for i in range(max(0, j - self.longest), j):
-                ids = self.find(self._key(h[j] - h[i] * POWERS[j - i], j == length))
+                ids = self.find(self._key(h[j] - h[i] * POWERS[j - i]))
                 if (ids >= 0).any():
                     out.append((i, j, ids))
         return out
@@ -135,16 +157,10 @@ class Lattice:
         return alpha
 
     def expected(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected occurrences of each piece; of mere occurrences while there are no probabilities."""
+        """Expected occurrences of each piece."""
         n, length = words.shape
-        edges = self.edges(words)
         out = np.zeros(self.size)
-        if self.log_p is None:
-            for _, _, ids in edges:
-                hit = ids >= 0
-                out += np.bincount(ids[hit], counts[hit], self.size)
-            return out
-        weights = self.weights(edges)
+        weights = self.weights(self.edges(words))
         alpha = self.forward(weights, n, length)
         beta = [np.zeros(n)] * (length + 1)
         for i in range(length - 1, -1, -1):
@@ -167,7 +183,7 @@ class Lattice:
         top = U(0)
         for at, b in enumerate(data):
             top = U((int(top) * int(BASE) + int(b) + 1) & 0xFFFFFFFFFFFFFFFF)
-            ids = self.find(self._key(top - h * spans, at + 1 == len(data)))
+            ids = self.find(self._key(top - h * spans))
             x = alpha + p[ids]
             best = x.max()
             alpha[:-1], h[:-1] = alpha[1:], h[1:]
@@ -185,7 +201,7 @@ class Lattice:
             top = (top * int(BASE) + b + 1) & 0xFFFFFFFFFFFFFFFF
             h[step + i + 1] = top
         place = np.arange(-step, 0)
-        p = np.zeros(self.size + 1) if self.log_p is None else np.append(self.log_p, -np.inf)
+        p = np.append(self.log_p, -np.inf)
         alpha = np.full(step + n + 1, -np.inf)
         alpha[step] = 0.0
         beta = np.full(step + n + 1, -np.inf)
@@ -194,17 +210,12 @@ class Lattice:
         def pieces(low: int, high: int) -> np.ndarray:
             """The pieces that end at the positions low < j <= high, by their start (j - step first) or -1."""
             j = np.arange(low + 1, high + 1)
-            key = self._key(h[step + j][:, None] - h[step + j[:, None] + place] * POWERS[-place], (j == n)[:, None])
+            key = self._key(h[step + j][:, None] - h[step + j[:, None] + place] * POWERS[-place])
             ids = self.find(key.reshape(-1)).reshape(len(j), step)
             ids[j[:, None] + place < 0] = -1
             return ids
 
         parts = [(low, min(low + PART, n)) for low in range(0, n, PART)]
-        if self.log_p is None:
-            for part in parts:
-                ids = pieces(*part)
-                out += np.bincount(ids[ids >= 0], minlength=self.size)
-            return out
         for low, high in parts:
             w = p[pieces(low, high)]
             for j in range(low + 1, high + 1):
@@ -248,7 +259,8 @@ def _joined(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[
 
 
 def log_words(model: Lattice, words: list[bytes]) -> np.ndarray:
-    out = np.zeros(len(words))
+    """The log probability of each word, its mark included."""
+    out, words = np.zeros(len(words)), [START + w for w in words]
     for at, block in _by_length(words):
         weights = model.weights(model.edges(block))
         out[at] = model.forward(weights, *block.shape)[-1]
@@ -258,14 +270,14 @@ def log_words(model: Lattice, words: list[bytes]) -> np.ndarray:
     return out
 
 
-def expected_words(model: Lattice, words: list[bytes]) -> np.ndarray:
-    """Expected occurrences of each piece in words met once each, of any length."""
-    out = np.zeros(model.size)
+def expected_words(model: Lattice, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """Expected occurrences of each piece in words of any length, met ``counts`` times each."""
+    out, words = np.zeros(model.size), [START + w for w in words]
     for at, block in _by_length(words):
-        out += model.expected(block, np.ones(len(at)))
-    for w in words:
+        out += model.expected(block, counts[at])
+    for w, n in zip(words, counts, strict=True):
         if len(w) > LONG:
-            out += model.expected_long(w)
+            out += n * model.expected_long(w)
     return out
 
 
@@ -292,44 +304,48 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Training totals, the lattice, and the table of all words with both of their scores."""
+    """Training totals, the temperature of the pieces, and the table of all words with their scores of both models."""
 
     def __init__(self, docs: DataFrame, path: str, rounds: int = ROUNDS):
         spark = docs.sparkSession
-        self.pieces, self.ends = byte_pieces(path)
+        self.pieces, self.rank = scored_pieces(path)
         rows = docs.select("held_out", "text")
         counted = materialize(rows.mapInArrow(_counts, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
         texts = docs.filter(~F.col("held_out")).count()
         words, distinct, once, twice = counted.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
         self.total, self.distinct = (words or 0) + texts, (distinct or 0) + (texts > 0)
         self.base = lambda c: math.log10((c + 1) / (self.total + self.distinct + 1))
-        log_p = None
-        for _ in range(rounds + 1):
-            mass = self._expected(counted, log_p) + FLOOR
-            log_p = np.log(mass / mass.sum())
+        self.temperatures, end = [1.0], 0.5
+        for _ in range(rounds if words else 0):
+            mass = self._expected(counted, log_pieces(self.rank, self.temperatures[-1], end))
+            self.temperatures.append(fitted(self.rank, mass))
+            end = texts / (texts + mass.sum())
+        log_p = log_pieces(self.rank, self.temperatures[-1], end)
+        self.log_end = math.log10(end)
         discount = once / (once + 2 * twice) if once else 0.5
         if self.total:
-            self.log_end, rest = math.log10(max(texts, FLOOR) / self.total), max(discount * (distinct or 0), FLOOR) / self.total
+            self.log_end_mixed, rest = math.log10(max(texts, FLOOR) / self.total), max(discount * (distinct or 0), FLOOR) / self.total
             self.arc = (self.total, discount, rest)
         else:
-            self.log_end, self.arc = math.log10(0.5), (1, 0.0, 0.5)
-        self.shared = spark.sparkContext.broadcast((self.pieces, self.ends, log_p))
-        scored = counted.mapInArrow(self._scorer(), "word binary, c long, n long, log_p double")
-        self.words = materialize(scored, "lm-scores").select("word", "c", "n", "log_p")
+            self.log_end_mixed, self.arc = math.log10(0.5), (1, 0.0, 0.5)
+        self.shared = spark.sparkContext.broadcast((self.pieces, log_p))
+        scored = counted.mapInArrow(self._scorer(), "word binary, c long, n long, log_p double, log_m double")
+        self.words = materialize(scored, "lm-scores")
+        drop_table(counted)
         self.end_known, self.end_base = texts > 0, self.base(texts)
 
-    def _expected(self, counted: DataFrame, log_p: np.ndarray | None) -> np.ndarray:
-        shared = counted.sparkSession.sparkContext.broadcast((self.pieces, self.ends, log_p))
+    def _expected(self, counted: DataFrame, log_p: np.ndarray) -> np.ndarray:
+        shared = counted.sparkSession.sparkContext.broadcast((self.pieces, log_p))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = Lattice(*shared.value)
             total = np.zeros(model.size)
             for b in _joined(batches):
-                total += expected_words(model, b.column("word").to_pylist())
+                total += expected_words(model, b.column("word").to_pylist(), b.column("c").to_numpy())
             ids = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["piece", "mass"])
 
-        rows = counted.filter("c > 0").select("word").mapInArrow(run, "piece long, mass double").groupBy("piece").agg(F.sum("mass").alias("mass")).toPandas()
+        rows = counted.filter("c > 0").select("word", "c").mapInArrow(run, "piece long, mass double").groupBy("piece").agg(F.sum("mass").alias("mass")).toPandas()
         out = np.zeros(len(self.pieces))
         out[rows.piece.to_numpy(np.int64)] = rows.mass.to_numpy(float)
         return out
@@ -341,27 +357,28 @@ class Model:
             model = Lattice(*shared.value)
             for b in _joined(batches):
                 whole = np.maximum(b.column("c").to_numpy() - discount, 0) / total
+                lattice = log_words(model, b.column("word").to_pylist())
                 with np.errstate(divide="ignore"):
-                    log_p = np.logaddexp(np.log(whole), math.log(rest) + log_words(model, b.column("word").to_pylist())) / LOG10
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(log_p)], names=["word", "c", "n", "log_p"])
+                    mixed = np.logaddexp(np.log(whole), math.log(rest) + lattice) / LOG10
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lattice / LOG10), pa.array(mixed)], names=["word", "c", "n", "log_p", "log_m"])
 
         return run
 
     def score(self, docs: DataFrame, hot: int = HOT) -> DataFrame:
-        """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs``."""
+        """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixture_score of each row of ``docs``."""
         top = self.words.orderBy(F.desc("n"), "word").limit(hot).toPandas()
         known = {w: i for i, w in enumerate(top.word.map(bytes))}
-        counts, log_p = top.c.to_numpy(np.int64), top.log_p.to_numpy(float)
+        counts, log_p, log_m = top.c.to_numpy(np.int64), top.log_p.to_numpy(float), top.log_m.to_numpy(float)
         base = np.log10((counts + 1) / (self.total + self.distinct + 1)) if len(counts) else np.zeros(0)
-        shared = docs.sparkSession.sparkContext.broadcast((known, counts > 0, base, log_p))
-        end = (self.end_known, self.end_base, self.log_end)
-        schema = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double"
+        shared = docs.sparkSession.sparkContext.broadcast((known, counts > 0, base, log_p, log_m))
+        end = (self.end_known, self.end_base, self.log_end, self.log_end_mixed)
+        schema = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, mixture_score double"
         first = docs.select(F.col("doc_id").cast("long"), "held_out", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_first_scores(shared, end), schema + ", rest array<binary>")
         parts = first.select("*", F.posexplode_outer("rest").alias("at", "word")).drop("rest")
         one = F.coalesce("at", F.lit(0)) == 0
         # a row without other words has no word to join by; such rows are spread by their number
         key = F.coalesce("word", F.concat(F.lit(b" "), F.col("row").cast("string").cast("binary")))
-        joined = parts.withColumn("key", key).join(self.words.select(F.col("word").alias("key"), "c", "log_p"), "key", "left")
+        joined = parts.withColumn("key", key).join(self.words.select(F.col("word").alias("key"), "c", "log_p", "log_m"), "key", "left")
         rare_base = F.log10((F.col("c") + 1) / F.lit(float(self.total + self.distinct + 1)))
         once = lambda c: F.when(one, F.col(c)).otherwise(0)
         return joined.groupBy("row").agg(
@@ -372,12 +389,13 @@ class Model:
             F.lit(self.total).cast("long").alias("train_tokens"),
             F.sum(once("base_score") + F.coalesce(rare_base, F.lit(0.0))).alias("base_score"),
             F.sum(once("score") + F.coalesce("log_p", F.lit(0.0))).alias("score"),
+            F.sum(once("mixture_score") + F.coalesce("log_m", F.lit(0.0))).alias("mixture_score"),
         ).drop("row")
 
 
-def _first_scores(shared, end: tuple[bool, float, float]):
+def _first_scores(shared, end: tuple[bool, float, float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, base, log_p = shared.value
+        known, seen, base, log_p, log_m = shared.value
         get = known.get
         for b in A.slices(batches, "text", 2 << 20):
             split = [tokens(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
@@ -390,8 +408,8 @@ def _first_scores(shared, end: tuple[bool, float, float]):
             cold = np.flatnonzero(~hot)
             rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(cold, offsets).astype(np.int32)), pa.array([words[i] for i in cold], pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), b.column("row"), pa.array(n + 1), pa.array(pick(seen.astype(np.int64)) + end[0]), pa.array(pick(base) + end[1]), pa.array(pick(log_p) + end[2]), rest],
-                names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rest"],
+                [b.column("doc_id"), b.column("held_out"), b.column("row"), pa.array(n + 1), pa.array(pick(seen.astype(np.int64)) + end[0]), pa.array(pick(base) + end[1]), pa.array(pick(log_p) + end[2]), pa.array(pick(log_m) + end[3]), rest],
+                names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "mixture_score", "rest"],
             )
 
     return run

@@ -16,7 +16,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.query(table(spark, sf_dir, "documents"), vocabulary())
+    return lm_scoring.query(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import public_tokenizers  # noqa: E402
 from stitchyard.llm import chat_format, decontaminate, html_extract, language_id, lm_scoring, near_dedup, packing, quality_rules, sharding, substring_dedup  # noqa: E402
 
 VOCAB = str(public_tokenizers.path("word_bpe_49k.json"))
+PIECES = str(public_tokenizers.path("piece_bpe_32k.model"))
 KIND = "doc_id long, text string, lang string, source string, n_chars long, n_words long"
 
 
@@ -169,47 +170,60 @@ def test_near_large_bucket(spark, monkeypatch, bits):
     assert {r.doc_id: r.class_id for r in near_dedup.query(d).collect()} == want and 1 < len(set(want.values())) < n
 
 
+def lattice_sum(word, pieces, p):
+    """The probability of a word by the plain recursion over all its segmentations."""
+    table, w = dict(zip(pieces, p, strict=True)), lm_scoring.START + word
+    ways = [1.0]
+    for j in range(1, len(w) + 1):
+        ways.append(sum(ways[i] * table.get(w[i:j], 0) for i in range(max(0, j - 60), j)))
+    return ways[-1]
+
+
 def test_lm(docs):
-    rows = got(lm_scoring.query(docs, VOCAB))
+    rows = got(lm_scoring.query(docs, PIECES))
     train = [t for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for t in [*(r.text or "").encode().lower().split(), b"\0end"]]
     c, n = Counter(train), len(train)
+    held = docs.select("doc_id", lm_scoring.F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2").alias("held_out"), "text")
+    model = lm_scoring.Model(held, PIECES)
+    pieces, log_p = model.shared.value
+    p, known = np.exp(log_p), {}
+    assert abs(p.sum() + 10**model.log_end - 1) < 1e-9
     for r in docs.collect():
         t = [*(r.text or "").encode().lower().split(), b"\0end"]
         o = rows[r.doc_id]
         assert (o.n_tokens, o.n_known, o.train_tokens) == (len(t), sum(c[x] > 0 for x in t), n)
-        assert abs(o.base_score - sum(np.log10((c[x] + 1) / (n + len(c) + 1)) for x in t)) < 1e-6 and o.score < 0
+        assert abs(o.base_score - sum(np.log10((c[x] + 1) / (n + len(c) + 1)) for x in t)) < 1e-6
+        for w in t[:-1]:
+            known.setdefault(w, lattice_sum(w, pieces, p))
+        assert abs(o.score - sum(np.log10(known[w]) for w in t[:-1]) - model.log_end) < 1e-6
 
 
-def test_lattice():
-    pieces, ends = lm_scoring.byte_pieces(VOCAB)
-    p = np.random.default_rng(0).dirichlet(np.ones(len(pieces)))
-    model, table = lm_scoring.Lattice(pieces, ends, np.log(p)), {k: v for k, v in zip(zip(pieces, ends), p)}
+def test_lm_temperature(docs):
+    """Each round makes the training words more likely."""
+    held = docs.selectExpr("doc_id", "false as held_out", "text")
+    words_ = [w for r in docs.collect() for w in (r.text or "").encode().lower().split()]
+    found = []
+    for t in lm_scoring.Model(held, PIECES, 3).temperatures:
+        pieces, rank = lm_scoring.scored_pieces(PIECES)
+        found.append(lm_scoring.log_words(lm_scoring.Lattice(pieces, lm_scoring.log_pieces(rank, t, 0.0)), words_).sum())
+    assert len(found) == 4 and all(a < b + 1e-9 for a, b in zip(found, found[1:]))
 
-    def total(w):
-        ways = [1.0]
-        for j in range(1, len(w) + 1):
-            ways.append(sum(ways[i] * table.get((w[i:j], j == len(w)), 0) for i in range(j)))
-        return np.log(ways[-1])
 
-    some = [b"the", b"hello,", b"x", "é".encode(), b"abcdefgh" * 9]
-    assert np.allclose(lm_scoring.log_words(model, some), [total(w) for w in some])
+def test_lattice():
+    pieces, rank = lm_scoring.scored_pieces(PIECES)
+    log_p = lm_scoring.log_pieces(rank, 1.3, 0.1)
+    some = [b"the", b"hello,", b"x", "é".encode(), b"abcdefgh" * 9, b"\x00", "中文".encode()]
+    assert np.allclose(lm_scoring.log_words(lm_scoring.Lattice(pieces, log_p), some), [np.log(lattice_sum(w, pieces, np.exp(log_p))) for w in some])
 
 
-def test_long_words_are_learnt(spark, monkeypatch):
+def test_long_words_are_learnt(monkeypatch):
     """Pieces learn from words over LONG bytes as the form over blocks of one length does."""
-    text = "no space " + "中文句子没有空格" * 9 + " " + "https://example.org/" + "theinternational" * 6 + " hello"
-    rows = spark.createDataFrame([(0, False, text)], "doc_id long, held_out boolean, text string")
-    pieces, ends, got = lm_scoring.Model(rows, VOCAB).shared.value
-    log_p = None
-    for _ in range(lm_scoring.ROUNDS + 1):
-        model = lm_scoring.Lattice(pieces, ends, log_p)
-        mass = sum(model.expected(np.frombuffer(w, np.uint8)[None].astype(np.uint64), np.ones(1)) for w in text.encode().split()) + lm_scoring.FLOOR
-        log_p = np.log(mass / mass.sum())
-    assert np.allclose(got, log_p)
+    pieces, rank = lm_scoring.scored_pieces(PIECES)
+    model = lm_scoring.Lattice(pieces, lm_scoring.log_pieces(rank, 1.0, 0.1))
     monkeypatch.setattr(lm_scoring, "PART", 7)
-    long = text.encode().split()[2]
-    assert len(long) > lm_scoring.LONG
-    assert np.allclose(model.expected_long(long), model.expected(np.frombuffer(long, np.uint8)[None].astype(np.uint64), np.ones(1)))
+    long = ("https://example.org/" + "theinternational" * 6 + "中文句子没有空格").encode()
+    block = model.expected(np.frombuffer(lm_scoring.START + long, np.uint8)[None].astype(np.uint64), np.ones(1))
+    assert len(long) > lm_scoring.LONG and np.allclose(lm_scoring.expected_words(model, [long], np.array([3.0])), 3 * block)
 
 
 def test_shards(docs):
@@ -298,5 +312,5 @@ def test_chat(spark):
 
 def test_empty(docs):
     none = docs.limit(0)
-    for f in (quality_rules.query, near_dedup.query, substring_dedup.query, sharding.query, language_id.query, lambda d: packing.query(d, VOCAB), lambda d: lm_scoring.query(d, VOCAB)):
+    for f in (quality_rules.query, near_dedup.query, substring_dedup.query, sharding.query, language_id.query, lambda d: packing.query(d, VOCAB), lambda d: lm_scoring.query(d, PIECES)):
         assert f(none).count() == 0
