@@ -233,12 +233,64 @@ def test_shards(docs):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
 
 
+def test_shards_of_copies(spark):
+    """Equal texts share a shard unless they outweigh it, and shards are near equal by brute force."""
+    rng, rows = np.random.default_rng(90), []
+    for i in range(900):
+        rows.append((i, words(i % 300 if i % 3 else i, int(rng.integers(20, 60))), f"l{i % 3}", f"s{i % 11}"))
+    rows += [(900 + i, words(7, 400), None, "s") for i in range(6)] + [(2000 + i, "same text " * 20, "l", "t") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out, text = sharding.query(d).collect(), {r[0]: r[1] for r in rows}
+    size = Counter()
+    for r in out:
+        size[r.shard] += r.size
+        assert (r.size, r.text_crc32) == (len(text[r.doc_id]) + 1, zlib.crc32(text[r.doc_id].encode()))
+    mean = sum(size.values()) / 16
+    assert sorted(size) == list(range(16)) and max(size.values()) < 1.15 * mean and min(size.values()) > 0.85 * mean
+    shards, held = {}, Counter()
+    for r in out:
+        shards.setdefault(r.text_crc32, set()).add(r.shard)
+        held[r.text_crc32] += r.size
+    assert all(len(s) == 1 for k, s in shards.items() if held[k] <= 0.05 * mean) and any(len(s) > 1 for s in shards.values())
+
+
+def test_shards_end_at_the_target(spark):
+    d = spark.createDataFrame([(i, words(i, 30), "l", "s") for i in range(64)], "doc_id long, text string, lang string, source string")
+    total = sum(r.size for r in sharding.query(d).collect())
+    assert len({r.shard for r in sharding.sharded(d, total).collect()}) == 1
+    assert len({r.shard for r in sharding.sharded(d, int(0.6 * total)).collect()}) == 2
+
+
 def test_language(spark):
     rows = [(i, words(i, 30).translate(str.maketrans("abcdefghij", "klmnopqrst")) if i % 2 else words(i, 30), "uv"[i % 2]) for i in range(80)] + [(80, None, "u"), (81, "12 !", None)]
     out = got(language_id.query(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
     assert all(out[i].lang_pred == "uv"[i % 2] for i in range(80)) and out[80].lang_pred == out[81].lang_pred == "und"
 
 
+def test_language_parts(spark, monkeypatch):
+    """A filter met in parts gives the same result; every learnt gram is in the filter; a null doc_id is learnt from."""
+    other = str.maketrans("abcdefghij", "klmnopqrst")
+    rows = [(i or None, words(i, 40).translate(other) if i % 2 else words(i, 40), "uv"[i % 2], "x") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string")
+    monkeypatch.setattr(language_id, "ROOM", 256)
+    whole = sorted(map(str, language_id.query(d).collect()))
+    model = language_id.learn(d)
+    h = language_id.grams([t for _, t, lang, _ in rows if lang == "u"])[0]
+    assert model.blocks > 4 and language_id._hits(h, np.array([0, len(h)]), 2, model.blocks, model.part(0))[0, 0] == len(h)
+    monkeypatch.setattr(language_id, "PART_BYTES", 1 << 19)
+    assert sorted(map(str, language_id.query(d).collect())) == whole and len(whole) == 60
+    assert [r.held_out for r in language_id.query(d).collect() if r.doc_id is None] == [False]
+
+
+def test_language_of_mixed_training(spark):
+    """Some words of the other language in its training texts don't put their grams into a filter."""
+    other = str.maketrans("abcdefghij", "klmnopqrst")
+    plain = lambda i: words(i, 40).translate(other) if i % 2 else words(i, 40)
+    rows = [(i, plain(i) + (" " + " ".join(plain(i + 1).split()[:2]) if i % 5 == 0 else ""), "uv"[i % 2]) for i in range(300)]
+    out = got(language_id.query(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert all(out[i].lang_pred == "uv"[i % 2] and out[i].score > 0.8 for i in range(300))
+
+
 def test_leaks(spark):
     item = words(50, 30)
     changed = item.split()
@@ -304,6 +356,32 @@ def test_html():
     assert html_extract.extract("") == "" and html_extract.extract("<nav>x</nav>") == ""
 
 
+def test_html_ambiguous_names():
+    one, two, price = "Long text one that goes on and on for a while, really.", "More text that is long, too, and closes the piece.", "The price of a share rose by ten percent on that day, as we said."
+    assert html_extract.extract("<article><header><h1>Title</h1><nav>x</nav></header><p>" + one + "</p></article>") == "Title\n\n" + one
+    assert html_extract.extract(f'<div class="article"><p>{one}</p><div class="share-price">{price}</div><p>{two}</p><div class="share">Share</div></div>') == "\n\n".join((one, price, two))
+    assert html_extract.extract(f"<div class='social-science'><article><p>{one}</p></article></div><p>short</p>") == one
+    assert html_extract.extract("<div>" * 3000 + one) == one
+
+
+def test_html_ratios_decide(monkeypatch):
+    """Without names and kinds the clusters choose the container; with equal ratios the text is another."""
+    links = "".join(f"<div><i></i><b></b><a href='/{i}'><span>Link {i}</span></a></div>" for i in range(30))
+    body = "".join(f"<p>{words(700 + i, 30)}</p>" for i in range(4))
+    page, want = f"<body><div>{links}</div><div>{body}</div><div><a>end</a></div></body>", "\n\n".join(words(700 + i, 30) for i in range(4))
+    assert html_extract.extract(page) == want
+    monkeypatch.setattr(html_extract, "smooth", lambda ratios: [1.0] * len(ratios))
+    assert html_extract.extract(page) != want
+
+
+def test_html_query(spark):
+    """Nulls, empty pages, repeated rows, an empty table and further columns, against the kernel."""
+    rows = [(1, "u", "<article><p>a&nbsp;b<p>c</article>", 5), (1, "u", "<article><p>a&nbsp;b<p>c</article>", 5), (2, None, None, 6), (None, "v", "", 7)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_extract.query(d).collect()) == [(0, "", 0), (1, "a b\n\nc", 6), (1, "a b\n\nc", 6), (2, "", 0)]
+    assert html_extract.query(d.limit(0)).count() == 0
+
+
 def test_chat(spark):
     rows = [(1, 0, 0, "start", "user", None), (1, 1, 0, "delta", None, "a<"), (1, 2, 1, "start", "assistant", None), (1, 3, 1, "delta", None, "draft"), (1, 4, 1, "regenerate", None, None), (1, 5, 1, "delta", None, "</turn>"), (1, 6, 0, "edit", None, "b\\")]
     segments = chat_format.formatted(spark.createDataFrame(rows, "conv_id long, seq long, message long, kind string, role string, text string")).orderBy("message").collect()
