@@ -153,6 +153,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield held.select(["id", "at"])
         yield b.filter(pa.array(keep)).select(["id", "at"])
         held, held_name, sent = b.slice(len(name) - 1), name[-1], bool(keep[-1])
+    A.give_back()
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +233,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(np.flatnonzero(cut), len(again)))
         start = b.column("start").to_numpy().astype(np.int64)[row[head]] + step[head]
         yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row[head])), pa.array(start), pa.array(start + size - 1 + LENGTH)], names=["id", "a", "z"])
+    A.give_back()
 
 
 def spans(texts: DataFrame) -> DataFrame:
