@@ -1,6 +1,6 @@
 """Shop records: boards, searches, counts, lookups and cascades (P, J, A, T operators)."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stitchyard.sources.tables import table
@@ -102,10 +102,36 @@ def domain_suffix_match(spark: SparkSession, d: str) -> DataFrame:
     return tails.join(F.broadcast(listed), "tail", "left_semi").select("page_id").distinct()
 
 
+#: Names of internal steps that messages don't show.
+INTERNAL = r"invent-warp(?:-forced-bundled)?|invent/[\w-]+|ecc-multiROI-TPS-bundled|ecc-multiROI-TPS|ecc-multiROI|TPS-bundled|TPS|bundled|vai-trace(?:\s+fallback)?|vtracer|raster-corel|hallucinate(?:-after)?|invent-hallucinate|src-bezier(?:-fallback)?|lab-hier|bezier|Vectorizer\.AI|legacy(?:\s+fallback)?|fallback|path-transfer|corel-import|auto\s+path-transfer|invent-transfer|invent-trace|invent-hybrid|local-trace|local-js"
+UNITS = r"(\d+)\s+(layers?|colors?|paths?|stitches)\b"
+
+
+def public_message(s: Column) -> Column:
+    """P10: a message by its kind, with its count and unit, or without internal names."""
+    word = r"(?i)\b(?:" + INTERNAL + r")\b"
+    n, unit = F.regexp_extract(s, "(?i)" + UNITS, 1), F.lower(F.regexp_extract(s, "(?i)" + UNITS, 2))
+    unit = F.when(unit.startswith("color") | unit.startswith("layer"), "layers").when(unit.startswith("path"), "paths").otherwise(unit)
+    count = F.concat(n, F.lit(" "), unit)
+    label = lambda text: F.when(n != "", F.concat(F.lit(text + " \u00b7 "), count)).otherwise(text)
+    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, word, ""), r"\s*\u00b7\s*\u00b7+", " \u00b7 "), r"\s{2,}", " ")
+    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(left, r"\s*\u00b7\s*$", ""), r"^\s*\u00b7\s*", ""), r"^\s+|\s+$", "")
+    bare = F.when(n != "", F.concat(F.lit("Vectorized \u00b7 "), count)).otherwise("Update")
+    inner = F.when(left.rlike(r"^[\u00b7\s/-]*$"), bare).when((n != "") & (F.instr(left, n) == 0), F.concat(left, F.lit(" \u00b7 "), count)).otherwise(left)
+    hidden = s.rlike(word) | s.rlike("(?i)invent-warp|ecc-multiROI|vai-trace|vtracer|lab-hier|hallucinate|src-bezier")
+    made = s.rlike("(?i)^Vectorized") | (s.rlike("(?i)vectoriz") & s.rlike(word))
+    return F.when(s.rlike("(?i)^Pro Vectorize") | s.rlike(r"(?i)Vectorizer\.AI"), label("Pro Vectorize")).when(made, label("Vectorized")).when(s.rlike("(?i)Corel import"), label("Art imported")).when(hidden, inner).otherwise(s)
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id").cast("string")
+    kinds = [F.concat(F.lit("Pro Vectorize: "), k, F.lit(" Colors")), F.lit("vectorized by lab-hier"), F.concat(F.lit("Corel import with "), k, F.lit("  paths")), F.concat(F.lit("vtracer \u00b7  \u00b7 ready \u00b7 "), k, F.lit(" stitches")), F.lit("legacy fallback \u00b7 TPS"), F.concat(F.lit("bezier "), k, F.lit(" layers bezier")), F.concat(F.lit("Order "), k, F.lit(" paid")), F.concat(F.lit("bundled \u00b7 "), k, F.lit(" PATHS removed"))]
+    return table(spark, d, "events").select("event_id", F.element_at(F.array(*kinds), (F.col("event_id") % 8 + 1).cast("int")).alias("message"))
+
+
 def event_message_sanitize(spark: SparkSession, d: str) -> DataFrame:
-    """P10: numbers masked, role prefix kept, length capped by the feature at 80 characters."""
-    clean = F.regexp_replace(F.regexp_replace("text", "[0-9]+", "#"), "\\s+", " ")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), F.substring(clean, 1, 80)).alias("message"))
+    """P10 over messages of every kind."""
+    return _messages(spark, d).select("event_id", public_message(F.col("message")).alias("message"))
 
 
 QUERIES = [job_board_search, board_status_counts, client_job_counts, shop_counts, admin_overview, recent_top8, sort_filter_limit, limit_then_filter, status_legacy_map, first_match_owner, free_claim_conflict, cascade_delete, domain_suffix_match, event_message_sanitize]
@@ -123,5 +149,5 @@ SQL = {
     "free_claim_conflict": "WITH e AS (SELECT DISTINCT user_id, event_id % 4001 AS device, CAST(floor(value) AS BIGINT) AS ip FROM events) SELECT DISTINCT a.user_id FROM e a WHERE EXISTS (SELECT 1 FROM e b WHERE b.user_id <> a.user_id AND b.device = a.device) OR EXISTS (SELECT 1 FROM e b WHERE b.user_id <> a.user_id AND b.ip = a.ip)",
     "cascade_delete": "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS jobs FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)) GROUP BY 1",
     "domain_suffix_match": "SELECT DISTINCT page_id FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS h FROM pages) WHERE h IN ('example.net', 'example.org') OR ends_with(h, '.example.net') OR ends_with(h, '.example.org')",
-    "event_message_sanitize": "SELECT conv_id, turn, role || ': ' || substr(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '\\s+', ' ', 'g'), 1, 80) AS message FROM conversations",
+    "event_message_sanitize": "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'Pro Vectorize \u00b7 ' || event_id || ' layers' WHEN 1 THEN 'Vectorized' WHEN 2 THEN 'Art imported \u00b7 ' || event_id || ' paths' WHEN 3 THEN 'ready \u00b7 ' || event_id || ' stitches' WHEN 4 THEN 'Update' WHEN 5 THEN event_id || ' layers' WHEN 6 THEN 'Order ' || event_id || ' paid' ELSE event_id || ' PATHS removed' END AS message FROM events",
 }

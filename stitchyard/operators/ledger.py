@@ -1,12 +1,10 @@
 """Ledgers, throttles and keyed state machines (W01, W15, T05, F01-F03, parts of F07 and F08, F13)."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stitchyard.operators.folds import folded
 from stitchyard.sources.tables import table
 
 
@@ -34,93 +32,151 @@ def throttle_window(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", (F.coalesce(gap, F.lit(1 << 60)) >= 60_000_000).alias("spaced"), (day < 5).alias("few"))
 
 
-def _limited(batch: pd.DataFrame, window: int, most: int) -> pd.DataFrame:
-    start, n, ok = None, 0, []
-    for t in batch.us:
-        if start is None or t - start > window:
-            start, n = t, 0
-        ok.append(n < most)
-        n += n < most
-    return pd.DataFrame({"event_id": batch.event_id, "user_id": batch.user_id, "allowed": ok})
+def limiter(window: int, most: int):
+    """``most`` in a window anchored at its first event; refused events aren't counted."""
+
+    def begin():
+        start, n = None, 0
+
+        def step(row: dict) -> tuple:
+            nonlocal start, n
+            if start is None or row["us"] - start > window:
+                start, n = row["us"], 0
+            ok = n < most
+            n += ok
+            return row["event_id"], row["user_id"], ok
+
+        return step
+
+    return begin
 
 
 def anchored_limiter(spark: SparkSession, d: str) -> DataFrame:
-    """three an hour, the hour anchored at its first event; refused events aren't counted."""
-    rows = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("user_id").applyInPandas(lambda x: _limited(x.sort_values(["us", "event_id"]), 3_600_000_000, 3), "event_id long, user_id long, allowed boolean")
+    """three an hour."""
+    return folded(_timed(spark, d), "user_id", ["us", "event_id"], "event_id long, user_id long, allowed boolean", limiter(3_600_000_000, 3))
 
 
-def buckets(times: list[float], burst: float = 4, burst_rate: float = 4.0, minute: float = 60, minute_rate: float = 1.0) -> list[tuple[bool, int]]:
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+def bucket(burst: float = 4, burst_rate: float = 4.0, minute: float = 60, minute_rate: float = 1.0):
     """both buckets need a token; a refusal costs nothing and tells the seconds to wait."""
-    have, per, last, out = burst, minute, None, []
-    for t in times:
+    have, per, last = burst, minute, None
+
+    def step(t: float) -> tuple[bool, int]:
+        nonlocal have, per, last
         if last is not None:
             have, per = min(burst, have + (t - last) * burst_rate), min(minute, per + (t - last) * minute_rate)
         last = t
         ok = have >= 1 and per >= 1
         wait = 0 if ok else max(1, -int(-max((1 - have) / burst_rate, (1 - per) / minute_rate) // 1))
         have, per = have - ok, per - ok
-        out.append((ok, wait))
-    return out
+        return ok, wait
+
+    return step
 
 
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
-    """F03 for each user over the events in order, an event a hundredth of its time apart."""
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["us", "event_id"])
-        found = buckets([u / 1e6 / 100_000 for u in x.us])
-        return pd.DataFrame({"event_id": x.event_id, "allowed": [a for a, _ in found], "retry_after": [w for _, w in found]})
-
-    rows = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("user_id").applyInPandas(run, "event_id long, allowed boolean, retry_after int")
-
-
-def pay(events: Iterator[tuple], amount: int, credits: int, balance: int) -> Iterator[tuple[str, str, int]]:
-    """outcomes of (event, kind, status, amount, ref) for one order. ``retry_later`` isn't remembered."""
-    seen: set[str] = set()
-    refs: set[str] = set()
-    state, granted = "pending", 0
-    for event, kind, status, cents, ref in events:
-        if event in seen:
-            out = "duplicate"
-        elif kind == "refund" and state == "pending" and status == "COMPLETED":
-            out = "retry_later"
-        elif status != "COMPLETED":
-            out = "not_completed"
-        elif kind == "payment":
-            out = "already_paid" if state != "pending" else "amount_mismatch" if cents != amount else "granted"
-            if out == "granted":
-                state, granted, balance = "paid", credits, balance + credits
-        elif ref in refs:
-            out = "duplicate"
-        else:
-            back = min(-(-credits * cents // amount), granted, balance)
-            granted, balance, state, out = granted - back, balance - back, "refunded", "refunded"
-            refs.add(ref)
-        if out != "retry_later":
-            seen.add(event)
-        yield event, out, balance
+    """F03 for each user over the events in order, an event a hundred-thousandth of its time apart."""
+
+    def begin():
+        from_ = bucket()
+        return lambda row: (row["event_id"], *from_(row["us"] / 1e6 / 100_000))
+
+    return folded(_timed(spark, d), "user_id", ["us", "event_id"], "event_id long, allowed boolean, retry_after int", begin)
+
+
+class Order:
+    """an order, its user's credits and the events that were met.
+
+    ``unknown_order`` and ``retry_later`` aren't remembered, so that the event may come again. A refund takes back
+    its share of the credits, as far as they are unspent; spent ones are forfeited from later refunds, too.
+    """
+
+    def __init__(self, amount: int, credits: int, balance: int | None):
+        self.amount, self.credits, self.balance = amount, credits, balance
+        self.state, self.granted, self.revoked, self.seen, self.refunds = "pending", 0, 0, set(), set()
+
+    def apply(self, event: str, kind: str, status: str, cents: int, ref: str, currency: str = "USD", known: bool = True) -> str:
+        if event in self.seen:
+            return "duplicate"
+        out = self._payment(status, cents, currency, known) if kind == "payment" else self._refund(status, cents, ref, known)
+        if out not in ("unknown_order", "retry_later"):
+            self.seen.add(event)
+        return out
+
+    def _payment(self, status: str, cents: int, currency: str, known: bool) -> str:
+        if not known:
+            return "unknown_order"
+        if status != "COMPLETED":
+            return "not_completed"
+        if self.state != "pending":
+            return "already_paid"
+        if cents < self.amount or currency != "USD":
+            return "amount_mismatch"
+        if self.balance is None:
+            return "no_user"
+        self.state, self.granted, self.balance = "paid", self.credits, self.balance + self.credits
+        return "granted"
+
+    def _refund(self, status: str, cents: int, ref: str, known: bool) -> str:
+        if status != "COMPLETED":
+            return "not_completed"
+        if ref and ref in self.refunds:
+            return "duplicate"
+        if not known or self.state == "pending":
+            return "retry_later"
+        want = min(self.granted - self.revoked, -(-self.credits * cents // self.amount))
+        if self.balance is not None:
+            self.balance -= min(self.balance, max(want, 0))
+        self.revoked += want
+        if self.revoked >= self.granted:
+            self.state = "refunded"
+        self.refunds.add(ref)
+        return "refunded"
 
 
 def order_state_machine(spark: SparkSession, d: str) -> DataFrame:
-    """F07/F08 with a user as an order: purchases pay, errors refund, views fail."""
+    """F07/F08 with a user as an order: errors refund, the others pay, views fail; ids repeat, so that some are duplicates."""
+
+    def begin():
+        order = Order(2000, 10, 3)
+
+        def step(r: dict) -> tuple:
+            i, refund = r["event_id"], r["event_type"] == "error"
+            cents = 700 + i % 3 * 100 if refund else (1, 2500, 2000, 2000, 2000)[i % 5]
+            out = order.apply(str(i % 40), "refund" if refund else "payment", "FAILED" if r["event_type"] == "view" else "COMPLETED", cents, str(i % 4), "EUR" if i % 11 == 0 else "USD", i % 13 != 0)
+            return i, out, order.balance
+
+        return step
+
+    rows = _timed(spark, d).join(table(spark, d, "events").select("event_id", "event_type"), "event_id")
+    return folded(rows, "user_id", ["us", "event_id"], "event_id long, outcome string, balance long", begin)
+
+
+def pruner(now: int, age: int, most: int):
+    """newest first, an entry goes if it is too old or doesn't fit any more; smaller ones may fit later."""
+
+    def begin():
+        used = 0
+
+        def step(r: dict) -> tuple:
+            nonlocal used
+            keep = now - r["doc_id"] <= age and used + r["n"] <= most
+            used += r["n"] * keep
+            return r["doc_id"], keep
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["ts", "event_id"])
-        rows = ((str(i), "refund" if k == "error" else "payment", "FAILED" if k == "view" else "COMPLETED", 2000, str(i)) for i, k in zip(x.event_id, x.event_type, strict=True))
-        found = list(pay(rows, 2000, 10, 0))
-        return pd.DataFrame({"event_id": x.event_id.to_numpy(), "outcome": [o for _, o, _ in found], "balance": [b for *_, b in found]})
+        return step
 
-    return table(spark, d, "events").select("event_id", "user_id", "event_type", "ts").groupBy("user_id").applyInPandas(run, "event_id long, outcome string, balance long")
+    return begin
 
 
 def cache_prune_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """newest first within each source, an entry stays if it still fits; smaller ones may fit later."""
-    rows = table(spark, d, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.col("n_chars").cast("long").alias("n"))), asc=False).alias("e"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
-    fold = F.aggregate("e", start, lambda s, x: F.when(s.used + x.n <= 30_000, F.struct((s.used + x.n).alias("used"), F.concat(s.kept, F.array(x.id)).alias("kept"))).otherwise(s))
-    return rows.select("source", fold.alias("s")).select("source", F.col("s.used").alias("used"), F.size("s.kept").cast("long").alias("entries"))
+    """F13 with each source as a directory and doc_id as time; no directory is gathered in a row."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.col("n_chars").cast("long").alias("n"))
+    now = docs.agg(F.max("doc_id")).first()[0] or 0
+    return folded(docs.withColumn("new", -F.col("doc_id")), "source", ["new"], "doc_id long, kept boolean", pruner(now, 150, 30_000))
 
 
 _FOLD = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -134,4 +190,13 @@ SQL = {
     "retention_tail": "SELECT user_id, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5",
     "throttle_window": "SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 1152921504606846976) >= 60000000 AS spaced, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) - 1 < 5 AS few FROM events",
     "anchored_limiter": _FOLD,
+    "order_state_machine": """WITH RECURSIVE e AS (SELECT event_id, user_id, event_id % 40 AS eid, event_type = 'error' AS refund, event_type = 'view' AS failed, CASE WHEN event_type = 'error' THEN 700 + event_id % 3 * 100 WHEN event_id % 5 = 0 THEN 1 WHEN event_id % 5 = 1 THEN 2500 ELSE 2000 END AS cents, event_id % 4 AS ref, event_id % 11 = 0 AS euro, event_id % 13 <> 0 AS known, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, -1::BIGINT AS event_id, 'pending' AS state, 0::BIGINT AS granted, 0::BIGINT AS revoked, 3::BIGINT AS bal, []::BIGINT[] AS seen, []::BIGINT[] AS refs, '' AS out FROM e
+ UNION ALL SELECT n.user_id, n.k, n.event_id, CASE WHEN out2 = 'granted' THEN 'paid' WHEN out2 = 'refunded' AND revoked + want >= granted THEN 'refunded' ELSE state END, CASE WHEN out2 = 'granted' THEN 10 ELSE granted END, CASE WHEN out2 = 'refunded' THEN revoked + want ELSE revoked END, CASE WHEN out2 = 'granted' THEN bal + 10 WHEN out2 = 'refunded' THEN bal - least(bal, greatest(want, 0)) ELSE bal END, CASE WHEN out2 IN ('unknown_order', 'retry_later', 'duplicate') AND NOT (out2 = 'duplicate' AND NOT list_contains(seen, eid)) THEN seen ELSE list_append(seen, eid) END, CASE WHEN out2 = 'refunded' THEN list_append(refs, ref) ELSE refs END, out2
+ FROM (SELECT e.*, s.state, s.granted, s.revoked, s.bal, s.seen, s.refs, least(s.granted - s.revoked, CAST(ceil(10 * e.cents / 2000e0) AS BIGINT)) AS want, CASE WHEN list_contains(s.seen, e.eid) THEN 'duplicate' WHEN NOT refund THEN CASE WHEN NOT known THEN 'unknown_order' WHEN failed THEN 'not_completed' WHEN s.state <> 'pending' THEN 'already_paid' WHEN cents < 2000 OR euro THEN 'amount_mismatch' ELSE 'granted' END ELSE CASE WHEN failed THEN 'not_completed' WHEN list_contains(s.refs, e.ref) THEN 'duplicate' WHEN NOT known OR s.state = 'pending' THEN 'retry_later' ELSE 'refunded' END END AS out2 FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1) n)
+ SELECT event_id, out AS outcome, bal AS balance FROM s WHERE k > 0""",
+    "cache_prune_greedy": """WITH RECURSIVE e AS (SELECT source, doc_id, n_chars AS n, (SELECT max(doc_id) FROM documents) - doc_id <= 150 AS fresh, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents),
+ s AS (SELECT source, k, doc_id, fresh AND n <= 30000 AS kept, CASE WHEN fresh AND n <= 30000 THEN n ELSE 0 END::BIGINT AS used FROM e WHERE k = 1
+ UNION ALL SELECT e.source, e.k, e.doc_id, fresh AND used + n <= 30000, CASE WHEN fresh AND used + n <= 30000 THEN used + n ELSE used END::BIGINT FROM s JOIN e ON e.source IS NOT DISTINCT FROM s.source AND e.k = s.k + 1)
+ SELECT doc_id, kept FROM s""",
 }

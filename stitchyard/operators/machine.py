@@ -13,7 +13,7 @@ from stitchyard.sources.tables import table
 
 
 def exp_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """The EXP bytes of a design, as hex text: moves since the last needle place or jump, y upwards, at most 127 each; marks for jumps, trims and colours."""
+    """The EXP bytes of a design, as hex text: moves since the last needle place or jump, y upwards, at most 127 each; marks for jumps, trims and colours, and for the end."""
     s = stream(spark, d)
     still = F.col("kind").isin("color", "trim")
     last = lambda c: F.coalesce(F.last(F.when(~still, F.col(c)), ignorenulls=True).over(order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -23,7 +23,7 @@ def exp_bytes(spark: SparkSession, d: str) -> DataFrame:
     moves = F.expr(f"array_join(transform(sequence(0L, n - 1), k -> concat({part('dx')}, {part('dy')})), '')")
     text = F.when(F.col("kind") == "color", "8004").when(F.col("kind") == "trim", "80800700").when(F.col("kind") == "jump", F.concat(F.lit("8001"), moves)).otherwise(moves)
     rows = n.select("design", "seq", text.alias("t")).groupBy("design").agg(F.array_sort(F.collect_list(F.struct("seq", "t"))).alias("a"))
-    return rows.select("design", F.array_join("a.t", "").alias("exp"))
+    return rows.select("design", F.concat(F.array_join("a.t", ""), F.lit("8080")).alias("exp"))
 
 
 def eps_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -35,17 +35,28 @@ def eps_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    """A box for each part; its page is its size, its colour its key's rest."""
-    return table(spark, d, "part").select(F.col("p_size").alias("page"), F.col("p_partkey").alias("i"), *[F.expr(f"p_partkey * {m} % {n}").alias(c) for c, m, n in (("x", 7, 90), ("y", 11, 80), ("w", 3, 41), ("h", 5, 37), ("k", 1, 5))])
+    """A box for each part, forty to a page, its colour its key's rest."""
+    return table(spark, d, "part").select(F.expr("p_partkey div 40").alias("page"), F.col("p_partkey").alias("i"), *[F.expr(f"p_partkey * {m} % {n}").alias(c) for c, m, n in (("x", 7, 90), ("y", 11, 80), ("w", 3, 41), ("h", 5, 37), ("k", 1, 5))])
 
 
 def near_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of boxes of a page under 3 apart on both axes; boxes meet by the cells of 32 that they reach."""
+    """Pairs of a page's boxes under 3 apart on both axes, or of which one has the other's centre as its nearest, under 25 off.
+
+    Boxes meet by the cells of 32 that they reach, grown by as much as they may be apart. A page has a fixed number of boxes.
+    """
     b = _boxes(spark, d)
-    cells = b.withColumn("cx", F.explode(F.expr("sequence(x div 32, (x + w + 3) div 32)"))).withColumn("cy", F.explode(F.expr("sequence(y div 32, (y + h + 3) div 32)")))
-    other = cells.select("page", "cx", "cy", *[F.col(c).alias(f"{c}2") for c in "ixywh"])
+    cell = lambda c, s, by: F.explode(F.expr(f"sequence((2 * {c} + {s} - {by}) div 64, (2 * {c} + {s} + {by}) div 64)"))
+    boxes = b.withColumn("cx", F.explode(F.expr("sequence(x div 32, (x + w + 3) div 32)"))).withColumn("cy", F.explode(F.expr("sequence(y div 32, (y + h + 3) div 32)")))
+    other = boxes.select("page", "cx", "cy", *[F.col(c).alias(f"{c}2") for c in "ixywh"])
     near = F.expr("i < i2 and x <= x2 + w2 + 3 and x2 <= x + w + 3 and y <= y2 + h2 + 3 and y2 <= y + h + 3")
-    return cells.join(other, ["page", "cx", "cy"]).filter(near).select("i", F.col("i2").alias("j")).distinct()
+    touching = boxes.join(other, ["page", "cx", "cy"]).filter(near).select("i", F.col("i2").alias("j"))
+    # centres, in halves: those within 25 lie in the cell of one and in the grown cells of the other
+    centre = b.select("page", "i", (2 * F.col("x") + F.col("w")).alias("mx"), (2 * F.col("y") + F.col("h")).alias("my"), F.expr("(2 * x + w) div 64").alias("cx"), F.expr("(2 * y + h) div 64").alias("cy"))
+    grown = b.withColumn("cx", cell("x", "w", 50)).withColumn("cy", cell("y", "h", 50)).select("page", "cx", "cy", F.col("i").alias("of"), (2 * F.col("x") + F.col("w")).alias("ox"), (2 * F.col("y") + F.col("h")).alias("oy"))
+    dist = (F.col("mx") - F.col("ox")) * (F.col("mx") - F.col("ox")) + (F.col("my") - F.col("oy")) * (F.col("my") - F.col("oy"))
+    found = grown.join(centre, ["page", "cx", "cy"]).filter("i <> of").withColumn("d", dist).filter("d < 2500")
+    nearest = found.groupBy("of").agg(F.min(F.struct("d", "i")).alias("m")).select(F.least("of", "m.i").alias("i"), F.greatest("of", "m.i").alias("j"))
+    return touching.union(nearest).distinct()
 
 
 def visit_precedence(spark: SparkSession, d: str) -> DataFrame:
@@ -119,14 +130,14 @@ def worker_queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 _S = "s AS (SELECT user_id AS design, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, CASE event_type WHEN 'signup' THEN 'color' WHEN 'error' THEN 'trim' WHEN 'view' THEN 'jump' ELSE 'stitch' END AS kind, CAST(floor(coalesce(value, 0)) AS BIGINT) AS x, CAST(event_id % 97 AS BIGINT) AS y FROM events)"
-_B = "b AS (SELECT p_size AS page, p_partkey AS i, p_partkey*7%90 AS x, p_partkey*11%80 AS y, p_partkey*3%41 AS w, p_partkey*5%37 AS h, p_partkey%5 AS k FROM part)"
+_B = "b AS (SELECT p_partkey//40 AS page, p_partkey AS i, p_partkey*7%90 AS x, p_partkey*11%80 AS y, p_partkey*3%41 AS w, p_partkey*5%37 AS h, p_partkey%5 AS k FROM part)"
 _AT = "coalesce(last_value(CASE WHEN kind NOT IN ('color', 'trim') THEN {0} END IGNORE NULLS) OVER (PARTITION BY design ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
 _HEX = "format('{{:02X}}', (CAST(sign({0}) AS BIGINT)*greatest(0, least(127, abs({0})-127*k))) & 255)"
 QUERIES = [exp_bytes, eps_pages, near_boxes, visit_precedence, directory_bytes, mail_throttle, worker_queue]
 SQL = {
-    "exp_bytes": f"WITH {_S}, m AS (SELECT design, seq, kind, x-{_AT.format('x')} AS dx, {_AT.format('y')}-y AS dy FROM s), c AS (SELECT *, unnest(range(greatest(1, (abs(dx)+126)//127, (abs(dy)+126)//127))) AS k FROM m), t AS (SELECT design, seq, kind, string_agg({_HEX.format('dx')} || {_HEX.format('dy')}, '' ORDER BY k) AS v FROM c GROUP BY ALL) SELECT design, string_agg(CASE kind WHEN 'color' THEN '8004' WHEN 'trim' THEN '80800700' WHEN 'jump' THEN '8001' || v ELSE v END, '' ORDER BY seq) AS exp FROM t GROUP BY design",
+    "exp_bytes": f"WITH {_S}, m AS (SELECT design, seq, kind, x-{_AT.format('x')} AS dx, {_AT.format('y')}-y AS dy FROM s), c AS (SELECT *, unnest(range(greatest(1, (abs(dx)+126)//127, (abs(dy)+126)//127))) AS k FROM m), t AS (SELECT design, seq, kind, string_agg({_HEX.format('dx')} || {_HEX.format('dy')}, '' ORDER BY k) AS v FROM c GROUP BY ALL) SELECT design, string_agg(CASE kind WHEN 'color' THEN '8004' WHEN 'trim' THEN '80800700' WHEN 'jump' THEN '8001' || v ELSE v END, '' ORDER BY seq) || '8080' AS exp FROM t GROUP BY design",
     "eps_pages": f"WITH {_S} SELECT design, '%!PS-Adobe-3.0 EPSF-3.0' || chr(10) || '%%BoundingBox: 0 0 ' || (max(x)*72) || ' 6984' || chr(10) || '%%Pages: 1' || chr(10) || '%%EndComments' || chr(10) || 'gsave' || chr(10) || 'newpath' || chr(10) || string_agg((x*72) || ' ' || ((97-y)*72) || CASE WHEN seq = 1 THEN ' moveto' ELSE ' lineto' END, chr(10) ORDER BY seq) || chr(10) || 'closepath' || chr(10) || '0 0 0 setrgbcolor' || chr(10) || 'fill' || chr(10) || 'grestore' || chr(10) || '%%EOF' || chr(10) AS eps FROM s GROUP BY design",
-    "near_boxes": f"WITH {_B} SELECT p.i, q.i AS j FROM b p JOIN b q ON p.page = q.page AND p.i < q.i AND p.x <= q.x+q.w+3 AND q.x <= p.x+p.w+3 AND p.y <= q.y+q.h+3 AND q.y <= p.y+p.h+3",
+    "near_boxes": f"WITH {_B}, c AS (SELECT p.i, q.i AS j, (2*p.x+p.w-2*q.x-q.w)*(2*p.x+p.w-2*q.x-q.w)+(2*p.y+p.h-2*q.y-q.h)*(2*p.y+p.h-2*q.y-q.h) AS d, p.x <= q.x+q.w+3 AND q.x <= p.x+p.w+3 AND p.y <= q.y+q.h+3 AND q.y <= p.y+p.h+3 AS near FROM b p JOIN b q ON p.page = q.page AND p.i <> q.i), n AS (SELECT i, arg_min(j, d*100000000+j) AS j FROM c WHERE d < 2500 GROUP BY i) SELECT i, j FROM c WHERE near AND i < j UNION SELECT least(i, j), greatest(i, j) FROM n",
     "visit_precedence": f"WITH {_B}, c AS (SELECT page, i, k, cx, cy FROM b, range(20) u(cx), range(20) v(cy) WHERE cx BETWEEN x//10 AND (x+w)//10 AND cy BETWEEN y//10 AND (y+h)//10) SELECT p.i, q.i AS j, count(*) AS cells FROM c p JOIN c q USING (page, cx, cy) WHERE p.i < q.i AND p.k <> q.k GROUP BY 1, 2",
     "directory_bytes": "SELECT split_part(url, '/', 3) AS place, count(*) AS files, CAST(sum(coalesce(octet_length(encode(html)), 0)) AS BIGINT) AS bytes FROM pages GROUP BY 1",
 }

@@ -1,8 +1,8 @@
 """All queries of the shop-data operators and their SQL."""
 
-from stitchyard.operators import board, documents, geometry, ledger, machine, palette, pricing, raster, regions, rules, stitch
+from stitchyard.operators import access, board, documents, geometry, ledger, machine, palette, pricing, raster, regions, rules, stitch
 
-FAMILIES = (board, pricing, ledger, palette, raster, regions, stitch, geometry, rules, documents, machine)
+FAMILIES = (board, pricing, ledger, palette, raster, regions, stitch, geometry, rules, documents, machine, access)
 
 
 def queries() -> dict:
