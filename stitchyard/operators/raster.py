@@ -1,8 +1,6 @@
 """Pixels as rows: art operations, neighbourhoods, grids and components (W04, W06, W07, W10, A17, A24, A25, P18, P21, G01,
 G02, G05, L01)."""
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,28 +96,10 @@ def region_adjacency(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).agg(F.count("*").alias("n"))
 
 
-def stone_pack(spark: SparkSession, d: str) -> DataFrame:
-    """A hexagonal grid of stones over the mask, by index times spacing."""
-    w = 4.15
-    rows = spark.range(12).select(F.col("id").cast("int").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    at = rows.select("i", "j", ((F.col("i") + (F.col("j") % 2) * 0.5) * w).alias("px"), (F.col("j") * (w * math.sqrt(3) / 2)).alias("py"))
-    cells = at.select("i", "j", F.floor("px").cast("int").alias("x"), F.floor("py").cast("int").alias("y"))
-    return cells.join(synthetic_image(spark).filter("a > 0").select("x", "y"), ["x", "y"], "left_semi").select("i", "j", "x", "y")
-
-
-def halftone_am(spark: SparkSession, d: str) -> DataFrame:
-    """A dot for each cell, its radius in thousandths from the mean darkness at five points."""
-    img = synthetic_image(spark).select("x", "y", (1 - color.luma(F.col("r"), F.col("g"), F.col("b")) / 255.0).alias("t"))
-    cells = spark.range(12).select(F.col("id").cast("int").alias("cx")).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    five = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((2, 2), (1, 2), (3, 2), (2, 1), (2, 3))]))
-    pts = cells.withColumn("s", five).select("cx", "cy", (F.col("cx") * 4 + F.col("s.i")).alias("x"), (F.col("cy") * 4 + F.col("s.j")).alias("y"))
-    return pts.join(img, ["x", "y"]).groupBy("cx", "cy").agg(F.floor(0.48 * 4 * F.sqrt(F.avg("t")) * 1000 + 0.5).cast("long").alias("radius"))
-
-
 _NEAR = "o AS (SELECT i, j FROM (VALUES (-1),(0),(1)) a(i), (VALUES (-1),(0),(1)) b(j)), nb AS (SELECT c.x, c.y, n.r, n.g, n.b, n.a FROM img c, o JOIN img n ON n.x = c.x + i AND n.y = c.y + j)"
 _L = "(0.299e0*r+0.587e0*g+0.114e0*b)"
 _W = f"WITH {IMAGE_SQL}"
-QUERIES = [box_downsample, majority_3x3, local_range_3x3, erode_dilate, moments, border_mode_color, iou_mae, knockout_swap, invert, greyscale, region_adjacency, stone_pack, halftone_am]
+QUERIES = [box_downsample, majority_3x3, local_range_3x3, erode_dilate, moments, border_mode_color, iou_mae, knockout_swap, invert, greyscale, region_adjacency]
 _AVG = ", ".join(f"CAST(floor(avg({c})+0.5) AS BIGINT) AS {c}" for c in "rgb")
 SQL = {
     "box_downsample": f"{_W} SELECT CAST(x//4 AS INT) AS bx, CAST(y//4 AS INT) AS by, {_AVG} FROM img GROUP BY 1, 2",
@@ -133,6 +113,4 @@ SQL = {
     "invert": f"{_W} SELECT x, y, CAST(255-r AS INT) AS r, CAST(255-g AS INT) AS g, CAST(255-b AS INT) AS b, CAST(a AS INT) AS a FROM img",
     "greyscale": f"{_W} SELECT CAST(x*2+i AS INT) AS x, CAST(y*2+j AS INT) AS y, CAST(floor({_L}+0.5) AS INT) AS v FROM img, (VALUES (0),(1)) a(i), (VALUES (0),(1)) b(j)",
     "region_adjacency": f"{_W}, l AS (SELECT x, y, CAST(g//64 AS INT) AS p FROM img) SELECT least(s.p, t.p) AS u, greatest(s.p, t.p) AS v, count(*) AS n FROM l s JOIN l t ON ((t.x = s.x+1 AND t.y = s.y) OR (t.x = s.x AND t.y = s.y+1)) AND s.p <> t.p GROUP BY 1, 2",
-    "stone_pack": f"{_W}, c AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(floor((i+(j%2)*0.5e0)*4.15e0) AS INT) AS x, CAST(floor(j*(4.15e0*sqrt(3e0)/2)) AS INT) AS y FROM range(12) a(i), range(12) b(j)) SELECT i, j, x, y FROM c SEMI JOIN (SELECT x, y FROM img WHERE a > 0) m USING (x, y)",
-    "halftone_am": f"{_W}, s(i, j) AS (VALUES (2,2),(1,2),(3,2),(2,1),(2,3)) SELECT CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, CAST(floor(0.48e0*4*sqrt(avg(1-{_L}/255.0e0))*1000+0.5) AS BIGINT) AS radius FROM range(12) a(cx), range(10) b(cy), s JOIN img ON x = cx*4+i AND y = cy*4+j GROUP BY ALL",
 }
