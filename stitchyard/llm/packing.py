@@ -5,15 +5,16 @@ Equal lengths are bucketed together: a sequence is one piece, so that none cross
 has padding. Sequence ids run bucket by bucket, longest first, without gaps.
 
 Defined results: a null or empty text has the end id alone; repeated rows are packed again each; rows
-with a null doc_id are packed too; an empty table gives no rows.
+with a null doc_id are packed too; an empty table gives no rows; further columns are ignored. A very long text is
+tokenized as a whole, in memory in proportion to it.
 """
 
 from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,13 +84,20 @@ class Ids:
     def distinct(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks one after the other, and the number of each."""
         tokenize, letters, normalized = self.tokenizer.model.tokenize, self.letters, unicodedata.is_normalized
-        found: list[list[int] | None] = [None] * len(chunks)
+        flat = array("I")  # the ids in the order in which they are found
+        size, start = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         others = []
+
+        def found(i: int, ids) -> None:
+            start[i] = len(flat)
+            flat.extend(ids)
+            size[i] = len(flat) - start[i]
+
         for i, c in enumerate(chunks):
             if c.isalpha():  # ASCII
-                found[i] = [x.id for x in tokenize(c.decode("ascii"))]
+                found(i, [x.id for x in tokenize(c.decode("ascii"))])
             elif not c.translate(None, self.bytes) and (t := c.decode("utf-8", "replace")).isalpha() and t.lower() == t and normalized("NFC", t):
-                found[i] = [x.id for x in tokenize(c.decode("latin-1").translate(letters))]
+                found(i, [x.id for x in tokenize(c.decode("latin-1").translate(letters))])
             else:
                 others.append((i, c.decode("utf-8", "replace")))
         marked = [(i, t) for i, t in others if MARK not in t]
@@ -97,11 +105,15 @@ class Ids:
         at = np.flatnonzero(ids == self.mark)
         if len(at) + 1 == len(marked):
             for (i, _), part in zip(marked, np.split(ids, at), strict=True):
-                found[i] = part[part != self.mark].tolist()
+                found(i, part[part != self.mark].tolist())
+        else:
+            marked = []
+        done = {i for i, _ in marked}
         for i, t in others:
-            if found[i] is None:
-                found[i] = self._encode(t).tolist()
-        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+            if i not in done:
+                found(i, self._encode(t).tolist())
+        place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(len(flat))
+        return np.frombuffer(flat, np.uint32)[place].astype("<u4"), size
 
     def __call__(self, cols: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows of text columns, each row's end id included, and the offsets by row."""
@@ -154,24 +166,24 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, full: int = 4096) -> Dat
     return docs.select("doc_id", "text").mapInArrow(_cutter(path, end_id, full, True), SCHEMA + ", ids binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
     held, size = [], 0
     for b in A.slices(batches, "text"):
         held.append(b)
         size += b.column("text").nbytes
-        if size >= GROUP:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
         yield held
 
 
-def _cutter(path: str, end_id: int, full: int, with_ids: bool):
+def _cutter(path: str, end_id: int, full: int, with_ids: bool, group_bytes: int = GROUP):
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(path, end_id)
-        for group in _groups(batches):
+        for group in _groups(batches, group_bytes):
             coded, offsets = ids([b.column("text") for b in group])
             whole, rows, raw = memoryview(coded.tobytes()), [], []
             doc_ids = [i for b in group for i in b.column("doc_id").to_pylist()]
@@ -183,6 +195,8 @@ def _cutter(path: str, end_id: int, full: int, with_ids: bool):
                         raw.append(bytes(piece))
             columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(raw, pa.binary())] if with_ids else [])], names=[*names, *(["ids"] if with_ids else [])])
+            del coded, whole, rows, raw, columns
+        A.give_back()
 
     return cut
 
@@ -193,5 +207,6 @@ def bucketed(rows: DataFrame) -> DataFrame:
     return numbered(order, ["_bucket", "doc_id", "start"], "sequence_id", None, "packing").drop("_bucket").withColumn("offset", F.lit(0).cast("long"))
 
 
-def query(docs: DataFrame, path: str) -> DataFrame:
-    return bucketed(materialize(docs.select("doc_id", "text").mapInArrow(_cutter(path, 2, 4096, False), SCHEMA), "packing-pieces"))
+def query(docs: DataFrame, path: str, group_bytes: int = GROUP) -> DataFrame:
+    """``group_bytes`` bounds the memory of a task, and changes no result: about 25 bytes for each byte of a group."""
+    return bucketed(materialize(docs.select("doc_id", "text").mapInArrow(_cutter(path, 2, 4096, False, group_bytes), SCHEMA), "packing-pieces"))

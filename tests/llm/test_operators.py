@@ -392,3 +392,22 @@ def test_empty(docs):
     none = docs.limit(0)
     for f in (quality_rules.query, near_dedup.query, substring_dedup.query, sharding.query, language_id.query, lambda d: packing.query(d, VOCAB), lambda d: lm_scoring.query(d, PIECES)):
         assert f(none).count() == 0
+
+
+def test_empty_others(spark, docs):
+    item = spark.createDataFrame([(1, words(50, 30))], "item_id long, text string")
+    assert decontaminate.query(docs.limit(0), item).count() == 0 and decontaminate.query(docs, item.limit(0)).count() == 0
+    talk = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert [r.conv_id for r in chat_format.query(talk).collect()] == [-7]  # the conversation that the query adds
+
+
+def test_clashing_names(spark):
+    """Columns that operators use themselves, and names that need quotes, stay with their rows."""
+    text = words(600, 120)
+    rows = [(1, text, "mine", "k", "s", 3), (2, text, "yours", "k", "s", 4), (3, words(601, 120), "theirs", "k", "s", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `_id` string, `_key` string, spans string, `a b.c` int")
+    item = spark.createDataFrame([(1, words(602, 30))], "item_id long, text string")
+    for f, left in ((quality_rules.filtered, 3), (near_dedup.deduplicated, 2), (substring_dedup.cleaned, 3), (lambda x: decontaminate.decontaminated(x, item), 3)):
+        out = f(d)
+        assert out.columns == d.columns and out.count() == left
+        assert {(r.doc_id, r["_id"], r["a b.c"]) for r in out.collect()} <= {(1, "mine", 3), (2, "yours", 4), (3, "theirs", 5)}
