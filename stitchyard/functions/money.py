@@ -15,4 +15,6 @@ def truthy_or(x: Column, default: Column) -> Column:
 
 
 def dollars(cents: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_string("%.2f", cents / 100))
+    """Whole dollars without decimals, others with two."""
+    n = F.floor(cents + 0.5)
+    return F.concat(F.lit("$"), F.when(n % 100 == 0, (n / 100).cast("long").cast("string")).otherwise(F.format_string("%.2f", n / 100)))

@@ -10,6 +10,10 @@ from stitchyard.sources.tables import table
 NAMED = [("black", "#000000"), ("white", "#ffffff"), ("red", "#e01020"), ("green", "#20a040"), ("blue", "#1040c0"), ("yellow", "#f0d020"), ("orange", "#f08020"), ("navy", "#102050"), ("grey", "#808080"), ("pink", "#f0a0b0")]
 
 
+#: Vectors of seeds that are broadcast.
+MOST_SEEDS = 4096
+
+
 def _parts(spark: SparkSession, d: str) -> DataFrame:
     """A colour by part, from its key."""
     k = F.col("p_partkey")
@@ -28,20 +32,25 @@ def nearest_palette_rgb(spark: SparkSession, d: str) -> DataFrame:
     return cross.groupBy("p_partkey").agg(F.min_by("name", F.struct("d", "ord")).alias("name"), F.min("d").cast("long").alias("d"))
 
 
+def _labs(spark: SparkSession, d: str) -> DataFrame:
+    """Each part beside each name, with their Lab, which is worked out once for each side before they meet."""
+    lab = lambda side, *c: [x.alias(f"{side}{k}") for k, x in zip("lab", color.lab(*map(F.col, c)), strict=True)]
+    names = F.broadcast(_named(spark).select("ord", "name", *lab("v", "pr", "pg", "pb")))
+    return _parts(spark, d).select("p_partkey", *lab("u", "r", "g", "b")).crossJoin(names)
+
+
 def nearest_lab_de76(spark: SparkSession, d: str) -> DataFrame:
     """Least CIE76 distance; distances are in thousandths."""
-    p, q = color.lab(F.col("r"), F.col("g"), F.col("b")), color.lab(F.col("pr"), F.col("pg"), F.col("pb"))
-    cross = _parts(spark, d).crossJoin(_named(spark)).withColumn("d", F.floor(F.sqrt(color.de76_squared(p, q)) * 1000 + 0.5).cast("long"))
+    p, q = ([F.col(f"{side}{k}") for k in "lab"] for side in "uv")
+    cross = _labs(spark, d).withColumn("d", F.floor(F.sqrt(color.de76_squared(p, q)) * 1000 + 0.5).cast("long"))
     return cross.groupBy("p_partkey").agg(F.min_by("name", F.struct("d", "ord")).alias("name"), F.min("d").alias("d"))
 
 
 def nearest_de2000_tiebreak(spark: SparkSession, d: str) -> DataFrame:
     """Of the colours within 0.5 of the least CIEDE2000 distance, the nearest in a*b*, the first on ties."""
-    both = [x.alias(f"{side}{k}") for side, c in (("u", ("r", "g", "b")), ("v", ("pr", "pg", "pb"))) for k, x in zip("lab", color.lab(*map(F.col, c)), strict=True)]
     p, q = (tuple(F.col(f"{side}{k}") for k in "lab") for side in "uv")
     ab = (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2])
-    labs = _parts(spark, d).crossJoin(_named(spark)).select("p_partkey", "ord", "name", *both)
-    cross = labs.select("p_partkey", F.struct(color.de2000(p, q).alias("d"), ab.alias("ab"), "ord", "name").alias("c"))
+    cross = _labs(spark, d).select("p_partkey", F.struct(color.de2000(p, q).alias("d"), ab.alias("ab"), "ord", "name").alias("c"))
     near = cross.groupBy("p_partkey").agg(F.collect_list("c").alias("c")).withColumn("least", F.array_min(F.transform("c", lambda x: x.d)))
     best = F.array_min(F.transform(F.filter("c", lambda x: x.d <= F.col("least") + 0.5), lambda x: F.struct(x.ab, x.ord, x["name"])))
     return near.select("p_partkey", best["name"].alias("name"))
@@ -63,7 +72,9 @@ def popularity_histogram(spark: SparkSession, d: str) -> DataFrame:
 def nearest_embedding(spark: SparkSession, d: str) -> DataFrame:
     """J22 in general: the nearest of the first vectors of each label, by squared distance in integers."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x * 1000).cast("long")).alias("v"))
-    seeds = F.broadcast(e.groupBy("label").agg(F.min_by("v", "vec_id").alias("s")).withColumnRenamed("label", "near"))
+    seeds = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("s")).withColumnRenamed("label", "near")
+    if e.agg(F.countDistinct("label")).first()[0] <= MOST_SEEDS:
+        seeds = F.broadcast(seeds)
     dist = F.aggregate(F.zip_with("v", "s", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, x: s + x)
     return e.crossJoin(seeds).withColumn("d", dist).groupBy("vec_id").agg(F.min_by("near", F.struct("d", "near")).alias("near"), F.min("d").alias("d"))
 

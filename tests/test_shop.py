@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from stitchyard.operators import ledger, machine, stitch
+from stitchyard.operators import ledger, machine, prints, stitch
 from stitchyard.operators.pricing import line_total, unit_price
 from stitchyard.operators.rules import trace_jobs
 from stitchyard.plans import registry
@@ -105,6 +105,25 @@ def test_trace_jobs(spark):
     assert df.filter(trace_jobs(df.env, df.quota, df.cores) != df.slots).collect() == []
 
 
+def test_cache():
+    """F04 by hand: use renews a place but not the time; old entries and the least recently used go."""
+    c = prints.Cache(10, 10)
+    c.put("a", 4, 0), c.put("b", 4, 1), c.put("big", 11, 1), c.put("none", 0, 1)
+    assert [c.get(k, 2) for k in ("a", "big", "none")] == [True, False, False]
+    c.put("c", 4, 3)  # b is the least recently used
+    assert [c.get(k, 4) for k in ("a", "b", "c")] == [True, False, True] and c.used == 8
+    assert not c.get("a", 10.5) and c.used == 4
+    c.put("d", 6, 20)
+    assert list(c.held) == ["d"]
+
+
+def test_chamfer():
+    mask = np.ones((5, 7), bool)
+    mask[2, 3] = False
+    want = [[max(abs(x - 3), abs(y - 2)) - min(abs(x - 3), abs(y - 2)) + 1.414 * min(abs(x - 3), abs(y - 2)) for x in range(7)] for y in range(5)]
+    assert np.allclose(prints.chamfer(mask), want)
+
+
 @pytest.mark.parametrize("name", [n for n in registry.queries() if n in registry.oracle_sql()])
 def test_against_sql(spark, name):
     con = duckdb.connect()
