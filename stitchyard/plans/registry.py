@@ -1,8 +1,8 @@
 """All queries of the shop-data operators and their SQL."""
 
-from stitchyard.operators import access, board, documents, geometry, images, inks, ledger, machine, palette, pricing, prints, raster, regions, rules, stitch
+from stitchyard.operators import access, board, documents, geometry, images, inks, ledger, machine, palette, pricing, prints, raster, regions, rules, stitch, traces
 
-FAMILIES = (board, pricing, ledger, palette, raster, regions, stitch, geometry, rules, documents, machine, access, images, inks, prints)
+FAMILIES = (board, pricing, ledger, palette, raster, regions, stitch, geometry, rules, documents, machine, access, images, inks, prints, traces)
 
 
 def queries() -> dict:

@@ -1,5 +1,6 @@
 """Readers: Parquet tables, JSON collections, SKU grids and PNG headers."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,3 +40,13 @@ def synthetic_image(spark: SparkSession, width: int = 48, height: int = 40) -> D
 IMAGE_SQL = """img AS (SELECT x, y, (x*5+y*3)%256 AS r, (x*7)%256 AS g, (y*11)%256 AS b,
   CASE WHEN (x-24)*(x-24)+(y-20)*(y-20) < 260 THEN 255 ELSE 0 END AS a
   FROM (SELECT CAST(i % 48 AS INT) AS x, CAST(i // 48 AS INT) AS y FROM range(1920) t(i)))"""
+
+
+def blank_items(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The items of a catalog of blanks; a missing file, one that is no JSON, or one without items gives none."""
+    try:
+        return collection(spark, path, schema, "items")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

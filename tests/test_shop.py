@@ -124,6 +124,28 @@ def test_chamfer():
     assert np.allclose(prints.chamfer(mask), want)
 
 
+def test_blank_items(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from stitchyard.sources.tables import blank_items
+
+    want = {"good.json": [("A1", 5), ("B2", None)], "broken.json": [], "none.json": [], "missing.json": []}
+    (tmp_path / "good.json").write_text('{"source": "x", "count": 2, "items": [{"sku": "A1", "size": 5}, {"sku": "B2"}]}')
+    (tmp_path / "broken.json").write_text("{items: [")
+    (tmp_path / "none.json").write_text('{"source": ""}')
+    assert {n: sorted(map(tuple, blank_items(spark, f"file://{tmp_path}/{n}", T.StructType.fromDDL("sku string, size int")).collect())) for n in want} == want
+
+
+def test_percent(spark):
+    """A slider's names in any case, numbers beyond its ends, and texts that are neither."""
+    from stitchyard.operators.traces import _percent
+
+    raw = ["LOW", "high", "", "130", "-3", " 12.5 ", "1e1", "nan", "x", None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(raw)], "i int, v string")
+    got = [r.p for r in rows.select("i", _percent(rows.v, {"low": 15, "high": 85}).alias("p")).orderBy("i").collect()]
+    assert got == [15, 85, 50, 100, 0, 12.5, 10, 50, 50, 50]
+
+
 @pytest.mark.parametrize("name", [n for n in registry.queries() if n in registry.oracle_sql()])
 def test_against_sql(spark, name):
     con = duckdb.connect()
