@@ -1,6 +1,8 @@
-"""Files and documents of jobs: PNG round trips, layered SVG, CSV lines, nesting, transitions."""
+"""Files and documents of jobs: PNG round trips, layered SVG, CSV lines, nesting, transitions (S06, K02, K03, K07, K13, K14 marks, S10, C24, J30, F19, T06)."""
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -8,6 +10,11 @@ from stitchyard.sources import png
 from stitchyard.sources.tables import IMAGE_SQL, synthetic_image, table
 
 
+#: The ends of the ticks at a sheet's corners.
+TICKS = [("-0.25", "0", "-0.04", "0"), ("-0.25", "{h}", "-0.04", "{h}"), ("{w1}", "0", "{w2}", "0"), ("{w1}", "{h}", "{w2}", "{h}"), ("0", "-0.25", "0", "-0.04"), ("{w}", "-0.25", "{w}", "-0.04"), ("0", "{h1}", "0", "{h2}"), ("{w}", "{h1}", "{w}", "{h2}")]
+MARKS_SHEET = '<svg width="{W}in" height="{H}in" viewBox="-0.25 -0.25 {W} {H}"><path d="M 0 0 L {w} 0 L {w} {h} L 0 {h} Z" fill="none" stroke="#e106d7"/>' + "".join(f'<line x1="{a}" y1="{b}" x2="{c}" y2="{e}" stroke="#111" stroke-width="0.02"/>' for a, b, c, e in TICKS) + "</svg>"
+
+
 def png_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The test image written as a PNG and read back."""
     img = synthetic_image(spark).select(F.lit("a").alias("path"), "x", "y", *"rgba")
@@ -45,11 +52,36 @@ def csv_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ring_nesting(spark: SparkSession, d: str) -> DataFrame:
-    """Of the boxes of a page, each one's smallest enclosing box (the lower key on ties) and how deep it lies."""
-    b = table(spark, d, "part").select("p_size", "p_partkey", *[F.expr(f"p_partkey * {m} % {n}").alias(c) for c, m, n in (("x", 7, 40), ("y", 11, 30), ("w", 13, 53), ("h", 17, 47))])
-    outer = b.select("p_size", *[F.col(c).alias(f"o{c}") for c in ("p_partkey", *"xywh")])
+    """Of the boxes of a page, each one's smallest enclosing box (the lower key on ties) and how deep it lies; a page holds 40 boxes, so that pairs grow with the pages."""
+    b = table(spark, d, "part").select(F.expr("p_partkey div 40").alias("page"), "p_partkey", *[F.expr(f"p_partkey * {m} % {n}").alias(c) for c, m, n in (("x", 7, 40), ("y", 11, 30), ("w", 13, 53), ("h", 17, 47))])
+    outer = b.select("page", *[F.col(c).alias(f"o{c}") for c in ("p_partkey", *"xywh")])
     inside = F.expr("ox < x and oy < y and ox + ow > x + w and oy + oh > y + h")
-    return b.join(outer, (b["p_size"] == outer["p_size"]) & inside).groupBy("p_partkey").agg(F.min(F.struct(F.expr("ow * oh"), "op_partkey")).alias("m"), F.count("*").alias("depth")).select("p_partkey", F.col("m.op_partkey").alias("parent"), "depth")
+    return b.join(outer, (b["page"] == outer["page"]) & inside).groupBy("p_partkey").agg(F.min(F.struct(F.expr("ow * oh"), "op_partkey")).alias("m"), F.count("*").alias("depth")).select("p_partkey", F.col("m.op_partkey").alias("parent"), "depth")
+
+
+def job_packets(spark: SparkSession, d: str) -> DataFrame:
+    """The packet of a job as JSON: its size, numbers and state, and its files by line and name; a job without artwork says null."""
+    k = F.col("o_orderkey")
+    files = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("art-"), F.col("l_partkey").cast("string"), F.when(F.col("l_suppkey") % 2 == 0, ".svg").otherwise(".eps")).alias("name"))
+    assets = files.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "name"))), lambda f: f["name"]).alias("assets"))
+    jobs = table(spark, d, "orders").join(assets, "o_orderkey", "left")
+    size = F.struct(((k % 40) / 4.0).alias("width"), ((k % 24) / 2.0).alias("height"))
+    job = F.struct(k.alias("id"), F.col("o_orderpriority").alias("title"), F.when(k % 2 == 0, "dtf").otherwise("vinyl").alias("method"), size.alias("size_in"), (k % 50 + 1).alias("qty"), F.col("o_orderstatus").alias("status"), F.when(k % 3 != 0, F.concat(F.lit("uploads/"), k.cast("string"), F.lit(".png"))).alias("artwork"))
+    packet = F.struct(job.alias("job"), F.coalesce("assets", F.array().cast("array<string>")).alias("assets"), F.when(k % 5 == 0, "rush").otherwise("").alias("notes"))
+    return jobs.select("o_orderkey", F.to_json(packet, {"ignoreNullFields": "false"}).alias("packet"))
+
+
+def _inches(v: Column) -> Column:
+    """Inches in hundredths as text, without closing zeros."""
+    return F.regexp_replace(v.cast("decimal(12,2)").cast("string"), r"\.?0+$", "")
+
+
+def cutter_marks(spark: SparkSession, d: str) -> DataFrame:
+    """A sheet with a job's outline and two ticks of a quarter inch at each corner, 0.04 inch off; sizes without a value are one inch."""
+    part = table(spark, d, "part").select("p_partkey", *[F.when(F.col("p_size") % m != 0, F.col("p_size") / n).otherwise(1).cast("decimal(12,2)").alias(c) for c, m, n in (("w", 7, 4), ("h", 5, 8))])
+    at = {k: _inches(F.expr(e)) for k, e in {"w": "w", "h": "h", "W": "w + 0.5", "H": "h + 0.5", "w1": "w + 0.04", "w2": "w + 0.25", "h1": "h + 0.04", "h2": "h + 0.25"}.items()}
+    pieces = re.split("[{}]", MARKS_SHEET)
+    return part.select("p_partkey", F.concat(*[at[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)]).alias("svg"))
 
 
 #: The ranks of the states of a job.
@@ -71,13 +103,15 @@ def stale_uploads(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RECTS = "r AS (SELECT p_size, p_partkey, '#00' || (p_partkey % 5) || '0ff' AS fill, 'M' || (p_partkey*7%90) || ',' || (p_partkey*11%80) || 'h' || (p_partkey*3%41+1) || 'v' || (p_partkey*5%37+1) || 'h-' || (p_partkey*3%41+1) || 'z' AS path FROM part)"
-QUERIES = [png_round_trip, svg_pages, svg_layers, csv_lines, ring_nesting, status_transitions, stale_uploads]
+QUERIES = [png_round_trip, svg_pages, svg_layers, csv_lines, ring_nesting, job_packets, cutter_marks, status_transitions, stale_uploads]
 SQL = {
     "png_round_trip": f"WITH {IMAGE_SQL} SELECT x, y, " + ", ".join(f"CAST({c} AS INT) AS {c}" for c in "rgba") + " FROM img",
     "svg_pages": f"""WITH {_RECTS}, l AS (SELECT p_size, fill, min(p_partkey) AS f, '<g fill="' || fill || '" fill-rule="evenodd"><path d="' || string_agg(path, ' ' ORDER BY p_partkey) || '"/></g>' AS t FROM r GROUP BY p_size, fill) SELECT p_size, '<svg>' || string_agg(t, '' ORDER BY f) || '</svg>' AS svg FROM l GROUP BY p_size""",
     "svg_layers": f"WITH {_RECTS}, l AS (SELECT p_size, fill, min(p_partkey) AS f, count(*) AS subpaths FROM r GROUP BY p_size, fill) SELECT p_size, CAST(row_number() OVER (PARTITION BY p_size ORDER BY f) - 1 AS INT) AS layer, fill, subpaths FROM l",
     "csv_lines": """WITH n AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 3 = 0 THEN p_name || ', "' || p_brand || '"' ELSE p_name END AS name FROM part) SELECT p_partkey, (p_partkey % 12) || ',' || p_size || ',' || CASE WHEN regexp_matches(name, '[",\n]') THEN '"' || replace(name, '"', '""') || '"' ELSE name END AS line FROM n""",
-    "ring_nesting": "WITH b AS (SELECT p_size, p_partkey, p_partkey*7%40 AS x, p_partkey*11%30 AS y, p_partkey*13%53 AS w, p_partkey*17%47 AS h FROM part), i AS (SELECT b.p_partkey, o.p_partkey AS parent, count(*) OVER (PARTITION BY b.p_partkey) AS depth, row_number() OVER (PARTITION BY b.p_partkey ORDER BY o.w*o.h, o.p_partkey) AS k FROM b JOIN b o ON o.p_size = b.p_size AND o.x < b.x AND o.y < b.y AND o.x+o.w > b.x+b.w AND o.y+o.h > b.y+b.h) SELECT p_partkey, parent, depth FROM i WHERE k = 1",
+    "ring_nesting": "WITH b AS (SELECT p_partkey // 40 AS page, p_partkey, p_partkey*7%40 AS x, p_partkey*11%30 AS y, p_partkey*13%53 AS w, p_partkey*17%47 AS h FROM part), i AS (SELECT b.p_partkey, o.p_partkey AS parent, count(*) OVER (PARTITION BY b.p_partkey) AS depth, row_number() OVER (PARTITION BY b.p_partkey ORDER BY o.w*o.h, o.p_partkey) AS k FROM b JOIN b o ON o.page = b.page AND o.x < b.x AND o.y < b.y AND o.x+o.w > b.x+b.w AND o.y+o.h > b.y+b.h) SELECT p_partkey, parent, depth FROM i WHERE k = 1",
+    "job_packets": """WITH a AS (SELECT l_orderkey, string_agg('"art-' || l_partkey || CASE WHEN l_suppkey % 2 = 0 THEN '.svg"' ELSE '.eps"' END, ',' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR) || CASE WHEN l_suppkey % 2 = 0 THEN '.svg' ELSE '.eps' END) AS t FROM lineitem GROUP BY 1) SELECT o_orderkey, '{"job":{"id":' || o_orderkey || ',"title":"' || o_orderpriority || '","method":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'dtf' ELSE 'vinyl' END || '","size_in":{"width":' || CAST(o_orderkey % 40 / 4e0 AS VARCHAR) || ',"height":' || CAST(o_orderkey % 24 / 2e0 AS VARCHAR) || '},"qty":' || (o_orderkey % 50 + 1) || ',"status":"' || o_orderstatus || '","artwork":' || CASE WHEN o_orderkey % 3 <> 0 THEN '"uploads/' || o_orderkey || '.png"' ELSE 'null' END || '},"assets":[' || coalesce(t, '') || '],"notes":"' || CASE WHEN o_orderkey % 5 = 0 THEN 'rush' ELSE '' END || '"}' AS packet FROM orders LEFT JOIN a ON l_orderkey = o_orderkey""",
+    "cutter_marks": "WITH p AS (SELECT p_partkey, CAST(CASE WHEN p_size % 7 <> 0 THEN p_size / 4e0 ELSE 1 END AS DECIMAL(12,2)) AS w, CAST(CASE WHEN p_size % 5 <> 0 THEN p_size / 8e0 ELSE 1 END AS DECIMAL(12,2)) AS h FROM part), t AS (SELECT p_partkey, " + ", ".join(f"regexp_replace(CAST(CAST({e} AS DECIMAL(12,2)) AS VARCHAR), '\\.?0+$', '') AS {n}" for n, e in (("w0", "w"), ("h0", "h"), ("ww", "w + 0.5"), ("hh", "h + 0.5"), ("w1", "w + 0.04"), ("w2", "w + 0.25"), ("h1", "h + 0.04"), ("h2", "h + 0.25"))) + " FROM p) SELECT p_partkey, '" + MARKS_SHEET.format(w="' || w0 || '", h="' || h0 || '", W="' || ww || '", H="' || hh || '", w1="' || w1 || '", w2="' || w2 || '", h1="' || h1 || '", h2="' || h2 || '") + "' AS svg FROM t",
     "status_transitions": "WITH r AS (SELECT *, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 END AS rank FROM events) SELECT event_id, coalesce(rank > lag(rank) OVER (PARTITION BY user_id ORDER BY ts, event_id), true) AS forward FROM r",
     "stale_uploads": "SELECT event_type, count(*) FILTER (ts < newest - INTERVAL 14 DAYS) AS stale, count(*) AS n FROM events, (SELECT max(ts) AS newest FROM events) GROUP BY event_type",
 }

@@ -1,4 +1,4 @@
-"""Settings, placing, grants and colour rules around a trace (P13, L53, F09, L18, L24, and the decisions of A29, L30 and L34 from given measures)."""
+"""Settings, placing, grants and colour rules around a trace (P13, L53, F09, L18, L24, J31, and the decisions of A29, L30 and L34 from given measures)."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,6 +141,19 @@ def core_recolor(spark: SparkSession, d: str) -> DataFrame:
     return g.select("id", "label", "n", "used", *[_milli(F.when(F.col("used") >= 8, F.col(f"m{k}")).otherwise(F.col("ink")[k]), c) for k, c in enumerate(("lab_l", "lab_a", "lab_b"))])
 
 
+def fill_unlabelled(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels without a label take the nearest one's, the first in reading order of equals; without any label all stay without one.
+
+    First the nearest of each column, then the nearest of these of a row: the sides of an image, not its area, for each pixel.
+    """
+    p = pictures(spark, d)
+    column = "array_min(transform(filter(sequence(0, h - 1), k -> label[k * w + i % w] >= 0), k -> struct(abs(k - i div w) as d, cast(k * w + i % w as int) as j)))"
+    p = p.withColumn("up", F.expr(f"transform(sequence(0, w * h - 1), i -> {column})"))
+    row = "array_min(transform(filter(sequence(0, w - 1), m -> up[cast(i div w * w + m as int)] is not null), m -> struct((m - i % w) * (m - i % w) + up[cast(i div w * w + m as int)].d * up[cast(i div w * w + m as int)].d as d, up[cast(i div w * w + m as int)].j as j)))"
+    p = p.withColumn("filled", F.expr(f"transform(sequence(0, w * h - 1), i -> if(label[i] >= 0, label[i], coalesce(label[{row}.j], -1)))"))
+    return pixels(p, "label", "filled").filter("label < 0").select("id", "x", "y", "filled")
+
+
 def trace_gate(spark: SparkSession, d: str) -> DataFrame:
     """Whether given measures of a trace pass all gates."""
     measured = table(spark, d, "part").selectExpr("p_partkey as id", "p_partkey % 600 as seams", "p_partkey % 23 as stair_pct", "p_partkey % 11 / 11.0D as stair_ratio", "p_partkey % 53 as fringe", "p_partkey % 7 - 5 as specks", "p_partkey % 50 / 10.0D as de", "p_partkey % 22 as de95")
@@ -164,7 +177,7 @@ def spine_choice(spark: SparkSession, d: str) -> DataFrame:
     return s.select("shape", F.coalesce(F.col("b") > F.col("a"), F.lit(False)).alias("loop"))
 
 
-QUERIES = [vectorize_options, art_boxes, photo_boxes, checkout_grants, fill_snap, core_recolor, trace_gate, keylines, spine_choice]
+QUERIES = [vectorize_options, art_boxes, photo_boxes, checkout_grants, fill_snap, core_recolor, fill_unlabelled, trace_gate, keylines, spine_choice]
 _Q = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 _V = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}e0" for v in r) + ")" for r in rows)
 _ASKED = f"q AS (SELECT l_orderkey, l_linenumber, {_Q(KINDS)}[l_partkey % 6 + 1] AS kind, {_Q(PLACES)}[l_suppkey % 6 + 1] AS place, 400 + CAST(l_quantity AS BIGINT) * 10 AS w, 300 + l_linenumber * 50 AS h, greatest(0.25e0, least(2.5e0, l_partkey % 300 / 100e0)) AS s, l_suppkey % 41 - 20 AS off FROM lineitem)"
@@ -181,6 +194,7 @@ SQL = {
     "checkout_grants": "WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 9 <> 0 THEN event_id % 900 ELSE -1 END AS s, user_id % 13 <> 0 AND event_id // 3 % 4 <> 1 AS able, CASE WHEN event_id % 4 = 0 AND event_id % 700 BETWEEN 1 AND 500 THEN event_id % 700 WHEN event_id % 2 = 0 THEN 1 ELSE 10 END AS n FROM events) SELECT event_id, CASE WHEN able AND (s = -1 OR row_number() OVER (PARTITION BY s, able ORDER BY ts, event_id) = 1) THEN n ELSE 0 END AS granted FROM e",
     "fill_snap": f"WITH {_IMG}, f AS (SELECT * REPLACE (CAST(CASE WHEN label < 0 THEN -1 ELSE (x // 8 + y // 7 + id) % 5 END AS INT) AS label) FROM img), z AS (SELECT a.id, a.label, a.r, a.g, a.b, NOT EXISTS (SELECT 1 FROM f n WHERE n.id = a.id AND abs(n.x - a.x) + abs(n.y - a.y) = 1 AND n.label <> a.label) AS inn FROM f a WHERE a.label >= 0), g AS (SELECT id, label, count(*) AS n, count(*) FILTER (inn) AS inner_, " + ", ".join(f"quantile_cont({c}, 0.5) FILTER (inn) AS {c}" for c in "rgb") + ' FROM z GROUP BY ALL) SELECT id, label, n, inner_ AS "inner", ' + ", ".join(f"CAST(CASE WHEN inner_ >= 3 AND inner_ * 2 >= n THEN round_even({c}, 0) ELSE -1 END AS BIGINT) AS {c}" for c in "rgb") + " FROM g",
     "core_recolor": f"WITH {_IMG}, {_PAL}, px2 AS (SELECT img.id, x, y, label, {_NOISY} FROM img JOIN pal ON pal.id = img.id AND ink = label), {_lab_sql('pal', 'pr', 'pg', 'pb', 'id, ink', 'lab')}, {_lab_sql('px2', 'vr', 'vg', 'vb', 'id, x, y, label', 'v')}, u AS (SELECT v.*, sqrt(lab.\"A\"*lab.\"A\"+lab.\"B\"*lab.\"B\") < 22 OR {_DE.format('v', 'lab')} <= 8 AS use, lab.\"L\" AS l0, lab.\"A\" AS a0, lab.\"B\" AS b0 FROM v JOIN lab ON lab.id = v.id AND ink = label), g AS (SELECT id, label, count(*) AS n, count(*) FILTER (use) AS used, " + ", ".join(f'quantile_cont("{c}", 0.5) FILTER (use) AS m{c}, any_value({c.lower()}0) AS o{c}' for c in "LAB") + " FROM u GROUP BY ALL) SELECT id, label, n, used, " + ", ".join(_R3(f"CASE WHEN used >= 8 THEN m{c} ELSE o{c} END", f"lab_{c.lower()}") for c in "LAB") + " FROM g",
+    "fill_unlabelled": f"WITH {_IMG}, c AS (SELECT a.id, a.x, a.y, b.label, {{'d': (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), 'j': b.y*b.w+b.x}} AS k FROM img a LEFT JOIN img b ON b.id = a.id AND b.label >= 0 WHERE a.label < 0) SELECT id, x, y, coalesce(arg_min(label, k), -1) AS filled FROM c GROUP BY ALL",
     "trace_gate": "SELECT p_partkey AS id, p_partkey % 600 <= 500 AND p_partkey % 23 <= 20 AND p_partkey % 11 < 10 AND p_partkey % 53 <= 50 AND p_partkey % 7 <= 5 AND p_partkey % 50 <= 46 AND p_partkey % 22 <= 20 AS ok FROM part",
     "keylines": "WITH q AS (SELECT p_partkey AS id, p_partkey % 40 / 20e0 AS wd, p_partkey % 17 AS ln, CASE WHEN p_partkey % 6 <> 0 THEN p_partkey % 9 ELSE 0 END AS ppm, p_partkey % 50 AS ar, p_partkey % 7 AS times, p_partkey % 13 AS core2 FROM part) SELECT id, ppm > 0 AND NOT (wd * ppm < 3.5e0 AND ln < 6) AND ar >= 3 AND wd >= 0.1e0 AND times >= 4 AND core2 <= 12 AS keyline FROM q",
     "spine_choice": "WITH p AS (SELECT l_orderkey AS shape, l_linenumber % 2 = 0 AS loop_, coalesce(count(*) FILTER (l_partkey % 5 > 0 AND l_suppkey % 4 > 0) / nullif(CAST(count(*) FILTER (l_partkey % 5 > 0) AS DOUBLE), 0), 0) - greatest(0e0, coalesce(sum(l_suppkey % 4) / nullif(CAST(count(*) FILTER (l_suppkey % 4 > 0) AS DOUBLE), 0), 9e0) - 1) * 0.8e0 - count(*) FILTER (l_partkey % 7 = 0) / CAST(count(*) AS DOUBLE) AS s FROM lineitem GROUP BY ALL) SELECT shape, coalesce(max(s) FILTER (loop_) > max(s) FILTER (NOT loop_), false) AS loop FROM p GROUP BY 1",
