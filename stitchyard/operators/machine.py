@@ -1,9 +1,10 @@
-"""Machine files, neighbours and folds over requests."""
+"""Machine files, neighbours and folds over requests."""
 
+import math
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -133,8 +134,56 @@ _S = "s AS (SELECT user_id AS design, CAST(row_number() OVER (PARTITION BY user_
 _B = "b AS (SELECT p_partkey//40 AS page, p_partkey AS i, p_partkey*7%90 AS x, p_partkey*11%80 AS y, p_partkey*3%41 AS w, p_partkey*5%37 AS h, p_partkey%5 AS k FROM part)"
 _AT = "coalesce(last_value(CASE WHEN kind NOT IN ('color', 'trim') THEN {0} END IGNORE NULLS) OVER (PARTITION BY design ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
 _HEX = "format('{{:02X}}', (CAST(sign({0}) AS BIGINT)*greatest(0, least(127, abs({0})-127*k))) & 255)"
-QUERIES = [exp_bytes, eps_pages, near_boxes, visit_precedence, directory_bytes, mail_throttle, worker_queue]
+
+#: Lines of a DXF file before its size, its layers and its outlines, and at its end.
+DXF_HEAD = "0 SECTION 2 HEADER 9 $ACADVER 1 AC1009 9 $INSUNITS 70 1 9 $EXTMIN 10 0 20 0 9 $EXTMAX 10"
+DXF_TABLE = "0 ENDSEC 0 SECTION 2 TABLES 0 TABLE 2 LAYER 70"
+DXF_ENTITIES = "0 ENDTAB 0 ENDSEC 0 SECTION 2 ENTITIES"
+DXF_END = "0 ENDSEC 0 EOF"
+DXF_FILLS = [(0, 0, 0), (255, 255, 255), (204, 34, 17), (17, 170, 51), (34, 68, 204), (200, 180, 0)]
+
+
+def dxf_color(r: Column, g: Column, b: Column) -> Column:
+    """The number of a layer's colour: 7 for black and white, or one of six hues."""
+    turn = F.degrees(F.atan2(math.sqrt(3) * (g - b), 2 * r - g - b))
+    return F.when((F.greatest(r, g, b) < 40) | (F.least(r, g, b) > 215), 7).otherwise(1 + F.floor(F.pmod(turn, F.lit(360.0)) / 60)).cast("int")
+
+
+def dxf_files(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines of a design as a DXF file in inches, y upwards, with a layer for each fill in order of its first outline."""
+    words = lambda t: F.lit(t.replace(" ", "\n"))
+    lines = lambda *c: F.concat_ws("\n", *c)
+    fill = F.element_at(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("rgb", f, strict=True)]) for f in DXF_FILLS]), (F.col("l_partkey") % len(DXF_FILLS) + 1).cast("int"))
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", "l_suppkey", fill.alias("f"))
+    s = s.select("id", "l_linenumber", "l_partkey", "l_suppkey", dxf_color(F.col("f.r"), F.col("f.g"), F.col("f.b")).alias("aci"), (F.col("l_partkey") % len(DXF_FILLS)).alias("fill"))
+    x, y = F.col("l_partkey") % 90, F.col("l_suppkey") % 80
+    x2, y2 = x + F.col("l_partkey") % 13 + 1, y + F.col("l_suppkey") % 11 + 1
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    ring = F.when(F.col("l_linenumber") % 3 != 0, F.array(point(x, y), point(x2, y), point(x2, y2), point(x, y2))).otherwise(F.array(point(x, y), point(x2, y2)))
+    shapes = s.select("id", F.struct("l_linenumber", "l_partkey", "l_suppkey", "fill", "aci", ring.alias("p")).alias("s")).groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    wide, high = 4 + F.col("id") % 5, 3 + F.col("id") % 3
+    shapes = shapes.withColumn("fills", F.array_distinct(F.transform("s", lambda q: F.struct(q.fill, q.aci)))).withColumn("wide", wide.cast("double")).withColumn("high", high.cast("double"))
+    layers = F.array_join(F.transform("fills", lambda f, i: lines(words("0 LAYER 2"), F.concat(F.lit("INK_"), (i + 1).cast("string")), words("70 0 62"), f.aci.cast("string"), words("6 CONTINUOUS"))), "\n")
+
+    def outline(q: Column) -> Column:
+        layer = F.concat(F.lit("INK_"), F.array_position("fills", F.struct(q.fill, q.aci)).cast("string"))
+        corner = lambda v: lines(words("0 VERTEX 8"), layer, F.lit("10"), F.format_string("%.5f", v.x * F.col("wide") / 100), F.lit("20"), F.format_string("%.5f", F.col("high") - v.y * F.col("high") / 100), words("30 0"))
+        return lines(words("0 POLYLINE 8"), layer, words("66 1 10 0 20 0 30 0 70"), F.when(F.size(q.p) > 2, "1").otherwise("0"), F.array_join(F.transform(q.p, corner), "\n"), words("0 SEQEND 8"), layer)
+
+    text = lines(words(DXF_HEAD), F.format_string("%.4f", "wide"), F.lit("20"), F.format_string("%.4f", "high"), words(DXF_TABLE), F.size("fills").cast("string"), layers, words(DXF_ENTITIES), F.array_join(F.transform("s", outline), "\n"), words(DXF_END))
+    return shapes.select("id", F.concat(text, F.lit("\n")).alias("dxf"))
+
+
+QUERIES = [dxf_files, exp_bytes, eps_pages, near_boxes, visit_precedence, directory_bytes, mail_throttle, worker_queue]
+_L = lambda t: "'" + t.replace(" ", "\n") + "'"
+_CORNER = lambda x, y: f"{_L('0 VERTEX 8')} || t || 'INK_' || n || t || '10' || t || printf('%.5f', {x} * wide / 100) || t || '20' || t || printf('%.5f', high - {y} * high / 100) || t || {_L('30 0')} || t"
+_ACI = "CASE fill " + " ".join(f"WHEN {k} THEN {7 if max(f) < 40 or min(f) > 215 else 1 + int(math.degrees(math.atan2(math.sqrt(3) * (f[1] - f[2]), 2 * f[0] - f[1] - f[2])) % 360) // 60}" for k, f in enumerate(DXF_FILLS)) + " END"
 SQL = {
+    "dxf_files": f"""WITH s AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, l_partkey % 6 AS fill, l_linenumber % 3 <> 0 AS ring, l_partkey % 90 AS x, l_suppkey % 80 AS y, l_partkey % 90 + l_partkey % 13 + 1 AS x2, l_suppkey % 80 + l_suppkey % 11 + 1 AS y2, CAST(4 + l_orderkey % 5 AS DOUBLE) AS wide, CAST(3 + l_orderkey % 3 AS DOUBLE) AS high, chr(10) AS t FROM lineitem),
+ f AS (SELECT id, fill, {_ACI} AS aci, row_number() OVER (PARTITION BY id ORDER BY min(k)) AS n FROM s GROUP BY id, fill),
+ e AS (SELECT id, wide, high, string_agg({_L('0 POLYLINE 8')} || t || 'INK_' || n || t || {_L('66 1 10 0 20 0 30 0 70')} || t || CASE WHEN ring THEN '1' ELSE '0' END || t || {_CORNER('x', 'y')} || CASE WHEN ring THEN {_CORNER('x2', 'y')} ELSE '' END || {_CORNER('x2', 'y2')} || CASE WHEN ring THEN {_CORNER('x', 'y2')} ELSE '' END || {_L('0 SEQEND 8')} || t || 'INK_' || n, chr(10) ORDER BY k) AS e FROM s JOIN f USING (id, fill) GROUP BY ALL),
+ l AS (SELECT id, count(*) AS c, string_agg({_L('0 LAYER 2')} || chr(10) || 'INK_' || n || chr(10) || {_L('70 0 62')} || chr(10) || aci || chr(10) || {_L('6 CONTINUOUS')}, chr(10) ORDER BY n) AS l FROM f GROUP BY id)
+ SELECT id, concat_ws(chr(10), {_L(DXF_HEAD)}, printf('%.4f', wide), '20', printf('%.4f', high), {_L(DXF_TABLE)}, c, l, {_L(DXF_ENTITIES)}, e, {_L(DXF_END)}) || chr(10) AS dxf FROM e JOIN l USING (id)""",
     "exp_bytes": f"WITH {_S}, m AS (SELECT design, seq, kind, x-{_AT.format('x')} AS dx, {_AT.format('y')}-y AS dy FROM s), c AS (SELECT *, unnest(range(greatest(1, (abs(dx)+126)//127, (abs(dy)+126)//127))) AS k FROM m), t AS (SELECT design, seq, kind, string_agg({_HEX.format('dx')} || {_HEX.format('dy')}, '' ORDER BY k) AS v FROM c GROUP BY ALL) SELECT design, string_agg(CASE kind WHEN 'color' THEN '8004' WHEN 'trim' THEN '80800700' WHEN 'jump' THEN '8001' || v ELSE v END, '' ORDER BY seq) || '8080' AS exp FROM t GROUP BY design",
     "eps_pages": f"WITH {_S} SELECT design, '%!PS-Adobe-3.0 EPSF-3.0' || chr(10) || '%%BoundingBox: 0 0 ' || (max(x)*72) || ' 6984' || chr(10) || '%%Pages: 1' || chr(10) || '%%EndComments' || chr(10) || 'gsave' || chr(10) || 'newpath' || chr(10) || string_agg((x*72) || ' ' || ((97-y)*72) || CASE WHEN seq = 1 THEN ' moveto' ELSE ' lineto' END, chr(10) ORDER BY seq) || chr(10) || 'closepath' || chr(10) || '0 0 0 setrgbcolor' || chr(10) || 'fill' || chr(10) || 'grestore' || chr(10) || '%%EOF' || chr(10) AS eps FROM s GROUP BY design",
     "near_boxes": f"WITH {_B}, c AS (SELECT p.i, q.i AS j, (2*p.x+p.w-2*q.x-q.w)*(2*p.x+p.w-2*q.x-q.w)+(2*p.y+p.h-2*q.y-q.h)*(2*p.y+p.h-2*q.y-q.h) AS d, p.x <= q.x+q.w+3 AND q.x <= p.x+p.w+3 AND p.y <= q.y+q.h+3 AND q.y <= p.y+p.h+3 AS near FROM b p JOIN b q ON p.page = q.page AND p.i <> q.i), n AS (SELECT i, arg_min(j, d*100000000+j) AS j FROM c WHERE d < 2500 GROUP BY i) SELECT i, j FROM c WHERE near AND i < j UNION SELECT least(i, j), greatest(i, j) FROM n",
