@@ -3,11 +3,11 @@
 import math
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stitchyard.operators.folds import folded
 from stitchyard.operators.geometry import points
 from stitchyard.operators.stitch import order, stream
 from stitchyard.sources.tables import table
@@ -73,61 +73,63 @@ def directory_bytes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").groupBy(F.substring_index(F.substring_index("url", "/", 3), "/", -1).alias("place")).agg(F.count("*").alias("files"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("bytes"))
 
 
-def sends(times: list[float]) -> list[str]:
-    """Each request's outcome: ``wait`` within 60 s of the last mail sent, ``full`` after five in 24 h; refused ones don't count."""
-    out, sent = [], deque()
-    for t in times:
+def sender():
+    """A step that tells of a mail's time (times in order) if it goes, waits a minute after the last, or is past five in a day."""
+    sent: deque[float] = deque()
+
+    def step(t: float) -> str:
         while sent and t - sent[0] >= 86400:
             sent.popleft()
         why = "wait" if sent and t - sent[-1] < 60 else "full" if len(sent) >= 5 else "sent"
         if why == "sent":
             sent.append(t)
-        out.append(why)
-    return out
+        return why
+
+    return step
 
 
-def queue(arrivals: list[float], work: list[float], most: int, waiting: int) -> list[tuple[str, float]]:
-    """(run, queue or reject, when it begins) of jobs in order of arrival; a job that ends as another arrives has ended."""
+def worker(most: int, waiting: int):
+    """a step that tells of a job, in order of arrival, (run, queue or reject, when it begins); a job that ends as another arrives has ended."""
     ends: list[float] = []
     starts: list[float] = []
-    out = []
-    for t, w in zip(arrivals, work, strict=True):
+
+    def step(t: float, work: float) -> tuple[str, float]:
+        nonlocal ends, starts
         busy = sorted(e for e in ends if e > t)
-        behind = sum(s > t for s in starts)
-        if len(busy) < most:
-            state, at = "run", t
-        elif behind >= waiting:
-            out.append(("reject", t))
-            continue
-        else:
-            state, at = "queue", busy[len(busy) - most]
-        ends = [*busy, at + w]
-        starts = [*(s for s in starts if s > t), at]
-        out.append((state, at))
-    return out
+        starts = [s for s in starts if s > t]
+        if len(busy) >= most and len(starts) >= waiting:
+            return "reject", t
+        state, at = ("run", t) if len(busy) < most else ("queue", busy[len(busy) - most])
+        ends = [*busy, at + work]
+        starts.append(at)
+        return state, at
+
+    return step
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select("user_id", "event_id", (micros / 1e6).alias("t"), (60 * F.greatest(F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))).alias("work"))
 
 
 def mail_throttle(spark: SparkSession, d: str) -> DataFrame:
     """W15 for each user, in order of time."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["t", "event_id"])
-        return pd.DataFrame({"event_id": p.event_id, "outcome": sends(p.t.tolist())})
+    def begin():
+        send = sender()
+        return lambda row: (row["event_id"], send(row["t"]))
 
-    e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return e.withColumn("t", F.col("t") / 1e6).groupBy("user_id").applyInPandas(run, "event_id long, outcome string")
+    return folded(_requests(spark, d), "user_id", ["t", "event_id"], "event_id long, outcome string", begin)
 
 
 def worker_queue(spark: SparkSession, d: str) -> DataFrame:
     """F12 for each user's jobs as a server of two workers and three places, a job a minute long for each unit of value."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["t", "event_id"])
-        found = queue(p.t.tolist(), (60 * p.value.fillna(0).clip(lower=0)).tolist(), 2, 3)
-        return pd.DataFrame({"event_id": p.event_id, "state": [s for s, _ in found]})
+    def begin():
+        take = worker(2, 3)
+        return lambda row: (row["event_id"], take(row["t"], row["work"])[0])
 
-    e = table(spark, d, "events").select("user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return e.withColumn("t", F.col("t") / 1e6).groupBy("user_id").applyInPandas(run, "event_id long, state string")
+    return folded(_requests(spark, d), "user_id", ["t", "event_id"], "event_id long, state string", begin)
 
 
 _S = "s AS (SELECT user_id AS design, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, CASE event_type WHEN 'signup' THEN 'color' WHEN 'error' THEN 'trim' WHEN 'view' THEN 'jump' ELSE 'stitch' END AS kind, CAST(floor(coalesce(value, 0)) AS BIGINT) AS x, CAST(event_id % 97 AS BIGINT) AS y FROM events)"
@@ -178,7 +180,14 @@ QUERIES = [dxf_files, exp_bytes, eps_pages, near_boxes, visit_precedence, direct
 _L = lambda t: "'" + t.replace(" ", "\n") + "'"
 _CORNER = lambda x, y: f"{_L('0 VERTEX 8')} || t || 'INK_' || n || t || '10' || t || printf('%.5f', {x} * wide / 100) || t || '20' || t || printf('%.5f', high - {y} * high / 100) || t || {_L('30 0')} || t"
 _ACI = "CASE fill " + " ".join(f"WHEN {k} THEN {7 if max(f) < 40 or min(f) > 215 else 1 + int(math.degrees(math.atan2(math.sqrt(3) * (f[1] - f[2]), 2 * f[0] - f[1] - f[2])) % 360) // 60}" for k, f in enumerate(DXF_FILLS)) + " END"
+_TIMES = "e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, 60 * greatest(coalesce(value, 0e0), 0e0) AS work, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
 SQL = {
+    "mail_throttle": f"""WITH RECURSIVE {_TIMES}, f AS (SELECT user_id, n, event_id, [t] AS sent, 'sent' AS outcome FROM e WHERE n = 1 UNION ALL
+ SELECT user_id, n, event_id, CASE WHEN outcome = 'sent' THEN list_append(live, t) ELSE live END, outcome FROM (SELECT *, CASE WHEN len(live) > 0 AND t - live[len(live)] < 60 THEN 'wait' WHEN len(live) >= 5 THEN 'full' ELSE 'sent' END AS outcome FROM (SELECT e.*, [x FOR x IN f.sent IF e.t - x < 86400] AS live FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)))
+ SELECT event_id, outcome FROM f""",
+    "worker_queue": f"""WITH RECURSIVE {_TIMES}, f AS (SELECT user_id, n, event_id, [t + work] AS ends, [t] AS starts, 'run' AS state FROM e WHERE n = 1 UNION ALL
+ SELECT user_id, n, event_id, CASE WHEN state = 'reject' THEN busy ELSE list_append(busy, start + work) END, CASE WHEN state = 'reject' THEN behind ELSE list_append(behind, start) END, state FROM (SELECT *, CASE WHEN len(busy) < 2 THEN 'run' WHEN len(behind) >= 3 THEN 'reject' ELSE 'queue' END AS state, CASE WHEN len(busy) < 2 THEN t ELSE busy[len(busy) - 1] END AS start FROM (SELECT e.*, list_sort([x FOR x IN f.ends IF x > e.t]) AS busy, [x FOR x IN f.starts IF x > e.t] AS behind FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)))
+ SELECT event_id, state FROM f""",
     "dxf_files": f"""WITH s AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, l_partkey % 6 AS fill, l_linenumber % 3 <> 0 AS ring, l_partkey % 90 AS x, l_suppkey % 80 AS y, l_partkey % 90 + l_partkey % 13 + 1 AS x2, l_suppkey % 80 + l_suppkey % 11 + 1 AS y2, CAST(4 + l_orderkey % 5 AS DOUBLE) AS wide, CAST(3 + l_orderkey % 3 AS DOUBLE) AS high, chr(10) AS t FROM lineitem),
  f AS (SELECT id, fill, {_ACI} AS aci, row_number() OVER (PARTITION BY id ORDER BY min(k)) AS n FROM s GROUP BY id, fill),
  e AS (SELECT id, wide, high, string_agg({_L('0 POLYLINE 8')} || t || 'INK_' || n || t || {_L('66 1 10 0 20 0 30 0 70')} || t || CASE WHEN ring THEN '1' ELSE '0' END || t || {_CORNER('x', 'y')} || CASE WHEN ring THEN {_CORNER('x2', 'y')} ELSE '' END || {_CORNER('x2', 'y2')} || CASE WHEN ring THEN {_CORNER('x', 'y2')} ELSE '' END || {_L('0 SEQEND 8')} || t || 'INK_' || n, chr(10) ORDER BY k) AS e FROM s JOIN f USING (id, fill) GROUP BY ALL),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stitchyard.operators.folds import folded
 from stitchyard.sources.tables import table
 
 
@@ -52,17 +53,21 @@ def split_long_stitches(spark: SparkSession, d: str) -> DataFrame:
 def drop_short_stitches(spark: SparkSession, d: str) -> DataFrame:
     """stitches under 3 from the last kept one go; other kinds restart the measure."""
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("seq")
-        keep, last = [], None
-        for kind, a, b in zip(x.kind, x.x, x.y, strict=True):
-            ok = kind != "stitch" or last is None or (a - last[0]) ** 2 + (b - last[1]) ** 2 >= 9
-            keep.append(ok)
-            if ok:
-                last = (a, b)
-        return x[keep][["design", "seq"]]
+    def begin():
+        last = None
+
+        def step(row: dict) -> tuple | None:
+            nonlocal last
+            x, y = row["x"], row["y"]
+            if row["kind"] == "stitch" and last is not None and (x - last[0]) ** 2 + (y - last[1]) ** 2 < 9:
+                return None
+            last = (x, y)
+            return row["design"], row["seq"]
+
+        return step
 
-    return stream(spark, d).groupBy("design").applyInPandas(run, "design long, seq long")
+    rows = stream(spark, d).select("design", "seq", "kind", "x", "y")
+    return folded(rows, "design", ["seq"], "design long, seq long", begin)
 
 
 def dst_delta(dx: int, dy: int, jump: bool = False, stop: bool = False) -> bytes:
@@ -134,6 +139,7 @@ QUERIES = [stitch_stream_color_index, stitch_lengths, stitch_summary, split_long
 SQL = {
     "stitch_stream_color_index": _S + " SELECT design, seq, CAST(sum(CASE WHEN kind = 'color' THEN 1 ELSE 0 END) OVER (PARTITION BY design ORDER BY seq) AS BIGINT) AS color_index FROM s",
     "stitch_lengths": _P + " SELECT design, seq, coalesce((x-px)*(x-px)+(y-py)*(y-py), 0) AS d2 FROM p",
+    "drop_short_stitches": _S.replace("WITH s", "WITH RECURSIVE s", 1) + ", k AS (SELECT design, seq, x, y, true AS kept FROM s WHERE seq = 1 UNION ALL SELECT s.design, s.seq, CASE WHEN go THEN k.x ELSE s.x END, CASE WHEN go THEN k.y ELSE s.y END, NOT go FROM k JOIN s ON s.design = k.design AND s.seq = k.seq + 1, LATERAL (SELECT s.kind = 'stitch' AND (s.x-k.x)*(s.x-k.x)+(s.y-k.y)*(s.y-k.y) < 9 AS go)) SELECT design, seq FROM k WHERE kept",
     "stitch_summary": _S + ", g AS (SELECT design, count(*) FILTER (kind='stitch') AS stitches, count(*) FILTER (kind='jump') AS jumps, count(*) FILTER (kind='trim') AS trims, count(*) FILTER (kind='color') AS colors FROM s GROUP BY 1) SELECT *, CAST(floor((stitches/750 + (6*trims+20*colors)/60)*10+0.5) AS BIGINT) AS tenths FROM g",
     "split_long_stitches": _P + ", q AS (SELECT *, CAST(CASE WHEN sqrt((x-px)*(x-px)+(y-py)*(y-py)) > 70 THEN ceil(sqrt((x-px)*(x-px)+(y-py)*(y-py))/65.0e0) ELSE 1 END AS BIGINT) AS n FROM p WHERE px IS NOT NULL), r AS (SELECT *, unnest(range(1, n+1)) AS k FROM q) SELECT design, seq, k, CAST(floor(px+(x-px)*k/n+0.5) AS BIGINT) AS x, CAST(floor(py+(y-py)*k/n+0.5) AS BIGINT) AS y FROM r",
 }

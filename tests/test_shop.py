@@ -91,12 +91,13 @@ def test_png_filters(kind):
 
 
 def test_sends():
-    assert machine.sends([0, 59, 60, 120, 180, 240, 300, 86399, 86400]) == ["sent", "wait", "sent", "sent", "sent", "sent", "full", "full", "sent"]
+    send = machine.sender()
+    assert [send(t) for t in (0, 59, 60, 120, 180, 240, 300, 86399, 86400)] == ["sent", "wait", "sent", "sent", "sent", "sent", "full", "full", "sent"]
 
 
 def test_queue():
-    got = machine.queue([0, 1, 2, 3, 10], [10, 10, 10, 10, 1], 1, 2)
-    assert got == [("run", 0), ("queue", 10), ("queue", 20), ("reject", 3), ("queue", 30)]
+    take = machine.worker(1, 2)
+    assert [take(t, w) for t, w in ((0, 10), (1, 10), (2, 10), (3, 10), (10, 1))] == [("run", 0), ("queue", 10), ("queue", 20), ("reject", 3), ("queue", 30)]
 
 
 def test_trace_jobs(spark):
