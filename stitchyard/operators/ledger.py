@@ -186,6 +186,9 @@ _FOLD = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, ro
  SELECT event_id, user_id, allowed FROM s"""
 QUERIES = [ledger_running_balance, retention_tail, throttle_window, anchored_limiter, token_bucket, order_state_machine, cache_prune_greedy]
 SQL = {
+    "token_bucket": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 / 100000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (SELECT user_id, n, event_id, t, 3e0 AS have, 59e0 AS per, true AS allowed, 0 AS retry_after FROM e WHERE n = 1 UNION ALL
+ SELECT user_id, n, event_id, t, CASE WHEN ok THEN h - 1 ELSE h END, CASE WHEN ok THEN p - 1 ELSE p END, ok, CASE WHEN ok THEN 0 ELSE greatest(1, CAST(ceil(greatest((1 - h) / 4e0, 1 - p)) AS INT)) END FROM (SELECT *, h >= 1 AND p >= 1 AS ok FROM (SELECT e.*, least(4e0, f.have + (e.t - f.t) * 4e0) AS h, least(60e0, f.per + (e.t - f.t) * 1e0) AS p FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)))
+ SELECT event_id, allowed, retry_after FROM f""",
     "ledger_running_balance": "SELECT event_id, user_id, delta, CAST(sum(delta) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM (SELECT *, CAST(CASE event_type WHEN 'purchase' THEN 10 WHEN 'error' THEN -1 ELSE 0 END AS BIGINT) AS delta FROM events)",
     "retention_tail": "SELECT user_id, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5",
     "throttle_window": "SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 1152921504606846976) >= 60000000 AS spaced, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) - 1 < 5 AS few FROM events",

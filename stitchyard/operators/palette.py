@@ -100,6 +100,11 @@ _EMB = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAS
 QUERIES = [nearest_palette_rgb, nearest_lab_de76, nearest_de2000_tiebreak, cmyk_describe, popularity_histogram, nearest_embedding, kmeans_assign_step]
 SQL = {
     "nearest_palette_rgb": _CTE + ", x AS (SELECT *, (r-pr)*(r-pr)+(g-pg)*(g-pg)+(b-pb)*(b-pb) AS d FROM p, n) SELECT p_partkey, arg_min(name, d*100+ord) AS name, CAST(min(d) AS BIGINT) AS d FROM x GROUP BY 1",
+    "nearest_de2000_tiebreak": _CTE + f""", x AS (SELECT *, {_lab_sql('r', 'g', 'b', 'u')}, {_lab_sql('pr', 'pg', 'pb', 'v')} FROM p, n), x1 AS (SELECT *, (sqrt(ua*ua+ub*ub) + sqrt(va*va+vb*vb)) / 2 AS cb FROM x), x2 AS (SELECT *, 1 + 0.5e0 * (1 - sqrt(pow(cb, 7) / (pow(cb, 7) + pow(25e0, 7)))) AS k1 FROM x1), x3 AS (SELECT *, k1*ua AS xu, k1*va AS xv, sqrt(k1*ua*k1*ua+ub*ub) AS cu, sqrt(k1*va*k1*va+vb*vb) AS cv FROM x2),
+ x4 AS (SELECT *, CASE WHEN xu = 0 AND ub = 0 THEN 0e0 ELSE degrees(atan2(ub, xu)) + CASE WHEN atan2(ub, xu) < 0 THEN 360 ELSE 0 END END AS hu, CASE WHEN xv = 0 AND vb = 0 THEN 0e0 ELSE degrees(atan2(vb, xv)) + CASE WHEN atan2(vb, xv) < 0 THEN 360 ELSE 0 END END AS hv, (ul+vl)/2 AS lm, (cu+cv)/2 AS cm FROM x3),
+ x5 AS (SELECT *, CASE WHEN cu*cv = 0 THEN 0e0 WHEN abs(hv-hu) <= 180 THEN hv-hu WHEN hv > hu THEN hv-hu-360 ELSE hv-hu+360 END AS dh, CASE WHEN cu*cv = 0 THEN hu+hv WHEN abs(hu-hv) <= 180 THEN (hu+hv)/2 WHEN hu+hv < 360 THEN (hu+hv+360)/2 ELSE (hu+hv-360)/2 END AS hm FROM x4),
+ x6 AS (SELECT *, (vl-ul) / (1 + 0.015e0*(lm-50)*(lm-50) / sqrt(20+(lm-50)*(lm-50))) AS dl, (cv-cu) / (1 + 0.045e0*cm) AS dc, 2*sqrt(cu*cv)*sin(radians(dh/2)) / (1 + 0.015e0*cm*(1 - 0.17e0*cos(radians(hm-30)) + 0.24e0*cos(radians(2*hm)) + 0.32e0*cos(radians(3*hm+6)) - 0.20e0*cos(radians(4*hm-63)))) AS dd, -sin(radians(60*exp(-((hm-275)/25)*((hm-275)/25)))) * 2 * sqrt(pow(cm, 7) / (pow(cm, 7) + pow(25e0, 7))) AS rt FROM x5),
+ y AS (SELECT p_partkey, name, ord, (ua-va)*(ua-va)+(ub-vb)*(ub-vb) AS ab, sqrt(dl*dl + dc*dc + dd*dd + rt*dc*dd) AS d FROM x6), z AS (SELECT *, min(d) OVER (PARTITION BY p_partkey) AS least_d FROM y) SELECT p_partkey, arg_min(name, {{'ab': ab, 'ord': ord}}) AS name FROM z WHERE d <= least_d + 0.5 GROUP BY 1""",
     "nearest_lab_de76": _CTE + f", x AS (SELECT *, {_lab_sql('r', 'g', 'b', 'u')}, {_lab_sql('pr', 'pg', 'pb', 'v')} FROM p, n), y AS (SELECT *, CAST(floor(sqrt((ul-vl)*(ul-vl)+(ua-va)*(ua-va)+(ub-vb)*(ub-vb))*1000+0.5) AS BIGINT) AS d FROM x) SELECT p_partkey, arg_min(name, d*100+ord) AS name, min(d) AS d FROM y GROUP BY 1",
     "cmyk_describe": _CTE + ", k AS (SELECT *, 1-greatest(r,g,b)/255.0e0 AS kk FROM p) SELECT p_partkey, printf('#%02x%02x%02x', r, g, b) AS hex, CASE WHEN kk >= 0.999 THEN 0e0 ELSE floor((1-r/255.0e0-kk)/(1-kk)*100+0.5) END AS c, CASE WHEN kk >= 0.999 THEN 0e0 ELSE floor((1-g/255.0e0-kk)/(1-kk)*100+0.5) END AS m, CASE WHEN kk >= 0.999 THEN 0e0 ELSE floor((1-b/255.0e0-kk)/(1-kk)*100+0.5) END AS y, CASE WHEN kk >= 0.999 THEN 100e0 ELSE floor(kk*100+0.5) END AS k FROM k",
     "popularity_histogram": _CTE + " SELECT CAST((r>>3)*1024+(g>>3)*32+(b>>3) AS INT) AS bin, count(*) AS n, CAST(floor(avg(r)+0.5) AS BIGINT) AS r, CAST(floor(avg(g)+0.5) AS BIGINT) AS g, CAST(floor(avg(b)+0.5) AS BIGINT) AS b FROM p GROUP BY 1",
