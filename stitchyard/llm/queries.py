@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, language_id, lm_scoring, near_dedup, packing, quality_rules, sharding, substring_dedup
+from . import centroids, chat_format, decontaminate, html_extract, language_id, lm_scoring, near_dedup, packing, quality_rules, sharding, substring_dedup, warc, whitening
 from .common import table
 
 
@@ -55,9 +55,21 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op11_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
+def op13_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_subword_lattice, op2_weighted_minhash, op3_kd_tree_shards, op4_prefix_doubling, op5_bitmask_language, op6_latent_decontamination, op7_text_ratio, op8_binary_packing, op9_event_chat, op10_rule_ledger)}
+    return {f.__name__: f for f in (op1_subword_lattice, op2_weighted_minhash, op3_kd_tree_shards, op4_prefix_doubling, op5_bitmask_language, op6_latent_decontamination, op7_text_ratio, op8_binary_packing, op9_event_chat, op10_rule_ledger, op11_annulus_clusters, op12_chunked_warc, op13_chan_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_event_chat": chat_format.ORACLE}
+    return {"op9_event_chat": chat_format.ORACLE, "op11_annulus_clusters": centroids.ORACLE, "op12_chunked_warc": warc.ORACLE}
