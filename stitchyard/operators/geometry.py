@@ -129,26 +129,6 @@ def tatami_rows(spark: SparkSession, d: str) -> DataFrame:
     return sewn.select("y", mill("u0"), "place", mill("u"))
 
 
-def _labels(spark: SparkSession) -> DataFrame:
-    return synthetic_image(spark).select("x", "y", F.floor(F.col("g") / 64).cast("int").alias("label"))
-
-
-def unit_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The unit edges between different labels: down with the right pixel on the left hand, right with the lower one."""
-    lab = _labels(spark)
-    right = lab.join(lab.select((F.col("x") - 1).alias("x"), "y", F.col("label").alias("o")), ["x", "y"]).filter("label <> o")
-    down = lab.join(lab.select("x", (F.col("y") - 1).alias("y"), F.col("label").alias("o")), ["x", "y"]).filter("label <> o")
-    e = lambda t, x, y: t.select(F.expr(x).alias("x0"), F.expr(y).alias("y0"), (F.col("x") + 1).alias("x1"), (F.col("y") + 1).alias("y1"), F.col("o").alias("l"), F.col("label").alias("r"))
-    return e(right, "x + 1", "y").union(e(down, "x", "y + 1"))
-
-
-def crack_junctions(spark: SparkSession, d: str) -> DataFrame:
-    """The corners where other than two unit edges meet; lines of edges end there."""
-    e = unit_edges(spark, d)
-    ends = e.select(F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("v"))
-    return ends.groupBy("v.x", "v.y").agg(F.count("*").alias("degree")).filter("degree <> 2")
-
-
 def exterior_paper(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of paper by whether their component reaches the border."""
     paper = synthetic_image(spark).filter("r < 96 or a = 0 and g < 200").select(F.lit(0).alias("img"), "x", "y", F.lit(1).alias("label"))
@@ -170,9 +150,8 @@ _S = "s AS (SELECT user_id AS design, CAST(row_number() OVER (PARTITION BY user_
 _O = "OVER (PARTITION BY design ORDER BY seq)"
 _PREV = f"p AS (SELECT *, lag(x) {_O} AS px, lag(y) {_O} AS py FROM s), q AS (SELECT *, CAST(floor(sqrt(CAST((x-px)*(x-px)+(y-py)*(y-py) AS DOUBLE))*1000) AS BIGINT) AS len FROM p WHERE px IS NOT NULL)"
 _RUNS = f"{IMAGE_SQL}, runs AS (SELECT y, min(x) AS first, max(x) AS last FROM (SELECT x, y, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM img WHERE r >= 128 AND a > 0) GROUP BY y, g)"
-_EDGES = f"{IMAGE_SQL}, l AS (SELECT x, y, CAST(g//64 AS INT) AS label FROM img), e AS (SELECT a.x+1 AS x0, a.y AS y0, a.x+1 AS x1, a.y+1 AS y1, b.label AS l, a.label AS r FROM l a JOIN l b ON b.x = a.x+1 AND b.y = a.y AND a.label <> b.label UNION ALL SELECT a.x, a.y+1, a.x+1, a.y+1, b.label, a.label FROM l a JOIN l b ON b.x = a.x AND b.y = a.y+1 AND a.label <> b.label)"
 _CUBE = ", ".join(f"(8-k)*(8-k)*(8-k)*{c} + 3*(8-k)*(8-k)*k*{c}1 + 3*(8-k)*k*k*{c}2 + k*k*k*{c}3 AS {c}" for c in "xy")
-QUERIES = [smooth_polyline, chaikin, resample_arc, polygon_measures, path_bounds, plotter_lines, bezier_flatten, affine_stack, bean_stitches, mask_row_runs, row_overlap, tatami_rows, unit_edges, crack_junctions, exterior_paper, sobel]
+QUERIES = [smooth_polyline, chaikin, resample_arc, polygon_measures, path_bounds, plotter_lines, bezier_flatten, affine_stack, bean_stitches, mask_row_runs, row_overlap, tatami_rows, exterior_paper, sobel]
 SQL = {
     "smooth_polyline": f"WITH {_S} SELECT design, seq, coalesce(lag(x) {_O} + 2*x + lead(x) {_O}, 4*x) AS x4, coalesce(lag(y) {_O} + 2*y + lead(y) {_O}, 4*y) AS y4 FROM s",
     "chaikin": f"WITH {_S}, p AS (SELECT *, lead(x) {_O} AS nx, lead(y) {_O} AS ny FROM s) SELECT design, seq, k, (4-k)*x+k*nx AS x4, (4-k)*y+k*ny AS y4 FROM p, (VALUES (1),(3)) t(k) WHERE nx IS NOT NULL",
@@ -186,8 +165,6 @@ SQL = {
     "mask_row_runs": f"WITH {_RUNS} SELECT y, first, last FROM runs",
     "row_overlap": f"WITH {_RUNS} SELECT a.y, a.first, a.last, b.first AS first2, b.last AS last2 FROM runs a JOIN runs b ON b.y = a.y+1 AND a.first <= b.last AND b.first <= a.last",
     "tatami_rows": f"WITH {_RUNS}, r AS (SELECT y, first*1e0 AS u0, last+1e0 AS u1, (y*2%5)/5e0 AS frac FROM runs), u AS (SELECT y, u0, u0 AS u FROM r UNION ALL SELECT y, u0, u1 FROM r UNION ALL SELECT y, u0, (k+frac)*4 FROM (SELECT *, unnest(range(CAST(ceil((u0+0.5e0)/4-frac) AS BIGINT), CAST(floor((u1-0.5e0)/4-frac) AS BIGINT)+1)) AS k FROM r)) SELECT y, CAST(floor(u0*1000+0.5e0) AS BIGINT) AS u0, CAST(row_number() OVER (PARTITION BY y, u0 ORDER BY CASE WHEN y % 2 = 0 THEN u ELSE -u END) - 1 AS INT) AS place, CAST(floor(u*1000+0.5e0) AS BIGINT) AS u FROM u",
-    "unit_edges": f"WITH {_EDGES} SELECT * FROM e",
-    "crack_junctions": f"WITH {_EDGES} SELECT x, y, count(*) AS degree FROM (SELECT x0 AS x, y0 AS y FROM e UNION ALL SELECT x1, y1 FROM e) GROUP BY x, y HAVING count(*) <> 2",
     "exterior_paper": f"WITH RECURSIVE {IMAGE_SQL}, p AS (SELECT x, y FROM img WHERE r < 96 OR a = 0 AND g < 200), reach(x, y) AS (SELECT x, y FROM p WHERE x IN (0, 47) OR y IN (0, 39) UNION SELECT p.x, p.y FROM reach q JOIN p ON abs(p.x-q.x)+abs(p.y-q.y) = 1) SELECT p.x, p.y, q.x IS NOT NULL AS outside FROM p LEFT JOIN reach q ON q.x = p.x AND q.y = p.y",
     "sobel": f"WITH {IMAGE_SQL}, o AS (SELECT i, j, i*(2-abs(j)) AS p, j*(2-abs(i)) AS q FROM (VALUES (-1),(0),(1)) a(i), (VALUES (-1),(0),(1)) b(j)), g AS (SELECT c.x, c.y, sum(n.r*p) AS gx, sum(n.r*q) AS gy FROM img c, o JOIN img n ON n.x = c.x+i AND n.y = c.y+j WHERE c.x BETWEEN 1 AND 46 AND c.y BETWEEN 1 AND 38 GROUP BY ALL) SELECT x, y, CAST(gx*gx+gy*gy AS BIGINT) AS g2 FROM g",
 }
