@@ -1,8 +1,8 @@
 """All queries of the shop-data operators and their SQL."""
 
-from stitchyard.operators import access, board, cracks, documents, geometry, images, inks, ledger, lettering, machine, palette, pricing, prints, raster, regions, rules, stitch, traces
+from stitchyard.operators import access, board, cracks, documents, geometry, images, inks, ledger, lettering, machine, palette, palettes, pricing, prints, raster, regions, rules, stitch, traces
 
-FAMILIES = (board, cracks, lettering, pricing, ledger, palette, raster, regions, stitch, geometry, rules, documents, machine, access, images, inks, prints, traces)
+FAMILIES = (board, cracks, lettering, palettes, pricing, ledger, palette, raster, regions, stitch, geometry, rules, documents, machine, access, images, inks, prints, traces)
 
 
 def queries() -> dict:
