@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stitchyard.sources import png
-from stitchyard.sources.tables import IMAGE_SQL, synthetic_image, table
+from stitchyard.operators.images import pixels
+from stitchyard.operators.raster import SHOT, shots
+from stitchyard.sources.tables import table
 
 
 #: The ends of the ticks at a sheet's corners.
@@ -16,9 +18,9 @@ MARKS_SHEET = '<svg width="{W}in" height="{H}in" viewBox="-0.25 -0.25 {W} {H}"><
 
 
 def png_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """The test image written as a PNG and read back."""
-    img = synthetic_image(spark).select(F.lit("a").alias("path"), "x", "y", *"rgba")
-    return png.pixels(png.files(img)).drop("path")
+    """Every picture written as a PNG and read back."""
+    img = pixels(shots(spark, d), *"rgba").select(F.col("id").cast("string").alias("path"), "x", "y", *"rgba")
+    return png.pixels(png.files(img)).select(F.col("path").cast("long").alias("id"), "x", "y", *"rgba")
 
 
 def _rects(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +107,7 @@ def stale_uploads(spark: SparkSession, d: str) -> DataFrame:
 _RECTS = "r AS (SELECT p_size, p_partkey, '#00' || (p_partkey % 5) || '0ff' AS fill, 'M' || (p_partkey*7%90) || ',' || (p_partkey*11%80) || 'h' || (p_partkey*3%41+1) || 'v' || (p_partkey*5%37+1) || 'h-' || (p_partkey*3%41+1) || 'z' AS path FROM part)"
 QUERIES = [png_round_trip, svg_pages, svg_layers, csv_lines, ring_nesting, job_packets, cutter_marks, status_transitions, stale_uploads]
 SQL = {
-    "png_round_trip": f"WITH {IMAGE_SQL} SELECT x, y, " + ", ".join(f"CAST({c} AS INT) AS {c}" for c in "rgba") + " FROM img",
+    "png_round_trip": f"WITH {SHOT} SELECT id, x, y, " + ", ".join(f"CAST({c} AS INT) AS {c}" for c in "rgba") + " FROM img",
     "svg_pages": f"""WITH {_RECTS}, l AS (SELECT p_size, fill, min(p_partkey) AS f, '<g fill="' || fill || '" fill-rule="evenodd"><path d="' || string_agg(path, ' ' ORDER BY p_partkey) || '"/></g>' AS t FROM r GROUP BY p_size, fill) SELECT p_size, '<svg>' || string_agg(t, '' ORDER BY f) || '</svg>' AS svg FROM l GROUP BY p_size""",
     "svg_layers": f"WITH {_RECTS}, l AS (SELECT p_size, fill, min(p_partkey) AS f, count(*) AS subpaths FROM r GROUP BY p_size, fill) SELECT p_size, CAST(row_number() OVER (PARTITION BY p_size ORDER BY f) - 1 AS INT) AS layer, fill, subpaths FROM l",
     "csv_lines": """WITH n AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 3 = 0 THEN p_name || ', "' || p_brand || '"' ELSE p_name END AS name FROM part) SELECT p_partkey, (p_partkey % 12) || ',' || p_size || ',' || CASE WHEN regexp_matches(name, '[",\n]') THEN '"' || replace(name, '"', '""') || '"' ELSE name END AS line FROM n""",

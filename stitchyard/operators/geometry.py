@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stitchyard.operators.regions import components
+from stitchyard.operators.images import pictures, pixels
+from stitchyard.operators.raster import NINE, SHOT, beside
+from stitchyard.operators.regions import components, reach_sql, row_runs
 from stitchyard.operators.stitch import order, stream
-from stitchyard.sources.tables import IMAGE_SQL, synthetic_image
 
 #: Tenths of a sewing line between two samples, and their thousandths.
 STEP = 25
@@ -97,59 +98,54 @@ def bean_stitches(spark: SparkSession, d: str) -> DataFrame:
     return p.select("design", "seq", F.posexplode(three).alias("k", "p")).select("design", "seq", "k", "p.x", "p.y")
 
 
-def _stripes(spark: SparkSession) -> DataFrame:
-    return synthetic_image(spark).filter("r >= 128 and a > 0")
-
-
-def row_runs(mask: DataFrame) -> DataFrame:
-    """The runs of neighbouring pixels of each row: y, first and last x."""
-    return mask.withColumn("g", F.expr("x - row_number() over (partition by y order by x)")).groupBy("y", "g").agg(F.min("x").alias("first"), F.max("x").alias("last")).drop("g")
+def _stripes(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of the bright part of every picture's mask."""
+    return row_runs(pixels(pictures(spark, d), "r", "inside").filter("r >= 128 and inside = 1").withColumn("label", F.lit(0))).drop("label")
 
 
 def mask_row_runs(spark: SparkSession, d: str) -> DataFrame:
-    """W14 on the stripes of the disc."""
-    return row_runs(_stripes(spark))
+    """W14 on the bright part of the masks."""
+    return _stripes(spark, d)
 
 
 def row_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Runs of a row that overlap runs of the next one."""
-    runs = row_runs(_stripes(spark))
-    below = runs.select((F.col("y") - 1).alias("y"), F.col("first").alias("first2"), F.col("last").alias("last2"))
-    return runs.join(below, "y").filter("first <= last2 and first2 <= last")
+    runs = _stripes(spark, d)
+    below = runs.select("id", (F.col("y") - 1).alias("y"), F.col("first").alias("first2"), F.col("last").alias("last2"))
+    return runs.join(below, ["id", "y"]).filter("first <= last2 and first2 <= last")
 
 
 def tatami_rows(spark: SparkSession, d: str) -> DataFrame:
     """Needle places of each run, in thousandths: its ends, and between them a lattice of 4 whose phase goes round in five rows; odd rows are sewn backwards."""
-    r = row_runs(_stripes(spark)).select("y", F.col("first").cast("double").alias("u0"), (F.col("last") + 1.0).alias("u1"), (F.col("y") * 2 % 5 / 5.0).alias("frac"))
+    r = _stripes(spark, d).select("id", "y", F.col("first").cast("double").alias("u0"), (F.col("last") + 1.0).alias("u1"), (F.col("y") * 2 % 5 / 5.0).alias("frac"))
     r = r.withColumns({"k0": F.ceil((F.col("u0") + 0.5) / 4 - F.col("frac")), "k1": F.floor((F.col("u1") - 0.5) / 4 - F.col("frac"))})
     mids = F.when(F.col("k1") >= F.col("k0"), F.expr("transform(sequence(k0, k1), k -> (k + frac) * 4)")).otherwise(F.expr("cast(array() as array<double>)"))
     line = F.concat(F.array("u0"), mids, F.array("u1"))
-    sewn = r.select("y", "u0", F.posexplode(F.when(F.col("y") % 2 == 0, line).otherwise(F.reverse(line))).alias("place", "u"))
+    sewn = r.select("id", "y", "u0", F.posexplode(F.when(F.col("y") % 2 == 0, line).otherwise(F.reverse(line))).alias("place", "u"))
     mill = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c)
-    return sewn.select("y", mill("u0"), "place", mill("u"))
+    return sewn.select("id", "y", mill("u0"), "place", mill("u"))
 
 
 def exterior_paper(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of paper by whether their component reaches the border."""
-    paper = synthetic_image(spark).filter("r < 96 or a = 0 and g < 200").select(F.lit(0).alias("img"), "x", "y", F.lit(1).alias("label"))
-    found = components(paper)
-    rim = F.max((F.col("x").isin(0, 47) | F.col("y").isin(0, 39)).cast("int")) == 1
-    return found.join(found.groupBy("comp").agg(rim.alias("outside")), "comp").select("x", "y", "outside")
+    paper = pixels(pictures(spark, d), "r", "g", "inside").filter("r < 96 or inside = 0 and g < 200").withColumn("label", F.lit(1))
+    found = components(paper, "paper")
+    rim = F.max(F.expr("x in (0, w - 1) or y in (0, h - 1)"))
+    return found.join(found.groupBy("id", "comp").agg(rim.alias("outside")), ["id", "comp"]).select("id", "x", "y", "outside")
 
 
 def sobel(spark: SparkSession, d: str) -> DataFrame:
     """The squared gradient of the red channel, away from the rim."""
-    w = [(i, j, i * (2 - abs(j)), j * (2 - abs(i))) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
-    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijpq", s, strict=True)]) for s in w]))
-    near = synthetic_image(spark).select("x", "y", "r").withColumn("s", steps)
-    g = near.groupBy((F.col("x") - F.col("s.i")).alias("x"), (F.col("y") - F.col("s.j")).alias("y")).agg(F.sum(F.col("r") * F.col("s.p")).alias("gx"), F.sum(F.col("r") * F.col("s.q")).alias("gy"))
-    return g.filter("x between 1 and 46 and y between 1 and 38").select("x", "y", (F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("long").alias("g2"))
+    v = pixels(pictures(spark, d).withColumn("v", beside("r", NINE)), "v").filter("x between 1 and w - 2 and y between 1 and h - 2")
+    total = lambda w: sum((F.col("v")[k] * w(*at) for k, at in enumerate(NINE) if w(*at)), F.lit(0))
+    gx, gy = total(lambda i, j: i * (2 - abs(j))), total(lambda i, j: j * (2 - abs(i)))
+    return v.select("id", "x", "y", gx.alias("gx"), gy.alias("gy")).select("id", "x", "y", (F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("long").alias("g2"))
 
 
 _S = "s AS (SELECT user_id AS design, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, CAST(floor(coalesce(value, 0)) AS BIGINT) AS x, CAST(event_id % 97 AS BIGINT) AS y FROM events)"
 _O = "OVER (PARTITION BY design ORDER BY seq)"
 _PREV = f"p AS (SELECT *, lag(x) {_O} AS px, lag(y) {_O} AS py FROM s), q AS (SELECT *, CAST(floor(sqrt(CAST((x-px)*(x-px)+(y-py)*(y-py) AS DOUBLE))*1000) AS BIGINT) AS len FROM p WHERE px IS NOT NULL)"
-_RUNS = f"{IMAGE_SQL}, runs AS (SELECT y, min(x) AS first, max(x) AS last FROM (SELECT x, y, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM img WHERE r >= 128 AND a > 0) GROUP BY y, g)"
+_RUNS = f"{SHOT}, runs AS (SELECT id, y, min(x) AS first, max(x) AS last FROM (SELECT id, x, y, x - row_number() OVER (PARTITION BY id, y ORDER BY x) AS g FROM img WHERE r >= 128 AND a > 0) GROUP BY id, y, g)"
 _CUBE = ", ".join(f"(8-k)*(8-k)*(8-k)*{c} + 3*(8-k)*(8-k)*k*{c}1 + 3*(8-k)*k*k*{c}2 + k*k*k*{c}3 AS {c}" for c in "xy")
 QUERIES = [smooth_polyline, chaikin, resample_arc, polygon_measures, path_bounds, plotter_lines, bezier_flatten, affine_stack, bean_stitches, mask_row_runs, row_overlap, tatami_rows, exterior_paper, sobel]
 SQL = {
@@ -162,9 +158,9 @@ SQL = {
     "bezier_flatten": f"WITH {_S}, p AS (SELECT *, " + ", ".join(f"lead({c}, {i}) {_O} AS {c}{i}" for c in "xy" for i in (1, 2, 3)) + f" FROM s) SELECT design, seq, k, {_CUBE} FROM p, range(9) t(k) WHERE seq % 3 = 1 AND x3 IS NOT NULL",
     "affine_stack": f"WITH {_S} SELECT design, seq, 5*seq-(1+seq%3)*y AS x, (1+seq%3)*x-seq AS y FROM s",
     "bean_stitches": f"WITH {_S}, p AS (SELECT *, lag(x) {_O} AS px, lag(y) {_O} AS py FROM s) SELECT design, seq, CAST(k AS INT) AS k, CASE k WHEN 1 THEN px ELSE x END AS x, CASE k WHEN 1 THEN py ELSE y END AS y FROM p, range(3) t(k) WHERE k = 0 OR seq > 1",
-    "mask_row_runs": f"WITH {_RUNS} SELECT y, first, last FROM runs",
-    "row_overlap": f"WITH {_RUNS} SELECT a.y, a.first, a.last, b.first AS first2, b.last AS last2 FROM runs a JOIN runs b ON b.y = a.y+1 AND a.first <= b.last AND b.first <= a.last",
-    "tatami_rows": f"WITH {_RUNS}, r AS (SELECT y, first*1e0 AS u0, last+1e0 AS u1, (y*2%5)/5e0 AS frac FROM runs), u AS (SELECT y, u0, u0 AS u FROM r UNION ALL SELECT y, u0, u1 FROM r UNION ALL SELECT y, u0, (k+frac)*4 FROM (SELECT *, unnest(range(CAST(ceil((u0+0.5e0)/4-frac) AS BIGINT), CAST(floor((u1-0.5e0)/4-frac) AS BIGINT)+1)) AS k FROM r)) SELECT y, CAST(floor(u0*1000+0.5e0) AS BIGINT) AS u0, CAST(row_number() OVER (PARTITION BY y, u0 ORDER BY CASE WHEN y % 2 = 0 THEN u ELSE -u END) - 1 AS INT) AS place, CAST(floor(u*1000+0.5e0) AS BIGINT) AS u FROM u",
-    "exterior_paper": f"WITH RECURSIVE {IMAGE_SQL}, p AS (SELECT x, y FROM img WHERE r < 96 OR a = 0 AND g < 200), reach(x, y) AS (SELECT x, y FROM p WHERE x IN (0, 47) OR y IN (0, 39) UNION SELECT p.x, p.y FROM reach q JOIN p ON abs(p.x-q.x)+abs(p.y-q.y) = 1) SELECT p.x, p.y, q.x IS NOT NULL AS outside FROM p LEFT JOIN reach q ON q.x = p.x AND q.y = p.y",
-    "sobel": f"WITH {IMAGE_SQL}, o AS (SELECT i, j, i*(2-abs(j)) AS p, j*(2-abs(i)) AS q FROM (VALUES (-1),(0),(1)) a(i), (VALUES (-1),(0),(1)) b(j)), g AS (SELECT c.x, c.y, sum(n.r*p) AS gx, sum(n.r*q) AS gy FROM img c, o JOIN img n ON n.x = c.x+i AND n.y = c.y+j WHERE c.x BETWEEN 1 AND 46 AND c.y BETWEEN 1 AND 38 GROUP BY ALL) SELECT x, y, CAST(gx*gx+gy*gy AS BIGINT) AS g2 FROM g",
+    "mask_row_runs": f"WITH {_RUNS} SELECT id, y, first, last FROM runs",
+    "row_overlap": f"WITH {_RUNS} SELECT a.id, a.y, a.first, a.last, b.first AS first2, b.last AS last2 FROM runs a JOIN runs b ON b.id = a.id AND b.y = a.y+1 AND a.first <= b.last AND b.first <= a.last",
+    "tatami_rows": f"WITH {_RUNS}, r AS (SELECT id, y, first*1e0 AS u0, last+1e0 AS u1, (y*2%5)/5e0 AS frac FROM runs), u AS (SELECT id, y, u0, u0 AS u FROM r UNION ALL SELECT id, y, u0, u1 FROM r UNION ALL SELECT id, y, u0, (k+frac)*4 FROM (SELECT *, unnest(range(CAST(ceil((u0+0.5e0)/4-frac) AS BIGINT), CAST(floor((u1-0.5e0)/4-frac) AS BIGINT)+1)) AS k FROM r)) SELECT id, y, CAST(floor(u0*1000+0.5e0) AS BIGINT) AS u0, CAST(row_number() OVER (PARTITION BY id, y, u0 ORDER BY CASE WHEN y % 2 = 0 THEN u ELSE -u END) - 1 AS INT) AS place, CAST(floor(u*1000+0.5e0) AS BIGINT) AS u FROM u",
+    "exterior_paper": f"WITH RECURSIVE {SHOT}, p AS MATERIALIZED (SELECT id, w, h, x, y, 1 AS label FROM img WHERE r < 96 OR a = 0 AND g < 200), {reach_sql('p')} SELECT id, x, y, bool_or(x IN (0, w-1) OR y IN (0, h-1)) OVER (PARTITION BY id, comp) AS outside FROM found",
+    "sobel": f"WITH {SHOT}, o AS (SELECT i, j, i*(2-abs(j)) AS p, j*(2-abs(i)) AS q FROM (VALUES (-1),(0),(1)) a(i), (VALUES (-1),(0),(1)) b(j)), g AS (SELECT c.id, c.x, c.y, sum(n.r*p) AS gx, sum(n.r*q) AS gy FROM img c, o JOIN img n ON n.id = c.id AND n.x = c.x+i AND n.y = c.y+j WHERE c.x BETWEEN 1 AND c.w-2 AND c.y BETWEEN 1 AND c.h-2 GROUP BY ALL) SELECT id, x, y, CAST(gx*gx+gy*gy AS BIGINT) AS g2 FROM g",
 }

@@ -61,16 +61,19 @@ def stone_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def halftone_am(spark: SparkSession, d: str) -> DataFrame:
-    """A dot for each cell of 4; colour and darkness at five points, weighted by alpha, nearly clear points left out."""
+    """A dot for each cell of 4; colour and darkness at five points, weighted by alpha, nearly clear points left out.
+
+    Sums are of whole numbers, and a colour is rounded without a quotient, so that no order of the points matters.
+    """
     p = pictures(spark, d).withColumn("a", F.expr("transform(sequence(0, w * h - 1), i -> (i * 37 + id) % 256)"))
     cells = p.withColumn("cx", F.explode(F.expr("sequence(0, w div 4 - 1)"))).withColumn("cy", F.explode(F.expr("sequence(0, h div 4 - 1)")))
     at = [f"(cy * 4 + {2 + dy}) * w + cx * 4 + {2 + dx}" for dx, dy in ((0, 0), (-1, -1), (1, -1), (-1, 1), (1, 1))]
-    five = F.expr("array(" + ", ".join(f"struct(r[{i}] as r, g[{i}] as g, b[{i}] as b, a[{i}] / 255.0D as a)" for i in at) + ")")
-    s = cells.select("id", "cx", "cy", F.filter(five, lambda q: q.a >= 0.04).alias("s"))
-    total = lambda f: F.aggregate("s", F.lit(0.0), lambda acc, q: acc + f(q))
-    dark = total(lambda q: (1 - color.luma(q.r, q.g, q.b) / 255.0) * q.a) / F.size("s")
-    out = s.filter(F.size("s") > 0).select("id", "cx", "cy", *[F.floor(total(lambda q, c=c: q[c] * q.a) / total(lambda q: q.a) + 0.5).cast("long").alias(c) for c in "rgb"], dark.alias("t"))
-    return out.select("id", "cx", "cy", "r", "g", "b", F.floor(0.48 * 4 * F.sqrt(F.greatest("t", F.lit(0.0))) * 1000 + 0.5).cast("long").alias("radius"))
+    five = F.expr("array(" + ", ".join(f"struct(r[{i}] as r, g[{i}] as g, b[{i}] as b, a[{i}] as a)" for i in at) + ")")
+    s = cells.select("id", "cx", "cy", F.filter(five, lambda q: q.a * 25 >= 255).alias("s"))
+    total = lambda f: F.aggregate("s", F.lit(0).cast("long"), lambda acc, q: acc + f(q))
+    s = s.filter(F.size("s") > 0).select("id", "cx", "cy", F.size("s").alias("n"), total(lambda q: q.a).alias("a"), *[total(lambda q, c=c: q[c] * q.a).alias(c) for c in "rgb"], total(lambda q: (255000 - 299 * q.r - 587 * q.g - 114 * q.b) * q.a).alias("dark"))
+    dot = F.floor(F.sqrt(F.col("dark") / (F.col("n") * 65025000.0)) * 1920 + 0.5).cast("long").alias("radius")
+    return s.select("id", "cx", "cy", *[F.expr(f"(2 * {c} + a) div (2 * a)").alias(c) for c in "rgb"], dot)
 
 
 def junk_score(spark: SparkSession, d: str) -> DataFrame:
@@ -211,7 +214,7 @@ _STEP = 3 / 1.4 * 2.95
 _M = "CAST(floor({0}*1000+0.5) AS BIGINT) AS {0}"
 SQL = {
     "stone_pack": f"WITH {_IMG}, c AS (SELECT id, w, h, CAST(i AS INT) AS i, CAST(j AS INT) AS j, 3+(j%2)*{_STEP / 2!r}e0+i*{_STEP!r}e0 AS px, 3+j*{_STEP * math.sqrt(3) / 2!r}e0 AS py FROM im, range(8) a(i), range(8) b(j)) SELECT id, i, j FROM c WHERE px <= w-3+1e-9 AND py <= h-3+1e-9 AND EXISTS (SELECT 1 FROM img p, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(dx, dy) WHERE p.id = c.id AND inside AND p.x = floor(px+dx+0.5) AND p.y = floor(py+dy+0.5))",
-    "halftone_am": f"WITH {_IMG}, o AS (SELECT * FROM (VALUES (0,0),(-1,-1),(1,-1),(-1,1),(1,1)) o(dx, dy)), s AS (SELECT id, CAST((x-2-dx)//4 AS INT) AS cx, CAST((y-2-dy)//4 AS INT) AS cy, r, g, b, ((y*w+x)*37+id)%256/255e0 AS a, w, h FROM img, o WHERE (x-2-dx)%4 = 0 AND (y-2-dy)%4 = 0), m AS (SELECT id, cx, cy, sum(r*a)/sum(a) AS r, sum(g*a)/sum(a) AS g, sum(b*a)/sum(a) AS b, sum((1-(0.299e0*r+0.587e0*g+0.114e0*b)/255e0)*a)/count(*) AS t FROM s WHERE a >= 0.04 AND cx BETWEEN 0 AND w//4-1 AND cy BETWEEN 0 AND h//4-1 GROUP BY ALL) SELECT id, cx, cy, CAST(floor(r+0.5) AS BIGINT) AS r, CAST(floor(g+0.5) AS BIGINT) AS g, CAST(floor(b+0.5) AS BIGINT) AS b, CAST(floor(0.48e0*4*sqrt(greatest(t, 0))*1000+0.5) AS BIGINT) AS radius FROM m",
+    "halftone_am": f"WITH {_IMG}, o AS (SELECT * FROM (VALUES (0,0),(-1,-1),(1,-1),(-1,1),(1,1)) o(dx, dy)), s AS (SELECT id, CAST((x-2-dx)//4 AS INT) AS cx, CAST((y-2-dy)//4 AS INT) AS cy, r, g, b, ((y*w+x)*37+id)%256 AS a, w, h FROM img, o WHERE (x-2-dx)%4 = 0 AND (y-2-dy)%4 = 0), m AS (SELECT id, cx, cy, sum(a) AS a, sum(r*a) AS r, sum(g*a) AS g, sum(b*a) AS b, count(*) AS n, sum((255000-299*r-587*g-114*b)*a) AS dark FROM s WHERE a*25 >= 255 AND cx BETWEEN 0 AND w//4-1 AND cy BETWEEN 0 AND h//4-1 GROUP BY ALL) SELECT id, cx, cy, CAST((2*r+a)//(2*a) AS BIGINT) AS r, CAST((2*g+a)//(2*a) AS BIGINT) AS g, CAST((2*b+a)//(2*a) AS BIGINT) AS b, CAST(floor(sqrt(CAST(dark AS DOUBLE)/(n*65025000e0))*1920+0.5e0) AS BIGINT) AS radius FROM m",
     "junk_score": f"WITH {_IMG}, s AS (SELECT id, count(DISTINCT (r//8)*1024+(g//8)*32+b//8) AS bins, count(*) AS n FROM img GROUP BY id) SELECT id, bins, CAST(floor(bins*1000e0/n*1000+0.5) AS BIGINT) AS score, CASE WHEN bins < 180 AND bins*1000e0/n < 6 THEN 'none' WHEN bins*1000e0/n >= 12 THEN 'strong' ELSE 'median' END AS smoothing FROM s",
     "mode_protected": f"WITH {_IMG}, z AS (SELECT id, w, h, x, y, greatest(label, 0) AS label FROM img), {_EDGE.format('z')}, f AS (SELECT id, x, y, any_value(c) AS c, count(*) FILTER (l = c AND abs(i)+abs(j) = 1) AS f, count(*) FILTER (l = c AND abs(i)+abs(j) = 2) AS g FROM nb GROUP BY ALL), v AS (SELECT id, x, y, l, count(*) AS n FROM nb GROUP BY ALL), m AS (SELECT id, x, y, max(n) AS n, arg_max(l, n*10-l) AS l FROM v GROUP BY ALL) SELECT id, x, y, CAST(CASE WHEN f < 2 AND g < 2 AND n >= 5 THEN l ELSE c END AS INT) AS label FROM f JOIN m USING (id, x, y)",
     "boundary_vote": f"WITH {_IMG}, {_PAL}, {_EDGE.format('img')}, five AS (SELECT * FROM nb WHERE abs(i)+abs(j) <= 1), d AS (SELECT id, x, y, any_value(c) AS c, count(*) FILTER (l <> c) AS other FROM five GROUP BY ALL), v AS (SELECT id, x, y, l, count(*) AS n FROM five WHERE l >= 0 GROUP BY ALL), s AS (SELECT v.*, n*1000e0-(0.299e0*pr+0.587e0*pg+0.114e0*pb) AS score FROM v JOIN pal ON pal.id = v.id AND ink = l), m AS (SELECT id, x, y, arg_max(l, score) AS l FROM s GROUP BY ALL) SELECT id, x, y, CAST(CASE WHEN other > 0 AND m.l IS NOT NULL THEN m.l ELSE c END AS INT) AS label FROM d LEFT JOIN m USING (id, x, y)",

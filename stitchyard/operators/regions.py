@@ -1,106 +1,106 @@
-"""Regions of a labelled image: components, despeckling, tiny colours, resampling and halftone lines."""
+"""Regions of labelled images: components, despeckling, tiny colours, resampling and halftone lines.
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+Components join runs of a row with runs of the next, not pixels: an image has few runs, and none of its rows is walked
+in a task.
+"""
 
-from stitchyard.functions import color
-from stitchyard.operators.raster import around
-from stitchyard.sources.tables import IMAGE_SQL, synthetic_image
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-LABELLED = "img int, x int, y int, label int, comp long"
+from stitchyard.functions import color, steps
+from stitchyard.operators.images import pictures, pixels
+from stitchyard.operators.raster import NINE, SHOT, beside
 
 
-def labels(spark: SparkSession) -> DataFrame:
-    """The test image in stripes and, over them, a sprinkle of single pixels."""
-    img = synthetic_image(spark)
-    speck = (F.col("x") * 7 + F.col("y") * 11) % 53 == 0
-    return img.select(F.lit(0).alias("img"), "x", "y", F.when(speck, 9).otherwise(F.floor(F.col("r") / 64)).cast("int").alias("label"))
+def striped(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures in stripes and, over them, a sprinkle of single pixels, as ``stripe``."""
+    return pictures(spark, d).withColumn("stripe", F.expr("transform(r, (v, i) -> if((i % w * 7 + i div w * 11) % 53 = 0, 9, v div 64))"))
 
 
-def component_grid(label: np.ndarray) -> np.ndarray:
-    """4-connected components of a label grid, each named by its smallest index; labels below 0 are no pixels."""
-    own = np.arange(label.size).reshape(label.shape)
-    same = [(label[1:] == label[:-1]) & (label[1:] >= 0), (label[:, 1:] == label[:, :-1]) & (label[:, 1:] >= 0)]
-    while True:
-        was = own.copy()
-        for a, b, m in ((own[1:], own[:-1], same[0]), (own[:, 1:], own[:, :-1], same[1])):
-            low = np.minimum(a, b)
-            np.minimum(a, low, out=a, where=m)
-            np.minimum(b, low, out=b, where=m)
-        own = own.ravel()[own]  # a name's own name: long ways need few rounds
-        if (own == was).all():
-            return own
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(striped(spark, d), "stripe").withColumnRenamed("stripe", "label")
 
 
-def components(pixels: DataFrame) -> DataFrame:
-    """(img, x, y, label) with ``comp``, the smallest y * width + x of the pixel's component; an image is one task's."""
+def row_runs(px: DataFrame) -> DataFrame:
+    """(id, y, label, first, last): the runs of neighbouring pixels of one label in each row of (id, x, y, label)."""
+    run = F.col("x") - F.row_number().over(Window.partitionBy("id", "y", "label").orderBy("x"))
+    return px.withColumn("g", run).groupBy("id", "y", "label", "g").agg(F.min("x").alias("first"), F.max("x").alias("last")).drop("g")
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(p.x.max()) + 1, int(p.y.max()) + 1
-        grid = np.full((h, w), -1, np.int64)
-        grid[p.y, p.x] = p.label
-        return p.assign(comp=component_grid(grid)[p.y, p.x])[["img", "x", "y", "label", "comp"]]
 
-    return pixels.groupBy("img").applyInPandas(run, LABELLED)
+def components(px: DataFrame, tag: str) -> DataFrame:
+    """(id, w, h, x, y, label) with ``comp``, the smallest y * w + x of the pixel's 4-connected component of its label."""
+    size = px.groupBy("id").agg(F.first("w").alias("w"))
+    runs = steps.written(row_runs(px).join(size, "id").withColumn("node", F.expr("cast(y * w + first as bigint)")), f"{tag}_runs")
+    below = runs.select("id", (F.col("y") - 1).alias("y"), "label", F.col("first").alias("first2"), F.col("last").alias("last2"), F.col("node").alias("b"))
+    edges = runs.join(below, ["id", "y", "label"]).filter("first <= last2 and first2 <= last").select("id", F.col("node").alias("a"), "b")
+    named = runs.join(steps.components(edges, "id", tag), ["id", "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
+    whole = named.select("id", "y", "label", "comp", F.explode(F.sequence("first", "last")).alias("x"))
+    return px.join(whole, ["id", "x", "y", "label"])
 
 
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    """Components with area, bounding box and the number of pixels on the image's border."""
-    edge = (F.col("x").isin(0, 47) | F.col("y").isin(0, 39)).cast("long")
+    """Components with area, bounding box, centroid in thousandths and the number of pixels on the image's border."""
+    edge = F.expr("cast(x in (0, w - 1) or y in (0, h - 1) as bigint)")
     box = [f(c).alias(f"{n}{c}") for c in "xy" for f, n in ((F.min, "min_"), (F.max, "max_"))]
-    return components(labels(spark)).groupBy("comp", "label").agg(F.count("*").alias("area"), *box, F.sum(edge).alias("border"))
+    mid = [steps.thousandths(F.avg(c)).alias(f"mid_{c}") for c in "xy"]
+    return components(labels(spark, d), "stripes").groupBy("id", "comp", "label").agg(F.count("*").alias("area"), *box, *mid, F.sum(edge).alias("border"))
 
 
 def despeckle(spark: SparkSession, d: str) -> DataFrame:
     """Components under four pixels take the label most of their neighbours have, the lowest on ties."""
-    found = components(labels(spark))
-    small = found.groupBy("comp").agg(F.count("*").alias("n")).filter("n < 4").select("comp")
+    found = steps.written(components(labels(spark, d), "specks"), "specks")
+    small = found.groupBy("id", "comp").agg(F.count("*").alias("n")).filter("n < 4").select("id", "comp")
     four = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
-    near = found.withColumn("s", four).select((F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), F.col("label").alias("other"), F.col("comp").alias("oc"))
-    votes = found.join(small, "comp").join(near, ["x", "y"]).filter("oc <> comp").groupBy("comp", "other").agg(F.count("*").alias("n"))
-    best = votes.groupBy("comp").agg(F.max(F.struct("n", (-F.col("other")).alias("l"))).alias("m"))
-    return found.join(best, "comp", "left").select("x", "y", F.coalesce(-F.col("m.l"), F.col("label")).cast("int").alias("label"))
+    near = found.withColumn("s", four).select("id", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), F.col("label").alias("other"), F.col("comp").alias("oc"))
+    votes = found.join(small, ["id", "comp"]).join(near, ["id", "x", "y"]).filter("oc <> comp").groupBy("id", "comp", "other").agg(F.count("*").alias("n"))
+    best = votes.groupBy("id", "comp").agg(F.max(F.struct("n", (-F.col("other")).alias("l"))).alias("m"))
+    return found.join(best, ["id", "comp"], "left").select("id", "x", "y", F.coalesce(-F.col("m.l"), F.col("label")).cast("int").alias("label"))
 
 
 def tiny_colors(spark: SparkSession, d: str) -> DataFrame:
     """Labels by share of the pixels, with those under half a percent marked."""
-    n = labels(spark).groupBy("label").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    return n.join(F.broadcast(total)).select("label", "n", (F.col("n") * 200 < F.col("total")).alias("tiny"))
+    n = labels(spark, d).groupBy("id", "label").agg(F.count("*").alias("n"), F.first(F.col("w") * F.col("h")).alias("total"))
+    return n.select("id", "label", "n", (F.col("n") * 200 < F.col("total")).alias("tiny"))
 
 
 def resample_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The image at 30 x 25 by nearest pixels."""
-    at = spark.range(750).select((F.col("id") % 30).cast("int").alias("tx"), F.floor(F.col("id") / 30).cast("int").alias("ty"))
-    source = at.select("tx", "ty", F.floor((F.col("tx") + 0.5) * 48 / 30).cast("int").alias("x"), F.floor((F.col("ty") + 0.5) * 40 / 25).cast("int").alias("y"))
-    return source.join(synthetic_image(spark), ["x", "y"]).select("tx", "ty", *[F.col(c).cast("int").alias(c) for c in "rgb"])
+    """Every image at 30 x 25 by nearest pixels."""
+    at = pictures(spark, d).withColumn("i", F.expr("transform(sequence(0, 749), t -> cast(floor((t div 30 + 0.5D) * h / 25) * w + floor((t % 30 + 0.5D) * w / 30) as int))"))
+    new = at.select("id", *[F.expr(f"transform(i, k -> {c}[k])").alias(c) for c in "rgb"])
+    p = new.select("id", F.posexplode(F.arrays_zip("r", "g", "b")).alias("t", "q"))
+    return p.select("id", F.expr("t % 30").alias("tx"), F.expr("cast(t div 30 as int)").alias("ty"), "q.r", "q.g", "q.b")
 
 
 def halftone_lines(spark: SparkSession, d: str) -> DataFrame:
-    """For each row of cells, the runs of neighbouring cells darker than 450 thousandths: first and last cell, mean darkness in thousandths."""
-    dark = synthetic_image(spark).select(F.floor(F.col("x") / 4).cast("int").alias("cx"), F.floor(F.col("y") / 4).cast("int").alias("cy"), (1000 - F.floor(color.luma(F.col("r"), F.col("g"), F.col("b")) * 1000 / 255)).cast("long").alias("t"))
-    cells = dark.groupBy("cx", "cy").agg(F.floor(F.sum("t") / 16).cast("long").alias("t")).filter("t > 450")
-    run = F.expr("cx - row_number() over (partition by cy order by cx)")
-    return cells.withColumn("k", run).groupBy("cy", "k").agg(F.min("cx").alias("first"), F.max("cx").alias("last"), F.floor(F.avg("t")).cast("long").alias("t")).drop("k")
+    """For each row of whole cells of 4, the runs of neighbouring cells darker than 450 thousandths: first and last cell, mean darkness in thousandths."""
+    dark = pixels(pictures(spark, d), "r", "g", "b").filter("x < w - w % 4 and y < h - h % 4")
+    dark = dark.select("id", F.expr("cast(x div 4 as int)").alias("cx"), F.expr("cast(y div 4 as int)").alias("cy"), (1000 - F.floor(color.luma(F.col("r"), F.col("g"), F.col("b")) * 1000 / 255)).cast("long").alias("t"))
+    cells = dark.groupBy("id", "cx", "cy").agg(F.floor(F.sum("t") / 16).cast("long").alias("t")).filter("t > 450")
+    run = F.expr("cx - row_number() over (partition by id, cy order by cx)")
+    return cells.withColumn("k", run).groupBy("id", "cy", "k").agg(F.min("cx").alias("first"), F.max("cx").alias("last"), F.floor(F.avg("t")).cast("long").alias("t")).drop("k")
 
 
 def smooth_labels(spark: SparkSession, d: str) -> DataFrame:
-    """W04 on the labels: how many different labels meet around a pixel."""
-    return around(labels(spark), "label").groupBy("x", "y").agg(F.count_distinct("label").alias("kinds"))
+    """W04 on the stripes: how many different labels meet around a pixel."""
+    v = pixels(striped(spark, d).withColumn("v", beside("stripe", NINE)), "v")
+    return v.select("id", "x", "y", F.size(F.array_distinct(F.array_compact("v"))).cast("long").alias("kinds"))
+
+
+_LAB = f"{SHOT}, lab AS MATERIALIZED (SELECT id, w, h, x, y, CAST(CASE WHEN (x*7+y*11)%53 = 0 THEN 9 ELSE r//64 END AS INT) AS label FROM img)"
+
+
+def reach_sql(source: str) -> str:
+    """SQL: ``found``, the pixels (id, w, h, x, y, label) of ``source`` with their components."""
+    return f"""e AS MATERIALIZED (SELECT a.id, a.y*a.w+a.x AS p, b.y*b.w+b.x AS q FROM {source} a JOIN {source} b ON a.id = b.id AND a.label = b.label AND abs(a.x-b.x)+abs(a.y-b.y) = 1), reach(id, o, p) AS (SELECT id, y*w+x, y*w+x FROM {source} UNION SELECT r.id, r.o, e.q FROM reach r JOIN e ON e.id = r.id AND e.p = r.p AND e.q > r.o),
+ comp AS (SELECT id, p, min(o) AS comp FROM reach GROUP BY ALL), found AS MATERIALIZED (SELECT s.*, CAST(comp AS BIGINT) AS comp FROM {source} s JOIN comp ON comp.id = s.id AND comp.p = y*w+x)"""
 
 
-_LAB = f"{IMAGE_SQL}, lab AS (SELECT x, y, CAST(CASE WHEN (x*7+y*11)%53 = 0 THEN 9 ELSE r//64 END AS INT) AS label FROM img)"
-_REACH = f"""WITH RECURSIVE {_LAB}, e AS (SELECT a.y*48+a.x AS p, b.y*48+b.x AS q FROM lab a JOIN lab b ON a.label = b.label AND abs(a.x-b.x)+abs(a.y-b.y) = 1),
- reach(p, q) AS (SELECT y*48+x, y*48+x FROM lab UNION SELECT reach.p, e.q FROM reach JOIN e ON e.p = reach.q),
- comp AS (SELECT q AS p, min(p) AS comp FROM reach GROUP BY q), found AS (SELECT x, y, label, CAST(comp AS BIGINT) AS comp FROM lab JOIN comp ON comp.p = y*48+x)"""
 QUERIES = [connected_components, despeckle, tiny_colors, resample_nearest, halftone_lines, smooth_labels]
 SQL = {
-    "connected_components": f"{_REACH} SELECT comp, label, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) FILTER (x IN (0, 47) OR y IN (0, 39)) AS border FROM found GROUP BY ALL",
-    "despeckle": f"{_REACH}, s AS (SELECT comp FROM found GROUP BY 1 HAVING count(*) < 4), v AS (SELECT a.comp, b.label, count(*) AS n FROM found a JOIN s USING (comp) JOIN found b ON abs(a.x-b.x)+abs(a.y-b.y) = 1 AND a.comp <> b.comp GROUP BY ALL), m AS (SELECT comp, arg_max(label, n*100-label) AS l FROM v GROUP BY 1) SELECT x, y, CAST(coalesce(l, label) AS INT) AS label FROM found LEFT JOIN m USING (comp)",
-    "tiny_colors": f"WITH {_LAB} SELECT label, count(*) AS n, count(*)*200 < 1920 AS tiny FROM lab GROUP BY 1",
-    "resample_nearest": f"WITH {IMAGE_SQL} SELECT CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM range(30) a(tx), range(25) c(ty), img WHERE x = CAST(floor((tx+0.5e0)*48/30) AS INT) AND y = CAST(floor((ty+0.5e0)*40/25) AS INT)",
-    "halftone_lines": f"WITH {IMAGE_SQL}, c AS (SELECT CAST(x//4 AS INT) AS cx, CAST(y//4 AS INT) AS cy, CAST(floor(sum(1000-floor((0.299e0*r+0.587e0*g+0.114e0*b)*1000/255))/16) AS BIGINT) AS t FROM img GROUP BY ALL), k AS (SELECT *, cx - row_number() OVER (PARTITION BY cy ORDER BY cx) AS k FROM c WHERE t > 450) SELECT cy, min(cx) AS first, max(cx) AS last, CAST(floor(avg(t)) AS BIGINT) AS t FROM k GROUP BY cy, k",
-    "smooth_labels": f"WITH {_LAB} SELECT a.x, a.y, count(DISTINCT b.label) AS kinds FROM lab a JOIN lab b ON abs(a.x-b.x) <= 1 AND abs(a.y-b.y) <= 1 GROUP BY ALL",
+    "connected_components": f"WITH RECURSIVE {_LAB}, {reach_sql('lab')} SELECT id, comp, label, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, CAST(floor(avg(x)*1000+0.5e0) AS BIGINT) AS mid_x, CAST(floor(avg(y)*1000+0.5e0) AS BIGINT) AS mid_y, count(*) FILTER (x IN (0, w-1) OR y IN (0, h-1)) AS border FROM found GROUP BY id, comp, label",
+    "despeckle": f"WITH RECURSIVE {_LAB}, {reach_sql('lab')}, s AS (SELECT id, comp FROM found GROUP BY ALL HAVING count(*) < 4), v AS (SELECT a.id, a.comp, b.label, count(*) AS n FROM found a JOIN s USING (id, comp) JOIN found b ON a.id = b.id AND abs(a.x-b.x)+abs(a.y-b.y) = 1 AND a.comp <> b.comp GROUP BY ALL), m AS (SELECT id, comp, arg_max(label, n*100-label) AS l FROM v GROUP BY ALL) SELECT id, x, y, CAST(coalesce(l, label) AS INT) AS label FROM found LEFT JOIN m USING (id, comp)",
+    "tiny_colors": f"WITH {_LAB} SELECT id, label, count(*) AS n, count(*)*200 < any_value(w*h) AS tiny FROM lab GROUP BY 1, 2",
+    "resample_nearest": f"WITH {SHOT} SELECT id, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM range(30) a(tx), range(25) c(ty), img WHERE x = CAST(floor((tx+0.5e0)*w/30) AS INT) AND y = CAST(floor((ty+0.5e0)*h/25) AS INT)",
+    "halftone_lines": f"WITH {SHOT}, c AS (SELECT id, CAST(x//4 AS INT) AS cx, CAST(y//4 AS INT) AS cy, CAST(floor(sum(1000-floor((0.299e0*r+0.587e0*g+0.114e0*b)*1000/255))/16) AS BIGINT) AS t FROM img WHERE x < w-w%4 AND y < h-h%4 GROUP BY ALL), k AS (SELECT *, cx - row_number() OVER (PARTITION BY id, cy ORDER BY cx) AS k FROM c WHERE t > 450) SELECT id, cy, min(cx) AS first, max(cx) AS last, CAST(floor(avg(t)) AS BIGINT) AS t FROM k GROUP BY id, cy, k",
+    "smooth_labels": f"WITH {_LAB} SELECT a.id, a.x, a.y, count(DISTINCT b.label) AS kinds FROM lab a JOIN lab b ON a.id = b.id AND abs(a.x-b.x) <= 1 AND abs(a.y-b.y) <= 1 GROUP BY ALL",
 }

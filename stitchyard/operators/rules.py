@@ -5,8 +5,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stitchyard.functions import color
+from stitchyard.operators.images import _IMG, pictures, pixels
 from stitchyard.operators.stitch import stream
-from stitchyard.sources.tables import IMAGE_SQL, synthetic_image, table
+from stitchyard.sources.tables import table
 
 
 def trace_jobs(env: Column, quota_text: Column, cores: Column) -> Column:
@@ -117,15 +118,16 @@ def paper_assign(spark: SparkSession, d: str) -> DataFrame:
     inks = ((30, 30, 30), (200, 60, 60), (60, 90, 200))
     far = lambda p: sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip("gb", p[1:], strict=True)), (F.col("r") - p[0]) * (F.col("r") - p[0]))
     ink, near = F.least(*[far(p) for p in inks]), F.coalesce(*[F.when(far(p) == F.least(*[far(q) for q in inks]), i) for i, p in enumerate(inks)])
-    return synthetic_image(spark).select("x", "y", F.when(far((250, 250, 250)) * 10 <= ink * 13, -1).otherwise(near).cast("int").alias("label"))
+    return pixels(pictures(spark, d), "r", "g", "b").select("id", "x", "y", F.when(far((250, 250, 250)) * 10 <= ink * 13, -1).otherwise(near).cast("int").alias("label"))
 
 
 def border_spread(spark: SparkSession, d: str) -> DataFrame:
-    """The median of the border's luma, its scaled median deviation in thousandths, and whether the sheet is flat."""
-    rim = synthetic_image(spark).filter("x < 3 or x > 44 or y < 3 or y > 36").select(F.floor(color.luma(F.col("r"), F.col("g"), F.col("b")) + 0.5).alias("v"))
-    mid = rim.agg(F.percentile("v", F.lit(0.5)).alias("mid"))
-    out = rim.join(F.broadcast(mid)).groupBy("mid").agg(F.percentile(F.abs(F.col("v") - F.col("mid")), F.lit(0.5)).alias("dev"))
-    return out.select("mid", F.floor(F.col("dev") * 1482.6 + 0.5).cast("long").alias("mad"), (F.col("dev") * 1.4826 < 12).alias("sheet"))
+    """The median of each border's luma, its scaled median deviation in thousandths, and whether the sheet is flat."""
+    rim = pixels(pictures(spark, d), "r", "g", "b").filter("x < 3 or x >= w - 3 or y < 3 or y >= h - 3")
+    luma = rim.select("id", F.floor(color.luma(F.col("r"), F.col("g"), F.col("b")) + 0.5).alias("v"))
+    mid = luma.withColumn("mid", F.percentile("v", F.lit(0.5)).over(W.partitionBy("id")))
+    out = mid.groupBy("id", "mid").agg(F.percentile(F.abs(F.col("v") - F.col("mid")), F.lit(0.5)).alias("dev"))
+    return out.select("id", "mid", F.floor(F.col("dev") * 1482.6 + 0.5).cast("long").alias("mad"), (F.col("dev") * 1.4826 < 12).alias("sheet"))
 
 
 _N2 = 200 * 200 + 140 * 140 + 80 * 80
@@ -142,6 +144,6 @@ SQL = {
     "plan_expiry": "SELECT o_orderkey, CAST(CAST(date_trunc('month', o_orderdate) + to_months(CAST(1 + o_orderkey % 3 AS INT)) + to_days(CAST(day(o_orderdate) - 1 AS INT)) AS DATE) AS VARCHAR) AS ends FROM orders",
     "newest_version": "WITH n AS (SELECT p_size, p_partkey % 3 AS a, p_partkey % 13 AS b, p_partkey % 101 AS c FROM part), r AS (SELECT DISTINCT *, row_number() OVER (PARTITION BY p_size ORDER BY a DESC, b DESC, c DESC) AS k FROM n) SELECT p_size, 'model-' || a || '.' || b || '.' || c AS name FROM r WHERE k = 1",
     "blend_test": f"WITH c AS (SELECT p_partkey, p_partkey*37%256-20 AS r, p_partkey*91%256-40 AS g, p_partkey*151%256-60 AS b FROM part), t AS (SELECT *, r*200+g*140+b*80 AS t FROM c) SELECT p_partkey, t*100 >= 14*{_N2} AND t*100 <= 86*{_N2} AND (r*r+g*g+b*b)*{_N2}-t*t < 256*{_N2} AS blend FROM t",
-    "paper_assign": f"WITH {IMAGE_SQL}, f AS (SELECT x, y, {_FAR.format(250, 250, 250)} AS p, {_FAR.format(30, 30, 30)} AS i, {_FAR.format(200, 60, 60)} AS j, {_FAR.format(60, 90, 200)} AS k FROM img) SELECT x, y, CAST(CASE WHEN p*10 <= least(i, j, k)*13 THEN -1 WHEN i <= j AND i <= k THEN 0 WHEN j <= k THEN 1 ELSE 2 END AS INT) AS label FROM f",
-    "border_spread": f"WITH {IMAGE_SQL}, v AS (SELECT floor(0.299e0*r+0.587e0*g+0.114e0*b+0.5e0) AS v FROM img WHERE x < 3 OR x > 44 OR y < 3 OR y > 36), m AS (SELECT median(v) AS mid FROM v), s AS (SELECT mid, median(abs(v-mid)) AS dev FROM v, m GROUP BY mid) SELECT mid, CAST(floor(dev*1482.6e0+0.5e0) AS BIGINT) AS mad, dev*1.4826e0 < 12 AS sheet FROM s",
+    "paper_assign": f"WITH {_IMG}, f AS (SELECT id, x, y, {_FAR.format(250, 250, 250)} AS p, {_FAR.format(30, 30, 30)} AS i, {_FAR.format(200, 60, 60)} AS j, {_FAR.format(60, 90, 200)} AS k FROM img) SELECT id, x, y, CAST(CASE WHEN p*10 <= least(i, j, k)*13 THEN -1 WHEN i <= j AND i <= k THEN 0 WHEN j <= k THEN 1 ELSE 2 END AS INT) AS label FROM f",
+    "border_spread": f"WITH {_IMG}, v AS (SELECT id, floor(0.299e0*r+0.587e0*g+0.114e0*b+0.5e0) AS v FROM img WHERE x < 3 OR x >= w-3 OR y < 3 OR y >= h-3), m AS (SELECT id, v, median(v) OVER (PARTITION BY id) AS mid FROM v), s AS (SELECT id, mid, median(abs(v-mid)) AS dev FROM m GROUP BY id, mid) SELECT id, mid, CAST(floor(dev*1482.6e0+0.5e0) AS BIGINT) AS mad, dev*1.4826e0 < 12 AS sheet FROM s",
 }

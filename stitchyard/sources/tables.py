@@ -28,20 +28,6 @@ def kind_of(content: Column) -> Column:
     return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("52494646") & head.endswith("57454250"), "webp").when(F.substring(content, 1, 400).cast("string").rlike("(?i)<svg"), "svg")
 
 
-def synthetic_image(spark: SparkSession, width: int = 48, height: int = 40) -> DataFrame:
-    """A test image by a closed formula: x, y, r, g, b, a."""
-    n = spark.range(width * height)
-    x, y = (F.col("id") % width).cast("int"), F.floor(F.col("id") / width).cast("int")
-    xy = n.select(x.alias("x"), y.alias("y"))
-    inside = (F.col("x") - 24) * (F.col("x") - 24) + (F.col("y") - 20) * (F.col("y") - 20) < 260
-    return xy.select("x", "y", ((F.col("x") * 5 + F.col("y") * 3) % 256).alias("r"), ((F.col("x") * 7) % 256).alias("g"), ((F.col("y") * 11) % 256).alias("b"), F.when(inside, 255).otherwise(0).alias("a"))
-
-
-IMAGE_SQL = """img AS (SELECT x, y, (x*5+y*3)%256 AS r, (x*7)%256 AS g, (y*11)%256 AS b,
-  CASE WHEN (x-24)*(x-24)+(y-20)*(y-20) < 260 THEN 255 ELSE 0 END AS a
-  FROM (SELECT CAST(i % 48 AS INT) AS x, CAST(i // 48 AS INT) AS y FROM range(1920) t(i)))"""
-
-
 def blank_items(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The items of a catalog of blanks; a missing file, one that is no JSON, or one without items gives none."""
     try:
