@@ -54,8 +54,9 @@ def dropped(df: DataFrame) -> None:
 def components(edges: DataFrame, key: str, tag: str) -> DataFrame:
     """Connected components of undirected edges (``key``, a, b): rows (``key``, node, comp), comp the smallest node.
 
-    Every round takes the least label among a node's neighbours and then that label's own label, so that long chains
-    take few rounds. A node with many neighbours is met as rows of (label), combined before they are shuffled.
+    Every round takes the least label among a node's neighbours, passes it to the node whose label it had, and then takes
+    its label's own label, so that long chains take few rounds. A node with many neighbours is met as rows of (label),
+    combined before they are shuffled.
     """
     turned = edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))
     both = written(edges.select(key, "a", "b").unionAll(turned).filter("a <> b").distinct(), f"{tag}_edges")
@@ -63,7 +64,9 @@ def components(edges: DataFrame, key: str, tag: str) -> DataFrame:
     while True:
         near = both.join(labels.select(key, F.col("node").alias("b"), F.col("comp").alias("c")), [key, "b"]).groupBy(key, F.col("a").alias("node")).agg(F.min("c").alias("near"))
         spread = labels.join(near, [key, "node"]).select(key, "node", F.col("comp").alias("was"), F.least("comp", "near").alias("to"))
-        hop = labels.select(key, F.col("node").alias("to"), F.col("comp").alias("far"))
+        passed = spread.groupBy(key, F.col("was").alias("node")).agg(F.min("to").alias("passed"))
+        spread = spread.join(passed, [key, "node"], "left").select(key, "node", "was", F.least("to", "passed").alias("to"))
+        hop = spread.select(key, F.col("node").alias("to"), F.col("to").alias("far"))
         new = written(spread.join(hop, [key, "to"], "left").select(key, "node", F.least("to", "far").alias("comp"), "was"), f"{tag}_labels")
         moved = new.filter("comp <> was").limit(1).count()
         dropped(labels)
