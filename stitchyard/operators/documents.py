@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stitchyard.sources import png
+from stitchyard.sources import png, svg
 from stitchyard.operators.images import pixels
 from stitchyard.operators.raster import SHOT, shots
 from stitchyard.sources.tables import table
@@ -46,6 +46,23 @@ def svg_layers(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_size", "layer", F.col("p.0").alias("fill"), F.expr("regexp_count(p.`1`, 'M')").cast("long").alias("subpaths"))
 
 
+def drawings(spark: SparkSession, d: str) -> DataFrame:
+    """(id, svg): drawings of suppliers as other programs write them: groups in groups, both quotes, short and functional fills, ends too many."""
+    text = (
+        '<?xml version="1.0"?>\n<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 200 100">\n<g data-name="Paper sheet"><path d="M0 0h200v100h-200z" fill="#ffffff"/></g>\n<rect width="9" height="9" fill="#abcdef"/>'
+        '<g fill="#F0a" transform="translate(10, {k})">\n <path d=\'M{m} 2 L3,4\'/>\n <g transform=\'translate(3)\' fill-rule="evenodd" fill="none">\n <path fill="rgb(1,2,{m})" d="m5 5 l10 0 0,{k}z"/><g/><path d="M1 1H{k}V9z"></path>\n </g>'
+        '<PATH transform="translate(1 2)" d="M0 0 c1 1 2 2 {k} 3 s1 1 2 2 T9 9"/></g></g>\n<path d="M9 9h1v1z" fill="#123456cc" fill-rule="EvenOdd"/><path d="M{k} 9l1 1" fill="#f0A"/><path d="M1 1" fill="url(#x)"/><path fill="#000"/></svg>'
+    )
+    parts = re.split(r"(\{[km]\})", text)
+    at = {"{k}": (F.col("id") % 7 + 1).cast("string"), "{m}": (F.col("id") % 5).cast("string")}
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).select("id", F.concat(*[at.get(x, F.lit(x)) for x in parts]).alias("svg"))
+
+
+def svg_scan(spark: SparkSession, d: str) -> DataFrame:
+    """S10 of those drawings, on a sheet of 10 by 5 inches."""
+    return svg.layered(drawings(spark, d), F.lit(10 / 200), F.lit(5 / 100))
+
+
 def csv_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a list of stones; names with quotes or commas are quoted."""
     name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"'))).otherwise(F.col("p_name"))
@@ -105,8 +122,18 @@ def stale_uploads(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RECTS = "r AS (SELECT p_size, p_partkey, '#00' || (p_partkey % 5) || '0ff' AS fill, 'M' || (p_partkey*7%90) || ',' || (p_partkey*11%80) || 'h' || (p_partkey*3%41+1) || 'v' || (p_partkey*5%37+1) || 'h-' || (p_partkey*3%41+1) || 'z' AS path FROM part)"
-QUERIES = [png_round_trip, svg_pages, svg_layers, csv_lines, ring_nesting, job_packets, cutter_marks, status_transitions, stale_uploads]
+QUERIES = [png_round_trip, svg_pages, svg_layers, svg_scan, csv_lines, ring_nesting, job_packets, cutter_marks, status_transitions, stale_uploads]
+_AT = lambda *v: " || ' ' || ".join(x if x.startswith("'") else f"printf('%.4f', ({x})*0.05e0)" for x in v)
+_SCAN = [
+    (0, "'#ff00aa'", 0, "nonzero", _AT("'M'", "m+10", "2+k", "'L'", "13", "4+k")),
+    (1, "'#01020' || m", 0, "evenodd", _AT("'m'", "18", "5+k", "'l'", "28", "5+k", "28", "5+2*k", "'z'")),
+    (0, "'#ff00aa'", 1, "evenodd", _AT("'M'", "14", "1+k", "'H'", "k+13", "'V'", "9+k", "'z'")),
+    (0, "'#ff00aa'", 2, "nonzero", _AT("'M'", "11", "k+2", "'c'", "12", "k+3", "13", "k+4", "k+11", "k+5", "'s'", "k+12", "k+6", "k+13", "k+7", "'T'", "20", "k+11")),
+    (2, "'#123456'", 0, "evenodd", _AT("'M'", "9", "9", "'h'", "10", "'v'", "10", "'z'")),
+    (0, "'#ff00aa'", 3, "nonzero", _AT("'M'", "k", "9", "'l'", "k+1", "10")),
+]
 SQL = {
+    "svg_scan": "WITH s AS (SELECT s_suppkey AS id, s_suppkey%7+1 AS k, s_suppkey%5 AS m FROM supplier) " + " UNION ALL ".join(f"SELECT id, {n} AS layer, {h} AS hex, {p} AS place, '{r}' AS rule, {t} AS d FROM s" for n, h, p, r, t in _SCAN),
     "png_round_trip": f"WITH {SHOT} SELECT id, x, y, " + ", ".join(f"CAST({c} AS INT) AS {c}" for c in "rgba") + " FROM img",
     "svg_pages": f"""WITH {_RECTS}, l AS (SELECT p_size, fill, min(p_partkey) AS f, '<g fill="' || fill || '" fill-rule="evenodd"><path d="' || string_agg(path, ' ' ORDER BY p_partkey) || '"/></g>' AS t FROM r GROUP BY p_size, fill) SELECT p_size, '<svg>' || string_agg(t, '' ORDER BY f) || '</svg>' AS svg FROM l GROUP BY p_size""",
     "svg_layers": f"WITH {_RECTS}, l AS (SELECT p_size, fill, min(p_partkey) AS f, count(*) AS subpaths FROM r GROUP BY p_size, fill) SELECT p_size, CAST(row_number() OVER (PARTITION BY p_size ORDER BY f) - 1 AS INT) AS layer, fill, subpaths FROM l",
