@@ -32,7 +32,7 @@ def blank_search(spark: SparkSession, d: str) -> DataFrame:
 
 def admin_user_search(spark: SparkSession, d: str) -> DataFrame:
     """The search reads the computed shop name."""
-    u = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    u = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     rows = u.select("c_custkey", F.lower("c_name").alias("email"), F.coalesce("n_name", F.lit("")).alias("shop_name"), "c_mktsegment")
     return rows.filter(contains(F.concat_ws(" ", "email", "shop_name", "c_mktsegment"), "nation_1 b"))
 
@@ -138,7 +138,7 @@ def job_shop(spark: SparkSession, d: str) -> DataFrame:
     """The shop of a job, or none."""
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("shop_id"))
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("shop_id"), F.col("n_name").alias("shop_name"))
-    return o.join(F.broadcast(n), "shop_id", "left").select("o_orderkey", "shop_name")
+    return o.join(n, "shop_id", "left").select("o_orderkey", "shop_name")
 
 
 def user_job_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -190,19 +190,25 @@ def sku_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def credit_use(spark: SparkSession, d: str) -> DataFrame:
-    """included, unlocked, credit, free image or refused, for uses of jobs in order.
+    """included, unlocked, credit, free image or refused, for uses of jobs and services in order, with membership on.
 
-    A job's first use takes a credit, or the free image when there is none; with the n-th first use of a
-    user both are known from n, so that windows do it.
+    A service has credits of its own and unlocks a job for itself alone. The first use of a job takes a credit of the
+    service; without one the user's free image, which serves either service once. Both are known from how many
+    first uses came before, so that windows do it.
     """
-    u = _users(spark, d).select(F.col("id").alias("user_id"), "role", "credits", (F.col("verified") & ~F.col("free_used")).alias("free"))
-    uses = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_id") % 6).alias("job")).join(u, "user_id")
-    time = W.partitionBy("user_id", "job").orderBy("ts", "event_id")
-    first = uses.withColumn("k", F.row_number().over(time))
-    rank = first.filter("k = 1").select("user_id", "job", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"))
-    got = F.when(F.col("n") <= F.col("credits"), "credit").when(F.col("free") & (F.col("n") == F.col("credits") + 1), "free").otherwise("refused")
-    out = F.when(F.col("role") == "admin", "included").when((F.col("k") > 1) & (got != "refused"), "unlocked").otherwise(got)
-    return first.join(rank, ["user_id", "job"]).select("event_id", out.alias("outcome"))
+    comped, live = F.col("role") == "admin", F.coalesce(F.col("plan_expires") > F.lit(NOW).cast("timestamp_ntz"), F.lit(True))
+    trace = comped | (F.col("plan").isin("shop", "studio", "trial") & live)
+    print_ = comped | ((F.col("plan") == "studio") & live)
+    u = _users(spark, d).select(F.col("id").alias("user_id"), trace.alias("trace"), print_.alias("print"), "credits", (F.col("id") % 3).alias("prints"), (F.col("verified") & ~F.col("free_used") & ~comped).alias("free"))
+    uses = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_id") % 6).alias("job"), (F.col("event_id") % 2 == 0).alias("tracing")).join(u, "user_id")
+    uses = uses.select("event_id", "user_id", "ts", "job", "tracing", F.when(F.col("tracing"), F.col("trace")).otherwise(F.col("print")).alias("included"), F.when(F.col("tracing"), F.col("credits")).otherwise(F.col("prints")).alias("have"), "free")
+    when = ("ts", "event_id")
+    first = uses.withColumn("k", F.row_number().over(W.partitionBy("user_id", "job", "tracing").orderBy(*when)))
+    new = first.filter("k = 1 and not included").withColumn("n", F.row_number().over(W.partitionBy("user_id", "tracing").orderBy(*when))).withColumn("over", F.col("n") > F.col("have"))
+    new = new.withColumn("m", F.count_if("over").over(W.partitionBy("user_id").orderBy(*when)))
+    got = F.when(~F.col("over"), "credit").when(F.col("free") & (F.col("m") == 1), "free").otherwise("refused")
+    both = first.join(new.select("user_id", "job", "tracing", got.alias("got")), ["user_id", "job", "tracing"], "left")
+    return both.select("event_id", F.when(F.col("included"), "included").when((F.col("k") > 1) & (F.col("got") != "refused"), "unlocked").otherwise(F.col("got")).alias("outcome"))
 
 
 def settings_with_defaults(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +264,9 @@ SQL = {
     "file_owner": "SELECT event_id, min(o_orderkey) AS job FROM events JOIN orders ON o_orderkey * 7 % 2000 = event_id % 2500 GROUP BY 1",
     "refund_order": "WITH p AS (SELECT event_id AS o FROM events WHERE event_type = 'purchase') SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN a.o END, b.o, -1) AS order_of_refund FROM events LEFT JOIN p a ON a.o = event_id - 3 LEFT JOIN p b ON b.o = event_id - 5 WHERE event_type = 'error'",
     "sku_lookup": "SELECT l_orderkey, count(p_partkey) AS found, count(*) AS asked FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_brand = 'Brand#' || (l_suppkey % 5 + 1) GROUP BY 1",
-    "credit_use": f"WITH {_U}, e AS (SELECT event_id, user_id, ts, event_id % 6 AS job, role, credits, verified AND NOT free_used AS free, row_number() OVER (PARTITION BY user_id, event_id % 6 ORDER BY ts, event_id) AS k FROM events JOIN u ON id = user_id), r AS (SELECT user_id, job, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e WHERE k = 1), g AS (SELECT *, CASE WHEN n <= credits THEN 'credit' WHEN free AND n = credits + 1 THEN 'free' ELSE 'refused' END AS got FROM e JOIN r USING (user_id, job)) SELECT event_id, CASE WHEN role = 'admin' THEN 'included' WHEN k > 1 AND got <> 'refused' THEN 'unlocked' ELSE got END AS outcome FROM g",
+    "credit_use": f"""WITH {_U}, v AS (SELECT *, role = 'admin' AS comped, coalesce(plan_expires > TIMESTAMP '{NOW}', true) AS live FROM u), e AS (SELECT event_id, user_id, ts, event_id % 6 AS job, event_id % 2 AS svc, CASE WHEN event_id % 2 = 0 THEN comped OR (plan IN ('shop', 'studio', 'trial') AND live) ELSE comped OR (plan = 'studio' AND live) END AS inc, CASE WHEN event_id % 2 = 0 THEN credits ELSE id % 3 END AS have, verified AND NOT free_used AND NOT comped AS free FROM events JOIN v ON id = user_id),
+ f AS (SELECT *, row_number() OVER (PARTITION BY user_id, job, svc ORDER BY ts, event_id) AS k FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, svc ORDER BY ts, event_id) > have AS over_ FROM f WHERE k = 1 AND NOT inc), m AS (SELECT user_id, job, svc, CASE WHEN NOT over_ THEN 'credit' WHEN free AND count(*) FILTER (over_) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'free' ELSE 'refused' END AS got FROM n)
+ SELECT event_id, CASE WHEN inc THEN 'included' WHEN k > 1 AND got <> 'refused' THEN 'unlocked' ELSE got END AS outcome FROM f LEFT JOIN m USING (user_id, job, svc)""",
     "settings_with_defaults": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE 7 END::BIGINT AS trial_days, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey * 100 ELSE 7900 END::BIGINT AS shop_price_cents, 14900::BIGINT AS studio_price_cents FROM nation",
     "cookie_token": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ' t' || user_id ELSE 's' || event_id END AS sid FROM events",
     "env_lines": "SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'KEY' WHEN 2 THEN 'A' ELSE 'B' END AS name, CASE p_partkey % 5 WHEN 1 THEN p_name WHEN 2 THEN '\"' || p_name || '\"=b' ELSE p_brand END AS value FROM part WHERE p_partkey % 5 IN (1, 2, 4)",

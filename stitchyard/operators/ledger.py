@@ -56,8 +56,8 @@ def anchored_limiter(spark: SparkSession, d: str) -> DataFrame:
     return folded(_timed(spark, d), "user_id", ["us", "event_id"], "event_id long, user_id long, allowed boolean", limiter(3_600_000_000, 3))
 
 
-def _timed(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+def _timed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "user_id", *columns, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
 def bucket(burst: float = 4, burst_rate: float = 4.0, minute: float = 60, minute_rate: float = 1.0):
@@ -151,8 +151,7 @@ def order_state_machine(spark: SparkSession, d: str) -> DataFrame:
 
         return step
 
-    rows = _timed(spark, d).join(table(spark, d, "events").select("event_id", "event_type"), "event_id")
-    return folded(rows, "user_id", ["us", "event_id"], "event_id long, outcome string, balance long", begin)
+    return folded(_timed(spark, d, "event_type"), "user_id", ["us", "event_id"], "event_id long, outcome string, balance long", begin)
 
 
 def pruner(now: int, age: int, most: int):
@@ -173,10 +172,13 @@ def pruner(now: int, age: int, most: int):
 
 
 def cache_prune_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """F13 with each source as a directory and doc_id as time; no directory is gathered in a row."""
+    """F13 with each source as a directory and doc_id as time. Entries that are too old go by a filter; only the fresh ones of a directory are folded."""
+    age = 150
     docs = table(spark, d, "documents").select("source", "doc_id", F.col("n_chars").cast("long").alias("n"))
     now = docs.agg(F.max("doc_id")).first()[0] or 0
-    return folded(docs.withColumn("new", -F.col("doc_id")), "source", ["new"], "doc_id long, kept boolean", pruner(now, 150, 30_000))
+    fresh = docs.filter(F.lit(now) - F.col("doc_id") <= age).withColumn("new", -F.col("doc_id"))
+    gone = docs.filter(F.lit(now) - F.col("doc_id") > age).select("doc_id", F.lit(False).alias("kept"))
+    return folded(fresh, "source", ["new"], "doc_id long, kept boolean", pruner(now, age, 30_000)).unionAll(gone)
 
 
 _FOLD = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),

@@ -1,9 +1,6 @@
 """Stitch streams: indexes, lengths, summaries, folds and DST bytes."""
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,56 +84,70 @@ def dst_delta(dx: int, dy: int, jump: bool = False, stop: bool = False) -> bytes
     return bytes(out)
 
 
-def dst_bytes(kinds: list[str], xs: list[int], ys: list[int]) -> bytes:
-    """The body of a DST file, y upwards: longer moves are split, a trim is three jumps; trims and colours stand still."""
-    x = y = 0
-    out = []
-    for kind, a, b in zip(kinds, xs, ys, strict=True):
-        if kind == "color":
-            out.append(dst_delta(0, 0, stop=True))
-        elif kind == "trim":
-            out += [dst_delta(-2, 2, True), dst_delta(4, -4, True), dst_delta(-2, 2, True)]
-        elif kind != "end":
-            dx, dy = a - x, y - b
-            while True:
-                mx, my = max(-121, min(121, dx)), max(-121, min(121, dy))
-                out.append(dst_delta(mx, my, jump=kind == "jump"))
-                dx, dy = dx - mx, dy - my
-                if not dx and not dy:
-                    break
-            x, y = a, b
-    return b"".join([*out, b"\x00\x00\xf3"])
-
-
-def dst_header(name: str, kinds: list[str], xs: list[int], ys: list[int]) -> bytes:
-    """The 512 bytes before the body: name, counts of stitches and colours, extents around the start."""
-    still = {"color", "trim", "end"}
-    at = [(0, 0), *((a, b) for k, a, b in zip(kinds, xs, ys, strict=True) if k not in still)]
-    number = lambda n, width: str(abs(n)).rjust(7)[-width:]
-    parts = ["LA:" + re.sub(r"[^\x20-\x7E]", " ", name or "DESIGN")[:16].ljust(16)]
-    parts += ["ST:" + number(sum(k not in still and k != "jump" for k in kinds), 7), "CO:" + number(kinds.count("color"), 3)]
-    for axis, i in (("X", 0), ("Y", 1)):
-        parts += [f"+{axis}:" + number(max(p[i] for p in at), 5), f"-{axis}:" + number(min(p[i] for p in at), 5)]
-    parts += [f"{k}:+" + number(0, 6) for k in ("AX", "AY", "MX", "MY")] + ["PD:******"]
-    return ("\r".join(parts) + "\r").encode("ascii").ljust(511) + b"\x1a"
+def _digits(v: Column) -> dict[int, Column]:
+    """The balanced ternary digits of -121 to 121, by size."""
+    out = {}
+    for size in (81, 27, 9, 3, 1):
+        rest = (size - 1) // 2
+        out[size] = F.when(v > rest, 1).when(v < -rest, -1).otherwise(0)
+        v = v - size * out[size]
+    return out
+
+
+def dst_files(rows: DataFrame) -> DataFrame:
+    """(design, dst) of (design, seq, kind, x, y): whole DST files as hex text, in columns.
+
+    A move becomes a row for each 121 of its longer side; a row's three bytes are sums of its digits' bits. The rows of
+    a design meet as text alone, in order.
+    """
+    still = F.col("kind").isin("color", "trim", "end")
+    last = lambda c: F.coalesce(F.last(F.when(~still, F.col(c)), ignorenulls=True).over(order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    m = rows.select("design", "seq", "kind", "x", "y", F.when(still, 0).otherwise(F.col("x") - last("x")).alias("dx"), F.when(still, 0).otherwise(last("y") - F.col("y")).alias("dy"))
+    n = F.greatest(F.lit(1), F.expr("(abs(dx) + 120) div 121"), F.expr("(abs(dy) + 120) div 121"))
+    k = m.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    part = lambda c: F.expr(f"cast(sign({c}) as bigint) * greatest(0, least(121, abs({c}) - 121 * k))")
+    x, y = _digits(part("dx")), _digits(part("dy"))
+    bit = lambda d, plus, minus: F.when(d == 1, plus).when(d == -1, minus).otherwise(0)
+    low = bit(x[1], 1, 2) + bit(x[9], 4, 8) + bit(y[1], 128, 64) + bit(y[9], 32, 16)
+    mid = bit(x[3], 1, 2) + bit(x[27], 4, 8) + bit(y[3], 128, 64) + bit(y[27], 32, 16)
+    high = 3 + F.when(F.col("kind") == "jump", 128).otherwise(0) + bit(x[81], 4, 8) + bit(y[81], 32, 16)
+    trim = b"".join((dst_delta(-2, 2, True), dst_delta(4, -4, True), dst_delta(-2, 2, True))).hex().upper()
+    text = F.when(F.col("kind") == "color", dst_delta(0, 0, stop=True).hex().upper()).when(F.col("kind") == "trim", trim).when(F.col("kind") == "end", "").otherwise(F.format_string("%02X%02X%02X", low, mid, high))
+    most = lambda f, c: f(F.when(still, F.lit(0)).otherwise(F.col(c)))
+    pad = lambda v, n: F.substring(F.lpad(F.abs(v).cast("string"), 7, " "), 8 - n, n)
+    g = k.select("*", text.alias("t")).groupBy("design").agg(F.sort_array(F.collect_list(F.struct("seq", "k", "t"))).alias("a"), F.count_if(~still & (F.col("kind") != "jump") & (F.col("k") == 0)).alias("st"), F.count_if(F.col("kind") == "color").alias("co"), *[F.greatest(F.lit(0), most(F.max, c)).alias(f"p{c}") for c in "xy"], *[F.least(F.lit(0), most(F.min, c)).alias(f"m{c}") for c in "xy"])
+    name = F.rpad(F.substring(F.regexp_replace(F.coalesce(F.col("design").cast("string"), F.lit("DESIGN")), r"[^\x20-\x7E]", " "), 1, 16), 16, " ")
+    parts = [F.concat(F.lit("LA:"), name), F.concat(F.lit("ST:"), pad(F.col("st"), 7)), F.concat(F.lit("CO:"), pad(F.col("co"), 3))]
+    parts += [F.concat(F.lit(f"{sign}{c.upper()}:"), pad(F.col(f"{p}{c}"), 5)) for c in "xy" for sign, p in (("+", "p"), ("-", "m"))]
+    parts += [F.lit(f"{z}:+     0") for z in ("AX", "AY", "MX", "MY")] + [F.lit("PD:******\r")]
+    head = F.hex(F.rpad(F.concat_ws("\r", *parts), 511, " ").cast("binary"))
+    return g.select("design", F.concat(head, F.lit("1A"), F.array_join("a.t", ""), F.lit("0000F3")).alias("dst"))
 
 
 def dst_encode(spark: SparkSession, d: str) -> DataFrame:
-    """K10 for each design: the DST file, named by its number."""
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("seq")
-        design = x.design.iloc[0]
-        rows = x.kind.tolist(), x.x.tolist(), x.y.tolist()
-        return pd.DataFrame({"design": [design], "dst": [dst_header("" if pd.isna(design) else str(int(design)), *rows) + dst_bytes(*rows)]})
-
-    return stream(spark, d).groupBy("design").applyInPandas(run, "design long, dst binary")
+    """K10 for each design: the DST file, named by its number, as hex text."""
+    return dst_files(stream(spark, d))
 
 
 _S = "WITH s AS (SELECT user_id AS design, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_type WHEN 'signup' THEN 'color' WHEN 'error' THEN 'trim' WHEN 'view' THEN 'jump' ELSE 'stitch' END AS kind, CAST(floor(coalesce(value, 0)) AS BIGINT) AS x, event_id % 97 AS y FROM events)"
 _P = _S + ", p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM s WINDOW w AS (PARTITION BY design ORDER BY seq))"
+_DIG = {81: 40, 27: 13, 9: 4, 3: 1, 1: 0}
+
+
+def _digit_sql(c: str) -> str:
+    """SQL: the digits of ``c`` as {c}81 to {c}1, each from what the larger ones leave, which is the value less its nearest multiple."""
+    return ", ".join(f"CAST(floor(({c}+{r})/{s}e0) AS BIGINT) - 3*CAST(floor(({c}+{3 * r + 1})/{3 * s}e0) AS BIGINT) AS {c}{s}" for s, r in _DIG.items())
+
+
+_BIT = lambda d, p, m: f"CASE {d} WHEN 1 THEN {p} WHEN -1 THEN {m} ELSE 0 END"
+_LOW, _MID = ("+".join((_BIT(f"mx{a}", 1, 2), _BIT(f"mx{b}", 4, 8), _BIT(f"my{a}", 128, 64), _BIT(f"my{b}", 32, 16))) for a, b in ((1, 9), (3, 27)))
+_PAD = "substr(lpad(CAST(abs({0}) AS VARCHAR), 7, ' '), {1})"
 QUERIES = [stitch_stream_color_index, stitch_lengths, stitch_summary, split_long_stitches, drop_short_stitches, dst_encode]
 SQL = {
+    "dst_encode": _S + f""", l AS (SELECT *, kind IN ('color', 'trim') AS still FROM s), m AS (SELECT *, CASE WHEN still THEN 0 ELSE x-coalesce(last_value(CASE WHEN NOT still THEN x END IGNORE NULLS) OVER w, 0) END AS dx, CASE WHEN still THEN 0 ELSE coalesce(last_value(CASE WHEN NOT still THEN y END IGNORE NULLS) OVER w, 0)-y END AS dy FROM l WINDOW w AS (PARTITION BY design ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), k AS (SELECT *, unnest(range(greatest(1, (abs(dx)+120)//121, (abs(dy)+120)//121))) AS k FROM m),
+ v AS (SELECT design, seq, kind, still, x, y, k, sign(dx)*greatest(0, least(121, abs(dx)-121*k)) AS mx, sign(dy)*greatest(0, least(121, abs(dy)-121*k)) AS my FROM k), g AS (SELECT *, {_digit_sql('mx')}, {_digit_sql('my')} FROM v), t AS (SELECT *, CASE kind WHEN 'color' THEN '0000C3' WHEN 'trim' THEN '418283414183418283' ELSE printf('%02X%02X%02X', CAST({_LOW} AS INT), CAST({_MID} AS INT), CAST(3 + CASE WHEN kind = 'jump' THEN 128 ELSE 0 END + {_BIT('mx81', 4, 8)} + {_BIT('my81', 32, 16)} AS INT)) END AS t FROM g),
+ h AS (SELECT design, string_agg(t, '' ORDER BY seq, k) AS body, count(*) FILTER (kind = 'stitch' AND k = 0) AS st, count(*) FILTER (kind = 'color') AS co, greatest(0, max(x) FILTER (NOT still)) AS px, least(0, min(x) FILTER (NOT still)) AS nx, greatest(0, max(y) FILTER (NOT still)) AS py, least(0, min(y) FILTER (NOT still)) AS ny FROM t GROUP BY design)
+ SELECT design, hex(rpad('LA:' || rpad(CAST(design AS VARCHAR), 16, ' ') || chr(13) || 'ST:' || {_PAD.format('st', 1)} || chr(13) || 'CO:' || {_PAD.format('co', 5)} || chr(13) || '+X:' || {_PAD.format('coalesce(px, 0)', 3)} || chr(13) || '-X:' || {_PAD.format('coalesce(nx, 0)', 3)} || chr(13) || '+Y:' || {_PAD.format('coalesce(py, 0)', 3)} || chr(13) || '-Y:' || {_PAD.format('coalesce(ny, 0)', 3)} || chr(13) || 'AX:+     0' || chr(13) || 'AY:+     0' || chr(13) || 'MX:+     0' || chr(13) || 'MY:+     0' || chr(13) || 'PD:******' || chr(13), 511, ' ')) || '1A' || body || '0000F3' AS dst FROM h""",
     "stitch_stream_color_index": _S + " SELECT design, seq, CAST(sum(CASE WHEN kind = 'color' THEN 1 ELSE 0 END) OVER (PARTITION BY design ORDER BY seq) AS BIGINT) AS color_index FROM s",
     "stitch_lengths": _P + " SELECT design, seq, coalesce((x-px)*(x-px)+(y-py)*(y-py), 0) AS d2 FROM p",
     "drop_short_stitches": _S.replace("WITH s", "WITH RECURSIVE s", 1) + ", k AS (SELECT design, seq, x, y, true AS kept FROM s WHERE seq = 1 UNION ALL SELECT s.design, s.seq, CASE WHEN go THEN k.x ELSE s.x END, CASE WHEN go THEN k.y ELSE s.y END, NOT go FROM k JOIN s ON s.design = k.design AND s.seq = k.seq + 1, LATERAL (SELECT s.kind = 'stitch' AND (s.x-k.x)*(s.x-k.x)+(s.y-k.y)*(s.y-k.y) < 9 AS go)) SELECT design, seq FROM k WHERE kept",

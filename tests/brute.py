@@ -1,7 +1,11 @@
 """Plain forms of the palette and outline rules, one image at a time, for the tests."""
 
+import re
+
 import numpy as np
 
+from stitchyard.operators.stitch import dst_delta
+
 
 def lab(rgb):
     v = np.asarray(rgb, float) / 255
@@ -51,3 +55,37 @@ def picture(i):
     w, h = 24 + i % 17, 20 + i % 13
     y, x = np.divmod(np.arange(w * h), w)
     return np.stack([(x * 9 + y * 5 + i * 31) % 256, (x * 3 + y * 11 + i * 17) % 256, (x * x + y * 7 + i * 5) % 256], -1).astype(float)
+
+
+def dst_bytes(kinds: list[str], xs: list[int], ys: list[int]) -> bytes:
+    """The body of a DST file, y upwards: longer moves are split, a trim is three jumps; trims and colours stand still."""
+    x = y = 0
+    out = []
+    for kind, a, b in zip(kinds, xs, ys, strict=True):
+        if kind == "color":
+            out.append(dst_delta(0, 0, stop=True))
+        elif kind == "trim":
+            out += [dst_delta(-2, 2, True), dst_delta(4, -4, True), dst_delta(-2, 2, True)]
+        elif kind != "end":
+            dx, dy = a - x, y - b
+            while True:
+                mx, my = max(-121, min(121, dx)), max(-121, min(121, dy))
+                out.append(dst_delta(mx, my, jump=kind == "jump"))
+                dx, dy = dx - mx, dy - my
+                if not dx and not dy:
+                    break
+            x, y = a, b
+    return b"".join([*out, b"\x00\x00\xf3"])
+
+
+def dst_header(name: str, kinds: list[str], xs: list[int], ys: list[int]) -> bytes:
+    """The 512 bytes before the body: name, counts of stitches and colours, extents around the start."""
+    still = {"color", "trim", "end"}
+    at = [(0, 0), *((a, b) for k, a, b in zip(kinds, xs, ys, strict=True) if k not in still)]
+    number = lambda n, width: str(abs(n)).rjust(7)[-width:]
+    parts = ["LA:" + re.sub(r"[^\x20-\x7E]", " ", name or "DESIGN")[:16].ljust(16)]
+    parts += ["ST:" + number(sum(k not in still and k != "jump" for k in kinds), 7), "CO:" + number(kinds.count("color"), 3)]
+    for axis, i in (("X", 0), ("Y", 1)):
+        parts += [f"+{axis}:" + number(max(p[i] for p in at), 5), f"-{axis}:" + number(min(p[i] for p in at), 5)]
+    parts += [f"{k}:+" + number(0, 6) for k in ("AX", "AY", "MX", "MY")] + ["PD:******"]
+    return ("\r".join(parts) + "\r").encode("ascii").ljust(511) + b"\x1a"

@@ -1,5 +1,8 @@
 """Closed cases of the shop operators, and each query against DuckDB on the smallest tables."""
 
+import sys
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
@@ -10,6 +13,9 @@ from stitchyard.operators.rules import trace_jobs
 from stitchyard.plans import registry
 from stitchyard.sources import png
 
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
 D = "/root/testdata/sf0.001"
 TABLES = "nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
 
@@ -67,21 +73,25 @@ def test_token_bucket():
 def test_dst_moves():
     assert stitch.dst_delta(0, 0) == b"\x00\x00\x03"
     assert stitch.dst_delta(1, 0) == b"\x01\x00\x03" and stitch.dst_delta(-1, 0) == b"\x02\x00\x03"
-    assert len(stitch.dst_bytes(["stitch"], [300], [0])) == 3 * 3 + 3
+    assert len(brute.dst_bytes(["stitch"], [300], [0])) == 3 * 3 + 3
 
 
 def test_dst_file(spark):
     """The header and the records of a small design, by hand from the reference's writer; then all designs."""
     rows = ["stitch", "jump", "color", "trim", "stitch"], [5, 130, 999, 999, -3], [0, 4, 999, 999, -7]
-    head = stitch.dst_header("caf\u00e9", *rows)
+    head = brute.dst_header("caf\u00e9", *rows)
     want = "LA:caf             \rST:      2\rCO:  1\r+X:  130\r-X:    3\r+Y:    4\r-Y:    7\rAX:+     0\rAY:+     0\rMX:+     0\rMY:+     0\rPD:******\r"
     assert len(head) == 512 and head == want.encode().ljust(511) + b"\x1a"
     delta = stitch.dst_delta
     body = [delta(5, 0), delta(121, -4, True), delta(4, 0, True), delta(0, 0, stop=True), delta(-2, 2, True), delta(4, -4, True), delta(-2, 2, True), delta(-121, 11), delta(-12, 0)]
-    assert stitch.dst_bytes(*rows) == b"".join(body) + b"\x00\x00\xf3"
-    for r in stitch.dst_encode(spark, D).collect():
-        dst = bytes(r.dst)
-        assert dst.startswith(f"LA:{r.design}".encode()) and len(dst) > 512 and dst[511] == 0x1A and (len(dst) - 512) % 3 == 0
+    assert brute.dst_bytes(*rows) == b"".join(body) + b"\x00\x00\xf3"
+    df = spark.createDataFrame([(7, i, *r) for i, r in enumerate(zip(*rows))], "design long, seq long, kind string, x long, y long")
+    assert stitch.dst_files(df).first().dst == (brute.dst_header("7", *rows) + brute.dst_bytes(*rows)).hex().upper()
+    files = {r.design: bytes.fromhex(r.dst) for r in stitch.dst_encode(spark, D).collect()}
+    plain = {}
+    for r in sorted(stitch.stream(spark, D).collect(), key=lambda r: r.seq):
+        plain.setdefault(r.design, []).append((r.kind, r.x, r.y))
+    assert files == {k: brute.dst_header(str(k), *map(list, zip(*v))) + brute.dst_bytes(*map(list, zip(*v))) for k, v in plain.items()}
 
 
 @pytest.mark.parametrize("kind", range(5))
