@@ -89,7 +89,7 @@ def mode_protected(spark: SparkSession, d: str) -> DataFrame:
     p = pictures(spark, d).withColumn("label", F.transform("label", lambda v: F.greatest(v, F.lit(0))))
     nine = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     v = pixels(p.withColumn("v", _near("label", nine)), "label", "v")
-    votes = lambda k: F.size(F.filter("v", lambda q: q == k))
+    votes = lambda k: sum(((F.col("v")[j] == k).cast("int") for j in range(1, 9)), (F.col("v")[0] == k).cast("int"))
     n = v.withColumn("n", F.array(*[votes(k) for k in range(INKS)]))
     like = lambda places: sum(((F.col("v")[k] == F.col("label")).cast("int") for k in places[1:]), (F.col("v")[places[0]] == F.col("label")).cast("int"))
     flip = (like([1, 3, 5, 7]) < 2) & (like([0, 2, 6, 8]) < 2) & (F.array_max("n") >= 5)
@@ -99,11 +99,13 @@ def mode_protected(spark: SparkSession, d: str) -> DataFrame:
 def boundary_vote(spark: SparkSession, d: str) -> DataFrame:
     """L02, one round: at boundaries the ink with most of the pixel and its four neighbours wins, the darker of equals; paper turns to an ink of three or more, else to the winner of its inks."""
     p = pictures(spark, d)
-    v = pixels(p.withColumn("v", _near("label", [(0, 0), (0, -1), (0, 1), (-1, 0), (1, 0)])), "label", "v").join(p.select("id", _palette().alias("inks")), "id")
-    luma = lambda q: color.luma(q.pr, q.pg, q.pb)
-    votes = F.transform("inks", lambda q: F.struct((F.size(F.filter("v", lambda z: z == q.ink)) * 1000.0 - luma(q)).alias("score"), (-q.ink).alias("o"), F.size(F.filter("v", lambda z: z == q.ink)).alias("n")))
-    n = v.withColumn("best", F.array_max(F.filter(votes, lambda q: q.n > 0)))
-    differs = F.exists("v", lambda z: z != F.col("label"))
+    v = pixels(p.withColumn("v", _near("label", [(0, 0), (0, -1), (0, 1), (-1, 0), (1, 0)])), "label", "v").withColumn("inks", _palette())
+    like = lambda k: sum(((F.col("v")[j] == k).cast("int") for j in range(1, 5)), (F.col("v")[0] == k).cast("int"))
+    v = v.withColumns({f"n{k}": like(k) for k in range(INKS)})
+    luma = lambda k: color.luma(*[F.col("inks")[k][f"p{c}"] for c in "rgb"])
+    best = F.greatest(*[F.when(F.col(f"n{k}") > 0, F.struct((F.col(f"n{k}") * 1000.0 - luma(k)).alias("score"), F.lit(-k).alias("o"))) for k in range(INKS)])
+    differs = sum(((F.col("v")[j] != F.col("label")).cast("int") for j in range(2, 5)), (F.col("v")[1] != F.col("label")).cast("int")) > 0
+    n = v.withColumn("best", best)
     return n.select("id", "x", "y", F.when(differs & F.col("best").isNotNull(), -F.col("best.o")).otherwise(F.col("label")).cast("int").alias("label"))
 
 
@@ -111,7 +113,7 @@ def _inks(spark: SparkSession, d: str) -> DataFrame:
     """id, pixels of the image, ink, its colour and Lab, its pixels and the mean of a gradient."""
     p = pictures(spark, d).withColumn("grad", F.expr("transform(r, (v, i) -> (v * 3 + g[i]) % 48 + if(label[i] = id % 5, 10, 0))"))
     n = pixels(p, "label", "grad").filter("label >= 0").groupBy("id", "w", "h", "label").agg(F.count("*").alias("n"), F.avg("grad").alias("grad"))
-    inks = n.join(p.select("id", F.explode(_palette()).alias("q")), "id").filter("q.ink = label")
+    inks = n.withColumn("q", F.element_at(_palette(), F.col("label") + 1))
     return inks.select("id", (F.col("w") * F.col("h")).alias("area"), "label", "n", "grad", "q.pr", "q.pg", "q.pb", _lab(F.col("q.pr"), F.col("q.pg"), F.col("q.pb")).alias("lab"))
 
 
@@ -169,7 +171,7 @@ def legal_merges(spark: SparkSession, d: str) -> DataFrame:
 def flat_route(spark: SparkSession, d: str) -> DataFrame:
     """Inks, share of pixels within 10 of their ink, mean and 90th percentile of the distance, and whether the image counts as flat."""
     p = pictures(spark, d)
-    x = pixels(p, "label", "r", "g", "b").filter("label >= 0").join(p.select("id", _palette().alias("inks")), "id")
+    x = pixels(p, "label", "r", "g", "b").filter("label >= 0").withColumn("inks", _palette())
     own = F.element_at("inks", F.col("label") + 1)
     # the picture's noise around its inks, so that images of both routes exist
     near = lambda c: own[f"p{c}"] + (F.col(c) % 16 - 8) * (F.col("id") % 3)

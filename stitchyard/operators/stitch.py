@@ -84,14 +84,10 @@ def dst_delta(dx: int, dy: int, jump: bool = False, stop: bool = False) -> bytes
     return bytes(out)
 
 
-def _digits(v: Column) -> dict[int, Column]:
-    """The balanced ternary digits of -121 to 121, by size."""
-    out = {}
-    for size in (81, 27, 9, 3, 1):
-        rest = (size - 1) // 2
-        out[size] = F.when(v > rest, 1).when(v < -rest, -1).otherwise(0)
-        v = v - size * out[size]
-    return out
+def _digits(c: str) -> dict[int, Column]:
+    """The balanced ternary digits of a column of -121 to 121, by size: how many of a size are in it, less three for each of the next."""
+    near = lambda size: F.floor((F.col(c) + (size - 1) // 2) / size)
+    return {size: near(size) - 3 * near(3 * size) for size in (81, 27, 9, 3, 1)}
 
 
 def dst_files(rows: DataFrame) -> DataFrame:
@@ -106,7 +102,8 @@ def dst_files(rows: DataFrame) -> DataFrame:
     n = F.greatest(F.lit(1), F.expr("(abs(dx) + 120) div 121"), F.expr("(abs(dy) + 120) div 121"))
     k = m.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     part = lambda c: F.expr(f"cast(sign({c}) as bigint) * greatest(0, least(121, abs({c}) - 121 * k))")
-    x, y = _digits(part("dx")), _digits(part("dy"))
+    k = k.withColumns({"mx": part("dx"), "my": part("dy")})
+    x, y = _digits("mx"), _digits("my")
     bit = lambda d, plus, minus: F.when(d == 1, plus).when(d == -1, minus).otherwise(0)
     low = bit(x[1], 1, 2) + bit(x[9], 4, 8) + bit(y[1], 128, 64) + bit(y[9], 32, 16)
     mid = bit(x[3], 1, 2) + bit(x[27], 4, 8) + bit(y[3], 128, 64) + bit(y[27], 32, 16)

@@ -131,7 +131,7 @@ def fill_snap(spark: SparkSession, d: str) -> DataFrame:
 def core_recolor(spark: SparkSession, d: str) -> DataFrame:
     """An ink's Lab colour is the median of its pixels within 8 of it, of all of them if it has little chroma; with under eight such pixels it stays."""
     p = pictures(spark, d)
-    x = pixels(p, "label", "r", "g", "b").filter("label >= 0").join(p.select("id", _palette().alias("inks")), "id")
+    x = pixels(p, "label", "r", "g", "b").filter("label >= 0").withColumn("inks", _palette())
     own = F.element_at("inks", F.col("label") + 1)
     # noise around an ink that differs between images, so that inks with and without a core exist
     near = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), own[f"p{c}"] + (F.col(c) % 16 - 8) * (F.col("id") % 5)))
