@@ -109,6 +109,32 @@ def boundary_vote(spark: SparkSession, d: str) -> DataFrame:
     return n.select("id", "x", "y", F.when(differs & F.col("best").isNotNull(), -F.col("best.o")).otherwise(F.col("label")).cast("int").alias("label"))
 
 
+#: Rounds of boundary votes.
+ITERS = 3
+
+
+def boundary_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The vote of ``boundary_vote`` in three rounds, each on the labels of the last, in an image's own row."""
+    p = pictures(spark, d).withColumn("luma", F.transform(_palette(), lambda q: color.luma(q.pr, q.pg, q.pb)))
+    five = [(0, 0), (0, -1), (0, 1), (-1, 0), (1, 0)]
+    score = lambda k: f"if(v[0] = {k} or v[1] = {k} or v[2] = {k} or v[3] = {k} or v[4] = {k}, struct(({' + '.join(f'if(v[{j}] = {k}, 1, 0)' for j in range(5))}) * 1000.0D - luma[{k}] as s, -{k} as o), null)"
+    best = f"greatest({', '.join(score(k) for k in range(INKS))})"
+    vote = f"transform(v5, v -> if(v[1] <> v[0] or v[2] <> v[0] or v[3] <> v[0] or v[4] <> v[0], coalesce(-{best}.o, v[0]), v[0]))"
+    for _ in range(ITERS):
+        p = p.withColumn("v5", _near("label", five)).withColumn("label", F.expr(vote)).drop("v5")
+    return pixels(p, "label").select("id", "x", "y", "label")
+
+
+def mode_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The label of most of the 5 x 5 pixels around one, edges repeated; of equals its own, then the lowest; paper counts as a label."""
+    p = pictures(spark, d).withColumn("label", F.transform("label", lambda v: v + 1))
+    square = [(dx, dy) for dy in range(-2, 3) for dx in range(-2, 3)]
+    v = pixels(p.withColumn("v", _near("label", square)), "label", "v")
+    n = lambda k: sum(((F.col("v")[j] == k).cast("int") for j in range(1, 25)), (F.col("v")[0] == k).cast("int"))
+    best = F.greatest(*[F.struct((2 * n(k) + (F.col("label") == k).cast("int")).alias("s"), F.lit(-k).alias("o")) for k in range(INKS + 1)])
+    return v.select("id", "x", "y", (-best["o"] - 1).cast("int").alias("label"))
+
+
 def _inks(spark: SparkSession, d: str) -> DataFrame:
     """id, pixels of the image, ink, its colour and Lab, its pixels and the mean of a gradient."""
     p = pictures(spark, d).withColumn("grad", F.expr("transform(r, (v, i) -> (v * 3 + g[i]) % 48 + if(label[i] = id % 5, 10, 0))"))
@@ -198,7 +224,7 @@ def majority_downsample(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("id", "bx", "by").agg(F.max(F.struct("n", (-F.col("label")).alias("o"))).alias("m")).select("id", "bx", "by", (-F.col("m.o")).cast("int").alias("label"))
 
 
-QUERIES = [stone_pack, halftone_am, junk_score, mode_protected, boundary_vote, edge_inks, recolor_inks, paper_inks, legal_merges, flat_route, border_stats, majority_downsample]
+QUERIES = [stone_pack, halftone_am, junk_score, mode_protected, boundary_vote, boundary_rounds, mode_filter, edge_inks, recolor_inks, paper_inks, legal_merges, flat_route, border_stats, majority_downsample]
 _IMG = f"im AS (SELECT s_suppkey AS id, CAST(24 + s_suppkey % 17 AS INT) AS w, CAST(20 + s_suppkey % 13 AS INT) AS h FROM supplier), px AS (SELECT id, w, h, CAST(u.x AS INT) AS x, CAST(v.y AS INT) AS y FROM im, range(41) u(x), range(33) v(y) WHERE u.x < w AND v.y < h), img AS (SELECT *, CAST({_R} AS INT) AS r, CAST({_G} AS INT) AS g, CAST({_B} AS INT) AS b, {_INSIDE} AS inside, CAST(CASE WHEN {_INSIDE} THEN {_LABEL.format(div='//')} ELSE -1 END AS INT) AS label FROM px)"
 _PAL = "pal AS (SELECT id, CAST(k AS INT) AS ink, CAST((k*61+id*7)%256 AS INT) AS pr, CAST((k*97+id*3)%256 AS INT) AS pg, CAST((k*29+id*11)%256 AS INT) AS pb FROM im, range(5) t(k))"
 _EDGE = "nb AS (SELECT c.id, c.x, c.y, c.label AS c, i, j, n.label AS l FROM {0} c, (VALUES (-1),(0),(1)) a(i), (VALUES (-1),(0),(1)) b(j) JOIN {0} n ON n.id = c.id AND n.x = greatest(0, least(c.w-1, c.x+i)) AND n.y = greatest(0, least(c.h-1, c.y+j)))"
@@ -220,6 +246,8 @@ SQL = {
     "junk_score": f"WITH {_IMG}, s AS (SELECT id, count(DISTINCT (r//8)*1024+(g//8)*32+b//8) AS bins, count(*) AS n FROM img GROUP BY id) SELECT id, bins, CAST(floor(bins*1000e0/n*1000+0.5) AS BIGINT) AS score, CASE WHEN bins < 180 AND bins*1000e0/n < 6 THEN 'none' WHEN bins*1000e0/n >= 12 THEN 'strong' ELSE 'median' END AS smoothing FROM s",
     "mode_protected": f"WITH {_IMG}, z AS (SELECT id, w, h, x, y, greatest(label, 0) AS label FROM img), {_EDGE.format('z')}, f AS (SELECT id, x, y, any_value(c) AS c, count(*) FILTER (l = c AND abs(i)+abs(j) = 1) AS f, count(*) FILTER (l = c AND abs(i)+abs(j) = 2) AS g FROM nb GROUP BY ALL), v AS (SELECT id, x, y, l, count(*) AS n FROM nb GROUP BY ALL), m AS (SELECT id, x, y, max(n) AS n, arg_max(l, n*10-l) AS l FROM v GROUP BY ALL) SELECT id, x, y, CAST(CASE WHEN f < 2 AND g < 2 AND n >= 5 THEN l ELSE c END AS INT) AS label FROM f JOIN m USING (id, x, y)",
     "boundary_vote": f"WITH {_IMG}, {_PAL}, {_EDGE.format('img')}, five AS (SELECT * FROM nb WHERE abs(i)+abs(j) <= 1), d AS (SELECT id, x, y, any_value(c) AS c, count(*) FILTER (l <> c) AS other FROM five GROUP BY ALL), v AS (SELECT id, x, y, l, count(*) AS n FROM five WHERE l >= 0 GROUP BY ALL), s AS (SELECT v.*, n*1000e0-(0.299e0*pr+0.587e0*pg+0.114e0*pb) AS score FROM v JOIN pal ON pal.id = v.id AND ink = l), m AS (SELECT id, x, y, arg_max(l, score) AS l FROM s GROUP BY ALL) SELECT id, x, y, CAST(CASE WHEN other > 0 AND m.l IS NOT NULL THEN m.l ELSE c END AS INT) AS label FROM d LEFT JOIN m USING (id, x, y)",
+    "boundary_rounds": f"WITH {_IMG}, {_PAL}, r0 AS MATERIALIZED (SELECT id, w, h, x, y, label FROM img), " + ", ".join(f"n{t} AS MATERIALIZED (SELECT c.id, c.x, c.y, c.label AS c, n.label AS l FROM r{t} c, (VALUES (0,0),(0,-1),(0,1),(-1,0),(1,0)) o(i, j) JOIN r{t} n ON n.id = c.id AND n.x = greatest(0, least(c.w-1, c.x+i)) AND n.y = greatest(0, least(c.h-1, c.y+j))), s{t} AS (SELECT n.id, n.x, n.y, l, count(*)*1000e0-any_value(0.299e0*pr+0.587e0*pg+0.114e0*pb) AS s FROM n{t} n JOIN pal ON pal.id = n.id AND ink = l GROUP BY ALL), m{t} AS (SELECT id, x, y, arg_max(l, s) AS l FROM s{t} GROUP BY ALL), d{t} AS (SELECT id, x, y, bool_or(l <> c) AS edge FROM n{t} GROUP BY ALL), r{t + 1} AS MATERIALIZED (SELECT r.id, w, h, r.x, r.y, CASE WHEN edge AND m.l IS NOT NULL THEN m.l ELSE label END AS label FROM r{t} r JOIN d{t} USING (id, x, y) LEFT JOIN m{t} m USING (id, x, y))" for t in range(ITERS)) + f" SELECT id, x, y, CAST(label AS INT) AS label FROM r{ITERS}",
+    "mode_filter": f"WITH {_IMG}, n AS (SELECT c.id, c.x, c.y, c.label AS c, n.label AS l FROM img c, range(-2, 3) a(i), range(-2, 3) b(j) JOIN img n ON n.id = c.id AND n.x = greatest(0, least(c.w-1, c.x+i)) AND n.y = greatest(0, least(c.h-1, c.y+j))), s AS (SELECT id, x, y, l, 2*count(*)+any_value(CASE WHEN l = c THEN 1 ELSE 0 END) AS s FROM n GROUP BY ALL) SELECT id, x, y, CAST(arg_max(l, s*10-l) AS INT) AS label FROM s GROUP BY id, x, y",
     "edge_inks": f"WITH {_IMG}, {_PAL}, {_lab_sql('pal', 'pr', 'pg', 'pb', 'id, ink, pr, pg, pb', 'lab')}, n AS (SELECT id, w*h AS area, label, count(*) AS n, avg((r*3+g)%48 + CASE WHEN label = id%5 THEN 10 ELSE 0 END) AS grad FROM img WHERE label >= 0 GROUP BY ALL), i AS (SELECT n.id, label, \"L\", \"A\", \"B\", n < 8 OR (grad > 22 AND 0.299e0*pr+0.587e0*pg+0.114e0*pb > 45 AND 0.299e0*pr+0.587e0*pg+0.114e0*pb < 210 AND n < 0.12e0*area) AS go FROM n JOIN lab ON lab.id = n.id AND ink = label), k AS (SELECT * FROM i WHERE NOT go OR (SELECT count(*) FROM i j WHERE j.id = i.id AND NOT j.go) < 3), p AS (SELECT i.id, i.label, k.label AS now, {_DE.format('i', 'k')} AS d FROM i JOIN k ON k.id = i.id) SELECT id, label, arg_min(now, {{'d': d, 'l': now}}) AS now FROM p GROUP BY id, label",
     "recolor_inks": f"WITH {_IMG}, z AS (SELECT *, (r*3+g)%48 < 14 AS flat FROM img WHERE label >= 0), y AS (SELECT * FROM z QUALIFY count(*) FILTER (flat) OVER (PARTITION BY id, label) < 12 OR flat), m AS (SELECT id, label, count(*) AS n, " + ", ".join(f"avg({c}) AS {c}m, quantile_cont({c}, 0.08) AS {c}1, quantile_cont({c}, 0.88) AS {c}2" for c in "rgb") + " FROM y GROUP BY ALL) SELECT id, label, " + ", ".join(f"CAST(floor(CASE WHEN 0.299e0*rm+0.587e0*gm+0.114e0*bm < 105 THEN {c}1 WHEN 0.299e0*rm+0.587e0*gm+0.114e0*bm > 220 THEN {c}2 ELSE {c}m END*1000+0.5) AS BIGINT) AS {c}" for c in "rgb") + " FROM m WHERE n >= 4",
     "paper_inks": f"WITH {_IMG}, {_PAL}, q AS (SELECT id, ink, pr AS v, least(255, CAST(trunc(pr + (id%3)*pg/32e0) AS INT)) AS u FROM pal UNION ALL SELECT id, -1, 180, 180 FROM im), {_lab_sql('q', 'v', 'v', 'u', 'id, ink', 'lab')}, g AS (SELECT a.id, a.ink, sqrt(a.\"A\"*a.\"A\"+a.\"B\"*a.\"B\") <= 16 AND {_DE.format('a', 'p')} < 40 AS go FROM lab a JOIN lab p ON p.id = a.id AND p.ink = -1 WHERE a.ink >= 0) SELECT id, coalesce(string_agg(ink, ',' ORDER BY ink) FILTER (NOT go), string_agg(ink, ',' ORDER BY ink)) AS inks FROM g GROUP BY id",

@@ -34,10 +34,11 @@ def price_line_quote(spark: SparkSession, d: str) -> DataFrame:
 
 
 def price_order_quote(spark: SparkSession, d: str) -> DataFrame:
-    """Subtotal, margin and total of each job, rounded after the sum."""
-    q = _lines(spark, d).groupBy("l_orderkey").agg((F.sum(F.round(F.col("total") * 100).cast("long")) / 100).alias("subtotal"))
+    """Subtotal, margin, total and price a piece of each job, rounded after the sum; a line counts as one piece at least."""
+    q = _lines(spark, d).groupBy("l_orderkey").agg((F.sum(F.round(F.col("total") * 100).cast("long")) / 100).alias("subtotal"), F.sum(F.greatest(F.lit(1.0), F.col("qty"))).alias("pieces"))
     margin = round2(F.col("subtotal") * (F.col("l_orderkey") % 40) / 100)
-    return q.select("l_orderkey", "subtotal", margin.alias("margin"), round2(F.col("subtotal") + margin).alias("total"))
+    q = q.withColumn("margin", margin).withColumn("total", round2(F.col("subtotal") + F.col("margin")))
+    return q.select("l_orderkey", "subtotal", "margin", "total", round2(F.col("total") / F.col("pieces")).alias("unit"))
 
 
 def gang_layout(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +55,6 @@ _LINES = """lines AS (SELECT *, floor(unit_price*qty*CASE WHEN qty >= 25 THEN 0.
 QUERIES = [price_line_quote, price_order_quote, gang_layout]
 SQL = {
     "price_line_quote": f"WITH {_LINES} SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(round(total*100) AS BIGINT)) AS BIGINT) AS cents, max(unit_price) AS top_unit FROM lines GROUP BY 1",
-    "price_order_quote": f"WITH {_LINES}, q AS (SELECT l_orderkey, CAST(sum(CAST(round(total*100) AS BIGINT)) AS BIGINT)/100 AS subtotal FROM lines GROUP BY 1), m AS (SELECT *, floor(subtotal*(l_orderkey%40)/100*100+0.5)/100 AS margin FROM q) SELECT *, floor((subtotal+margin)*100+0.5)/100 AS total FROM m",
+    "price_order_quote": f"WITH {_LINES}, q AS (SELECT l_orderkey, CAST(sum(CAST(round(total*100) AS BIGINT)) AS BIGINT)/100 AS subtotal, sum(greatest(1, qty)) AS pieces FROM lines GROUP BY 1), m AS (SELECT *, floor(subtotal*(l_orderkey%40)/100*100+0.5)/100 AS margin FROM q), t AS (SELECT *, floor((subtotal+margin)*100+0.5)/100 AS total FROM m) SELECT l_orderkey, subtotal, margin, total, floor(total/pieces*100+0.5)/100 AS unit FROM t",
     "gang_layout": "SELECT p_partkey, CAST(i AS INT) AS i, CAST(i // cols AS INT) AS sheet_row, CAST(i % cols AS INT) AS sheet_col, (i % cols)*(w+0.125e0) AS x FROM (SELECT p_partkey, w, greatest(1, CAST(floor((22+0.125e0)/(w+0.125e0)) AS INT)) AS cols, unnest(range(p_size)) AS i FROM (SELECT p_partkey, p_size, CAST(2 + p_partkey % 5 AS DOUBLE) AS w FROM part))",
 }

@@ -36,12 +36,25 @@ def password_problem(spark: SparkSession, d: str) -> DataFrame:
 
 
 def free_image_status(spark: SparkSession, d: str) -> DataFrame:
-    """Why an account has no free image: admin, used, unverified or a device that another account used, in this order."""
-    c = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 31 == 0).alias("admin"), (F.col("c_acctbal") < 0).alias("used"), (F.col("c_custkey") % 3 == 0).alias("open"), (F.col("c_custkey") % 77).alias("device"))
-    claims = c.filter("used").groupBy("device").agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"))
-    taken = (F.col("low") != F.col("c_custkey")) | (F.col("high") != F.col("c_custkey"))
+    """Why an account has no free image: admin, used, unverified or a device or address that another account used, in this order."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey", (k % 31 == 0).alias("admin"), (F.col("c_acctbal") < 0).alias("used"), (k % 3 == 0).alias("open"), F.when(k % 5 != 0, k % 77).alias("device"), F.when(k % 7 != 0, k % 401).alias("address"))
+    out, taken = c, F.lit(False)
+    for name in ("device", "address"):
+        # who claimed: if it is one account alone, it may be the asking one
+        claims = c.filter(f"used and {name} is not null").groupBy(name).agg(F.min("c_custkey").alias(f"{name}_low"), F.max("c_custkey").alias(f"{name}_high"))
+        out = out.join(claims, name, "left")
+        taken = taken | F.coalesce((F.col(f"{name}_low") != k) | (F.col(f"{name}_high") != k), F.lit(False))
     reason = F.when(F.col("admin"), "admin").when(F.col("used"), "used").when(F.col("open"), "unverified").when(taken, "device")
-    return c.join(claims, "device", "left").select("c_custkey", reason.alias("reason"))
+    return out.select("c_custkey", reason.alias("reason"))
+
+
+def contact_mail(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a mail address can be written to: one at sign, a dot after it, no white space, at most 320 characters."""
+    k = F.col("c_custkey")
+    mail = F.when(k % 6 == 0, F.concat("c_name", F.lit("@shop.example"))).when(k % 6 == 1, F.concat("c_name", F.lit("@shop"))).when(k % 6 == 2, F.concat("c_name", F.lit("@@shop.example"))).when(k % 6 == 3, F.concat("c_name", F.lit(" @shop.example"))).when(k % 6 == 4, F.concat(F.repeat(F.lit("x"), (k % 13 + 295).cast("int")), F.lit("@shop.example"))).otherwise(F.concat("c_name", F.lit(".@"), k.cast("string"), F.lit(".")))
+    c = table(spark, d, "customer").select("c_custkey", mail.alias("mail"))
+    return c.select("c_custkey", (F.col("mail").rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$") & (F.length("mail") <= 320)).alias("valid"))
 
 
 def press_risk(spark: SparkSession, d: str) -> DataFrame:
@@ -132,11 +145,12 @@ def border_spread(spark: SparkSession, d: str) -> DataFrame:
 
 _N2 = 200 * 200 + 140 * 140 + 80 * 80
 _FAR = "(r-{0})*(r-{0})+(g-{1})*(g-{1})+(b-{2})*(b-{2})"
-QUERIES = [trace_job_slots, password_problem, free_image_status, press_risk, credit_edit, object_cap, sewing_plan, plan_expiry, newest_version, blend_test, paper_assign, border_spread]
+QUERIES = [trace_job_slots, password_problem, free_image_status, contact_mail, press_risk, credit_edit, object_cap, sewing_plan, plan_expiry, newest_version, blend_test, paper_assign, border_spread]
 SQL = {
     "trace_job_slots": r"WITH t AS (SELECT p_partkey, p_size % 8 + 1 AS cores, CASE p_partkey % 5 WHEN 2 THEN 6e0 WHEN 4 THEN 0e0 END AS env, CASE WHEN p_partkey % 7 > 2 THEN (p_partkey % 9) * 50000 END AS quota FROM part) SELECT p_partkey, CAST(CASE WHEN env IS NOT NULL THEN greatest(1, floor(env)) WHEN quota IS NOT NULL THEN least(greatest(1, floor(quota/100000)), cores) ELSE 2 END AS BIGINT) AS slots FROM t",
     "password_problem": "WITH w AS (SELECT c_custkey, substr(c_name, 1 + c_custkey % 10, 5 + c_custkey % 9) AS word FROM customer) SELECT c_custkey, length(word) < 8 OR NOT regexp_matches(word, '[A-Za-z]') OR NOT regexp_matches(word, '[0-9]') AS refused FROM w",
-    "free_image_status": "WITH c AS (SELECT c_custkey, c_custkey % 77 AS device, c_acctbal < 0 AS used FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 31 = 0 THEN 'admin' WHEN used THEN 'used' WHEN c_custkey % 3 = 0 THEN 'unverified' WHEN EXISTS (SELECT 1 FROM c o WHERE o.used AND o.device = c.device AND o.c_custkey <> c.c_custkey) THEN 'device' END AS reason FROM c",
+    "free_image_status": "WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 77 END AS device, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 401 END AS address, c_acctbal < 0 AS used FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 31 = 0 THEN 'admin' WHEN used THEN 'used' WHEN c_custkey % 3 = 0 THEN 'unverified' WHEN EXISTS (SELECT 1 FROM c o WHERE o.used AND (o.device = c.device OR o.address = c.address) AND o.c_custkey <> c.c_custkey) THEN 'device' END AS reason FROM c",
+    "contact_mail": r"WITH m AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_name || '@shop.example' WHEN 1 THEN c_name || '@shop' WHEN 2 THEN c_name || '@@shop.example' WHEN 3 THEN c_name || ' @shop.example' WHEN 4 THEN repeat('x', CAST(c_custkey % 13 + 295 AS INT)) || '@shop.example' ELSE c_name || '.@' || c_custkey || '.' END AS mail FROM customer) SELECT c_custkey, length(mail) <= 320 AND mail NOT LIKE '% %' AND length(mail) - length(replace(mail, '@', '')) = 1 AND position('.' IN substr(split_part(mail, '@', 2), 2)) BETWEEN 1 AND length(split_part(mail, '@', 2)) - 2 AS valid FROM m",
     "press_risk": "WITH n AS (SELECT o_orderkey, floor(o_totalprice) % 80 AS mae, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT o_orderkey, CASE WHEN n = 0 THEN 'hold' WHEN n <= 8 AND mae > 40 THEN 'review' WHEN n <= 8 THEN 'go' WHEN n <= 12 THEN 'review' ELSE 'hold' END AS level FROM n",
     "credit_edit": "WITH o AS (SELECT o_orderkey AS k, o_orderkey % 500 AS b, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders), e AS (SELECT *, CASE WHEN k % 3 > 0 THEN p % 24001 - 12000 END AS a, CASE WHEN k % 3 = 0 THEN p % 150001 - 20000 END AS s FROM o), f AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'reason' WHEN abs(a) > 10000 THEN 'add_range' WHEN b + a < 0 THEN 'below_zero' WHEN s < 0 OR s > 100000 THEN 'set_range' END AS error FROM e) SELECT k AS o_orderkey, error, CASE WHEN error IS NULL THEN coalesce(b + a, s) ELSE b END AS after FROM f",
     "object_cap": "WITH s AS (SELECT user_id AS design, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, CAST(event_id % 97 % 7 AS BIGINT) AS thread FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY design, thread ORDER BY seq) > 1 AS later FROM s), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY design ORDER BY later, seq) AS INT) AS place FROM f) SELECT design, seq, thread, place FROM r WHERE place <= 12",

@@ -31,10 +31,10 @@ def stitch_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stitch_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by kind and minutes in tenths."""
-    g = stream(spark, d).groupBy("design").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("stitch", "stitches"), ("jump", "jumps"), ("trim", "trims"), ("color", "colors"))])
+    """Counts by kind, colours, minutes in tenths and the size in hundredths of an inch, a place being a tenth of a millimetre."""
+    g = stream(spark, d).groupBy("design").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("stitch", "stitches"), ("jump", "jumps"), ("trim", "trims"), ("color", "colors"))], *[F.floor((F.max(c) - F.min(c)) / 254.0 * 100 + 0.5).cast("long").alias(n) for c, n in (("x", "width"), ("y", "height"))])
     minutes = F.col("stitches") / 750 + (6 * F.col("trims") + 20 * F.col("colors")) / 60
-    return g.withColumn("tenths", F.floor(minutes * 10 + 0.5).cast("long"))
+    return g.withColumns({"tenths": F.floor(minutes * 10 + 0.5).cast("long"), "threads": F.col("colors") + 1})
 
 
 def split_long_stitches(spark: SparkSession, d: str) -> DataFrame:
@@ -148,6 +148,6 @@ SQL = {
     "stitch_stream_color_index": _S + " SELECT design, seq, CAST(sum(CASE WHEN kind = 'color' THEN 1 ELSE 0 END) OVER (PARTITION BY design ORDER BY seq) AS BIGINT) AS color_index FROM s",
     "stitch_lengths": _P + " SELECT design, seq, coalesce((x-px)*(x-px)+(y-py)*(y-py), 0) AS d2 FROM p",
     "drop_short_stitches": _S.replace("WITH s", "WITH RECURSIVE s", 1) + ", k AS (SELECT design, seq, x, y, true AS kept FROM s WHERE seq = 1 UNION ALL SELECT s.design, s.seq, CASE WHEN go THEN k.x ELSE s.x END, CASE WHEN go THEN k.y ELSE s.y END, NOT go FROM k JOIN s ON s.design = k.design AND s.seq = k.seq + 1, LATERAL (SELECT s.kind = 'stitch' AND (s.x-k.x)*(s.x-k.x)+(s.y-k.y)*(s.y-k.y) < 9 AS go)) SELECT design, seq FROM k WHERE kept",
-    "stitch_summary": _S + ", g AS (SELECT design, count(*) FILTER (kind='stitch') AS stitches, count(*) FILTER (kind='jump') AS jumps, count(*) FILTER (kind='trim') AS trims, count(*) FILTER (kind='color') AS colors FROM s GROUP BY 1) SELECT *, CAST(floor((stitches/750 + (6*trims+20*colors)/60)*10+0.5) AS BIGINT) AS tenths FROM g",
+    "stitch_summary": _S + ", g AS (SELECT design, count(*) FILTER (kind='stitch') AS stitches, count(*) FILTER (kind='jump') AS jumps, count(*) FILTER (kind='trim') AS trims, count(*) FILTER (kind='color') AS colors, CAST(floor((max(x)-min(x))/254e0*100+0.5e0) AS BIGINT) AS width, CAST(floor((max(y)-min(y))/254e0*100+0.5e0) AS BIGINT) AS height FROM s GROUP BY 1) SELECT *, colors+1 AS threads, CAST(floor((stitches/750 + (6*trims+20*colors)/60)*10+0.5) AS BIGINT) AS tenths FROM g",
     "split_long_stitches": _P + ", q AS (SELECT *, CAST(CASE WHEN sqrt((x-px)*(x-px)+(y-py)*(y-py)) > 70 THEN ceil(sqrt((x-px)*(x-px)+(y-py)*(y-py))/65.0e0) ELSE 1 END AS BIGINT) AS n FROM p WHERE px IS NOT NULL), r AS (SELECT *, unnest(range(1, n+1)) AS k FROM q) SELECT design, seq, k, CAST(floor(px+(x-px)*k/n+0.5) AS BIGINT) AS x, CAST(floor(py+(y-py)*k/n+0.5) AS BIGINT) AS y FROM r",
 }
