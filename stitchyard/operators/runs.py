@@ -163,6 +163,33 @@ def visit_order(spark: SparkSession, d: str) -> DataFrame:
     return sewing_order(_boxes(spark, d).select("page", "i", F.col("k").cast("long")), visit_precedence(spark, d).select("i", "j"))
 
 
+def object_sequence(objects: DataFrame) -> DataFrame:
+    """(page, place, i) of objects (page, i, fill, thread, layer, area, cx, cy): fills first, then the others, by thread.
+
+    Threads come by their lowest layer, then by first object; of the others the thread of the last fill that both have
+    comes first. Inside a thread the largest object begins, and the nearest unused one follows, the larger of equals.
+    """
+    thread = objects.groupBy("page", "fill", "thread").agg(F.min("layer").alias("low"), F.min("i").alias("first"), F.sort_array(F.collect_list(F.struct((-F.col("area")).alias("o"), "i", "cx", "cy"))).alias("g"))
+    used = "not array_contains(s.out, z.i)"
+    near = f"array_min(transform(filter(g, z -> {used}), z -> struct(if(s.cx is null, 0L, (z.cx - s.cx) * (z.cx - s.cx) + (z.cy - s.cy) * (z.cy - s.cy)) as d, z.o as o, z.i as i, z.cx as cx, z.cy as cy)))"
+    chain = F.expr(f"aggregate(g, named_struct('cx', cast(null as bigint), 'cy', cast(null as bigint), 'out', cast(array() as array<bigint>)), (s, q) -> transform(array({near}), b -> named_struct('cx', b.cx, 'cy', b.cy, 'out', concat(s.out, array(b.i))))[0]).out")
+    thread = thread.select("page", "fill", "thread", "low", "first", chain.alias("chain"))
+    both = Window.partitionBy("page", "thread")
+    thread = thread.withColumn("shared", F.count("*").over(both) == 2)
+    fills = thread.filter("fill and shared").groupBy("page").agg(F.max_by("thread", F.struct("low", "first")).alias("prefer"))
+    thread = thread.join(fills, "page", "left").withColumn("head", ~F.col("fill") & F.coalesce(F.col("thread") == F.col("prefer"), F.lit(False)))
+    rank = F.struct((~F.col("fill")).alias("a"), (~F.col("head")).alias("b"), "low", "first")
+    rows = thread.select("page", rank.alias("rank"), F.posexplode("chain").alias("k", "i"))
+    return rows.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("rank", "k")) - 1).alias("place"), "i")
+
+
+def sequence_objects(spark: SparkSession, d: str) -> DataFrame:
+    """T08 over the boxes of parts: large ones are fills."""
+    b = _boxes(spark, d)
+    o = b.select("page", "i", F.expr("w * h > 300").alias("fill"), F.col("k").alias("thread"), F.expr("i * 7 % 11").alias("layer"), F.expr("w * h").alias("area"), F.expr("2 * x + w").alias("cx"), F.expr("2 * y + h").alias("cy"))
+    return object_sequence(o)
+
+
 #: Rounds of a distance field in one job, and pixels of a cell.
 AT_ONCE, COARSE = 5, 2
 
@@ -213,7 +240,7 @@ def _solve_sql(source: str, name: str) -> str:
 
 
 _EST = "+".join(f"t{k}*s.m[{k + 1}][{TERMS + 1}]" for k in range(TERMS))
-QUERIES = [quadratic_background, run_coverage, run_joins, visit_order, mask_fields]
+QUERIES = [quadratic_background, run_coverage, run_joins, visit_order, sequence_objects, mask_fields]
 SQL = {
     "quadratic_background": f"""WITH {_IMG}, bd AS (SELECT id, r, g, b, x*1e0/greatest(w-1, 1)*2-1 AS u, y*1e0/greatest(h-1, 1)*2-1 AS v FROM (SELECT *, greatest(2, least(8, least(w, h)//16)) AS bw FROM img WHERE ((y*w+x)*37+id)%256 >= 16) WHERE x < bw OR y < bw OR x >= w-bw OR y >= h-bw), tz AS MATERIALIZED (SELECT id, c AS channel, CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END*1e0 AS z, u*u AS t0, v*v AS t1, u*v AS t2, u AS t3, v AS t4, 1e0 AS t5 FROM bd, (VALUES (0),(1),(2)) q(c)),
  e0 AS (SELECT id, channel, m FROM (SELECT id, channel, {_normal('tz')} GROUP BY id, channel) q(id, channel, m)), {_solve_sql('e0', 'a')}, rs AS (SELECT tz.*, abs({_EST}-z) AS rest FROM tz JOIN a{TERMS} s USING (id, channel)), md AS (SELECT *, median(rest) OVER (PARTITION BY id, channel) AS med FROM rs), mm AS (SELECT *, median(abs(rest-med)) OVER (PARTITION BY id, channel)+1e-6 AS mad FROM md),
@@ -227,5 +254,8 @@ SQL = {
  w(page, rk, a, ea, b, eb, ok, comp, used) AS (SELECT DISTINCT page, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST(0 AS BIGINT), false, false, range(40), CAST([] AS BIGINT[]) FROM g UNION ALL SELECT page, rk, a, ea, b, eb, ok, CASE WHEN ok THEN list_transform(comp, lambda c: CASE WHEN c = ca THEN cb ELSE c END) ELSE comp END, CASE WHEN ok THEN list_concat(used, [a*2+CAST(ea AS INT), b*2+CAST(eb AS INT)]) ELSE used END FROM (SELECT g.*, comp, used, comp[g.a%40+1] AS ca, comp[g.b%40+1] AS cb, comp[g.a%40+1] <> comp[g.b%40+1] AND NOT list_contains(used, g.a*2+CAST(g.ea AS INT)) AND NOT list_contains(used, g.b*2+CAST(g.eb AS INT)) AS ok FROM w JOIN g ON g.page = w.page AND g.rk = w.rk+1)) SELECT page, a, ea, b, eb FROM w WHERE ok""",
     "visit_order": f"""WITH RECURSIVE {_B}, c AS (SELECT page, i, k, cx, cy FROM b, range(20) u(cx), range(20) v(cy) WHERE cx BETWEEN x//10 AND (x+w)//10 AND cy BETWEEN y//10 AND (y+h)//10), pr AS (SELECT DISTINCT p.i, q.i AS j FROM c p JOIN c q USING (page, cx, cy) WHERE p.i < q.i AND p.k <> q.k UNION SELECT p.i, q.i FROM b p JOIN b q ON p.page = q.page AND p.k = q.k AND p.i < q.i), vs AS MATERIALIZED (SELECT b.page, b.i, b.k, coalesce(list(pr.i) FILTER (pr.i IS NOT NULL), []) AS pred FROM b LEFT JOIN pr ON pr.j = b.i GROUP BY ALL),
  o(page, place, cur, done) AS (SELECT DISTINCT page, -1, CAST(-1 AS BIGINT), CAST([] AS BIGINT[]) FROM vs UNION ALL SELECT page, place, z.k, list_append(done, z.i) FROM (SELECT o.page, o.place+1 AS place, any_value(done) AS done, min({{'o': vs.k <> cur, 'i': vs.i, 'k': vs.k}}) AS z FROM o JOIN vs ON vs.page = o.page WHERE NOT list_contains(done, vs.i) AND list_has_all(done, pred) GROUP BY o.page, o.place)) SELECT page, place, done[-1] AS i, cur AS k FROM o WHERE place >= 0""",
+    "sequence_objects": f"""WITH RECURSIVE {_B}, o AS MATERIALIZED (SELECT page, i, w*h > 300 AS fill, k AS thread, i*7%11 AS layer, w*h AS area, 2*x+w AS cx, 2*y+h AS cy FROM b), g AS MATERIALIZED (SELECT page, fill, thread, min(layer) AS low, min(i) AS first FROM o GROUP BY ALL), pf AS (SELECT f.page, arg_max(f.thread, {{'l': f.low, 'f': f.first}}) AS prefer FROM g f JOIN g r ON r.page = f.page AND r.thread = f.thread AND NOT r.fill WHERE f.fill GROUP BY f.page),
+ c(page, fill, thread, n, done, cx, cy) AS (SELECT page, fill, thread, 0, CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM g UNION ALL SELECT page, fill, thread, n, list_append(done, z.i), z.cx, z.cy FROM (SELECT c.page, c.fill, c.thread, c.n+1 AS n, any_value(done) AS done, min({{'d': CASE WHEN c.cx IS NULL THEN 0 ELSE (o.cx-c.cx)*(o.cx-c.cx)+(o.cy-c.cy)*(o.cy-c.cy) END, 'a': -area, 'i': o.i, 'cx': o.cx, 'cy': o.cy}}) AS z FROM c JOIN o ON o.page = c.page AND o.fill = c.fill AND o.thread = c.thread WHERE NOT list_contains(done, o.i) GROUP BY c.page, c.fill, c.thread, c.n)),
+ r AS (SELECT c.page, done[-1] AS i, row_number() OVER (PARTITION BY c.page ORDER BY CASE WHEN c.fill THEN 0 WHEN c.thread = prefer THEN 1 ELSE 2 END, low, first, n) - 1 AS place FROM c JOIN g ON g.page = c.page AND g.fill = c.fill AND g.thread = c.thread LEFT JOIN pf ON pf.page = c.page WHERE n > 0) SELECT page, CAST(place AS INT) AS place, i FROM r""",
     "mask_fields": f"""WITH RECURSIVE {_IMG}, st AS (SELECT id, CAST((w//2+1)//2 AS INT) AS cx, CAST((h//2+1)//2 AS INT) AS cy FROM im), ce AS MATERIALIZED (SELECT DISTINCT id, CAST(x//2 AS INT) AS cx, CAST(y//2 AS INT) AS cy FROM img WHERE inside AND label <> id%5 UNION SELECT * FROM st), f(id, cx, cy, d) AS (SELECT id, cx, cy, 0 FROM st UNION SELECT c.id, c.cx, c.cy, min(f.d + CASE WHEN c.cx <> f.cx AND c.cy <> f.cy THEN 1414 ELSE 1000 END) FROM f JOIN ce c ON c.id = f.id AND abs(c.cx-f.cx) <= 1 AND abs(c.cy-f.cy) <= 1 AND (c.cx <> f.cx OR c.cy <> f.cy) WHERE f.d < 40000 GROUP BY c.id, c.cx, c.cy) SELECT id, cx, cy, CAST(min(d) AS BIGINT) AS d FROM f GROUP BY ALL""",
 }
