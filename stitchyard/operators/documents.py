@@ -69,9 +69,9 @@ def traced(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
     x, y = (k * 7 + F.col("j") * 11) % 90, (k * 5 + F.col("j") * 13) % 60
     fill = F.element_at(F.array(*map(F.lit, ("#112233", "#aabbcc", "#F00"))), ((k + F.col("j")) % 3 + 1).cast("int"))
-    path = F.concat(F.lit('<path d="M'), x, F.lit(" "), y, F.lit(" L"), x + 9, F.lit(","), y + 9, F.lit(' Z" fill="'), fill, F.lit('" transform="translate('), F.col("j"), F.lit(",2)\"/>"))
+    path = F.concat(F.lit('<path d="M '), x, F.lit(" "), y, F.lit(" L "), x + 9, F.lit(","), y + 9, F.lit(' Z" fill="'), fill, F.lit('" transform="translate('), F.col("j"), F.lit(",2)\"/>"))
     body = s.select("id", F.col("j"), path.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("j", "t"))).alias("a"))
-    head = '<svg width="120" height="80"><path d="M0 0 L120 0 L120 80 L0 80 Z" fill="#00ff00"/><path d="M2 2 L114 2 L114 78 Z" fill="#fafafa"/><path d="M1 1" fill="none"/>'
+    head = '<svg width="120" height="80"><path d="M 0 0 L 120 0 L 120 80 L 0 80 Z" fill="#00ff00"/><path d="M 2 2 L 114 2 L 114 78 Z" fill="#fafafa"/><path d="M1 1" fill="none"/>'
     return body.select("id", F.concat(F.lit(head), F.array_join("a.t", ""), F.lit("</svg>")).alias("svg"))
 
 
@@ -150,7 +150,7 @@ _SCAN = [
     (0, "'#ff00aa'", 3, "nonzero", _AT("'M'", "k", "9", "'l'", "k+1", "10")),
 ]
 SQL = {
-    "svg_traced": "WITH p AS (SELECT s_suppkey AS id, j, (s_suppkey*7+j*11)%90 AS x, (s_suppkey*5+j*13)%60 AS y, ['#112233', '#aabbcc', '#ff0000'][(s_suppkey+j)%3+1] AS hex FROM supplier, range(8) t(j)), t AS (SELECT id, hex, j, length(printf('M %.4f %.4f L %.4f %.4f Z', CAST(x+j AS DOUBLE), CAST(y+2 AS DOUBLE), CAST(x+9+j AS DOUBLE), CAST(y+11 AS DOUBLE))) AS n FROM p), g AS (SELECT id, hex, count(*) AS paths, CAST(sum(n) AS BIGINT) AS length, min(j) AS first FROM t GROUP BY id, hex) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY length DESC, first) - 1 AS INT) AS layer, hex, paths, length FROM g",
+    "svg_traced": "WITH p AS (SELECT s_suppkey AS id, j, (s_suppkey*7+j*11)%90+j AS x, (s_suppkey*5+j*13)%60+2 AS y, ['#112233', '#aabbcc', '#ff0000'][(s_suppkey+j)%3+1] AS hex FROM supplier, range(8) t(j)), n AS (SELECT id, j, hex, 5 + sum(length(rtrim(rtrim(printf('%.4f', v), '0'), '.')) + 1) AS n FROM (SELECT id, j, hex, unnest([x*10/120e0, y*10/80e0, (x+9)*10/120e0, (y+9)*10/80e0]) AS v FROM p) GROUP BY ALL), g AS (SELECT id, hex, count(*) AS paths, CAST(sum(n) AS BIGINT) AS length, min(j) AS first FROM n GROUP BY id, hex) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY length DESC, first) - 1 AS INT) AS layer, hex, paths, length FROM g",
     "svg_scan": "WITH s AS (SELECT s_suppkey AS id, s_suppkey%7+1 AS k, s_suppkey%5 AS m FROM supplier) " + " UNION ALL ".join(f"SELECT id, {n} AS layer, {h} AS hex, {p} AS place, '{r}' AS rule, {t} AS d FROM s" for n, h, p, r, t in _SCAN),
     "png_round_trip": f"WITH {SHOT} SELECT id, x, y, " + ", ".join(f"CAST({c} AS INT) AS {c}" for c in "rgba") + " FROM img",
     "svg_pages": f"""WITH {_RECTS}, l AS (SELECT p_size, fill, min(p_partkey) AS f, '<g fill="' || fill || '" fill-rule="evenodd"><path d="' || string_agg(path, ' ' ORDER BY p_partkey) || '"/></g>' AS t FROM r GROUP BY p_size, fill) SELECT p_size, '<svg>' || string_agg(t, '' ORDER BY f) || '</svg>' AS svg FROM l GROUP BY p_size""",

@@ -72,14 +72,14 @@ def svg_paths(docs: DataFrame) -> DataFrame:
     return p.select("id", "pos", fill.alias("fill"), F.lower(F.coalesce("rule", "g_rule", F.lit("nonzero"))).alias("rule"), (F.coalesce("gx", F.lit(0.0)) + F.col("tx")).alias("tx"), (F.coalesce("gy", F.lit(0.0)) + F.col("ty")).alias("ty"), "d")
 
 
-def scaled_paths(paths: DataFrame, sx: Column, sy: Column) -> DataFrame:
-    """C14: paths (id, pos, tx, ty, d) moved and scaled, numbers with four places; commands keep their letters, points come out absolute.
+def scaled_paths(paths: DataFrame, sx: Column, sy: Column, short: bool = False) -> DataFrame:
+    """C14: paths (id, pos, tx, ty, d) moved and scaled, numbers with four places (``short``: without zeros at the end); commands keep their letters, points come out absolute.
 
     The point at which a relative command begins is the last absolute one plus what relative ones have added since: a
     running sum for each axis. Numbers before any command, or too few for one, are left out.
     """
     tokens = F.regexp_extract_all(F.replace("d", F.lit(","), F.lit(" ")), F.lit(TOKEN), F.lit(1))
-    t = paths.select("id", "pos", "tx", "ty", F.posexplode(tokens).alias("k", "t")).withColumn("cmd", F.when(F.col("t").rlike("^[A-Za-z]$"), F.col("t")))
+    t = paths.select("id", "pos", "tx", "ty", sx.alias("sx"), sy.alias("sy"), F.posexplode(tokens).alias("k", "t")).withColumn("cmd", F.when(F.col("t").rlike("^[A-Za-z]$"), F.col("t")))
     run = Window.partitionBy("id", "pos").orderBy("k")
     t = t.withColumns({"n": F.count("cmd").over(run), "op": F.last("cmd", True).over(run)}).filter("op is not null")
     t = t.withColumn("take", F.coalesce(F.create_map(*[F.lit(v) for kv in TAKE.items() for v in kv])[F.upper("op")], F.lit(1)))
@@ -95,8 +95,9 @@ def scaled_paths(paths: DataFrame, sx: Column, sy: Column) -> DataFrame:
     t = t.withColumn("after", F.sum(F.when(F.col("anchor"), F.col("v")).otherwise(0.0)).over(Window.partitionBy("id", "pos", "axis", "since").orderBy("k")))
     at = F.col("v") + F.when(F.col("rel"), F.coalesce(F.lag("after").over(line), F.lit(0.0))).otherwise(0.0)
     t = t.withColumn("at", at)
-    four = lambda c: F.format_string("%.4f", c)
-    text = F.when(F.col("axis") == "c", F.col("t")).when(F.col("axis") == "x", four((F.col("at") + F.col("tx")) * sx)).when(F.col("axis") == "y", four((F.col("at") + F.col("ty")) * sy)).when(F.col("axis") == "rx", four(F.col("v") * sx)).when(F.col("axis") == "ry", four(F.col("v") * sy)).otherwise(F.col("t"))
+    plain = lambda c: F.format_string("%.4f", c)
+    four = (lambda c: F.regexp_replace(plain(c), r"\.?0+$", "")) if short else plain
+    text = F.when(F.col("axis") == "c", F.col("t")).when(F.col("axis") == "x", four((F.col("at") + F.col("tx")) * F.col("sx"))).when(F.col("axis") == "y", four((F.col("at") + F.col("ty")) * F.col("sy"))).when(F.col("axis") == "rx", four(F.col("v") * F.col("sx"))).when(F.col("axis") == "ry", four(F.col("v") * F.col("sy"))).otherwise(F.col("t"))
     return t.groupBy("id", "pos").agg(F.sort_array(F.collect_list(F.struct("k", text.alias("s")))).alias("q")).select("id", "pos", F.array_join("q.s", " ").alias("d"))
 
 
@@ -109,8 +110,8 @@ def layered(docs: DataFrame, sx: Column, sy: Column) -> DataFrame:
     return first.select("id", layer.alias("layer"), F.col("fill").alias("hex"), place.alias("place"), "rule", "d")
 
 
-def traced_layers(docs: DataFrame) -> DataFrame:
-    """(id, layer, hex, paths, length) of traced pictures (id, svg) of 10 inches: fills by the total length of their scaled paths, the longest first.
+def traced_layers(docs: DataFrame, inches: float = 10.0) -> DataFrame:
+    """(id, layer, hex, paths, length) of traced pictures (id, svg) of so many inches: fills by the total length of their scaled paths, the longest first.
 
     Paths that cover 98 % of the sheet both ways go, and so do nearly white ones that cover 90 %. A path is an empty
     element with d and fill; a translation is added to its points. Bounds take numbers by pairs, as traced paths have.
@@ -125,7 +126,7 @@ def traced_layers(docs: DataFrame) -> DataFrame:
     light = F.least(*[F.conv(F.substring("fill", k, 2), 16, 10).cast("int") for k in (2, 4, 6)]) >= 245
     covers = lambda share: (F.col("bw") >= F.col("w") * share) & (F.col("bh") >= F.col("h") * share)
     kept = p.filter(~covers(0.98) & ~(light & covers(0.9)))
-    text = scaled_paths(kept, F.lit(1.0), F.lit(1.0))
+    text = scaled_paths(kept, inches / F.col("w"), inches / F.col("h"), short=True)
     g = kept.select("id", "pos", "fill").join(text, ["id", "pos"]).groupBy("id", "fill").agg(F.count("*").alias("paths"), F.sum(F.length("d")).alias("length"), F.min("pos").alias("first"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("length"), "first")) - 1
     return g.select("id", place.alias("layer"), F.col("fill").alias("hex"), "paths", "length")

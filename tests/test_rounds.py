@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stitchyard.functions import steps
 from stitchyard.operators import cracks, lettering, palettes, runs
+from stitchyard.sources import svg
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
@@ -151,3 +152,14 @@ def test_fields(spark):
     df = spark.createDataFrame(cells, "id long, cx int, cy int")
     got = {(r.cx, r.cy): r.d for r in runs.distance_fields(df, spark.createDataFrame([(1, 0, 0)], "id long, cx int, cy int")).collect()}
     assert got[(2, 4)] == 2 * 1414 + 2 * 1000 and got[(4, 0)] == got[(2, 4)] + 2 * 1414 + 2 * 1000 and (9, 9) not in got and len(got) == 21
+
+
+def test_svg(spark):
+    """Arcs, relative and absolute commands in one path, numbers too few or before any command, ends without a beginning, a fill by name."""
+    text = "</g><g fill='red' transform='translate(1)'><g fill='url(#p)' fill-rule='EVENODD'></g><path d='7 M1 1 l1 1 2 0 C0 0 1 1 5 5 c1 1 1 1 1 1 A2 3 0 1 0 9 9 a1 1 0 0 1 1 1 H3 h2 V1 q1 1 2 2 L4'/></g></g><path d='M0 0' fill=''/><g data-name='my paper'><g><path d='M1 1' fill='#111'/></g><path d='M2 2' fill='#222'/></g>"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, svg string")
+    got = [(r.id, r.layer, r.hex, r.place, r.rule, r.d) for r in svg.layered(docs, F.lit(1.0), F.lit(2.0)).collect()]
+    numbers = "M 2 2 l 3 4 5 4 C 1 0 2 2 6 10 c 7 12 7 12 7 12 A 2 6 0 1 0 10 18 a 1 2 0 0 1 11 20 H 4 h 6 V 2 q 7 4 8 6 L"
+    four = " ".join(t if t.isalpha() else f"{float(t):.4f}" for t in numbers.split())
+    d = four.replace("2.0000 6.0000 0.0000 1.0000 0.0000 10", "2.0000 6.0000 0 1 0 10").replace("1.0000 2.0000 0.0000 0.0000 1.0000 11", "1.0000 2.0000 0 0 1 11")
+    assert sorted(got) == [(1, 0, "red", 0, "nonzero", d), (1, 1, "#111111", 0, "nonzero", "M 1.0000 2.0000")]
