@@ -1,4 +1,4 @@
-"""Files and documents of jobs: PNG round trips, layered SVG, CSV lines, nesting, transitions (S06, K02, K03, K07, K13, K14 marks, S10, C24, J30, F19, T06)."""
+"""Files and documents of jobs: PNG round trips, layered SVG, CSV lines, nesting, transitions (S06, K02, K03, K07, K13, K14 marks, S10, S11, C24, J30, F19, T06)."""
 
 import re
 

@@ -1,4 +1,4 @@
-"""Paths, edges and sewing lines."""
+"""Paths, edges and sewing lines."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W

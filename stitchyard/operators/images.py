@@ -1,4 +1,4 @@
-"""Keyed images, one row each, sizes from the data.
+"""Keyed images, one row each, sizes from the data.
 
 An image is a row with arrays of its pixels, as a reader of image files gives it, so that neighbours are
 found in the row and no image's pixels meet another's in a join. Supplier keys stand for files: sizes,

@@ -1,4 +1,4 @@
-"""Colour matching and palettes."""
+"""Colour matching and palettes (J18-J22, C01-C05, and the first steps of A07 and A09)."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

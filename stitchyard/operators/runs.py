@@ -1,4 +1,4 @@
-"""Fits, runs and orders: quadratic backgrounds, coverage and joining of runs, sewing order, distance fields."""
+"""Fits, runs and orders: quadratic backgrounds, coverage and joining of runs, sewing order, distance fields."""
 
 import math
 from collections.abc import Callable
