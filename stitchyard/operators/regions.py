@@ -4,10 +4,13 @@ Components join runs of a row with runs of the next, not pixels: an image has fe
 in a task.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stitchyard.functions import color, steps
+from stitchyard.operators.folds import folded
 from stitchyard.operators.images import pictures, pixels
 from stitchyard.operators.raster import NINE, SHOT, beside
 
@@ -27,12 +30,13 @@ def row_runs(px: DataFrame) -> DataFrame:
     return px.withColumn("g", run).groupBy("id", "y", "label", "g").agg(F.min("x").alias("first"), F.max("x").alias("last")).drop("g")
 
 
-def components(px: DataFrame, tag: str) -> DataFrame:
-    """(id, w, h, x, y, label) with ``comp``, the smallest y * w + x of the pixel's 4-connected component of its label."""
+def components(px: DataFrame, tag: str, corners: bool = False) -> DataFrame:
+    """(id, w, h, x, y, label) with ``comp``, the smallest y * w + x of the pixel's component of its label; with ``corners``, pixels meet across corners, too."""
     size = px.groupBy("id").agg(F.first("w").alias("w"))
     runs = steps.written(row_runs(px).join(size, "id").withColumn("node", F.expr("cast(y * w + first as bigint)")), f"{tag}_runs")
     below = runs.select("id", (F.col("y") - 1).alias("y"), "label", F.col("first").alias("first2"), F.col("last").alias("last2"), F.col("node").alias("b"))
-    edges = runs.join(below, ["id", "y", "label"]).filter("first <= last2 and first2 <= last").select("id", F.col("node").alias("a"), "b")
+    reach = int(corners)
+    edges = runs.join(below, ["id", "y", "label"]).filter(f"first <= last2 + {reach} and first2 <= last + {reach}").select("id", F.col("node").alias("a"), "b")
     named = runs.join(steps.components(edges, "id", tag), ["id", "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = named.select("id", "y", "label", "comp", F.explode(F.sequence("first", "last")).alias("x"))
     return px.join(whole, ["id", "x", "y", "label"])
@@ -57,6 +61,64 @@ def despeckle(spark: SparkSession, d: str) -> DataFrame:
     return found.join(best, ["id", "comp"], "left").select("id", "x", "y", F.coalesce(-F.col("m.l"), F.col("label")).cast("int").alias("label"))
 
 
+def merger() -> Callable[[dict], tuple | None]:
+    """Goes over an image's small regions, the smallest first; its state is the labels that regions have taken so far.
+
+    A region takes the label with the longest contact at its turn. One that another has just joined has grown, and waits.
+    """
+    now: dict[int, int] = {}
+    grown: set[int] = set()
+
+    def step(r: dict) -> tuple | None:
+        if r["comp"] in grown:
+            return None
+        length: dict[int, int] = {}
+        for z in r["near"]:
+            label = now.get(z["comp"], z["label"])
+            if label != r["label"]:
+                length[label] = length.get(label, 0) + z["n"]
+        if not length:
+            return None
+        to = min(length, key=lambda v: (-length[v], v))
+        now[r["comp"]] = to
+        grown.update(z["comp"] for z in r["near"] if now.get(z["comp"], z["label"]) == to)
+        return r["id"], r["comp"], to
+
+    return step
+
+
+def small_merged(px: DataFrame, least: int, passes: int = 8) -> DataFrame:
+    """(id, w, h, x, y, label) with each region under ``least`` pixels given to the neighbour with the longest contact, in passes
+    over the regions as they are then, until none is merged; paper (label 0) at the border stays.
+
+    Regions meet across corners. Contacts are counted once a pass as pixels of the ring around a region; they add
+    up when regions join, so that a pass needs no pixels, only an image's small regions in order.
+    """
+    eight = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in NINE if (i, j) != (0, 0)]))
+    for _ in range(passes):
+        found = steps.written(components(px.select("id", "w", "h", "x", "y", "label"), "small", corners=True), "small")
+        size = found.groupBy("id", "comp", "label").agg(F.count("*").alias("area"), F.max(F.expr("x in (0, w - 1) or y in (0, h - 1)")).alias("rim"))
+        small = size.filter((F.col("area") < least) & ~((F.col("label") == 0) & F.col("rim"))).select("id", "comp", "label", "area")
+        ring = found.join(small.select("id", "comp"), ["id", "comp"]).withColumn("s", eight).select("id", F.col("comp").alias("of"), (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y")).distinct()
+        touch = ring.join(found, ["id", "x", "y"]).filter("comp <> of").groupBy("id", "of", "comp", "label").agg(F.count("*").alias("n"))
+        near = touch.groupBy("id", F.col("of").alias("comp")).agg(F.collect_list(F.struct("comp", "label", "n")).alias("near"))
+        merged = steps.written(folded(small.join(near, ["id", "comp"]), "id", ["area", "label", "comp"], "id long, comp long, to int", merger), "merged")
+        px = found.join(merged, ["id", "comp"], "left").select("id", "w", "h", "x", "y", F.coalesce("to", "label").alias("label"))
+        if not merged.limit(1).count():
+            break
+    return px
+
+
+#: Pixels of a region that stays, and passes.
+LEAST, PASSES = 8, 2
+
+
+def merge_small_regions(spark: SparkSession, d: str) -> DataFrame:
+    """A22 by area, two passes over the labels of every picture."""
+    px = pixels(pictures(spark, d), "label").withColumn("label", F.col("label") + 1)
+    return small_merged(px, LEAST, PASSES).select("id", "x", "y", "label")
+
+
 def tiny_colors(spark: SparkSession, d: str) -> DataFrame:
     """Labels by share of the pixels, with those under half a percent marked."""
     n = labels(spark, d).groupBy("id", "label").agg(F.count("*").alias("n"), F.first(F.col("w") * F.col("h")).alias("total"))
@@ -95,8 +157,19 @@ def reach_sql(source: str) -> str:
  comp AS (SELECT id, p, min(o) AS comp FROM reach GROUP BY ALL), found AS MATERIALIZED (SELECT s.*, CAST(comp AS BIGINT) AS comp FROM {source} s JOIN comp ON comp.id = s.id AND comp.p = y*w+x)"""
 
 
-QUERIES = [connected_components, despeckle, tiny_colors, resample_nearest, halftone_lines, smooth_labels]
+def _pass_sql(t: int) -> str:
+    """SQL: ``l{t + 1}``, the labels after a pass over those of ``l{t}``."""
+    vote = "[" + ", ".join(f"{{'s': coalesce(list_sum(list_transform(list_filter(nb, lambda z: z.l = {k}), lambda z: z.n)), 0), 'o': {-k}}}" for k in range(6)) + "]"
+    return f"""e{t} AS MATERIALIZED (SELECT a.id, a.y*a.w+a.x AS p, b.y*b.w+b.x AS q FROM l{t} a JOIN l{t} b ON a.id = b.id AND a.label = b.label AND greatest(abs(a.x-b.x), abs(a.y-b.y)) = 1), q{t}(id, o, p) AS (SELECT id, y*w+x, y*w+x FROM l{t} UNION SELECT r.id, r.o, e.q FROM q{t} r JOIN e{t} e ON e.id = r.id AND e.p = r.p AND e.q > r.o), c{t} AS (SELECT id, p, min(o) AS comp FROM q{t} GROUP BY ALL), f{t} AS MATERIALIZED (SELECT s.*, CAST(comp AS BIGINT) AS comp FROM l{t} s JOIN c{t} c ON c.id = s.id AND c.p = y*w+x),
+ s{t} AS MATERIALIZED (SELECT id, comp, label, count(*) AS area FROM f{t} GROUP BY ALL HAVING count(*) < {LEAST} AND NOT (label = 0 AND bool_or(x IN (0, w-1) OR y IN (0, h-1)))), g{t} AS (SELECT DISTINCT a.id, a.comp AS of_, b.comp, b.label, b.x, b.y FROM f{t} a JOIN s{t} s ON s.id = a.id AND s.comp = a.comp JOIN f{t} b ON b.id = a.id AND greatest(abs(a.x-b.x), abs(a.y-b.y)) = 1 AND b.comp <> a.comp), n{t} AS (SELECT id, of_, comp, label, count(*) AS n FROM g{t} GROUP BY ALL),
+ k{t} AS MATERIALIZED (SELECT s.id, s.comp, s.label, list({{'c': n.comp, 'l': n.label, 'n': n.n}}) AS near, row_number() OVER (PARTITION BY s.id ORDER BY area, s.label, s.comp) AS k FROM s{t} s JOIN n{t} n ON n.id = s.id AND n.of_ = s.comp GROUP BY s.id, s.comp, s.label, area),
+ w{t}(id, k, comp, dest, was, grown) AS (SELECT DISTINCT id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), -1, CAST([] AS STRUCT(c BIGINT, l INT)[]), CAST([] AS BIGINT[]) FROM k{t} UNION ALL SELECT id, k, comp, CASE WHEN ok THEN to_ ELSE -1 END, CASE WHEN ok THEN list_append(was, {{'c': comp, 'l': to_}}) ELSE was END, CASE WHEN ok THEN list_concat(grown, list_transform(list_filter(nb, lambda z: z.l = to_), lambda z: z.c)) ELSE grown END FROM (SELECT *, -list_max({vote}).o AS to_, len(nb) > 0 AND NOT list_contains(grown, comp) AS ok FROM
+  (SELECT k.id, k.k, k.comp, was, grown, list_filter(list_transform(near, lambda z: {{'c': z.c, 'l': coalesce(list_filter(was, lambda v: v.c = z.c)[1].l, z.l), 'n': z.n}}), lambda z: z.l <> k.label) AS nb FROM w{t} w JOIN k{t} k ON k.id = w.id AND k.k = w.k+1))), l{t + 1} AS MATERIALIZED (SELECT f.id, f.w, f.h, f.x, f.y, CAST(coalesce(w.dest, f.label) AS INT) AS label FROM f{t} f LEFT JOIN w{t} w ON w.id = f.id AND w.comp = f.comp AND w.dest >= 0)"""
+
+
+QUERIES = [merge_small_regions, connected_components, despeckle, tiny_colors, resample_nearest, halftone_lines, smooth_labels]
 SQL = {
+    "merge_small_regions": f"WITH RECURSIVE {SHOT}, l0 AS MATERIALIZED (SELECT id, w, h, x, y, CAST(label+1 AS INT) AS label FROM img), {', '.join(map(_pass_sql, range(PASSES)))} SELECT id, x, y, label FROM l{PASSES}",
     "connected_components": f"WITH RECURSIVE {_LAB}, {reach_sql('lab')} SELECT id, comp, label, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, CAST(floor(avg(x)*1000+0.5e0) AS BIGINT) AS mid_x, CAST(floor(avg(y)*1000+0.5e0) AS BIGINT) AS mid_y, count(*) FILTER (x IN (0, w-1) OR y IN (0, h-1)) AS border FROM found GROUP BY id, comp, label",
     "despeckle": f"WITH RECURSIVE {_LAB}, {reach_sql('lab')}, s AS (SELECT id, comp FROM found GROUP BY ALL HAVING count(*) < 4), v AS (SELECT a.id, a.comp, b.label, count(*) AS n FROM found a JOIN s USING (id, comp) JOIN found b ON a.id = b.id AND abs(a.x-b.x)+abs(a.y-b.y) = 1 AND a.comp <> b.comp GROUP BY ALL), m AS (SELECT id, comp, arg_max(label, n*100-label) AS l FROM v GROUP BY ALL) SELECT id, x, y, CAST(coalesce(l, label) AS INT) AS label FROM found LEFT JOIN m USING (id, comp)",
     "tiny_colors": f"WITH {_LAB} SELECT id, label, count(*) AS n, count(*)*200 < any_value(w*h) AS tiny FROM lab GROUP BY 1, 2",

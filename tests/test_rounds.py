@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stitchyard.functions import steps
-from stitchyard.operators import cracks, lettering, palettes, runs
+from stitchyard.operators import cracks, lettering, palettes, regions, runs
 from stitchyard.sources import svg
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -163,3 +163,15 @@ def test_svg(spark):
     four = " ".join(t if t.isalpha() else f"{float(t):.4f}" for t in numbers.split())
     d = four.replace("2.0000 6.0000 0.0000 1.0000 0.0000 10", "2.0000 6.0000 0 1 0 10").replace("1.0000 2.0000 0.0000 0.0000 1.0000 11", "1.0000 2.0000 0 0 1 11")
     assert sorted(got) == [(1, 0, "red", 0, "nonzero", d), (1, 1, "#111111", 0, "nonzero", "M 1.0000 2.0000")]
+
+
+def test_small_regions(spark):
+    """A speck goes to its longest contact; two specks that touch wait for each other's pass; paper at the border stays; a corner joins."""
+    rows = ["0111111", "1111211", "1111311", "1111111", "2222222", "2411222", "2214222", "2222222"]
+    px = [(1, 7, 8, x, y, int(c)) for y, r in enumerate(rows) for x, c in enumerate(r)]
+    df = spark.createDataFrame(px, "id long, w int, h int, x int, y int, label int")
+    for passes, want in ((1, ["0111111", "1111111", "1111111", "1111111", "2222222", "2222222", "2222222", "2222222"]), (8, None)):
+        got = {(r.x, r.y): r.label for r in regions.small_merged(df, 4, passes).collect()}
+        text = ["".join(str(got[x, y]) for x in range(7)) for y in range(8)]
+        assert want is None or text == want
+    assert text == ["0111111", *["1111111"] * 3, *["2222222"] * 4]
