@@ -1,5 +1,7 @@
 """Stitch streams: indexes, lengths, summaries, folds and DST bytes."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,6 +69,77 @@ def drop_short_stitches(spark: SparkSession, d: str) -> DataFrame:
     return folded(rows, "design", ["seq"], "design long, seq long", begin)
 
 
+#: Places a millimetre, cells of it in a row, the longest stitch, and how many needle places a cell holds: before a stitch of a
+#: satin or underlay is dropped, before one of travel is, and after all.
+PX, CELLS, FAR, HOT, TRAVEL, FULL = 60, 6, 7.0, 13, 7, 15
+ROLES = ("travel", "underlay", "satin")
+
+
+def _reaches(prev: tuple | None, kind: str | None, x: int | None, y: int | None) -> bool:
+    """Whether the thread may go on from the last kept place to the next one, if that is a stitch."""
+    if prev is None or prev[0] != "stitch":
+        return False
+    return kind != "stitch" or ((x - prev[1]) ** 2 + (y - prev[2]) ** 2) ** 0.5 <= FAR * PX
+
+
+def guard(total: bool) -> Callable[[], Callable[[dict], tuple | None]]:
+    """A pass of the pile-up guard over a design's places in order; ``total``: cells begin with their counts in ``n``, else they are counted on the way.
+
+    A stitch in a full cell goes if the thread reaches from the last kept place to the next; of a satin two go
+    together, so that its sides still alternate. Cells of one design are the state.
+    """
+
+    def begin() -> Callable[[dict], tuple | None]:
+        hits: dict[int, int] = {}
+        prev, skip = None, False
+
+        def step(r: dict) -> tuple | None:
+            nonlocal prev, skip
+            if skip:
+                skip = False
+                return None
+            stitch, cell = r["kind"] == "stitch", r["cell"]
+            if stitch and r["role"] in ROLES:
+                have = r["n"] + hits.get(cell, 0) if total else hits.get(cell, 0)
+                full = have > FULL if total else have >= (TRAVEL if r["role"] == "travel" else HOT)
+                next_, after = (r["k1"], r["x1"], r["y1"]), (r["k2"], r["x2"], r["y2"])
+                pair = full and r["role"] == "satin" and r["k1"] == "stitch" and r["r1"] == "satin"
+                if total:
+                    gone = full and _reaches(prev, *(after if pair else next_))
+                else:
+                    gone = full and _reaches(prev, *next_)
+                    pair = pair and _reaches(prev, *after)
+                if gone:
+                    skip = pair
+                    if total:
+                        hits[cell] = hits.get(cell, 0) - 1 - pair
+                    return None
+            if stitch and not total:
+                hits[cell] = hits.get(cell, 0) + 1
+            prev = r["kind"], r["x"], r["y"]
+            return r["design"], r["seq"], r["kind"], r["role"], r["x"], r["y"], cell
+
+        return step
+
+    return begin
+
+
+def unpiled(rows: DataFrame) -> DataFrame:
+    """(design, seq, kind, role, x, y, cell) of (design, seq, kind, role, x, y) without stitches that pile up: one pass with running counts of cells, one with the counts that it leaves."""
+    schema = "design long, seq long, kind string, role string, x long, y long, cell long"
+    ahead = lambda df: df.select("*", *[F.lead(c, k).over(order()).alias(f"{c[0]}{k}") for c, k in (("kind", 1), ("role", 1), ("x", 1), ("y", 1), ("kind", 2), ("x", 2), ("y", 2))])
+    celled = rows.withColumn("cell", F.expr(f"y div {PX} * {CELLS} + x div {PX}"))
+    first = folded(ahead(celled), "design", ["seq"], schema, guard(False))
+    counted = first.withColumn("n", F.count_if(F.col("kind") == "stitch").over(W.partitionBy("design", "cell")))
+    return folded(ahead(counted), "design", ["seq"], schema, guard(True))
+
+
+def pile_up_guard(spark: SparkSession, d: str) -> DataFrame:
+    """F06 over the stitches of every design, their roles by turns."""
+    role = F.element_at(F.array(*map(F.lit, ("satin", "satin", "underlay", "travel", "fill"))), (F.col("seq") % 5 + 1).cast("int"))
+    return unpiled(stream(spark, d).withColumn("role", role)).select("design", "seq")
+
+
 def dst_delta(dx: int, dy: int, jump: bool = False, stop: bool = False) -> bytes:
     """Three bytes of a move of at most 121 each way: balanced ternary digits, two bits each."""
     #: Byte and bit of the digits 81, 27, 9, 3 and 1, for plus and minus, of x and of y.
@@ -139,8 +212,23 @@ def _digit_sql(c: str) -> str:
 _BIT = lambda d, p, m: f"CASE {d} WHEN 1 THEN {p} WHEN -1 THEN {m} ELSE 0 END"
 _LOW, _MID = ("+".join((_BIT(f"mx{a}", 1, 2), _BIT(f"mx{b}", 4, 8), _BIT(f"my{a}", 128, 64), _BIT(f"my{b}", 32, 16))) for a, b in ((1, 9), (3, 27)))
 _PAD = "substr(lpad(CAST(abs({0}) AS VARCHAR), 7, ' '), {1})"
-QUERIES = [stitch_stream_color_index, stitch_lengths, stitch_summary, split_long_stitches, drop_short_stitches, dst_encode]
+_REACH = "pk = 'stitch' AND ({0} IS NULL OR {0} <> 'stitch' OR sqrt(CAST(({1}-px)*({1}-px)+({2}-py)*({2}-py) AS DOUBLE)) <= " + str(FAR * PX) + ")"
+_AHEAD = ", ".join(f"lead({c}, {k}) OVER w AS {c[0]}{k}" for c, k in (("kind", 1), ("role", 1), ("x", 1), ("y", 1), ("kind", 2), ("x", 2), ("y", 2)))
+
+
+def _guard_sql(t: int, start: str, full: str, gone: str, pair: str, count: str) -> str:
+    """SQL: a pass over the rows p{t} (design, k, ...): w{t} says what is kept; a cell's count is an entry of a list."""
+    return f"""w{t}(design, k, seq, keep, skip, pk, px, py, hits) AS (SELECT design, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, false, '', CAST(0 AS BIGINT), CAST(0 AS BIGINT), {start} FROM (SELECT DISTINCT design FROM p{t}) q UNION ALL
+ SELECT design, k, seq, NOT (skip OR gone), NOT skip AND gone AND pair, CASE WHEN skip OR gone THEN pk ELSE kind END, CASE WHEN skip OR gone THEN px ELSE x END, CASE WHEN skip OR gone THEN py ELSE y END, list_transform(hits, lambda v, i: CASE WHEN i = cell+1 AND NOT skip THEN v + ({count}) ELSE v END) FROM (SELECT *, {gone} AS gone FROM (SELECT *, {pair} AS pair FROM (SELECT p.*, skip, pk, px, py, hits, kind = 'stitch' AND role <> 'fill' AND hits[cell+1] {full} AS brim FROM w{t} JOIN p{t} p ON p.design = w{t}.design AND p.k = w{t}.k+1))))"""
+
+
+_SATIN = "brim AND role = 'satin' AND k1 = 'stitch' AND r1 = 'satin'"
+QUERIES = [stitch_stream_color_index, stitch_lengths, stitch_summary, split_long_stitches, drop_short_stitches, dst_encode, pile_up_guard]
 SQL = {
+    "pile_up_guard": _S.replace("WITH s", "WITH RECURSIVE s", 1) + f""", r AS (SELECT *, ['satin', 'satin', 'underlay', 'travel', 'fill'][seq%5+1] AS role, y//{PX}*{CELLS}+x//{PX} AS cell FROM s), p1 AS MATERIALIZED (SELECT *, CAST(seq AS BIGINT) AS k, {_AHEAD} FROM r WINDOW w AS (PARTITION BY design ORDER BY seq)),
+ {_guard_sql(1, "list_transform(range(24), lambda z: CAST(0 AS BIGINT))", f">= CASE WHEN role = 'travel' THEN {TRAVEL} ELSE {HOT} END", "brim AND " + _REACH.format("k1", "x1", "y1"), f"{_SATIN} AND " + _REACH.format("k2", "x2", "y2"), "CASE WHEN kind = 'stitch' AND NOT gone THEN 1 ELSE 0 END")},
+ r2 AS MATERIALIZED (SELECT r.* FROM r JOIN w1 ON w1.design = r.design AND w1.seq = r.seq AND w1.keep), p2 AS MATERIALIZED (SELECT *, row_number() OVER w AS k, {_AHEAD} FROM r2 WINDOW w AS (PARTITION BY design ORDER BY seq)),
+ {_guard_sql(2, "(SELECT list(n ORDER BY z) FROM (SELECT z, (SELECT count(*) FROM r2 WHERE r2.design = q.design AND r2.cell = z AND r2.kind = 'stitch') AS n FROM range(24) t(z)))", f"> {FULL}", f"brim AND CASE WHEN pair THEN {_REACH.format('k2', 'x2', 'y2')} ELSE {_REACH.format('k1', 'x1', 'y1')} END", _SATIN, "CASE WHEN gone THEN CASE WHEN pair THEN -2 ELSE -1 END ELSE 0 END")} SELECT design, seq FROM w2 WHERE keep""",
     "dst_encode": _S + f""", l AS (SELECT *, kind IN ('color', 'trim') AS still FROM s), m AS (SELECT *, CASE WHEN still THEN 0 ELSE x-coalesce(last_value(CASE WHEN NOT still THEN x END IGNORE NULLS) OVER w, 0) END AS dx, CASE WHEN still THEN 0 ELSE coalesce(last_value(CASE WHEN NOT still THEN y END IGNORE NULLS) OVER w, 0)-y END AS dy FROM l WINDOW w AS (PARTITION BY design ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), k AS (SELECT *, unnest(range(greatest(1, (abs(dx)+120)//121, (abs(dy)+120)//121))) AS k FROM m),
  v AS (SELECT design, seq, kind, still, x, y, k, sign(dx)*greatest(0, least(121, abs(dx)-121*k)) AS mx, sign(dy)*greatest(0, least(121, abs(dy)-121*k)) AS my FROM k), g AS (SELECT *, {_digit_sql('mx')}, {_digit_sql('my')} FROM v), t AS (SELECT *, CASE kind WHEN 'color' THEN '0000C3' WHEN 'trim' THEN '418283414183418283' ELSE printf('%02X%02X%02X', CAST({_LOW} AS INT), CAST({_MID} AS INT), CAST(3 + CASE WHEN kind = 'jump' THEN 128 ELSE 0 END + {_BIT('mx81', 4, 8)} + {_BIT('my81', 32, 16)} AS INT)) END AS t FROM g),
  h AS (SELECT design, string_agg(t, '' ORDER BY seq, k) AS body, count(*) FILTER (kind = 'stitch' AND k = 0) AS st, count(*) FILTER (kind = 'color') AS co, greatest(0, max(x) FILTER (NOT still)) AS px, least(0, min(x) FILTER (NOT still)) AS nx, greatest(0, max(y) FILTER (NOT still)) AS py, least(0, min(y) FILTER (NOT still)) AS ny FROM t GROUP BY design)

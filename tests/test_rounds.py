@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stitchyard.functions import steps
-from stitchyard.operators import cracks, lettering, palettes, regions, runs
+from stitchyard.operators import cracks, lettering, palettes, regions, runs, stitch
 from stitchyard.sources import svg
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -175,3 +175,15 @@ def test_small_regions(spark):
         text = ["".join(str(got[x, y]) for x in range(7)) for y in range(8)]
         assert want is None or text == want
     assert text == ["0111111", *["1111111"] * 3, *["2222222"] * 4]
+
+
+def test_pile_up(spark):
+    """Fourteen places of a cell stay, two of a satin go together, travel is dropped sooner; what may not go without a thread too long stays."""
+    place = lambda i, role, kind="stitch", x=5: (1, i, kind, role, x, 5)
+    rows = [place(i, "fill") for i in range(13)] + [place(13, "satin"), place(14, "satin"), place(15, "fill"), place(16, "travel"), place(17, "underlay"), place(18, "fill", "jump"), place(19, "satin"), place(20, "fill", x=900)]
+    far = [(2, i, "stitch", "travel", 5 + 100 * (i % 2 == 1 and i > 8), 5) for i in range(8)] + [(2, 8, "stitch", "travel", 5, 5), (2, 9, "stitch", "fill", 900, 5)]
+    df = spark.createDataFrame([*rows, *far], "design long, seq long, kind string, role string, x long, y long")
+    got = {}
+    for r in stitch.unpiled(df).collect():
+        got.setdefault(r.design, set()).add(r.seq)
+    assert got[1] == set(range(13)) | {15, 18, 19, 20} and got[2] == set(range(7)) | {8, 9}
