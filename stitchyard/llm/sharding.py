@@ -29,30 +29,32 @@ STEPS, FINE = 1024, 4096
 WHOLE, SLACK = 0.05, 1.5
 
 
-def _number(c: str) -> Column:
-    """A value's first six bytes as a number, in the order of the values."""
-    return F.conv(F.rpad(F.hex(F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+def _value(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def _cuts(docs: DataFrame, c: str) -> list[float]:
-    values = docs.select(_number(c).alias("v")).distinct()
-    shares = F.array(*[F.lit(i / STEPS) for i in range(1, STEPS)])
-    found = values.agg(F.percentile_approx("v", shares, 1 << 14)).first()[0] or []
-    return sorted(set(found))
+def _cuts(docs: DataFrame, c: str) -> list[str]:
+    """Up to ``STEPS`` whole values in order: all distinct ones, or, where there are more, those at equal distances in their order."""
+    values = materialize(docs.select(_value(c).alias("v")).distinct(), "shard-values")
+    n = values.count()
+    if n > STEPS:
+        ranked = numbered(values, ["v"], "k", None, "shard-ranks")
+        values = ranked.filter(F.floor(F.col("k") * STEPS / n) != F.floor((F.col("k") - 1) * STEPS / n)).select("v")
+    return [r.v for r in values.orderBy("v").collect()]
 
 
-def _code(c: str, cuts: list[float]) -> Column:
+def _code(c: str, cuts: list[str]) -> Column:
     """The number of cut points under the value, by halving."""
 
     def count(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(_number(c) > cuts[middle], count(middle + 1, high)).otherwise(count(low, middle))
+        return F.when(_value(c) > cuts[middle], count(middle + 1, high)).otherwise(count(low, middle))
 
     if len(cuts) <= 64:
         return count(0, len(cuts))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < _number(c)))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < _value(c)))
 
 
 def described(docs: DataFrame) -> DataFrame:

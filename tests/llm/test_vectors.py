@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("stitchyard.llm")
 import duckdb  # noqa: E402
 
-from stitchyard.llm import centroids, queries, warc, whitening  # noqa: E402
+from stitchyard.llm import centroids, queries, sharding, warc, whitening  # noqa: E402
 from stitchyard.llm import vectors as V  # noqa: E402
 
 KIND = "vec_id long, embedding array<float>, cluster string, `a b.c` int"
@@ -185,3 +185,12 @@ def test_against_sql(spark, name):
     a, b = queries.queries()[name](spark, D).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     text = lambda x: sorted(map(repr, x[sorted(x.columns)].astype(object).where(x.notna(), None).values.tolist()))
     assert text(a) == text(b)
+
+
+@pytest.mark.parametrize("n", [20, 3000])
+def test_shard_codes(spark, n):
+    """Values that share a long beginning keep their order as codes; many values keep it in steps; null comes first."""
+    names = [None, *sorted(f"common_crawl/segment-{i:05d}" for i in range(n))]
+    d = spark.createDataFrame([(i, "x", "en", s, 0) for i, s in enumerate(names)], "doc_id long, text string, lang string, source string, n_chars long")
+    codes = [r.source_dim for r in sharding.described(d).orderBy("doc_id").collect()]
+    assert codes == sorted(codes) and codes[0] == 0 and len(set(codes)) == min(n + 1, max(codes) + 1) and max(codes) >= min(n, sharding.STEPS - 2)
