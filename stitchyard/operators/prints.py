@@ -1,6 +1,5 @@
 """Print preparation: names, labels, file heads, masks, previews and caches (A38, C04, C10, C11, C12 hash, C13, C17, C23, F04, K16, L37, L50, P19, P20, S08, S09, W08)."""
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +14,12 @@ from stitchyard.operators.folds import folded
 from stitchyard.operators.stitch import order, stream
 from stitchyard.sources.tables import kind_of, png_dims, table
 
-#: What comes before a paint, and the forms of a paint.
-PAINT = r"""(?i)((?:fill|stroke|stop-color|flood-color|lighting-color|color)\s*[:=]\s*["']?)(#(?:[0-9a-f]{6}|[0-9a-f]{3})|rgb\(\s*\d+\s*,\s*\d+\s*,\s*\d+\s*\))"""
+#: The properties of a drawing that hold a paint.
+PAINTED = ["fill", "stroke", "stop-color", "flood-color", "lighting-color", "color"]
+#: A paint is a hex colour of six or three digits or three numbers of rgb; it follows its property as an attribute or in a style.
+_HEX = "#(?:" + "|".join(f"[0-9a-f]{{{n}}}" for n in (6, 3)) + ")"
+_RGB = r"rgb\(" + ",".join([r"\s*\d+\s*"] * 3) + r"\)"
+PAINT = rf"(?i)((?:{'|'.join(PAINTED)})\s*[:=]\s*[\"']?)({_HEX}|{_RGB})"
 
 
 def inverted_paint(c: Column) -> Column:
@@ -148,34 +151,36 @@ def square_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 class Cache:
-    """the least recently used entry goes first, entries end after ``ttl``, all together hold ``most`` bytes."""
+    """entries live for ``ttl`` from when they were put; together they hold at most ``most`` bytes, and the one used longest ago makes room."""
 
     def __init__(self, ttl: float, most: int):
-        self.ttl, self.most, self.used = ttl, most, 0
-        self.held: OrderedDict = OrderedDict()  # key -> (bytes, time), the least recently used first
+        self.ttl, self.most = ttl, most
+        self.held: dict = {}  # key -> (bytes, when put, turn of the last use)
+        self.turn = 0
 
-    def _drop(self, key) -> None:
-        self.used -= self.held.pop(key)[0]
+    @property
+    def used(self) -> int:
+        return sum(size for size, _, _ in self.held.values())
+
+    def _expire(self, now: float) -> None:
+        self.held = {k: e for k, e in self.held.items() if now - e[1] <= self.ttl}
 
     def get(self, key, now: float) -> bool:
-        if key in self.held and now - self.held[key][1] > self.ttl:
-            self._drop(key)
-        if key not in self.held:
-            return False
-        self.held.move_to_end(key)
-        return True
+        self._expire(now)
+        self.turn += 1
+        if hit := key in self.held:
+            size, since, _ = self.held[key]
+            self.held[key] = size, since, self.turn
+        return hit
 
     def put(self, key, size: int, now: float) -> None:
-        if not 0 < size <= self.most:
-            return
-        while self.held and now - next(iter(self.held.values()))[1] > self.ttl:
-            self._drop(next(iter(self.held)))
-        if key in self.held:
-            self._drop(key)
-        self.held[key] = (size, now)
-        self.used += size
-        while self.used > self.most:
-            self._drop(next(iter(self.held)))
+        self._expire(now)
+        self.turn += 1
+        if 0 < size <= self.most:
+            self.held.pop(key, None)
+            while self.used + size > self.most:
+                del self.held[min(self.held, key=lambda k: self.held[k][2])]
+            self.held[key] = size, now, self.turn
 
 
 def preview_cache(spark: SparkSession, d: str) -> DataFrame:
