@@ -1,8 +1,8 @@
 """All queries of the shop-data operators and their SQL."""
 
-from stitchyard.operators import access, board, cracks, documents, geometry, images, inks, ledger, lettering, machine, palette, palettes, paper, pricing, prints, raster, regions, rules, runs, stitch, traces
+from stitchyard.operators import access, board, catalog, cracks, documents, geometry, histogram, hues, images, inks, ledger, lettering, machine, palette, palettes, paper, pricing, prints, raster, regions, rules, runs, stitch, traces
 
-FAMILIES = (board, cracks, lettering, palettes, paper, runs, pricing, ledger, palette, raster, regions, stitch, geometry, rules, documents, machine, access, images, inks, prints, traces)
+FAMILIES = (board, catalog, histogram, hues, cracks, lettering, palettes, paper, runs, pricing, ledger, palette, raster, regions, stitch, geometry, rules, documents, machine, access, images, inks, prints, traces)
 
 
 def queries() -> dict:
