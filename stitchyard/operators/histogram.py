@@ -7,7 +7,7 @@ own array. Only the search for an accent meets the pixels again, with one palett
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stitchyard.functions.steps import thousandths
+from stitchyard.functions.steps import thousandths, written
 from stitchyard.operators.images import _DE, _IMG, _de, _lab, _lab_sql, pictures, pixels
 
 # Fixed values of the rule: bins of a palette and their least share; the chroma and distance of a pixel that no ink covers, the share of
@@ -44,7 +44,8 @@ def palette_of(px: DataFrame) -> DataFrame:
     ink = F.struct("r", "g", "b", "lab", chroma(F.col("lab")).alias("c"), F.col("n").alias("w"))
     own = bins.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "key", ink.alias("ink")))).alias("q"), F.sum("n").alias("all"))
     own = own.withColumn("q", F.expr(f"transform(filter(slice(q, 1, {BINS}), z -> -z.o / all >= {LEAST}D), z -> z.ink)")).withColumn("total", F.expr("aggregate(q, 0L, (s, z) -> s + z.w)"))
-    inks = own.select("id", "all", F.expr(merged("q")).alias("inks"))
+    # one small row an image, read twice below
+    inks = written(own.select("id", "all", F.expr(merged("q")).alias("inks")), "inks")
     lab = px.select("id", "r", "g", "b", _lab(F.col("r"), F.col("g"), F.col("b")).alias("lab")).filter(chroma(F.col("lab")) > FAR_CHROMA)
     off = lab.join(inks.filter(F.size("inks") < FULL), "id").filter(F.forall("inks", lambda z: _de(z.lab, F.col("lab")) > FAR))
     accent = off.groupBy("id").agg(F.count("*").alias("w"), *[F.expr(f"percentile({c}, 0.5D)").alias(c) for c in "rgb"]).withColumn("lab", _lab(F.col("r"), F.col("g"), F.col("b")))
@@ -65,11 +66,11 @@ _PAIR = f"{{'d': {_DE.format('a[i]', 'a[j]')}, 'i': i, 'j': j, 'c1': a[i].c, 'c2
 _MAY = MAY.format("e0").replace("d <", "z.d <").replace("c1", "z.c1").replace("c2", "z.c2").replace("n <", "z.n <").replace("t <", "z.t <")
 QUERIES = [histogram_palette]
 SQL = {
-    "histogram_palette": f"""WITH RECURSIVE {_IMG}, bn AS (SELECT id, r//16*256+g//16*16+b//16 AS key, count(*) AS n, median(r) AS r, median(g) AS g, median(b) AS b FROM img GROUP BY ALL), {_lab_sql('bn', 'r', 'g', 'b', 'id, key, n, r, g, b', 'v')}, k AS (SELECT *, sqrt("A"*"A"+"B"*"B") AS c FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, key) <= {BINS} AND n/sum(n) OVER (PARTITION BY id) >= {LEAST}e0),
- s0 AS MATERIALIZED (SELECT id, list({{'r': r, 'g': g, 'b': b, 'L': "L", 'A': "A", 'B': "B", 'c': c, 'w': n}} ORDER BY n DESC, key) AS a, sum(n) AS total FROM k GROUP BY id),
+    "histogram_palette": f"""WITH RECURSIVE {_IMG}, bn AS (SELECT id, r//16*256+g//16*16+b//16 AS key, count(*) AS n, median(r) AS pr, median(g) AS pg, median(b) AS pb FROM img GROUP BY ALL), {_lab_sql('bn', 'pr', 'pg', 'pb', 'id, key, n, pr, pg, pb', 'v')}, k AS (SELECT *, sqrt("A"*"A"+"B"*"B") AS c FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, key) <= {BINS} AND n/sum(n) OVER (PARTITION BY id) >= {LEAST}e0),
+ s0 AS MATERIALIZED (SELECT id, list({{'pr': pr, 'pg': pg, 'pb': pb, 'L': "L", 'A': "A", 'B': "B", 'c': c, 'w': n}} ORDER BY n DESC, key) AS a, sum(n) AS total FROM k GROUP BY id),
  m(id, t, a, total) AS (SELECT id, 0, a, total FROM s0 UNION ALL SELECT id, t, list_filter(list_transform(a, lambda q, k: CASE WHEN k = keep THEN struct_update(q, w := a[keep].w+a[gone].w) ELSE q END), lambda q, k: k <> gone), total FROM (SELECT *, CASE WHEN swap THEN b.j ELSE b.i END AS keep, CASE WHEN swap THEN b.i ELSE b.j END AS gone FROM (SELECT *, a[b.j].c > a[b.i].c+6 AND a[b.j].w >= 0.08e0*(a[b.i].w+a[b.j].w) AND a[b.j].c > 20 OR a[b.j].w > a[b.i].w AS swap FROM
   (SELECT id, t+1 AS t, a, total, list_sort(list_filter(flatten(list_transform(range(1, len(a)+1), lambda i: list_transform(range(i+1, len(a)+1), lambda j: {_PAIR}))), lambda z: {_MAY}))[1] AS b FROM m) WHERE b IS NOT NULL))),
- e AS MATERIALIZED (SELECT id, arg_max(a, t) AS a FROM m GROUP BY id), {_lab_sql('img', 'r', 'g', 'b', 'id, r, g, b', 'x')}, f AS (SELECT x.id, count(*) AS n, median(r) AS r, median(g) AS g, median(b) AS b FROM x JOIN e USING (id) WHERE sqrt("A"*"A"+"B"*"B") > {FAR_CHROMA} AND len(a) < {FULL} AND len(list_filter(a, lambda z: {_DE.format('z', 'x')} <= {FAR})) = 0 GROUP BY x.id),
- {_lab_sql('f', 'r', 'g', 'b', 'id, n, r, g, b', 'y')}, o AS (SELECT id, unnest(a) AS q, generate_subscripts(a, 1)-1 AS place FROM e), u AS (SELECT id, place, q.r, q.g, q.b, q.w AS n FROM o UNION ALL SELECT y.id, len(a), r, g, b, n FROM y JOIN e USING (id) JOIN im USING (id) WHERE n/(w*h) > {ACCENT}e0 AND len(list_filter(a, lambda z: {_DE.format('z', 'y')} <= {APART})) = 0)
- SELECT id, CAST(place AS INT) AS place, {', '.join(f'CAST(floor({c}*1000+0.5e0) AS BIGINT) AS {c}' for c in 'rgb')}, CAST(n AS BIGINT) AS n FROM u""",
+ e AS MATERIALIZED (SELECT id, arg_max(a, t) AS pal FROM m GROUP BY id), ip AS (SELECT id, r AS pr, g AS pg, b AS pb FROM img), {_lab_sql('ip', 'pr', 'pg', 'pb', 'id, pr, pg, pb', 'x')}, f AS (SELECT x.id, count(*) AS n, median(pr) AS pr, median(pg) AS pg, median(pb) AS pb FROM x JOIN e USING (id) WHERE sqrt("A"*"A"+"B"*"B") > {FAR_CHROMA} AND len(pal) < {FULL} AND len(list_filter(pal, lambda z: {_DE.format('z', 'x')} <= {FAR})) = 0 GROUP BY x.id),
+ {_lab_sql('f', 'pr', 'pg', 'pb', 'id, n, pr, pg, pb', 'y')}, o AS (SELECT id, unnest(pal) AS q, generate_subscripts(pal, 1)-1 AS place FROM e), u AS (SELECT id, place, q.pr, q.pg, q.pb, q.w AS n FROM o UNION ALL SELECT y.id, len(pal), pr, pg, pb, n FROM y JOIN e USING (id) JOIN im USING (id) WHERE n/(w*h) > {ACCENT}e0 AND len(list_filter(pal, lambda z: {_DE.format('z', 'y')} <= {APART})) = 0)
+ SELECT id, CAST(place AS INT) AS place, {', '.join(f'CAST(floor(p{c}*1000+0.5e0) AS BIGINT) AS {c}' for c in 'rgb')}, CAST(n AS BIGINT) AS n FROM u""",
 }

@@ -1,10 +1,10 @@
-"""Closed cases of catalogs and of the tones of hue families."""
+"""Closed cases of catalogs, of the tones of hue families and of histogram palettes."""
 
 import colorsys
 
 from pyspark.sql import functions as F
 
-from stitchyard.operators import catalog, hues
+from stitchyard.operators import catalog, histogram, hues
 
 
 def test_catalogs(spark):
@@ -50,3 +50,18 @@ def test_posters(spark):
     for r in hues.posterized(spark.createDataFrame(px, "id long, x int, y int, r int, g int, b int")).collect():
         got.setdefault(r.y, set()).add((r.h, r.s, r.v, r.r, r.g, r.b))
     assert got == {0: {(0, 255, 200, 200, 0, 0)}, 1: {(0, 255, 88, 88, 0, 0)}, 2: {(0, 255, 200, 200, 0, 0)}, 3: {(120, 255, 255, 0, 0, 255)}, 4: {(0, 0, 102, 102, 102, 102)}}
+
+
+def test_histogram_palette(spark):
+    """Near greys merge into the fuller, a tint into the more saturated ink with a real part; a scattered accent is rescued, and specks are left out."""
+    px = [(1, 100, 100, 100)] * 3000 + [(1, 120, 120, 120)] * 2000 + [(1, 200, 20, 20)] * 500 + [(1, 196, 44, 36)] * 900
+    # 20 pixels of vivid greens, each bin under its least share of some 8,600 pixels
+    px += [(1, 20 + 16 * (i % 2), 180 + 16 * (i % 5), 20 + 16 * (i // 10)) for i in range(20)] + [(1, 0, 0, 250)] * 2
+    px += [(1, 250, 250, 250)] * 2200 + [(2, 7, 7, 7)]
+    got = {}
+    for r in histogram.palette_of(spark.createDataFrame(px, "id long, r int, g int, b int")).collect():
+        got[r.id] = [(q.r, q.g, q.b, q.w) for q in r.inks]
+    assert got[2] == [(7.0, 7.0, 7.0, 1)]
+    assert got[1][:3] == [(100.0, 100.0, 100.0, 5000), (250.0, 250.0, 250.0, 2200), (200.0, 20.0, 20.0, 1400)]
+    assert len(got[1]) == 4 and got[1][3][3] == 22 and got[1][3][1] > 150
+    assert histogram.palette_of(spark.createDataFrame([], "id long, r int, g int, b int")).count() == 0
