@@ -70,8 +70,8 @@ def popularity_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """J22 in general: the nearest of the first vectors of each label, by squared distance in integers."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x * 1000).cast("long")).alias("v"))
+    """J22 in general: the nearest of the first vectors of each label, by squared distance in integers. Products are single, as the vectors are."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor((x * 1000).cast("float")).cast("long")).alias("v"))
     seeds = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("s")).withColumnRenamed("label", "near")
     if e.agg(F.countDistinct("label")).first()[0] <= MOST_SEEDS:
         seeds = F.broadcast(seeds)
