@@ -111,7 +111,7 @@ def size_guard(spark: SparkSession, d: str) -> DataFrame:
 
 def mask_select(spark: SparkSession, d: str) -> DataFrame:
     """The mask of an image: its alpha if some of it is clear, else its dark pixels if they are some and not nearly all, else the light ones."""
-    p = images.pictures(spark, d).withColumn("a", F.expr("transform(inside, v -> if(id % 3 = 0, v * 255, 255))")).withColumn("lum", F.expr("transform(r, (v, i) -> 0.299D * (v / if(id % 3 = 1, 1, 4) + if(id % 3 = 1, 0, 190)) + 0.587D * g[i] / if(id % 3 = 1, 1, 4) + 0.114D * b[i] / if(id % 3 = 1, 1, 4))"))
+    p = images.pictures(spark, d).withColumn("a", F.expr("transform(inside, v -> if(id % 3 = 0, v * 255, 255))")).withColumn("lum", F.expr("transform(arrays_zip(r, g, b), q -> 0.299D * (q.r / if(id % 3 = 1, 1, 4) + if(id % 3 = 1, 0, 190)) + 0.587D * q.g / if(id % 3 = 1, 1, 4) + 0.114D * q.b / if(id % 3 = 1, 1, 4))"))
     x = images.pixels(p, "a", "lum")
     seen = F.col("a") > 12
     n = x.groupBy("id").agg(F.count_if(seen).alias("opaque"), F.count_if(seen & (F.col("lum") < 200)).alias("dark"), F.count_if(seen & (F.col("lum") > 80)).alias("light"), F.count("*").alias("n"))

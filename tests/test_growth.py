@@ -13,6 +13,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().toString()
 
 
+def test_mask_select_works_channels_out_once(spark):
+    """No channel is made anew inside the function of another's pixels."""
+    text = entry.queries()["mask_select"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(arrays_zip(" in text.lower()
+
+
 def test_nearest_embedding_in_single_products(spark, tmp_path):
     """0.009 as a float times 1000 is 9 in single, and 8.9999998 in double precision."""
     e = spark.createDataFrame([(1, 0, [0.0]), (2, 1, [1.0]), (3, 0, [0.009])], "vec_id long, label int, embedding array<float>")
