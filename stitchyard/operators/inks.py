@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stitchyard.functions import color
-from stitchyard.operators.palette import NAMED
+from stitchyard.operators.palette import NAMED, named
 from stitchyard.operators.stitch import stream
 from stitchyard.sources.tables import table
 
@@ -110,14 +110,13 @@ def mark_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def warm_fill(spark: SparkSession, d: str) -> DataFrame:
     """The nearest named colour in Lab; a warm fill takes the nearest that isn't blue, if there is one."""
-    named = spark.createDataFrame([(i, n, h) for i, (n, h) in enumerate(NAMED)], "ord int, name string, hex string")
-    n = named.select("ord", "name", *[color.channel(F.col("hex"), i).alias(f"p{c}") for i, c in enumerate("rgb")])
-    n = F.broadcast(n.select("*", F.array(*color.lab(F.col("pr"), F.col("pg"), F.col("pb"))).alias("q")))  # ten rows
     p = _parts(spark, d).select("id", "r", "g", "b", F.array(*color.lab(F.col("r"), F.col("g"), F.col("b"))).alias("p"))
-    dist = sum(((F.col("p")[k] - F.col("q")[k]) * (F.col("p")[k] - F.col("q")[k]) for k in (1, 2)), (F.col("p")[0] - F.col("q")[0]) * (F.col("p")[0] - F.col("q")[0]))
-    warm, blue = F.expr("r > g and r > b and r > 80"), F.expr("pb > pr + 20 and pb > pg + 10")
-    every = p.crossJoin(n).groupBy("id").agg(F.min_by("name", F.struct(dist, F.col("ord"))).alias("near"), F.min_by(F.when(~blue, F.col("name")), F.struct(blue, dist, F.col("ord"))).alias("other"), F.first(warm).alias("warm"))
-    return every.select("id", F.when(F.col("warm"), F.coalesce("other", "near")).otherwise(F.col("near")).alias("name"))
+    dist = lambda q: sum(((F.col("p")[k] - q[k]) * (F.col("p")[k] - q[k]) for k in (1, 2)), (F.col("p")[0] - q[0]) * (F.col("p")[0] - q[0])).alias("d")
+    nearest = lambda those: F.least(*those)["name"]
+    blue = [int(h[5:], 16) > int(h[1:3], 16) + 20 and int(h[5:], 16) > int(h[3:5], 16) + 10 for _, h in NAMED]
+    all_ = [F.struct(dist(q), i, n) for i, n, q in named(color.lab)]
+    near, other = nearest(all_), nearest([c for c, b in zip(all_, blue, strict=True) if not b])
+    return p.select("id", F.when(F.expr("r > g and r > b and r > 80"), F.coalesce(other, near)).otherwise(near).alias("name"))
 
 
 def thread_swap(spark: SparkSession, d: str) -> DataFrame:

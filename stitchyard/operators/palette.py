@@ -1,6 +1,8 @@
 """Colour matching and palettes (J18-J22, C01-C05, and the first steps of A07 and A09)."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stitchyard.functions import color
@@ -20,37 +22,39 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", *[((k * m) % 256).cast("int").alias(c) for c, m in (("r", 37), ("g", 91), ("b", 151))])
 
 
-def _named(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(i, n, h) for i, (n, h) in enumerate(NAMED)], "ord int, name string, hex string")
-    return F.broadcast(rows.select("ord", "name", *[color.channel(F.col("hex"), i).alias(f"p{c}") for i, c in enumerate("rgb")]))
+def named(part: Callable[..., list[Column]]) -> list[tuple[Column, Column, list[Column]]]:
+    """Place, name and ``part`` (of r, g, b) of each named colour, as literals: the list is fixed, so that a colour meets it in its own row."""
+    rgb = lambda h: [F.lit(int(h[k : k + 2], 16)) for k in (1, 3, 5)]
+    return [(F.lit(i).alias("ord"), F.lit(n).alias("name"), part(*rgb(h))) for i, (n, h) in enumerate(NAMED)]
 
 
 def nearest_palette_rgb(spark: SparkSession, d: str) -> DataFrame:
-    """Least squared RGB distance, the first on ties. The palette is a fixed list, and broadcast."""
-    dist = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "gb"), (F.col("r") - F.col("pr")) * (F.col("r") - F.col("pr")))
-    cross = _parts(spark, d).crossJoin(_named(spark)).withColumn("d", dist)
-    return cross.groupBy("p_partkey").agg(F.min_by("name", F.struct("d", "ord")).alias("name"), F.min("d").cast("long").alias("d"))
+    """Least squared RGB distance, the first on ties."""
+    dist = lambda q: sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip("gb", q[1:], strict=True)), (F.col("r") - q[0]) * (F.col("r") - q[0])).alias("d")
+    best = F.least(*[F.struct(dist(q), i, n) for i, n, q in named(lambda *c: list(c))])
+    return _parts(spark, d).withColumn("m", best).select("p_partkey", "m.name", F.col("m.d").cast("long").alias("d"))
 
 
 def _labs(spark: SparkSession, d: str) -> DataFrame:
-    """Each part beside each name, with their Lab, which is worked out once for each side before they meet."""
-    lab = lambda side, *c: [x.alias(f"{side}{k}") for k, x in zip("lab", color.lab(*map(F.col, c)), strict=True)]
-    names = F.broadcast(_named(spark).select("ord", "name", *lab("v", "pr", "pg", "pb")))
-    return _parts(spark, d).select("p_partkey", *lab("u", "r", "g", "b")).crossJoin(names)
+    """Each part with its Lab."""
+    return _parts(spark, d).select("p_partkey", *[x.alias(f"u{k}") for k, x in zip("lab", color.lab(*map(F.col, "rgb")), strict=True)])
 
 
 def nearest_lab_de76(spark: SparkSession, d: str) -> DataFrame:
     """Least CIE76 distance; distances are in thousandths."""
-    p, q = ([F.col(f"{side}{k}") for k in "lab"] for side in "uv")
-    cross = _labs(spark, d).withColumn("d", F.floor(F.sqrt(color.de76_squared(p, q)) * 1000 + 0.5).cast("long"))
-    return cross.groupBy("p_partkey").agg(F.min_by("name", F.struct("d", "ord")).alias("name"), F.min("d").alias("d"))
+    p = [F.col(f"u{k}") for k in "lab"]
+    dist = lambda q: F.floor(F.sqrt(color.de76_squared(p, q)) * 1000 + 0.5).cast("long").alias("d")
+    best = F.least(*[F.struct(dist(q), i, n) for i, n, q in named(color.lab)])
+    return _labs(spark, d).withColumn("m", best).select("p_partkey", "m.name", "m.d")
 
 
 def nearest_de2000_tiebreak(spark: SparkSession, d: str) -> DataFrame:
     """Of the colours within 0.5 of the least CIEDE2000 distance, the nearest in a*b*, the first on ties."""
     p, q = (tuple(F.col(f"{side}{k}") for k in "lab") for side in "uv")
     ab = (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2])
-    cross = _labs(spark, d).select("p_partkey", F.struct(color.de2000(p, q).alias("d"), ab.alias("ab"), "ord", "name").alias("c"))
+    names = F.array(*[F.struct(i, n, *[v.alias(f"v{k}") for k, v in zip("lab", q, strict=True)]) for i, n, q in named(color.lab)])
+    cross = _labs(spark, d).select("*", F.inline(names))
+    cross = cross.select("p_partkey", F.struct(color.de2000(p, q).alias("d"), ab.alias("ab"), "ord", "name").alias("c"))
     near = cross.groupBy("p_partkey").agg(F.collect_list("c").alias("c")).withColumn("least", F.array_min(F.transform("c", lambda x: x.d)))
     best = F.array_min(F.transform(F.filter("c", lambda x: x.d <= F.col("least") + 0.5), lambda x: F.struct(x.ab, x.ord, x["name"])))
     return near.select("p_partkey", best["name"].alias("name"))

@@ -19,6 +19,13 @@ def test_mask_select_works_channels_out_once(spark):
     assert "transform(arrays_zip(" in text.lower()
 
 
+def test_named_colours_meet_in_a_row(spark):
+    """The ten names are literals: no row is multiplied, shuffled and grouped."""
+    for name in ("nearest_palette_rgb", "nearest_lab_de76", "warm_fill"):
+        text = plan(entry.queries()[name](spark, SF))
+        assert "Exchange" not in text and "Aggregate" not in text
+
+
 def test_nearest_embedding_in_single_products(spark, tmp_path):
     """0.009 as a float times 1000 is 9 in single, and 8.9999998 in double precision."""
     e = spark.createDataFrame([(1, 0, [0.0]), (2, 1, [1.0]), (3, 0, [0.009])], "vec_id long, label int, embedding array<float>")
