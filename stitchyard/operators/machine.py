@@ -36,8 +36,8 @@ def eps_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    """A box for each part, forty to a page, its colour its key's rest."""
-    return table(spark, d, "part").select(F.expr("p_partkey div 40").alias("page"), F.col("p_partkey").alias("i"), *[F.expr(f"p_partkey * {m} % {n}").alias(c) for c, m, n in (("x", 7, 90), ("y", 11, 80), ("w", 3, 41), ("h", 5, 37), ("k", 1, 5))])
+    """A box for each part, forty to a page, its colour its key's rest. Its cells are many more than its file tells: none are broadcast."""
+    return table(spark, d, "part").select(F.expr("p_partkey div 40").alias("page"), F.col("p_partkey").alias("i"), *[F.expr(f"p_partkey * {m} % {n}").alias(c) for c, m, n in (("x", 7, 90), ("y", 11, 80), ("w", 3, 41), ("h", 5, 37), ("k", 1, 5))]).hint("merge")
 
 
 def near_boxes(spark: SparkSession, d: str) -> DataFrame:

@@ -116,7 +116,7 @@ def lloyd_round(px: DataFrame, state: DataFrame, still: float) -> DataFrame:
     """One round for every image of ``state`` (id, c, done): pixels to the nearest centre in Lab, the first of equals; centres to their means."""
     own = F.struct(*[F.col(c) for c in "lms"])
     nearest = F.array_min(F.transform("c", lambda z, k: F.struct(_near2(z, own).alias("d"), k.alias("k"))))["k"]
-    g = px.join(state, "id").withColumn("k", nearest).groupBy("id", "k").agg(*[F.avg(c).alias(c) for c in "rgb"], F.first("c").alias("c"), F.first("done").alias("done"))
+    g = px.join(state.hint("shuffle_hash"), "id").withColumn("k", nearest).groupBy("id", "k").agg(*[F.avg(c).alias(c) for c in "rgb"], F.first("c").alias("c"), F.first("done").alias("done"))
     one = g.groupBy("id").agg(F.first("c").alias("c"), F.first("done").alias("done"), F.map_from_entries(F.collect_list(F.struct("k", F.struct("r", "g", "b")))).alias("new"))
     moved = _centers(F.transform("c", lambda z, k: F.coalesce(F.col("new")[k], F.struct(z["r"], z["g"], z["b"]))))
     one = one.withColumn("to", moved)
@@ -146,7 +146,7 @@ def seeded(px: DataFrame, k: int) -> DataFrame:
     state = px.groupBy("id").agg(F.array(F.min_by(one, "i")).alias("c"))
     own = F.struct(*[F.col(c) for c in "lms"])
     for turn in range(1, k):
-        far = px.join(state, "id").withColumn("d", F.array_min(F.transform("c", lambda z: _near2(z, own))))
+        far = px.join(state.hint("shuffle_hash"), "id").withColumn("d", F.array_min(F.transform("c", lambda z: _near2(z, own))))
         run = Window.partitionBy("id").orderBy("i")
         far = far.withColumns({"sum": F.sum("d").over(run), "whole": F.sum("d").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
         passed = F.col("sum") >= F.col("whole") * (turn * 9973 % 10000 / 10000)
@@ -202,7 +202,7 @@ def tone_bands(spark: SparkSession, d: str) -> DataFrame:
     state = few.select("id", F.when(F.col("n") < 32, F.array("mid")).otherwise(F.col("c")).alias("c"))
     which = lambda: F.array_min(F.transform("c", lambda z, k: F.struct(F.abs(F.col("l") - z).alias("d"), k.alias("k"))))["k"]
     for _ in range(TURNS):
-        g = px.join(state, "id").withColumn("k", which()).groupBy("id", "k").agg(F.expr("percentile(l, 0.5D)").alias("mid"), F.first("c").alias("c"))
+        g = px.join(state.hint("shuffle_hash"), "id").withColumn("k", which()).groupBy("id", "k").agg(F.expr("percentile(l, 0.5D)").alias("mid"), F.first("c").alias("c"))
         one = g.groupBy("id").agg(F.first("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("k", "mid"))).alias("new"))
         state = one.select("id", F.transform("c", lambda z, k: F.coalesce(F.col("new")[k], z)).alias("c"))
     state = written(state, "bands")
@@ -210,7 +210,7 @@ def tone_bands(spark: SparkSession, d: str) -> DataFrame:
     fold = lambda s, z: F.when(z - last(s) < APART, F.concat(F.slice(s, 1, F.size(s) - 1), F.array((last(s) + z) / 2))).otherwise(F.concat(s, F.array(z)))
     sorted_ = F.sort_array("c")
     bands = state.select("id", F.aggregate(F.slice(sorted_, 2, 1000), F.slice(sorted_, 1, 1), fold).alias("c"))
-    out = px.join(bands, "id").withColumn("band", which()).groupBy("id", "band").agg(F.count("*").alias("n"), F.first(F.col("c")[F.col("band")]).alias("center"))
+    out = px.join(bands.hint("shuffle_hash"), "id").withColumn("band", which()).groupBy("id", "band").agg(F.count("*").alias("n"), F.first(F.col("c")[F.col("band")]).alias("center"))
     return out.select("id", "band", "n", thousandths(F.col("center")).alias("center"))
 
 

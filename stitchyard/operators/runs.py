@@ -140,7 +140,7 @@ def run_joins(spark: SparkSession, d: str) -> DataFrame:
     """J27 over the lines of parts, forty a page, in five rows."""
     k = table(spark, d, "part").select(F.expr("p_partkey div 40").alias("page"), F.col("p_partkey").alias("line"))
     k = k.withColumns({"x0": F.expr("(line % 40 div 5) * 40 + line * 7 % 5"), "y0": F.expr("(line % 5) * 60 + line * 11 % 5 - 2")})
-    return joints(k.select("page", "line", "x0", "y0", F.expr("x0 + 36 + line % 3").alias("x1"), F.expr("y0 + line * 13 % 7 - 3").alias("y1")))
+    return joints(k.hint("merge").select("page", "line", "x0", "y0", F.expr("x0 + 36 + line % 3").alias("x1"), F.expr("y0 + line * 13 % 7 - 3").alias("y1")))
 
 
 def sewing_order(visits: DataFrame, before: DataFrame) -> DataFrame:

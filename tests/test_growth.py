@@ -13,6 +13,25 @@ def plan(df) -> str:
     return df._jdf.queryExecution().toString()
 
 
+def test_rows_of_small_files_are_not_broadcast(spark):
+    """Files are far smaller than what is made of them: written rounds, pictures, boxes and letters join by sorted keys."""
+    px = images.pixels(images.pictures(spark, SF), "label")
+    kept = steps.written(px, "growth")
+    cells = machine._boxes(spark, SF).withColumn("cx", F.explode(F.expr("sequence(x div 10, (x + w) div 10)")))
+    tall = lettering.letters(spark, SF)
+    for df, by in ((px, "id"), (kept, "id"), (cells, "page"), (tall, "page")):
+        other = df.groupBy(by).agg(F.count("*").alias("n"))
+        assert "BroadcastHashJoin" not in plan(df.join(other, by)) and "SortMergeJoin" in plan(df.join(other, by))
+
+
+def test_components_do_not_look_pixels_up(spark):
+    """All columns of a pixel, from the runs alone: the pixels are read once, for their runs."""
+    px = spark.createDataFrame([(1, 3, 2, 0, 0, 5), (1, 3, 2, 1, 0, 5), (1, 3, 2, 2, 0, 7), (1, 3, 2, 0, 1, 7), (1, 3, 2, 1, 1, 5), (1, 3, 2, 2, 1, 5)], "id long, w int, h int, x int, y int, label int")
+    found = regions.components(px, "growth")
+    assert sorted(found.select("x", "y", "w", "h", "label", "comp").collect()) == [(0, 0, 3, 2, 5, 0), (0, 1, 3, 2, 7, 3), (1, 0, 3, 2, 5, 0), (1, 1, 3, 2, 5, 0), (2, 0, 3, 2, 7, 2), (2, 1, 3, 2, 5, 0)]
+    assert "Scan ExistingRDD" not in plan(found)
+
+
 def test_mask_select_works_channels_out_once(spark):
     """No channel is made anew inside the function of another's pixels."""
     text = entry.queries()["mask_select"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
