@@ -6,6 +6,12 @@ temperature T that is fitted to the training texts by expectation maximisation o
 their words, on the cluster. Pieces with a capital A-Z can't occur and are left out. A byte that is no piece
 is one of the least score (the byte fallback of the vocabulary), so every text has a probability.
 
+A rank says little of how often a piece is used, so these are the first guess alone. Words met in training, the ``HOT`` most
+frequent, are pieces, too, with their counts less a discount d = n1 / (n1 + 2 n2), n1 and n2 the words met once and
+twice. What is discounted is spelled: each such word counts d times, all others as often as they are met, and ``SPELL`` more
+rounds of expectation maximisation over the segmentations of all of them give every piece its own mass, of which a
+share ``FLOOR`` stays with the ranks. Words that training doesn't know are thus spelled as rare ones are.
+
 A text is a sequence of words, each begun by the vocabulary's mark, and one end token. Its probability is the
 sum over all segmentations of the product of the pieces' probabilities, in log space by a forward recursion
 over byte positions. No piece crosses words, so a text's log probability is the sum of its words', and each
@@ -13,7 +19,7 @@ distinct word is worked out once. ``score`` is that log probability, base 10.
 
 ``mixture_score`` is of a second model for which a word met in training is an arc of its own beside its pieces, with
 its discounted frequency; the discounted mass goes to the lattice, so that all words sum to one:
-(c - d) / N + d V / N x lattice(word), d = n1 / (n1 + 2 n2), n1 and n2 the words met once and twice.
+(c - d) / N + d V / N x lattice(word), with the same d.
 Words over ``LONG`` bytes are learnt from and scored one by one.
 
 Counts of words come from all texts. The ``HOT`` most frequent words are broadcast and scored where the
@@ -39,7 +45,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .common import drop_table, materialize
 
-ROUNDS, HOT, LONG, FLOOR, PART = 2, 1 << 17, 64, 0.01, 1 << 12
+ROUNDS, SPELL, HOT, LONG, FLOOR, PART = 2, 2, 1 << 17, 64, 0.01, 1 << 12
 #: Stands for the vocabulary's mark of a word's beginning; the byte is in no UTF-8 text.
 MARK, START = "\u2581", b"\xff"
 LOG10 = math.log(10)
@@ -91,10 +97,10 @@ class Lattice:
     def __init__(self, pieces: list[bytes], log_p: np.ndarray):
         self.longest = max(map(len, pieces))
         self.log_p = log_p
-        keys = self._key(np.array([self._hash(p) for p in pieces], np.uint64))
+        keys = self._key(self._hashes(pieces))
         self.size = len(pieces)
-        self.marks = np.zeros(1 << 20, bool)
-        self.marks[keys >> U(44)] = True
+        self.marks = np.zeros(1 << 22, bool)
+        self.marks[keys >> U(42)] = True
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
 
@@ -104,16 +110,20 @@ class Lattice:
         return key ^ (key >> U(32))
 
     @staticmethod
-    def _hash(piece: bytes) -> np.uint64:
-        h = 0
-        for b in piece:
-            h = (h * int(BASE) + b + 1) & 0xFFFFFFFFFFFFFFFF
-        return U(h)
+    def _hashes(pieces: list[bytes]) -> np.ndarray:
+        """The hash of each piece, all of one length at a time."""
+        length, out = np.fromiter(map(len, pieces), np.int64, len(pieces)), np.zeros(len(pieces), np.uint64)
+        for n in np.unique(length):
+            at = np.flatnonzero(length == n)
+            block = np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(len(at), n)
+            for k in range(n):
+                out[at] = out[at] * BASE + block[:, k] + U(1)
+        return out
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """The piece of each key or -1; most keys aren't pieces and end at the marks."""
         out = np.full(len(key), -1, np.int32)
-        maybe = np.flatnonzero(self.marks[key >> U(44)])
+        maybe = np.flatnonzero(self.marks[key >> U(42)])
         if len(maybe):
             at = np.minimum(np.searchsorted(self.keys, key[maybe]), self.size - 1)
             hit = self.keys[at] == key[maybe]
@@ -321,19 +331,50 @@ class Model:
             self.temperatures.append(fitted(self.rank, mass))
             end = texts / (texts + mass.sum())
         log_p = log_pieces(self.rank, self.temperatures[-1], end)
-        self.log_end = math.log10(end)
         discount = once / (once + 2 * twice) if once else 0.5
+        pieces = self.pieces
+        if words:
+            pieces, log_p, end = self._spelled(counted, log_p - math.log1p(-end), discount, texts)
+        self.log_end = math.log10(end)
         if self.total:
             self.log_end_mixed, rest = math.log10(max(texts, FLOOR) / self.total), max(discount * (distinct or 0), FLOOR) / self.total
             self.arc = (self.total, discount, rest)
         else:
             self.log_end_mixed, self.arc = math.log10(0.5), (1, 0.0, 0.5)
-        self.shared = spark.sparkContext.broadcast((self.pieces, log_p))
+        self.shared = spark.sparkContext.broadcast((pieces, log_p))
         scored = counted.mapInArrow(self._scorer(), "word binary, c long, n long, log_p double, log_m double")
         self.words = materialize(scored, "lm-scores")
         drop_table(counted)
         self.end_known, self.end_base = texts > 0, self.base(texts)
 
+    def _spelled(self, counted: DataFrame, log_p: np.ndarray, discount: float, texts: int) -> tuple[list[bytes], np.ndarray, float]:
+        """All pieces, whole words among them, their log probabilities, and that of the end token."""
+        longest = max(map(len, self.pieces)) - 1
+        # whole words go down to a count that at most HOT words reach, the same for words of one count
+        able = (F.length("word") <= longest) & (F.col("c") > discount)
+        sizes = counted.filter(able).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(HOT).collect()
+        least, n = math.inf, 0
+        for row in sizes:
+            n += row.n
+            if n > HOT:
+                break
+            least = row.c
+        whole = able & (F.col("c") >= F.lit(float(least)))
+        weighed = counted.select("word", F.when(whole, F.lit(float(discount))).otherwise(F.col("c").cast("double")).alias("c"))
+        guess, first = log_p, np.exp(log_p)
+        for _ in range(SPELL):
+            mass = self._expected(weighed, guess)
+            mass = (1 - FLOOR) * mass + FLOOR * mass.sum() * first
+            guess = np.log(mass / mass.sum())
+        found = dict(zip(self.pieces, mass, strict=True))
+        for row in counted.filter(whole).select("word", "c").toLocalIterator():
+            word = START + bytes(row.word)
+            found[word] = found.get(word, 0.0) + row.c - discount
+        pieces = sorted(found)
+        mass = np.array([found[x] for x in pieces])
+        total = mass.sum() + texts
+        return pieces, np.log(mass / total), texts / total
+
     def _expected(self, counted: DataFrame, log_p: np.ndarray) -> np.ndarray:
         shared = counted.sparkSession.sparkContext.broadcast((self.pieces, log_p))
 
