@@ -54,3 +54,10 @@ def test_nearest_embedding_in_single_products(spark, tmp_path):
 
     x = int(np.floor(np.float32(0.009) * np.float32(1000)))
     assert x != int(np.floor(float(np.float32(0.009)) * 1000)) and got[3] == (0, x * x)
+
+
+def test_neighbours_are_compiled(spark):
+    """No array of neighbours is made by an interpreted lambda for each pixel: pixels are rows that refer to their image's arrays."""
+    for name in ("local_range_3x3", "mode_filter", "boundary_rounds"):
+        text = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "explode(sequence(" in text and "lambdafunction(array(" not in text
