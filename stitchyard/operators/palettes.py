@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stitchyard.functions import color
 from stitchyard.functions.steps import dropped, thousandths, written
-from stitchyard.operators.images import _F, _IMG, _LIN, INKS, _palette, pictures, pixels
+from stitchyard.operators.images import _F, _IMG, _LIN, INKS, _palette, clamped, picture_pixels, pictures, square
 from stitchyard.sources.tables import table
 
 #: Colours of a palette, rounds of k-means, and squared Lab distances under which their results merge.
@@ -34,9 +34,19 @@ def _with_lab(z: Column, *more: Column) -> Column:
     return F.struct(*[z[c].cast("double").alias(c) for c in "rgb"], *[v.alias(n) for n, v in zip("lms", color.lab(z["r"], z["g"], z["b"]), strict=True)], *more)
 
 
+def _nearest(p: DataFrame, most: int, far: Callable[[Column], Column], *keep: str) -> DataFrame:
+    """``keep`` of ``p`` with ``k``, the place of the nearest of the at most ``most`` centres c of its row, the first of equals, and ``d``, its distance.
+
+    Each place has a column of its own, as the lambda of an array would be interpreted for every pixel.
+    """
+    each = p.select("*", *[far(F.get("c", F.lit(k))).alias(f"d{k}") for k in range(most)]).withColumn("d", F.least(*[f"d{k}" for k in range(most)], F.lit(None).cast("double")))
+    first = F.coalesce(*[F.when(F.col(f"d{k}") == F.col("d"), k) for k in range(most)])
+    return each.select(*keep, "d", first.alias("k"))
+
+
 def colored(spark: SparkSession, d: str) -> DataFrame:
     """(id, i, r, g, b, l, m, s): the pixels of all pictures with their Lab, in buckets by picture."""
-    p = pixels(pictures(spark, d), "r", "g", "b").withColumn("i", F.expr("y * w + x"))
+    p = picture_pixels(spark, d, "r", "g", "b").withColumn("i", F.expr("y * w + x"))
     return written(p.select("id", "i", "r", "g", "b", *[v.alias(n) for n, v in zip("lms", color.lab(F.col("r"), F.col("g"), F.col("b")), strict=True)]), "colored", "id")
 
 
@@ -112,11 +122,15 @@ def _centers(colors: Column) -> Column:
     return F.transform(colors, lambda z: _with_lab(z))
 
 
+def _to_own(z: Column) -> Column:
+    """Squared distance of a centre to the pixel of the row."""
+    return _near2(z, {c: F.col(c) for c in "lms"})
+
+
 def lloyd_round(px: DataFrame, state: DataFrame, still: float) -> DataFrame:
     """One round for every image of ``state`` (id, c, done): pixels to the nearest centre in Lab, the first of equals; centres to their means."""
-    own = F.struct(*[F.col(c) for c in "lms"])
-    nearest = F.array_min(F.transform("c", lambda z, k: F.struct(_near2(z, own).alias("d"), k.alias("k"))))["k"]
-    g = px.join(state.hint("shuffle_hash"), "id").withColumn("k", nearest).groupBy("id", "k").agg(*[F.avg(c).alias(c) for c in "rgb"], F.first("c").alias("c"), F.first("done").alias("done"))
+    near = _nearest(px.join(state.hint("shuffle_hash"), "id"), COLORS, _to_own, "id", "r", "g", "b", "c", "done")
+    g = near.groupBy("id", "k").agg(*[F.avg(c).alias(c) for c in "rgb"], F.first("c").alias("c"), F.first("done").alias("done"))
     one = g.groupBy("id").agg(F.first("c").alias("c"), F.first("done").alias("done"), F.map_from_entries(F.collect_list(F.struct("k", F.struct("r", "g", "b")))).alias("new"))
     moved = _centers(F.transform("c", lambda z, k: F.coalesce(F.col("new")[k], F.struct(z["r"], z["g"], z["b"]))))
     one = one.withColumn("to", moved)
@@ -144,9 +158,8 @@ def seeded(px: DataFrame, k: int) -> DataFrame:
     nearest centre passes a fixed share of the whole; an image without distances left gets no more."""
     one = F.struct(*[F.col(c).cast("double").alias(c) for c in "rgb"], "l", "m", "s")
     state = px.groupBy("id").agg(F.array(F.min_by(one, "i")).alias("c"))
-    own = F.struct(*[F.col(c) for c in "lms"])
     for turn in range(1, k):
-        far = px.join(state.hint("shuffle_hash"), "id").withColumn("d", F.array_min(F.transform("c", lambda z: _near2(z, own))))
+        far = _nearest(px.join(state.hint("shuffle_hash"), "id"), turn, _to_own, "id", "i", "r", "g", "b", "l", "m", "s", "c")
         run = Window.partitionBy("id").orderBy("i")
         far = far.withColumns({"sum": F.sum("d").over(run), "whole": F.sum("d").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
         passed = F.col("sum") >= F.col("whole") * (turn * 9973 % 10000 / 10000)
@@ -177,16 +190,16 @@ def hierarchical_palette(spark: SparkSession, d: str) -> DataFrame:
 
 def popularity_palette(spark: SparkSession, d: str) -> DataFrame:
     """Bins of five bits a channel over flat pixels (all pixels, if they give fewer than three), the fullest first, at least 4 apart in Lab."""
-    nine = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    at = lambda c: ", ".join(f"{c}[greatest(0, least(h - 1, i div w + {dy})) * w + greatest(0, least(w - 1, i % w + {dx}))]" for dx, dy in nine)
-    flat = " and ".join(f"greatest({at(c)}) - least({at(c)}) <= 48" for c in "rgb")
-    p = pictures(spark, d).withColumn("flat", F.expr(f"transform(sequence(0, w * h - 1), i -> {flat})"))
-    x = pixels(p, "r", "g", "b", "flat").withColumns({"i": F.expr("y * w + x"), "bin": F.expr("(r div 8) * 1024 + (g div 8) * 32 + b div 8")})
-    half = lambda name, when: x.filter(when).groupBy("id", "bin").agg(F.count("*").alias("n"), F.min("i").alias("first"), *[F.avg(c).alias(c) for c in "rgb"]).groupBy("id").agg(F.collect_list(F.struct((-F.col("n")).alias("o"), "first", "r", "g", "b")).alias(name))
-    both = half("all", F.lit(True)).join(half("few", F.col("flat")), "id", "left")
+    span = lambda c: f"greatest({', '.join(square(c, 1))}) - least({', '.join(square(c, 1))})"
+    p = clamped(pictures(spark, d).select("id", "w", "h", "r", "g", "b"), 1).select("id", "i", *[F.expr(span(c)).alias(f"s{c}") for c in "rgb"], *[F.col(c)[F.col("i")].alias(c) for c in "rgb"])
+    x = p.withColumns({"bin": F.expr("(r div 8) * 1024 + (g div 8) * 32 + b div 8"), "flat": F.greatest("sr", "sg", "sb") <= 48})
+    sums = lambda use: [F.count_if(use).alias("n"), F.min(F.when(use, F.col("i"))).alias("first"), *[F.avg(F.when(use, F.col(c))).alias(c) for c in "rgb"]]
+    n = x.groupBy("id", "bin").agg(*[c.alias(f"{half}_{k}") for half, use in (("all", F.lit(True)), ("few", F.col("flat"))) for c, k in zip(sums(use), ("n", "first", *"rgb"), strict=True)])
+    one = lambda half: F.collect_list(F.when(F.col(f"{half}_n") > 0, F.struct((-F.col(f"{half}_n")).alias("o"), *[F.col(f"{half}_{k}").alias(k) for k in ("first", *"rgblms")]))).alias(half)
+    both = n.select("*", *[v.alias(f"{half}_{c}") for half in ("all", "few") for c, v in zip("lms", color.lab(*[F.col(f"{half}_{c}") for c in "rgb"]), strict=True)]).groupBy("id").agg(one("all"), one("few"))
     bins = F.sort_array(F.when(F.coalesce(F.size("few"), F.lit(0)) >= 3, F.col("few")).otherwise(F.col("all")))
-    take = lambda s, z: let(_with_lab(z), lambda q: F.when((F.size(s) < COLORS) & ~F.exists(s, lambda o: _near2(o, q) < 16), F.concat(s, F.array(q))).otherwise(s))
-    none = F.filter(F.transform(bins, lambda z: _with_lab(z)), lambda z: F.lit(False))
+    take = lambda s, z: F.when((F.size(s) < COLORS) & ~F.exists(s, lambda o: _near2(o, z) < 16), F.concat(s, F.array(z))).otherwise(s)
+    none = F.slice(bins, 1, 0)
     return _listed(both.select("id", F.aggregate(bins, none, take).alias("c")))
 
 
@@ -200,9 +213,9 @@ def tone_bands(spark: SparkSession, d: str) -> DataFrame:
     shares = ", ".join(f"{0.08 + 0.84 * k / (BANDS - 1)!r}D" for k in range(BANDS))
     few = px.groupBy("id").agg(F.count("*").alias("n"), F.expr(f"percentile(l, array({shares}))").alias("c"), F.expr("percentile(l, 0.5D)").alias("mid"))
     state = few.select("id", F.when(F.col("n") < 32, F.array("mid")).otherwise(F.col("c")).alias("c"))
-    which = lambda: F.array_min(F.transform("c", lambda z, k: F.struct(F.abs(F.col("l") - z).alias("d"), k.alias("k"))))["k"]
+    which = lambda s: _nearest(px.join(s.hint("shuffle_hash"), "id"), BANDS, lambda z: F.abs(F.col("l") - z), "id", "l", "c")
     for _ in range(TURNS):
-        g = px.join(state.hint("shuffle_hash"), "id").withColumn("k", which()).groupBy("id", "k").agg(F.expr("percentile(l, 0.5D)").alias("mid"), F.first("c").alias("c"))
+        g = which(state).groupBy("id", "k").agg(F.expr("percentile(l, 0.5D)").alias("mid"), F.first("c").alias("c"))
         one = g.groupBy("id").agg(F.first("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("k", "mid"))).alias("new"))
         state = one.select("id", F.transform("c", lambda z, k: F.coalesce(F.col("new")[k], z)).alias("c"))
     state = written(state, "bands")
@@ -210,7 +223,7 @@ def tone_bands(spark: SparkSession, d: str) -> DataFrame:
     fold = lambda s, z: F.when(z - last(s) < APART, F.concat(F.slice(s, 1, F.size(s) - 1), F.array((last(s) + z) / 2))).otherwise(F.concat(s, F.array(z)))
     sorted_ = F.sort_array("c")
     bands = state.select("id", F.aggregate(F.slice(sorted_, 2, 1000), F.slice(sorted_, 1, 1), fold).alias("c"))
-    out = px.join(bands.hint("shuffle_hash"), "id").withColumn("band", which()).groupBy("id", "band").agg(F.count("*").alias("n"), F.first(F.col("c")[F.col("band")]).alias("center"))
+    out = which(bands).withColumnRenamed("k", "band").groupBy("id", "band").agg(F.count("*").alias("n"), F.first(F.col("c")[F.col("band")]).alias("center"))
     return out.select("id", "band", "n", thousandths(F.col("center")).alias("center"))
 
 
