@@ -7,12 +7,13 @@ positions twice, and positions whose name is unique leave after the first sort:
 1. At offset 0, positions are sorted by the rank (a 64-bit name) of their first ``SPAN`` bytes. Only the smallest
    rank of each window of ``LENGTH`` bytes is sorted (its anchor). Equal windows have the same anchor at the
    same place, so a window whose anchor's rank is unique can't repeat: it leaves.
-2. At offset ``SPAN``, the windows that stay are sorted by their pairs of ranks, of the first and of the last
+2. At offset ``SPAN``, the windows that stay are sorted by the names of their pairs of ranks, of the first and of the last
    ``SPAN`` bytes, beside those of the same anchor at the same place. All but the first of equal pairs, in
    order of (doc_id, start), are repeats, and the bytes they cover go. ``LENGTH`` is reached, so the doubling ends.
 
 Sorting every position at every doubling would write eight times 16 bytes per byte of text, so ranks of
-up to ``SPAN`` bytes double inside the texts. Windows are equal if both of their 64-bit ranks are.
+up to ``SPAN`` bytes double inside the texts. A pair of ranks has a name of 64 bits, too, and goes as
+that; windows are equal if it is, beside the 64-bit rank of their anchor and its place.
 
 What a task can tell by itself isn't gathered: of the positions of one rank in a slice of text, one meets those of
 other slices and the others are known to repeat; of equal windows of a slice, the first meets the others'
@@ -157,7 +158,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each repeated anchor of a text: its windows' first offset and their rank pairs.
+    """For each repeated anchor of a text: its windows' first offset and the names of their rank pairs.
 
     Only the first of equal windows in a slice goes to the sort; the others are runs of repeats already (``z``
     is their end) and are dealt elsewhere.
@@ -181,8 +182,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(head, len(s)))
         known = ~fresh[head]
         sent = np.where(known, 0, size)
-        bounds = (np.concatenate(([0], np.cumsum(sent))) * 2 * NAME_BYTES).astype(np.int32)
-        blobs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(pair[fresh]).view(np.uint8).reshape(-1))])
+        bounds = (np.concatenate(([0], np.cumsum(sent))) * NAME_BYTES).astype(np.int32)
+        blobs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(bounds), pa.py_buffer(A.mix(pair[fresh, 0] ^ A.mix(pair[fresh, 1])).view(np.uint8))])
         name, of, start = span[p[head]].view(np.int64), ids[row[head]], s[head] - offsets[row[head]]
         yield pa.RecordBatch.from_arrays(
             [_spread(name, of, known), pa.array(name), pa.array(of), pa.array(start.astype(np.int32)), pa.array((p[head] - s[head]).astype(np.int32)), pa.array(start + size - 1 + LENGTH, pa.int64(), mask=~known), blobs],
@@ -206,16 +207,15 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         blobs = b.column("windows")
         bounds = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
-        pair = np.frombuffer(blobs.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint64).reshape(-1, 2)
-        n = np.diff(bounds) // (2 * NAME_BYTES)
+        pair = np.frombuffer(blobs.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint64)
+        n = np.diff(bounds) // NAME_BYTES
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - (np.cumsum(n) - n)[row]
         name = b.column("name").to_numpy().view(np.uint64)
         offset = b.column("offset").to_numpy().astype(np.int64)[row] - step
-        # names of anchors and offsets beside the pairs: 64 bits each, mixed one after the other
+        # names of anchors and offsets beside those of the pairs: 64 bits each
         key = np.empty(len(row), [("first", np.uint64), ("last", np.uint64)])
-        place = A.mix(name[row] + offset.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-        key["first"], key["last"] = pair[:, 0] ^ place, pair[:, 1] ^ place
+        key["first"], key["last"] = A.mix(name[row] + offset.astype(np.uint64) * U(0x9E3779B97F4A7C15)), pair
         key = key.view("V16").reshape(-1)
         fresh = np.zeros(len(key), bool)
         fresh[_firsts(key)] = True

@@ -411,3 +411,12 @@ def test_clashing_names(spark):
         out = f(d)
         assert out.columns == d.columns and out.count() == left
         assert {(r.doc_id, r["_id"], r["a b.c"]) for r in out.collect()} <= {(1, "mine", 3), (2, "yours", 4), (3, "theirs", 5)}
+
+
+def test_substrings_windows_go_as_names():
+    """A window goes to the sort as eight bytes, the name of its pair of ranks; a copy in the same slice sends none."""
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(150))
+    at = np.unique(substring_dedup.anchors(substring_dedup.doubled(np.frombuffer(text.encode(), np.uint8), (substring_dedup.SPAN,))[0]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text]), pa.array([at.astype(np.int32)] * 2)], names=["id", "text", "anchors"])
+    blobs = [b for r in substring_dedup._window_rows([batch]) for b in r.column("windows").to_pylist()]
+    assert sum(map(len, blobs)) == 8 * (150 - substring_dedup.LENGTH + 1)
