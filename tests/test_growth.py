@@ -61,3 +61,23 @@ def test_neighbours_are_compiled(spark):
     for name in ("local_range_3x3", "mode_filter", "boundary_rounds"):
         text = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
         assert "explode(sequence(" in text and "lambdafunction(array(" not in text
+
+
+def test_components_of_small_images_take_no_rounds(spark):
+    """An image of one band is labelled in its group: no job a round fills the driver with plans and stages."""
+    tracker = spark.sparkContext.statusTracker()
+    px = images.picture_pixels(spark, SF, "label")
+    spark.sparkContext.setJobGroup("bands", "bands")
+    found = regions.components(px, "bands", corners=True)
+    assert len(tracker.getJobIdsForGroup("bands")) <= 4 and found.count() == px.count()
+    spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_components_across_bands(spark, monkeypatch):
+    """Components that cross borders of bands are the same as in one band, across corners or not."""
+    px = images.picture_pixels(spark, SF, "label").filter("id <= 3")
+    for corners in (False, True):
+        whole = sorted(regions.components(px, "whole", corners).select("id", "x", "y", "comp").collect())
+        monkeypatch.setattr(regions, "BAND", 3)
+        assert sorted(regions.components(px, "bands", corners).select("id", "x", "y", "comp").collect()) == whole
+        monkeypatch.undo()
