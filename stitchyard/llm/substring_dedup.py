@@ -236,8 +236,23 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A.give_back()
 
 
+def _disjoint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, spans) with the sorted ranges of each row joined where they meet; a text has less than 2 ** 40 bytes."""
+    for b in batches:
+        lists = b.column("spans")
+        a, z = (c.to_numpy().astype(np.int64) for c in lists.flatten().flatten())
+        row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy())
+        own = row << 40
+        top = np.maximum.accumulate(z + own)
+        head = np.flatnonzero(np.concatenate(([True], (a + own)[1:] > top[:-1]))) if len(a) else np.zeros(0, np.int64)
+        end = np.append(head[1:], len(a))[: len(head)] - 1
+        ranges = pa.StructArray.from_arrays([pa.array(a[head]), pa.array(top[end] - own[end])], names=["a", "z"])
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(row[head], minlength=b.num_rows)))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(bounds), ranges)], names=["id", "spans"])
+
+
 def spans(texts: DataFrame) -> DataFrame:
-    """(id, spans): the byte ranges to remove in each of the rows (id, text) of distinct ids and texts."""
+    """(id, spans): the disjoint byte ranges to remove in each of the rows (id, text) of distinct ids and texts."""
     n = partitions(texts.sparkSession)
     named = texts.mapInArrow(_anchor_rows, "deal long, name long, id long, at int, again boolean")
     hits = named.repartition(n, "deal").drop("deal").sortWithinPartitions("name").mapInArrow(_repeated, "id long, at int")
@@ -245,11 +260,12 @@ def spans(texts: DataFrame) -> DataFrame:
     again = semi(texts, by_text.select("id"), "id").join(by_text, "id").select("id", "text", "anchors")
     rows = again.mapInArrow(_window_rows, "deal long, name long, id long, start int, offset int, z long, windows binary")
     later = rows.repartition(n, "deal").drop("deal").sortWithinPartitions("name", "id", "start").mapInArrow(_later, "id long, a long, z long")
-    return later.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("spans"))
+    # a window's ranges overlap the next one's: joined, they are a few a text, and mostly few enough to be broadcast
+    return later.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("spans")).mapInArrow(_disjoint, "id long, spans array<struct<a: bigint, z: bigint>>")
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(row, text, spans): a struct of all columns of each row, its text and the sorted byte ranges to remove, which may overlap."""
+    """(row, text, spans): a struct of all columns of each row, its text and the sorted, disjoint byte ranges to remove."""
     text_hash = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     docs = row_ids(docs, "substring-rows")
     keyed = materialize(docs.select(F.col("_id").alias("id"), text_hash.alias("key"), F.octet_length("text").alias("n")), "substring-keys")
@@ -261,7 +277,8 @@ def marked(docs: DataFrame) -> DataFrame:
     found = materialize(spans(rest).unionByName(copies.filter("spans is not null")), "substring-spans").withColumnRenamed("id", "_id")
     if (found.agg(F.sum(F.size("spans") + 2)).first()[0] or 0) <= BROADCAST_IDS:
         found = F.broadcast(found)
-    return docs.join(found, "_id", "left").select("row", "text", "spans")
+    # the text goes once through a shuffle, in its row
+    return docs.select("row", "_id").join(found, "_id", "left").select("row", "row.text", "spans")
 
 
 def merged(ranges: list[dict] | None) -> list[list[int]]:

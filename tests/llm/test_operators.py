@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables with awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -420,3 +421,13 @@ def test_substrings_windows_go_as_names():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text]), pa.array([at.astype(np.int32)] * 2)], names=["id", "text", "anchors"])
     blobs = [b for r in substring_dedup._window_rows([batch]) for b in r.column("windows").to_pylist()]
     assert sum(map(len, blobs)) == 8 * (150 - substring_dedup.LENGTH + 1)
+
+
+def test_ranges_of_a_passage_are_joined(spark):
+    """A long repeated passage has many anchors, and is one range: ranges are few enough to be broadcast where texts are not."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage = " ".join(word() for _ in range(300))
+    d = spark.createDataFrame([(1, f"{word()} {passage}"), (2, f"{passage} {word()}"), (3, word())], "doc_id long, text string")
+    found = {r.row.doc_id: r.spans for r in substring_dedup.marked(d).collect()}
+    assert found[1] is None and found[3] is None and [tuple(r) for r in found[2]] == [(0, len(passage))]
