@@ -17,8 +17,10 @@ LINE = "100 * a.h < 135 * b.h and 10 * abs(a.y1 - b.y1) <= 2 * a.h and 100 * abs
 
 
 def letters(spark: SparkSession, d: str) -> DataFrame:
-    """(page, color, id, x0, y0, x1, y1) in tenths of a millimetre: boxes of parts, 40 a page. Joins of their cells are never broadcasts."""
-    k = table(spark, d, "part").select(F.expr("p_partkey div 40").alias("page"), F.expr("cast(p_partkey % 2 as int)").alias("color"), F.col("p_partkey").alias("id"))
+    """(page, color, id, x0, y0, x1, y1) in tenths of a millimetre: boxes of parts, 40 a page. Joins of their cells are never broadcasts.
+
+    A key becomes some hundred times its size, so that the few keys of a file are dealt out by page."""
+    k = table(spark, d, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.expr("p_partkey div 40")).select(F.expr("p_partkey div 40").alias("page"), F.expr("cast(p_partkey % 2 as int)").alias("color"), F.col("p_partkey").alias("id"))
     k = k.withColumns({"h": F.expr("if(id % 9 = 4, 12, 40 + id * 7 % 13 + if(id % 11 = 0, 60, 0))"), "base": F.expr("100 + (id * 3 % 4) * 90")})
     k = k.withColumns({"x0": F.expr("(id % 40 div 4) * 55 + id * 5 % 23"), "y1": F.expr("base - if(id % 9 = 4, id % 3 * 10, id % 3)")})
     return k.select("page", "color", "id", F.col("x0").cast("long"), F.expr("y1 - h").cast("long").alias("y0"), F.expr("x0 + 25 + id % 17").cast("long").alias("x1"), F.col("y1").cast("long")).hint("merge")

@@ -105,3 +105,16 @@ def test_inks_are_a_row_an_image(spark):
     assert sorted(found.collect()) == [(1, 0, 0, 0), (1, 1, 0, 7)]
     joins = [line for line in plan(found).split("== Optimized Logical Plan ==")[1].splitlines() if "Join LeftOuter" in line]
     assert joins and not [line for line in joins if "label" in line]
+
+
+def test_components_of_small_keys_take_no_rounds(spark, monkeypatch):
+    """Keys of few edges are rows, whose components take no round however long their chains are; larger keys give the same in rounds."""
+    edges = spark.range(120).selectExpr("id % 3 as k", "id div 3 as a", "id div 3 + if(id % 3 = 2 and id div 3 = 20, 0, 1) as b")
+    keyed = edges.select(F.struct("k").alias("key"), "a", "b")
+    spark.sparkContext.setJobGroup("arrays", "arrays")
+    found = sorted(steps.components(keyed, "key", "arrays").select("key.k", "node", "comp").collect())
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("arrays")) <= 8
+    spark.sparkContext._jsc.clearJobGroup()
+    assert {(k, c) for k, n, c in found} == {(0, 0), (1, 0), (2, 0), (2, 21)} and len(found) == 123
+    monkeypatch.setattr(steps, "MOST", 39)
+    assert sorted(steps.components(keyed, "key", "rounds").select("key.k", "node", "comp").collect()) == found
