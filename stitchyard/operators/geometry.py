@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stitchyard.operators.images import pictures, pixels
+from stitchyard.operators.images import picture_pixels, pictures, pixels
 from stitchyard.operators.raster import NINE, SHOT, beside
 from stitchyard.operators.regions import components, reach_sql, row_runs
 from stitchyard.operators.stitch import order, stream
@@ -128,7 +128,7 @@ def tatami_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def exterior_paper(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of paper by whether their component reaches the border."""
-    paper = pixels(pictures(spark, d), "r", "g", "inside").filter("r < 96 or inside = 0 and g < 200").withColumn("label", F.lit(1))
+    paper = picture_pixels(spark, d, "r", "g", "inside").filter("r < 96 or inside = 0 and g < 200").withColumn("label", F.lit(1))
     found = components(paper, "paper")
     rim = F.max(F.expr("x in (0, w - 1) or y in (0, h - 1)"))
     return found.join(found.groupBy("id", "comp").agg(rim.alias("outside")), ["id", "comp"]).select("id", "x", "y", "outside")

@@ -118,3 +118,9 @@ def test_components_of_small_keys_take_no_rounds(spark, monkeypatch):
     assert {(k, c) for k, n, c in found} == {(0, 0), (1, 0), (2, 0), (2, 21)} and len(found) == 123
     monkeypatch.setattr(steps, "MOST", 39)
     assert sorted(steps.components(keyed, "key", "rounds").select("key.k", "node", "comp").collect()) == found
+
+
+def test_rims_are_compiled(spark):
+    """Rims read their neighbours from a pixel's row; no lambda goes over an image's pixels, before or after its regions are found."""
+    images_ = spark.createDataFrame([(1, 2, 1, [0, 1], [0, 0], [20.0, 90.0])], "id long, w int, h int, label array<int>, ext array<int>, luma array<double>")
+    assert "lambdafunction" not in plan(paper.rims_folded(images_)).lower()
