@@ -1,63 +1,178 @@
 """Palettes from 4-bit histograms: medians of the fullest bins, merged by perception, and one rescued accent.
 
-Bins are counted for all images in one aggregation. An image's bins are at most 4,096 rows, of which 28 go on; they merge in a fold of its
-own array. Only the search for an accent meets the pixels again, with one palette row an image.
+An image is one row, and some images are worked out together in arrays: their pixels, their bins, the merges of up to 28 inks each, and the
+search of all pixels for an accent. Nothing is joined, and no pixel becomes a row.
 """
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stitchyard.functions.steps import thousandths, written
-from stitchyard.operators.images import _DE, _IMG, _de, _lab, _lab_sql, pictures, pixels
+from stitchyard.functions.steps import thousandths
+from stitchyard.operators.images import _DE, _IMG, _lab_sql, _sizes, channels
 
 # Fixed values of the rule: bins of a palette and their least share; the chroma and distance of a pixel that no ink covers, the share of
 # such pixels that makes an accent, how far it must be from all inks, and the inks from which there is none.
 BINS, LEAST, FAR_CHROMA, FAR, ACCENT, APART, FULL = 28, 0.00035, 40, 18, 0.0015, 30, 12
-#: Which pair may merge, for its distance d, chromas c1 and c2, smaller share n and hue difference t in degrees.
+#: Which pair may merge, for its distance d, chromas c1 and c2, smaller share n and hue difference t in degrees; ``merged`` has it in arrays.
 MAY = """d < 8 or c1 < 12 and c2 < 12 and d < 24 or c1 < 18 and c2 < 18 and d < 16 or n < 0.006{0} and d < 32
  or c1 > 18 and c2 > 18 and t < 16 and d < 14 or c1 > 25 and c2 > 25 and t < 14 and d < 26 and n < 0.02{0} or c1 < 8 and c2 < 8 and n < 0.02{0} and d < 48"""
+#: Images that are worked out together, and pixels of them at a time.
+IMAGES, PIXELS = 128, 1 << 17
+#: The pairs of a palette's places, the earlier first.
+_I, _J = np.triu_indices(BINS, 1)
+#: The linear value of a channel, by twice its value, as a median may be a half.
+_LINEAR = np.array([v / 255.0 / 12.92 if v / 255.0 <= 0.04045 else math.pow((v / 255.0 + 0.055) / 1.055, 2.4) for v in np.arange(511) / 2])
+
+
+def _lab(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lab of colours given as twice their channels (``color.lab``)."""
+    r, g, b = _LINEAR[r], _LINEAR[g], _LINEAR[b]
+    f = []
+    for m, n, k, white in ((0.4124564, 0.3575761, 0.1804375, 0.95047), (0.2126729, 0.7151522, 0.0721750, 1.0), (0.0193339, 0.1191920, 0.9503041, 1.08883)):
+        t = (r * m + g * n + b * k) / white
+        f.append(np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16.0 / 116))
+    return 116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])
+
+
+def _distance(p: tuple, q: tuple) -> np.ndarray:
+    d = [a - b for a, b in zip(p, q, strict=True)]
+    return np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
-def merged(inks: str) -> str:
-    """The inks of an array (r, g, b, lab, c: chroma, w: pixels) after all merges, as SQL: the nearest pair that may merge first.
+def _twice_median(counts: np.ndarray) -> np.ndarray:
+    """Twice the median value of each histogram of the last axis; 0 of an empty one."""
+    upto = counts.cumsum(-1)
+    n = upto[..., -1:]
+    return (upto > (n - 1) // 2).argmax(-1) + (upto > n // 2).argmax(-1)
 
-    The more saturated ink of a pair stays if it is a real part of both, else the one with more pixels, the earlier of equals.
+
+def merged(lab: tuple, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All merges of images' inks (Lab, chroma, pixels; none at a place without pixels): which stay, and their pixels.
+
+    The nearest pair that may merge goes first. The more saturated ink of a pair stays if it is a real part of both, else the one with
+    more pixels, the earlier of equals. An ink that stays keeps its colour, so that only the share under which a pair may merge meets the new pixels.
     """
-    turn = "abs(degrees(atan2(a[i].lab[2], a[i].lab[1])) - degrees(atan2(a[j].lab[2], a[j].lab[1])))"
-    apart = " + ".join(f"(a[i].lab[{k}] - a[j].lab[{k}]) * (a[i].lab[{k}] - a[j].lab[{k}])" for k in range(3))
-    pair = f"struct(sqrt({apart}) as d, i, j, a[i].c as c1, a[j].c as c2, least(a[i].w, a[j].w) / total as n, least({turn}, 360 - {turn}) as t)"
-    pairs = f"flatten(transform(sequence(0, size(a) - 1), i -> transform(filter(sequence(0, size(a) - 1), j -> j > i), j -> {pair})))"
-    may = MAY.format("D").replace("d <", "z.d <").replace("c1", "z.c1").replace("c2", "z.c2").replace("n <", "z.n <").replace("t <", "z.t <")
-    best = f"array_min(filter({pairs}, z -> {may}))"
-    swap = "a[m.j].c > a[m.i].c + 6 and a[m.j].w >= 0.08D * (a[m.i].w + a[m.j].w) and a[m.j].c > 20 or a[m.j].w > a[m.i].w"
-    fused = "transform(a, (q, k) -> if(k = v.keep, struct(q.r as r, q.g as g, q.b as b, q.lab as lab, q.c as c, a[v.keep].w + a[v.gone].w as w), q))"
-    step = f"transform(array({best}), m -> if(m is null, a, transform(array(if({swap}, struct(m.j as keep, m.i as gone), struct(m.i as keep, m.j as gone))), v -> filter({fused}, (q, k) -> k <> v.gone))[0]))[0]"
-    return f"aggregate(sequence(1, {BINS - 1}), {inks}, (a, x) -> {step})"
+    w, total = w.copy(), w.sum(1)
+    d = _distance(tuple(v[:, _I] for v in lab), tuple(v[:, _J] for v in lab))
+    c1, c2, hue = c[:, _I], c[:, _J], np.degrees(np.arctan2(lab[2], lab[1]))
+    t = np.abs(hue[:, _I] - hue[:, _J])
+    t = np.minimum(t, 360 - t)
+    least, most = np.minimum(c1, c2), np.maximum(c1, c2)
+    always = (d < 8) | (most < 12) & (d < 24) | (most < 18) & (d < 16) | (least > 18) & (t < 16) & (d < 14)
+    small = (least > 25) & (t < 14) & (d < 26) | (most < 8) & (d < 48)
+    under = np.where(always, np.inf, np.where(small, 0.02, np.where(d < 32, 0.006, -np.inf)))
+    d[(w[:, _I] == 0) | (w[:, _J] == 0)] = np.inf
+    left = np.arange(len(w))
+    while len(left):
+        share = np.minimum(w[left][:, _I], w[left][:, _J]) / total[left, None]
+        open_ = np.where(share < under[left], d[left], np.inf)
+        best = open_.argmin(1)
+        go = open_[np.arange(len(left)), best] < np.inf
+        left, best = left[go], best[go]
+        i, j = _I[best], _J[best]
+        ci, cj, wi, wj = c[left, i], c[left, j], w[left, i], w[left, j]
+        swap = (cj > ci + 6) & (wj >= 0.08 * (wi + wj)) & (cj > 20) | (wj > wi)
+        keep, gone = np.where(swap, j, i), np.where(swap, i, j)
+        w[left, keep], w[left, gone] = wi + wj, 0
+        at, pair = np.nonzero((_I == gone[:, None]) | (_J == gone[:, None]))
+        d[left[at], pair] = np.inf
+    return w > 0, w
+
+
+def _palettes(ids: pa.Array, ends: np.ndarray, rgb: list[np.ndarray]) -> pa.RecordBatch:
+    """(id, inks) of some images; ``ends``: where each one's pixels end in the channels."""
+    n, size = len(ids), np.diff(ends, prepend=0)
+    parts = [slice(k, k + PIXELS) for k in range(0, len(rgb[0]), PIXELS)]
+    image = lambda part: np.searchsorted(ends, np.arange(part.start, min(part.stop, len(rgb[0]))), "right")
+    bin_ = lambda part: rgb[0][part] // 16 * 256 + rgb[1][part] // 16 * 16 + rgb[2][part] // 16
+    count = np.zeros(n * 4096, np.int64)
+    for part in parts:
+        count += np.bincount(image(part) * 4096 + bin_(part), minlength=n * 4096)
+    # the fullest first, of equals the lower bin
+    full = np.sort(np.partition(count.reshape(n, 4096) * 4096 + 4095 - np.arange(4096), 4096 - BINS, axis=1)[:, 4096 - BINS :], axis=1)[:, ::-1]
+    w, key = full // 4096, 4095 - full % 4096
+    w = np.where(w / np.maximum(size, 1)[:, None] >= LEAST, w, 0)
+    place = np.full(n * 4096, -1, np.int32)
+    place[(np.arange(n)[:, None] * 4096 + key)[w > 0]] = np.flatnonzero(w > 0)
+    low = [np.zeros(n * BINS * 16, np.int64) for _ in rgb]
+    for part in parts:
+        at = place[image(part) * 4096 + bin_(part)]
+        for c, counts in zip(rgb, low, strict=True):
+            counts += np.bincount((at * 16 + c[part] % 16)[at >= 0], minlength=n * BINS * 16)
+    base = (key // 256, key // 16 % 16, key % 16)
+    twice = [k * 32 + _twice_median(v.reshape(n, BINS, 16)) for k, v in zip(base, low, strict=True)]
+    lab = _lab(*twice)
+    stays, w = merged(lab, np.sqrt(lab[1] * lab[1] + lab[2] * lab[2]), w)
+    # the inks that stay move to the front
+    order = np.argsort(~stays, axis=1, kind="stable")
+    twice, lab, w = [np.take_along_axis(v, order, 1) for v in twice], [np.take_along_axis(v, order, 1) for v in lab], np.take_along_axis(w, order, 1)
+    k = stays.sum(1)
+    lab = [np.where(w > 0, v, np.inf) for v in lab]
+    searched = (k > 0) & (k < FULL)
+    off, values = np.zeros(n, np.int64), [np.zeros(n * 256, np.int64) for _ in rgb]
+    for part in parts if searched.any() else []:
+        of = image(part)
+        own = np.flatnonzero(searched[of])
+        of, seen = of[own], [c[part][own] for c in rgb]
+        own = _lab(*[2 * c for c in seen])
+        far = np.sqrt(own[1] * own[1] + own[2] * own[2]) > FAR_CHROMA
+        for place_ in range(k[searched].max()):
+            of, seen, own = of[far], [c[far] for c in seen], [v[far] for v in own]
+            far = _distance(own, [v[of, place_] for v in lab]) > FAR
+        of, seen = of[far], [c[far] for c in seen]
+        off += np.bincount(of, minlength=n)
+        for c, counts in zip(seen, values, strict=True):
+            counts += np.bincount(of * 256 + c, minlength=n * 256)
+    accent = [_twice_median(v.reshape(n, 256)) for v in values]
+    apart = (_distance([v[:, None] for v in _lab(*accent)], lab) > APART).all(1)
+    new = np.flatnonzero((off / np.maximum(size, 1) > ACCENT) & apart)
+    for v, a in zip([*twice, w], [*accent, off], strict=True):
+        v[new, k[new]] = a[new]
+    k[new] += 1
+    there = np.arange(BINS) < k[:, None]
+    inks = pa.StructArray.from_arrays([*[pa.array(v[there] / 2) for v in twice], pa.array(w[there])], names=["r", "g", "b", "w"])
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], k.cumsum())), pa.int32()), inks)], names=["id", "inks"])
+
+
+def _of_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, IMAGES):
+            rows = batch.slice(at, IMAGES)
+            ends = rows.column("r").offsets.to_numpy()
+            yield _palettes(rows.column("id"), ends[1:] - ends[0], [rows.column(c).flatten().to_numpy() for c in "rgb"])
+
+
+def _of_pictures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, IMAGES):
+            rows = batch.slice(at, IMAGES)
+            yield _palettes(rows.column("id"), *channels(rows))
+
+
+def _schema(images: DataFrame) -> T.StructType:
+    ink = T.StructType([*[T.StructField(c, T.DoubleType()) for c in "rgb"], T.StructField("w", T.LongType())])
+    return T.StructType([images.schema["id"], T.StructField("inks", T.ArrayType(ink))])
 
 
 def palette_of(px: DataFrame) -> DataFrame:
-    """(id, inks) from (id, r, g, b). All pixels are searched for the accent; its colour is the median of all that no ink covers."""
-    key = F.expr("r div 16 * 256 + g div 16 * 16 + b div 16")
-    bins = px.groupBy("id", key.alias("key")).agg(F.count("*").alias("n"), *[F.expr(f"percentile({c}, 0.5D)").alias(c) for c in "rgb"])
-    bins = bins.withColumn("lab", _lab(F.col("r"), F.col("g"), F.col("b")))
-    chroma = lambda v: F.sqrt(v[1] * v[1] + v[2] * v[2])
-    ink = F.struct("r", "g", "b", "lab", chroma(F.col("lab")).alias("c"), F.col("n").alias("w"))
-    own = bins.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "key", ink.alias("ink")))).alias("q"), F.sum("n").alias("all"))
-    own = own.withColumn("q", F.expr(f"transform(filter(slice(q, 1, {BINS}), z -> -z.o / all >= {LEAST}D), z -> z.ink)")).withColumn("total", F.expr("aggregate(q, 0L, (s, z) -> s + z.w)"))
-    # one small row an image, read twice below
-    inks = written(own.select("id", "all", F.expr(merged("q")).alias("inks")), "inks")
-    lab = px.select("id", "r", "g", "b", _lab(F.col("r"), F.col("g"), F.col("b")).alias("lab")).filter(chroma(F.col("lab")) > FAR_CHROMA)
-    off = lab.join(inks.filter(F.size("inks") < FULL), "id").filter(F.forall("inks", lambda z: _de(z.lab, F.col("lab")) > FAR))
-    accent = off.groupBy("id").agg(F.count("*").alias("w"), *[F.expr(f"percentile({c}, 0.5D)").alias(c) for c in "rgb"]).withColumn("lab", _lab(F.col("r"), F.col("g"), F.col("b")))
-    accent = accent.select("id", F.struct("r", "g", "b", "lab", chroma(F.col("lab")).alias("c"), "w").alias("accent"))
-    both = inks.join(accent, "id", "left")
-    new = (F.col("accent.w") / F.col("all") > ACCENT) & F.forall("inks", lambda z: _de(z.lab, F.col("accent.lab")) > APART)
-    return both.select("id", F.when(new, F.array_append("inks", F.col("accent"))).otherwise(F.col("inks")).alias("inks"))
+    """(id, inks) from (id, r, g, b), channels of 0 to 255. All pixels are searched for the accent; its colour is the median of all that no ink covers.
+
+    An image whose bins all lack their least share has no inks, and no accent either.
+    """
+    rows = px.groupBy("id").agg(F.collect_list(F.struct(*"rgb")).alias("p"))
+    return rows.select("id", *[F.col(f"p.{c}").alias(c) for c in "rgb"]).mapInArrow(_of_arrays, _schema(rows))
 
 
 def histogram_palette(spark: SparkSession, d: str) -> DataFrame:
     """A14 over the pictures: inks by place, in thousandths, with their pixels."""
-    p = palette_of(pixels(pictures(spark, d), "r", "g", "b")).select("id", F.posexplode("inks").alias("place", "q"))
+    images = _sizes(spark, d)
+    p = images.mapInArrow(_of_pictures, _schema(images)).select("id", F.posexplode("inks").alias("place", "q"))
     return p.select("id", "place", *[thousandths(F.col(f"q.{c}")).alias(c) for c in "rgb"], F.col("q.w").alias("n"))
 
 

@@ -65,3 +65,10 @@ def test_histogram_palette(spark):
     assert got[1][:3] == [(100.0, 100.0, 100.0, 5000), (250.0, 250.0, 250.0, 2200), (200.0, 20.0, 20.0, 1400)]
     assert len(got[1]) == 4 and got[1][3][3] == 22 and got[1][3][1] > 150
     assert histogram.palette_of(spark.createDataFrame([], "id long, r int, g int, b int")).count() == 0
+
+
+def test_palette_without_full_bins(spark):
+    """An image whose 4,096 bins are all under their least share has no ink, as in SQL, and does not stop the others."""
+    px = [(1, 16 * r, 16 * g, 16 * b) for r in range(16) for g in range(16) for b in range(16)] + [(2, 9, 9, 9), (2, 12, 9, 9)]
+    got = {r.id: [(q.r, q.g, q.b, q.w) for q in r.inks] for r in histogram.palette_of(spark.createDataFrame(px, "id long, r int, g int, b int")).collect()}
+    assert got == {1: [], 2: [(10.5, 9.0, 9.0, 2)]}

@@ -1,10 +1,12 @@
 """Steps whose memory or time must not grow with the tables: what a join may broadcast, and what a row works out by itself."""
 
 import __spark_entry__ as entry
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stitchyard.functions import steps
-from stitchyard.operators import images, lettering, machine, palette, paper, regions
+from stitchyard.operators import histogram, images, lettering, machine, palette, paper, regions
 
 SF = "/root/testdata/sf0.001"
 
@@ -124,3 +126,30 @@ def test_rims_are_compiled(spark):
     """Rims read their neighbours from a pixel's row; no lambda goes over an image's pixels, before or after its regions are found."""
     images_ = spark.createDataFrame([(1, 2, 1, [0, 1], [0, 0], [20.0, 90.0])], "id long, w int, h int, label array<int>, ext array<int>, luma array<double>")
     assert "lambdafunction" not in plan(paper.rims_folded(images_)).lower()
+
+
+def test_palettes_are_worked_out_in_rows(spark):
+    """No pixel of a palette's images becomes a row, and no image is joined with its own pixels."""
+    text = plan(entry.queries()["histogram_palette"](spark, SF))
+    assert "Join" not in text and "Aggregate" not in text and "sequence(" not in text
+
+
+def test_channels_are_those_of_pictures(spark):
+    rows = images.pictures(spark, SF).select("id", "w", "h", "r", "g", "b").orderBy("id").collect()
+    batch = pa.RecordBatch.from_pylist([{c: r[c] for c in ("id", "w", "h")} for r in rows])
+    ends, got = images.channels(batch)
+    assert len(rows) == 10 and ends.tolist() == np.cumsum([r.w * r.h for r in rows]).tolist()
+    assert [v.tolist() for v in got] == [[v for r in rows for v in r[c]] for c in "rgb"]
+    assert [len(v) for v in images.channels(batch.slice(0, 0))[1]] == [0, 0, 0]
+
+
+def test_palettes_of_parts(spark, monkeypatch):
+    """An image's pixels are worked out in parts, whatever its size, with the same inks and accent."""
+    noise = np.random.default_rng(5)
+    px = [np.concatenate([np.full((n, 3), 240), noise.integers(0, 90, (n // 3, 3)), noise.integers(0, 50, (n // 30, 3)) + [200, 20, 0]]) for n in (300, 900, 5000)]
+    ends, rgb = np.cumsum([len(p) for p in px]), list(np.concatenate(px).T)
+    whole = histogram._palettes(pa.array([7, 8, 9]), ends, rgb)
+    monkeypatch.setattr(histogram, "PIXELS", 101)
+    assert histogram._palettes(pa.array([7, 8, 9]), ends, rgb).equals(whole)
+    alone = [histogram._palettes(pa.array([k + 7]), np.array([len(p)]), list(p.T)) for k, p in enumerate(px)]
+    assert [r for a in alone for r in a.to_pylist()] == whole.to_pylist() and all(len(r["inks"]) > 1 for r in whole.to_pylist())
