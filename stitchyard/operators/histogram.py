@@ -26,13 +26,13 @@ MAY = """d < 8 or c1 < 12 and c2 < 12 and d < 24 or c1 < 18 and c2 < 18 and d <
 IMAGES, PIXELS = 128, 1 << 17
 #: The pairs of a palette's places, the earlier first.
 _I, _J = np.triu_indices(BINS, 1)
-#: The linear value of a channel, by twice its value, as a median may be a half.
-_LINEAR = np.array([v / 255.0 / 12.92 if v / 255.0 <= 0.04045 else math.pow((v / 255.0 + 0.055) / 1.055, 2.4) for v in np.arange(511) / 2])
+#: The linear value of a channel from -255 on (the pictures of keys under 0 have such), by twice its value, as a median may be a half.
+_LINEAR = np.array([v / 255.0 / 12.92 if v / 255.0 <= 0.04045 else math.pow((v / 255.0 + 0.055) / 1.055, 2.4) for v in np.arange(-510, 511) / 2])
 
 
 def _lab(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lab of colours given as twice their channels (``color.lab``)."""
-    r, g, b = _LINEAR[r], _LINEAR[g], _LINEAR[b]
+    r, g, b = _LINEAR[r + 510], _LINEAR[g + 510], _LINEAR[b + 510]
     f = []
     for m, n, k, white in ((0.4124564, 0.3575761, 0.1804375, 0.95047), (0.2126729, 0.7151522, 0.0721750, 1.0), (0.0193339, 0.1191920, 0.9503041, 1.08883)):
         t = (r * m + g * n + b * k) / white
@@ -85,28 +85,31 @@ def merged(lab: tuple, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.nda
     return w > 0, w
 
 
-def _palettes(ids: pa.Array, ends: np.ndarray, rgb: list[np.ndarray]) -> pa.RecordBatch:
-    """(id, inks) of some images; ``ends``: where each one's pixels end in the channels."""
+def _palettes(ids: pa.Array, ends: np.ndarray, rgb: list[np.ndarray], times: np.ndarray | int = 1) -> pa.RecordBatch:
+    """(id, inks) of some images; ``ends``: where each one's pixels end in the channels, ``times``: how often an image is there."""
     n, size = len(ids), np.diff(ends, prepend=0)
+    # a bin's values differ in their low four bits; the lowest value, the lowest bin, all bins, and the values of one
+    low, first, bins, deep = (-255, -4095, 8191, 511) if any((c < 0).any() for c in rgb) else (0, 0, 4096, 16)
     parts = [slice(k, k + PIXELS) for k in range(0, len(rgb[0]), PIXELS)]
     image = lambda part: np.searchsorted(ends, np.arange(part.start, min(part.stop, len(rgb[0]))), "right")
-    bin_ = lambda part: rgb[0][part] // 16 * 256 + rgb[1][part] // 16 * 16 + rgb[2][part] // 16
-    count = np.zeros(n * 4096, np.int64)
+    div = lambda c: c + 15 * (c < 0) >> 4
+    bin_ = lambda part: image(part) * bins + div(rgb[0][part]) * 256 + div(rgb[1][part]) * 16 + div(rgb[2][part]) - first
+    count = np.zeros(n * bins, np.int64)
     for part in parts:
-        count += np.bincount(image(part) * 4096 + bin_(part), minlength=n * 4096)
+        count += np.bincount(bin_(part), minlength=n * bins)
     # the fullest first, of equals the lower bin
-    full = np.sort(np.partition(count.reshape(n, 4096) * 4096 + 4095 - np.arange(4096), 4096 - BINS, axis=1)[:, 4096 - BINS :], axis=1)[:, ::-1]
-    w, key = full // 4096, 4095 - full % 4096
+    full = np.sort(np.partition(count.reshape(n, bins) * bins + bins - 1 - np.arange(bins), bins - BINS, axis=1)[:, bins - BINS :], axis=1)[:, ::-1]
+    w, at = full // bins, bins - 1 - full % bins
     w = np.where(w / np.maximum(size, 1)[:, None] >= LEAST, w, 0)
-    place = np.full(n * 4096, -1, np.int32)
-    place[(np.arange(n)[:, None] * 4096 + key)[w > 0]] = np.flatnonzero(w > 0)
-    low = [np.zeros(n * BINS * 16, np.int64) for _ in rgb]
+    place = np.full(n * bins, -1, np.int32)
+    place[(np.arange(n)[:, None] * bins + at)[w > 0]] = np.flatnonzero(w > 0)
+    base = (low, low, low) if low else (at // 256 * 16, at // 16 % 16 * 16, at % 16 * 16)
+    values = [np.zeros(n * BINS * deep, np.int64) for _ in rgb]
     for part in parts:
-        at = place[image(part) * 4096 + bin_(part)]
-        for c, counts in zip(rgb, low, strict=True):
-            counts += np.bincount((at * 16 + c[part] % 16)[at >= 0], minlength=n * BINS * 16)
-    base = (key // 256, key // 16 % 16, key % 16)
-    twice = [k * 32 + _twice_median(v.reshape(n, BINS, 16)) for k, v in zip(base, low, strict=True)]
+        of = place[bin_(part)]
+        for c, counts in zip(rgb, values, strict=True):
+            counts += np.bincount((of * deep + (c[part] - low) % deep)[of >= 0], minlength=n * BINS * deep)
+    twice = [2 * k + _twice_median(v.reshape(n, BINS, deep)) for k, v in zip(base, values, strict=True)]
     lab = _lab(*twice)
     stays, w = merged(lab, np.sqrt(lab[1] * lab[1] + lab[2] * lab[2]), w)
     # the inks that stay move to the front
@@ -115,27 +118,27 @@ def _palettes(ids: pa.Array, ends: np.ndarray, rgb: list[np.ndarray]) -> pa.Reco
     k = stays.sum(1)
     lab = [np.where(w > 0, v, np.inf) for v in lab]
     searched = (k > 0) & (k < FULL)
-    off, values = np.zeros(n, np.int64), [np.zeros(n * 256, np.int64) for _ in rgb]
+    off, values = np.zeros(n, np.int64), [np.zeros(n * (256 - low), np.int64) for _ in rgb]
     for part in parts if searched.any() else []:
         of = image(part)
         own = np.flatnonzero(searched[of])
         of, seen = of[own], [c[part][own] for c in rgb]
         own = _lab(*[2 * c for c in seen])
         far = np.sqrt(own[1] * own[1] + own[2] * own[2]) > FAR_CHROMA
-        for place_ in range(k[searched].max()):
+        for ink in range(k[searched].max()):
             of, seen, own = of[far], [c[far] for c in seen], [v[far] for v in own]
-            far = _distance(own, [v[of, place_] for v in lab]) > FAR
+            far = _distance(own, [v[of, ink] for v in lab]) > FAR
         of, seen = of[far], [c[far] for c in seen]
         off += np.bincount(of, minlength=n)
         for c, counts in zip(seen, values, strict=True):
-            counts += np.bincount(of * 256 + c, minlength=n * 256)
-    accent = [_twice_median(v.reshape(n, 256)) for v in values]
+            counts += np.bincount(of * (256 - low) + c - low, minlength=n * (256 - low))
+    accent = [2 * low + _twice_median(v.reshape(n, 256 - low)) for v in values]
     apart = (_distance([v[:, None] for v in _lab(*accent)], lab) > APART).all(1)
     new = np.flatnonzero((off / np.maximum(size, 1) > ACCENT) & apart)
     for v, a in zip([*twice, w], [*accent, off], strict=True):
         v[new, k[new]] = a[new]
     k[new] += 1
-    there = np.arange(BINS) < k[:, None]
+    there, w = np.arange(BINS) < k[:, None], w * np.reshape(times, (-1, 1))
     inks = pa.StructArray.from_arrays([*[pa.array(v[there] / 2) for v in twice], pa.array(w[there])], names=["r", "g", "b", "w"])
     return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], k.cumsum())), pa.int32()), inks)], names=["id", "inks"])
 
@@ -152,7 +155,7 @@ def _of_pictures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, IMAGES):
             rows = batch.slice(at, IMAGES)
-            yield _palettes(rows.column("id"), *channels(rows))
+            yield _palettes(rows.column("id"), *channels(rows), rows.column("times").to_numpy())
 
 
 def _schema(images: DataFrame) -> T.StructType:
@@ -161,7 +164,7 @@ def _schema(images: DataFrame) -> T.StructType:
 
 
 def palette_of(px: DataFrame) -> DataFrame:
-    """(id, inks) from (id, r, g, b), channels of 0 to 255. All pixels are searched for the accent; its colour is the median of all that no ink covers.
+    """(id, inks) from (id, r, g, b). All pixels are searched for the accent; its colour is the median of all that no ink covers.
 
     An image whose bins all lack their least share has no inks, and no accent either.
     """
@@ -171,7 +174,7 @@ def palette_of(px: DataFrame) -> DataFrame:
 
 def histogram_palette(spark: SparkSession, d: str) -> DataFrame:
     """A14 over the pictures: inks by place, in thousandths, with their pixels."""
-    images = _sizes(spark, d)
+    images = _sizes(spark, d).groupBy("id", "w", "h").agg(F.count("*").alias("times"))
     p = images.mapInArrow(_of_pictures, _schema(images)).select("id", F.posexplode("inks").alias("place", "q"))
     return p.select("id", "place", *[thousandths(F.col(f"q.{c}")).alias(c) for c in "rgb"], F.col("q.w").alias("n"))
 

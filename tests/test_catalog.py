@@ -2,6 +2,7 @@
 
 import colorsys
 
+import duckdb
 from pyspark.sql import functions as F
 
 from stitchyard.operators import catalog, histogram, hues
@@ -72,3 +73,15 @@ def test_palette_without_full_bins(spark):
     px = [(1, 16 * r, 16 * g, 16 * b) for r in range(16) for g in range(16) for b in range(16)] + [(2, 9, 9, 9), (2, 12, 9, 9)]
     got = {r.id: [(q.r, q.g, q.b, q.w) for q in r.inks] for r in histogram.palette_of(spark.createDataFrame(px, "id long, r int, g int, b int")).collect()}
     assert got == {1: [], 2: [(10.5, 9.0, 9.0, 2)]}
+
+
+def test_palettes_of_odd_keys(spark, tmp_path):
+    """Keys that are null, under 0 (their channels are as well), or beyond 32 bits give what SQL gives; a key that is there twice has twice the pixels."""
+    of = {}
+    for name, keys in (("odd", [None, -1, -40, -300, 0, 7, 5_000_000_000]), ("two", [7, 7])):
+        spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/{name}/supplier.parquet")
+        of[name] = sorted(tuple(r) for r in histogram.histogram_palette(spark, f"{tmp_path}/{name}").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/odd/supplier.parquet/*.parquet'")
+    assert of["odd"] == sorted(con.execute(histogram.SQL["histogram_palette"]).fetchall())
+    assert of["two"] == [(*r[:5], 2 * r[5]) for r in of["odd"] if r[0] == 7]
